@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.numeric import clip, safe_div
+from panelspark.session import cut_lineage
 
 PER_OCTAVE = 256          # value buckets per doubling
 _SHIFT = 1_000_000        # keeps the bucket of any positive double positive
@@ -19,7 +20,7 @@ _SHIFT = 1_000_000        # keeps the bucket of any positive double positive
 
 def value_bucket(v: Column) -> Column:
     """A bucket number that never decreases as ``v`` grows."""
-    octave = F.floor(F.log2(F.abs(v)) * PER_OCTAVE) + F.lit(_SHIFT)
+    octave = F.floor(F.log2(F.least(F.abs(v), F.lit(1e308))) * PER_OCTAVE) + F.lit(_SHIFT)
     return F.when(v > 0, octave).when(v < 0, -octave).otherwise(F.lit(0)).cast("long")
 
 
@@ -95,6 +96,24 @@ def rank_percentile(df: DataFrame, keys: list[str], value: str, out: str, ascend
     return join_on(df, r, keys + [value], "left")
 
 
+def rank_columns(df: DataFrame, ids: list[str], keys: list[str], columns: dict[str, Column | str],
+                 scale: str = "unit") -> DataFrame:
+    """Ranks of several columns in one pass; ``ids`` name a row. ``scale``: ``unit`` is W1, ``n100`` is W2.
+
+    The columns are stacked under a tag and ranked together, so the input is read once
+    for all of them.
+    """
+    spec = F.array(*[F.struct(F.lit(out).alias("_col"), (F.col(c) if isinstance(c, str) else c).cast("double").alias("_v"))
+                     for out, c in columns.items()])
+    long = df.select(*ids, *[k for k in keys if k not in ids], F.explode(spec).alias("_s")).select("*", "_s._col", "_s._v").drop("_s")
+    pct = _percentile_rank(True) if scale == "unit" else 100.0 * (
+        F.col("n_below") + 1 + (F.col("tie_n") - 1) / F.lit(2.0)) / F.col("n")
+    r = value_ranks(long, keys + ["_col"], "_v").select(*keys, "_col", "_v", pct.alias("_pct"))
+    got = join_on(long, r, keys + ["_col", "_v"]).groupBy(*ids).agg(
+        *[F.max(F.when(F.col("_col") == out, F.col("_pct"))).alias(out) for out in columns])
+    return join_on(df, got, ids, "left")
+
+
 def percent_of_n(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """Average rank over n, times 100."""
     pct = 100.0 * (F.col("n_below") + 1 + (F.col("tie_n") - 1) / F.lit(2.0)) / F.col("n")
@@ -120,7 +139,8 @@ def z_table(df: DataFrame, keys: list[str], value: str, winsor: tuple[float, flo
     Median and scaled MAD of the winsorized values; mean and sample deviation where
     that scale is zero or undefined; 0.0 where there is no variation at all.
     """
-    r = value_ranks(df, keys, value)
+    # both tables are read several times below, so they are written once
+    r = cut_lineage(value_ranks(df, keys, value))
     lo_q, hi_q = winsor if winsor else (0.0, 1.0)
     edges = r.groupBy(*keys).agg(
         percentile_from_ranks(value, lo_q).alias("_lo"), percentile_from_ranks(value, hi_q).alias("_hi"))
@@ -130,7 +150,7 @@ def z_table(df: DataFrame, keys: list[str], value: str, winsor: tuple[float, flo
         percentile_from_ranks("_w", 0.5).alias("_med"),
         (F.sum(F.col("_w") * F.col("tie_n")) / F.sum("tie_n")).alias("_mean"),
         F.min("_w").alias("_min"), F.max("_w").alias("_max"), F.max("n").alias("_n"))
-    c = join_on(w, centre, keys).withColumn("_dev", F.abs(F.col("_w") - F.col("_med")))
+    c = cut_lineage(join_on(w, centre, keys).withColumn("_dev", F.abs(F.col("_w") - F.col("_med"))))
     spread = c.groupBy(*keys).agg(
         F.when((F.max("_n") > 1) & (F.max("_min") < F.max("_max")),
                F.sqrt(F.sum(F.col("tie_n") * F.pow(F.col("_w") - F.col("_mean"), 2)) / (F.max("_n") - 1)))
@@ -178,7 +198,9 @@ def sector_neutral_z(df: DataFrame, keys: list[str], sector: str, value: str, ou
 def spearman(df: DataFrame, keys: list[str], x: str, y: str, min_n: int = 3) -> DataFrame:
     """``keys, rho, n``. Pairs with both present; null below ``min_n`` or without variance."""
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"))
-    ranked = rank_percentile(rank_percentile(pairs, keys, "_x", "_rx"), keys, "_y", "_ry")
+    rx = value_ranks(pairs, keys, "_x").select(*keys, "_x", _percentile_rank(True).alias("_rx"))
+    ry = value_ranks(pairs, keys, "_y").select(*keys, "_y", _percentile_rank(True).alias("_ry"))
+    ranked = join_on(join_on(pairs, rx, keys + ["_x"]), ry, keys + ["_y"])
     # the spread test is on exact ends, not on a rounded variance
     flat = (F.min("_rx") == F.max("_rx")) | (F.min("_ry") == F.max("_ry"))
     return ranked.groupBy(*keys).agg(
@@ -194,3 +216,17 @@ def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, out: str
     """
     w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     return df.withColumn(out, F.row_number().over(w.orderBy(*order))).where(F.col(out) <= n)
+
+
+def position(df: DataFrame, value: str, tie: str, out: str = "rank", descending: bool = True) -> DataFrame:
+    """1-based place of every row in the order (value, tie), without a global sort.
+
+    The value table says how many rows are ahead; only rows sharing a value are put in
+    order against each other. A null value counts as the lowest.
+    """
+    v = df.withColumn("_v", F.coalesce(F.col(value).cast("double"), F.lit(float("-inf")) if descending else F.lit(float("inf"))))
+    r = value_ranks(v, [], "_v")
+    ahead = (F.col("n") - F.col("n_below") - F.col("tie_n")) if descending else F.col("n_below")
+    w = Window.partitionBy("_v").orderBy(tie)
+    return (join_on(v, r.select("_v", ahead.alias("_ahead")), ["_v"])
+            .withColumn(out, (F.col("_ahead") + F.row_number().over(w)).cast("long")).drop("_v", "_ahead"))

@@ -106,25 +106,25 @@ COMPANIES = f"""companies AS (SELECT 'S' || s_suppkey AS ticker, s_name AS name,
   CASE WHEN s_suppkey % 7 = 0 THEN 'CAD' ELSE 'USD' END AS currency, s_acctbal AS acctbal, s_suppkey AS suppkey
   FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
 
-# (column, Spark/SQL text): the text is valid in both dialects
 def _money(factor: str) -> str:
     """A sum of amount times factor, exact: both are whole hundredths, so whole ten-thousandths are summed."""
     return fix(f"sum(CAST(round(l_extendedprice * 100) AS BIGINT) * CAST(round(({factor}) * 100) AS BIGINT)) / CAST(10000 AS DOUBLE)", 2)
 
 
+# (column, expression): the text is valid in both dialects
 _STATEMENT = [
     ("revenue", "CASE WHEN (l_suppkey + fy) % 37 <> 0 THEN " + _money("1") + " END"),
     ("gross_profit", "CASE WHEN (l_suppkey * 3 + fy) % 19 <> 0 THEN " + _money("1 - l_discount * 6") + " END"),
-    ("ebit", "" + _money("l_discount * 4 - l_tax") + ""),
+    ("ebit", _money("l_discount * 4 - l_tax")),
     ("ebitda", "CASE WHEN (l_suppkey + fy) % 23 <> 0 THEN " + _money("l_discount * 5 - l_tax") + " END"),
-    ("fcf", "" + _money("l_discount - l_tax") + ""),
+    ("fcf", _money("l_discount - l_tax")),
     ("tax_rate", "CASE WHEN (l_suppkey + fy) % 5 <> 0 THEN " + fix("6 * sum(CAST(round(l_tax * 100) AS BIGINT)) / (CAST(100 AS DOUBLE) * count(*))") + " END"),
     ("invested_capital", "round(sum(l_quantity) * 900, 2)"),
     ("diluted_shares", "CASE WHEN l_suppkey % 13 <> 0 THEN sum(l_quantity) END"),
     ("shares_outstanding", "sum(l_quantity) * 1.02"),
     ("net_debt", "CASE WHEN (l_suppkey + fy) % 4 <> 0 THEN " + _money("l_tax * 3 - l_discount") + " END"),
     ("total_debt", "CASE WHEN (l_suppkey + fy) % 9 <> 0 THEN " + _money("l_tax * 3") + " END"),
-    ("cash", "" + _money("l_discount") + ""),
+    ("cash", _money("l_discount")),
     ("diluted_eps", fix("sum(CAST(round(l_extendedprice * 100) AS BIGINT) * CAST(round((l_discount * 3 - l_tax) * 100) AS BIGINT)) / (CAST(10000 AS DOUBLE) * sum(l_quantity))")),
 ]
 
@@ -142,6 +142,32 @@ STATEMENTS = ("statements AS (SELECT 'S' || l_suppkey AS ticker, fy, make_date(f
               + " FROM (SELECT *, CAST(year(l_shipdate) AS INT) AS fy FROM lineitem) GROUP BY l_suppkey, fy)")
 
 
+# -- estimates and quotes ------------------------------------------------------------------
+
+def _lines(a: int, b: int) -> str:
+    pick = f"CASE WHEN l_linenumber IN ({a}, {b}) THEN"
+    return fix(f"sum({pick} CAST(round(l_extendedprice * 100) AS BIGINT) END) / (10000 * sum({pick} l_quantity END))")
+
+
+_ESTIMATE = [
+    ("eps_fy1_now", _lines(1, 2)), ("eps_fy1_30d", _lines(3, 4)), ("eps_fy1_90d", _lines(5, 6)),
+    ("eps_fy0_now", _lines(2, 3)), ("eps_fy0_30d", _lines(4, 5)),
+    ("rev_up", "CASE WHEN l_suppkey % 10 <> 0 THEN CAST(count(CASE WHEN l_returnflag = 'A' THEN 1 END) AS DOUBLE) END"),
+    ("rev_down", "CASE WHEN l_suppkey % 6 <> 0 THEN CAST(count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS DOUBLE) END"),
+    ("ev_ebitda", "CASE WHEN l_suppkey % 9 <> 0 THEN " + fix("sum(l_quantity) / count(*) / 3") + " END"),
+    ("short_pct_float", fix("count(CASE WHEN l_linestatus = 'O' THEN 1 END) / CAST(count(*) AS DOUBLE)")),
+]
+
+
+def estimates(spark, sf) -> DataFrame:
+    return read(spark, sf, "lineitem").groupBy("l_suppkey").agg(*[F.expr(e).alias(c) for c, e in _ESTIMATE]).select(
+        F.concat(F.lit("S"), F.col("l_suppkey")).alias("ticker"), *[c for c, _ in _ESTIMATE])
+
+
+ESTIMATES = ("estimates AS (SELECT 'S' || l_suppkey AS ticker, " + ", ".join(f"{e} AS {c}" for c, e in _ESTIMATE)
+             + " FROM lineitem GROUP BY l_suppkey)")
+
+
 # -- bitemporal facts -----------------------------------------------------------------------
 
 # Tags the facts carry, by line flag and status.
