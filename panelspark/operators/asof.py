@@ -2,15 +2,18 @@
 
 The distinct (key, point) pairs of the left side are resolved, then joined back, so
 a key with many probes is not gathered: its points are few, and the join back is an
-equi-join that AQE can split. Time is cut into coarse slots; the value carried into
-a slot comes from a table with one row per (key, slot). So a key with a very long
-history is also spread over many tasks.
+equi-join that AQE can split. Both sides are one row per (key, point) by then. Where
+points are dates, a key has at most one row per calendar day and a single window by
+key carries the value. Where points are timestamps, a key's history has no such
+bound: time is cut into slots, and the value carried into a slot comes from a table
+with one row per (key, slot), so a long history is spread over many tasks.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType
 
 from panelspark.operators.ranks import join_on
 
@@ -19,8 +22,8 @@ def _slot(x: Column, grain: str) -> Column:
     return F.date_trunc(grain, x)
 
 
-def _resolve(points: DataFrame, right: DataFrame, by: list[str], values: list[str], grain: str,
-             forward: bool, strict: bool) -> DataFrame:
+def _resolve(points: DataFrame, right: DataFrame, by: list[str], grain: str, forward: bool,
+             strict: bool) -> DataFrame:
     """``by, _pt, _hit``: for each point the struct of right values nearest on the wanted side."""
     pick = F.min_by if forward else F.max_by
     r = right.withColumn("_slot", _slot(F.col("_pt"), grain))
@@ -49,27 +52,43 @@ def _resolve(points: DataFrame, right: DataFrame, by: list[str], values: list[st
         *by, "_pt", F.coalesce("_near", "_in").alias("_hit"))
 
 
+def _resolve_days(points: DataFrame, right: DataFrame, by: list[str], forward: bool, strict: bool) -> DataFrame:
+    """As ``_resolve`` where a key has at most one row per day on either side."""
+    rank_right = 1 if strict else 0
+    rows = right.select(*by, "_pt", "_val", F.lit(rank_right).alias("_side"))
+    asks = points.select(*by, "_pt", F.lit(None).cast(right.schema["_val"].dataType).alias("_val"),
+                         F.lit(1 - rank_right).alias("_side"))
+    o = [F.desc("_pt") if forward else F.asc("_pt"), F.asc("_side")]
+    w = Window.partitionBy(*by).orderBy(*o).rowsBetween(Window.unboundedPreceding, 0)
+    carried = rows.unionByName(asks).withColumn("_hit", F.last("_val", ignorenulls=True).over(w))
+    return carried.where(F.col("_side") == 1 - rank_right).select(*by, "_pt", "_hit")
+
+
 def _asof(left, right, by, left_on, right_on, values, grain, forward, strict):
+    days = isinstance(left.schema[left_on].dataType, DateType) and isinstance(right.schema[right_on].dataType, DateType)
     r = right.where(F.col(right_on).isNotNull()).select(
         *by, F.col(right_on).cast("timestamp").alias("_pt"), F.struct(*values).alias("_val"))
     # one right row per point: ties are resolved by the whole value, the greatest wins
     r = r.groupBy(*by, "_pt").agg(F.max("_val").alias("_val"))
     points = left.where(F.col(left_on).isNotNull()).select(
         *by, F.col(left_on).cast("timestamp").alias("_pt")).distinct()
-    hits = _resolve(points, r, by, values, grain, forward, strict)
+    if days:
+        hits = _resolve_days(points, r, by, forward, strict)
+    else:
+        hits = _resolve(points, r, by, grain, forward, strict)
     tagged = left.withColumn("_pt", F.col(left_on).cast("timestamp"))
     return join_on(tagged, hits, by + ["_pt"], "left").select(
         *left.columns, *[F.col(f"_hit.{v}").alias(v) for v in values])
 
 
 def asof_backward(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str,
-                  values: list[str], grain: str = "year", strict: bool = False) -> DataFrame:
+                  values: list[str], grain: str = "day", strict: bool = False) -> DataFrame:
     """The right row at or before (``strict``: before) each left point."""
     return _asof(left, right, by, left_on, right_on, values, grain, False, strict)
 
 
 def asof_forward(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str,
-                 values: list[str], grain: str = "year", strict: bool = False) -> DataFrame:
+                 values: list[str], grain: str = "day", strict: bool = False) -> DataFrame:
     """The right row at or after (``strict``: after) each left point."""
     return _asof(left, right, by, left_on, right_on, values, grain, True, strict)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-_MODULES = ("core", "crosssection")
+_MODULES = ("core", "crosssection", "measures")
 
 
 def register(name: str, sql: str | None = None):
