@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.numeric import ladder, safe_div
-from panelspark.operators.ranks import join_on
 
 
 def calendar(panel: DataFrame) -> DataFrame:
@@ -191,6 +190,3 @@ def membership_filter(rows: DataFrame, spans: DataFrame, day: str = "session") -
     """J10 as a semi join: rows whose date lies in one of the ticker's spans (an open end counts)."""
     from panelspark.operators.intervals import inside_any
     return inside_any(rows, spans, "ticker", day)
-
-
-__all__ = [n for n in dir() if not n.startswith("_")]

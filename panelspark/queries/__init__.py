@@ -6,9 +6,10 @@ from importlib import import_module
 
 from pyspark.sql import functions as F
 
+CUT = 0.5013717
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-_MODULES = ("core", "crosssection", "measures")
+_MODULES = ("core", "crosssection", "measures", "replay")
 
 
 def register(name: str, sql: str | None = None):
@@ -24,16 +25,20 @@ def register(name: str, sql: str | None = None):
 
 
 def rnd(c, digits: int = 6):
-    """Round half up by plain double arithmetic, which both engines do alike to the last bit."""
+    """Round by plain double arithmetic, which both engines do alike to the last bit.
+
+    The cut lies a little off one half, so a decimal tie with noise in its last bit
+    falls on the same side everywhere.
+    """
     c = F.col(c) if isinstance(c, str) else c
     m = float(10 ** digits)
-    return F.floor(c.cast("double") * m + F.lit(0.5)) / F.lit(m)
+    return F.floor(c.cast("double") * m + F.lit(CUT)) / F.lit(m)
 
 
 def r6(expr: str, digits: int = 6) -> str:
     """``rnd`` as SQL text."""
     m = f"CAST({10 ** digits} AS DOUBLE)"
-    return f"(floor(CAST({expr} AS DOUBLE) * {m} + CAST(0.5 AS DOUBLE)) / {m})"
+    return f"(floor(CAST({expr} AS DOUBLE) * {m} + CAST({CUT} AS DOUBLE)) / {m})"
 
 
 def load_all() -> None:
