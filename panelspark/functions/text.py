@@ -44,7 +44,7 @@ def call_kind(action) -> Column:
 def trade_verb(action) -> Column:
     """Buy, sell, trim or none."""
     a = F.lower(F.trim(F.coalesce(_c(action), F.lit(""))))
-    return ladder([(a.rlike(r"^(buy|bought|add)"), "buy"), (a.rlike(r"^(sell|sold|exit|close)"), "sell"), (a.rlike(r"^(trim|reduce)"), "trim")], "none")
+    return ladder([(a.startswith("buy"), "buy"), (a.rlike("^(sell|exit|close)"), "sell"), (a.startswith("trim"), "trim")], "none")
 
 
 def buy_zone(action) -> tuple[Column, Column]:

@@ -84,7 +84,7 @@ def filing_alerts(filings: DataFrame) -> DataFrame:
     each = filings.withColumns({"kind": kind, "severity": sev}).where("kind is not null").select(
         "ticker", "kind", "severity", F.lit(None).cast("double").alias("value"), F.col("filed").alias("as_of"))
     four = filings.where(form == "4").groupBy("ticker").agg(F.count(F.lit(1)).cast("double").alias("value"), F.max("filed").alias("as_of")).select(
-        "ticker", F.lit("insider").alias("kind"), F.lit(1).alias("severity"), "value", "as_of")
+        "ticker", F.lit("filing").alias("kind"), F.lit(1).alias("severity"), "value", "as_of")
     return each.unionByName(four)
 
 
