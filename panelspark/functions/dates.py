@@ -13,7 +13,7 @@ def _c(x) -> Column:
 def compact_date(x) -> Column:
     """``yyyyMMdd`` text to a date; anything else is null."""
     s = _c(x).cast("string")
-    return F.when(s.rlike("^[0-9]{8}$"), F.try_to_date(s, F.lit("yyyyMMdd")))
+    return F.when(s.rlike("^[0-9]{8}$"), F.try_to_date(s, "yyyyMMdd"))
 
 
 def years_back(day, n) -> Column:

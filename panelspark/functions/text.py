@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from panelspark.functions.numeric import ladder
 
@@ -67,18 +72,32 @@ def standing(action, price, today: Column) -> Column:
         (low.startswith("buy"), "now")], "skip")
 
 
-def html_to_text(html) -> Column:
+def html_to_text(markup) -> Column:
     """Readable text of a page: content-free elements dropped, block tags to line breaks, the rest stripped.
 
-    Named and decimal entities of common use are decoded in place; see ``decode_entities``
-    for the full set.
+    Named and decimal entities of common use are decoded in place; ``html_to_text_full``
+    knows the full set.
     """
-    s = F.regexp_replace(_c(html), r"(?is)<(script|style|head|ix:header)\b.*?</\1\s*>", " ")
+    s = F.regexp_replace(_c(markup), r"(?is)<(script|style|head|ix:header)\b.*?</\1\s*>", " ")
     s = F.regexp_replace(s, r"(?i)</?(p|div|br|tr|table|h[1-6]|li|ul|ol|section)\b[^>]*>", "\n")
     s = F.regexp_replace(s, r"<[^>]+>", " ")
     return tidy_lines(unescape(s))
 
 
+@pandas_udf(StringType())
+def decode_entities(s: pd.Series) -> pd.Series:
+    """Every named and numeric entity; Arrow batches, null in and null out."""
+    return s.map(html.unescape, na_action="ignore")
+
+
+def html_to_text_full(markup) -> Column:
+    """S21 with the whole entity set; only texts holding an entity are sent to Python."""
+    s = F.regexp_replace(_c(markup), r"(?is)<(script|style|head|ix:header)\b.*?</\1\s*>", " ")
+    s = F.regexp_replace(s, r"(?i)</?(p|div|br|tr|table|h[1-6]|li|ul|ol|section)\b[^>]*>", "\n")
+    s = F.regexp_replace(s, r"<[^>]+>", " ")
+    return tidy_lines(F.coalesce(decode_entities(F.when(s.rlike("&[#A-Za-z]"), s)), s))
+
+
 def unescape(s: Column) -> Column:
     for name, ch in NAMED_ENTITIES.items():
         s = F.replace(s, F.lit(name), F.lit(ch))

@@ -94,7 +94,9 @@ def company_facts(spark: SparkSession, path: str) -> DataFrame:
 def filing_index(spark: SparkSession, path: str) -> DataFrame:
     """Parallel arrays to rows."""
     d = spark.read.schema(SUBMISSIONS).json(path)
-    z = F.arrays_zip(*[F.col(f"filings.recent.{c}").alias(c) for c in ("accessionNumber", "form", "filingDate", "reportDate", "primaryDocument", "items")])
+    ids = F.col("filings.recent.accessionNumber")
+    # an absent array is an array of nulls
+    z = F.arrays_zip(*[F.coalesce(F.col(f"filings.recent.{c}"), F.transform(ids, lambda x: F.lit(None).cast("string"))).alias(c) for c in ("accessionNumber", "form", "filingDate", "reportDate", "primaryDocument", "items")])
     r = d.select("cik", F.inline(z))
     return r.select(F.lpad(F.regexp_replace("cik", r"\D", ""), 10, "0").alias("cik"), F.col("accessionNumber").alias("accession"), "form", F.to_date("filingDate").alias("filed"), "reportDate", "primaryDocument",
                     F.filter(F.transform(F.split("items", ","), lambda x: F.trim(x)), lambda x: x != "").alias("items"))

@@ -39,7 +39,7 @@ def typed(df: DataFrame, types: dict[str, str]) -> DataFrame:
         elif ty == "boolean":
             out[c] = F.coalesce(F.trim(c).isin(*TRUE_WORDS), F.lit(False))
         elif ty == "date":
-            out[c] = F.try_to_date(F.substring(v, 1, 10), F.lit("yyyy-MM-dd"))
+            out[c] = F.try_to_date(F.substring(v, 1, 10), "yyyy-MM-dd")
         elif ty == "compact_date":
             out[c] = compact_date(v)
         else:
