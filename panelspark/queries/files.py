@@ -50,9 +50,9 @@ def scan_long_bars(spark, sf):
     return st.ohlcv_rows(spark, put(spark, d, "csv", header=True)).select("ticker", "session", "close", "volume")
 
 
-@register("scan_scaled_bars", f"WITH {t.WEEKLY} SELECT session, {r6('CAST(floor(sum(close) * 100 + 0.5) AS BIGINT) / 100.0::DOUBLE', 2)} AS close FROM weekly GROUP BY 1")
+@register("scan_scaled_bars", f"WITH {t.WEEKLY} SELECT session, {r6('CAST(floor(max(close) * 100 + 0.5) AS BIGINT) / 100.0::DOUBLE', 2)} AS close FROM weekly GROUP BY 1")
 def scan_scaled_bars(spark, sf):
-    w = t.weekly(spark, sf).groupBy("session").agg((F.floor(F.sum("close") * 100 + 0.5) * 100).cast("string").alias("c"))
+    w = t.weekly(spark, sf).groupBy("session").agg((F.floor(F.max("close") * 100 + 0.5) * 100).cast("string").alias("c"))
     d = w.select(F.concat(F.date_format("session", "yyyyMMdd"), F.lit(" 00:00")).alias("s"), F.col("c").alias("o"), F.col("c").alias("h"), F.col("c").alias("l"), "c", F.lit("10").alias("v"))
     return st.scaled_bars(spark, put(spark, d, "csv"), "ALL").select("session", rnd("close", 2).alias("close"))
 
@@ -103,7 +103,7 @@ def scan_filing_set(spark, sf):
     num = li.select(F.col("l_orderkey").alias("adsh"), F.col("l_returnflag").alias("tag"), F.lit("us-gaap/2023").alias("version"), F.lit("").alias("coreg"), d8("l_shipdate").alias("ddate"), F.lit("4").alias("qtrs"), F.lit("USD").alias("uom"),
                     F.when(F.col("l_linenumber") != 5, F.col("l_extendedprice").cast("string")).otherwise("").alias("value"))
     for name, df in (("sub", sub), ("num", num)):
-        as_text(df).withColumn("q", F.when(F.col("adsh").cast("long") % 2 == 0, "2023q3").otherwise("2023q4")).write.partitionBy("q").option("header", True).option("sep", "\t").option("quote", "").csv(f"{root}/{name}")
+        as_text(df).withColumn("q", F.when(F.col("adsh").cast("long") % 2 == 0, "2023q3").otherwise("2023q4")).write.partitionBy("q").option("header", True).option("sep", "\t").option("quote", "").option("emptyValue", "").csv(f"{root}/{name}")
     both = []
     for name, types in (("sub", {"adsh": "string", "cik": "bigint", "form": "string", "filed": "compact_date"}), ("num", {"adsh": "string", "tag": "string", "version": "string", "coreg": "string", "ddate": "compact_date", "qtrs": "int", "value": "double"})):
         both.append(st.read_delimited(spark, f"{root}/{name}/*", types, "\t", False))
@@ -258,7 +258,7 @@ def call_log_rows(spark, sf):
     return r.select("date", "ticker", "title", "price_at_call", "wrong_if", "conviction")
 
 
-@register("note_rows", f"WITH {t.STATEMENTS}, {t.COMPANIES} SELECT s.ticker, 'FY' || fy AS fiscal_year, CAST(coalesce(diluted_shares, shares_outstanding) AS DOUBLE) AS shares, suppkey % 97 + 1 AS rank FROM statements s JOIN companies c USING (ticker)")
+@register("note_rows", f"WITH {t.STATEMENTS}, {t.COMPANIES} SELECT s.ticker, 'FY' || fy AS fiscal_year, {r6('coalesce(diluted_shares, shares_outstanding)', 3)} AS shares, suppkey % 97 + 1 AS rank FROM statements s JOIN companies c USING (ticker)")
 def note_rows(spark, sf):
     s = t.statements(spark, sf).select("ticker", "fy", F.coalesce("diluted_shares", "shares_outstanding").alias("sh"))
     line = F.concat(F.lit("| FY"), "fy", F.lit(" | 1.0 | 50% | 20% | 0.5 | "), F.format_string("%.6f", "sh"), F.lit(" | -0.3 |"))
@@ -266,7 +266,7 @@ def note_rows(spark, sf):
     doc = g.select(F.concat(F.lit("# "), "ticker", F.lit("  Company\n\nQuality rank "), "k", F.lit(" of 150, score 80.\n\n## Financials\n| Fiscal year end | a | b | c | d | e | f |\n|---|---|---|---|---|---|---|\n"), "rows", F.lit("\n\n## Sources\n- [Filing](http://x/y), read 2026-09-04\n")).alias("value"), F.col("ticker").alias("stem"))
     n = texts.parse_notes(doc)
     f = texts.note_financials(texts.note_sections(n))
-    return f.where("error is null").join(n.select("ticker", F.col("quality_rank").cast("long").alias("rank")), "ticker").select("ticker", "fiscal_year", F.col("diluted_shares_m").alias("shares"), "rank")
+    return f.where("error is null").join(n.select("ticker", F.col("quality_rank").cast("long").alias("rank")), "ticker").select("ticker", "fiscal_year", rnd("diluted_shares_m", 3).alias("shares"), "rank")
 
 
 def releases(spark, sf, which: int):
@@ -281,7 +281,7 @@ def releases(spark, sf, which: int):
 
 
 @register("release_figures", """WITH o AS (SELECT o_orderkey AS doc, o_custkey AS cik, printf('%.1f', o_totalprice / 100000) AS m, printf('%.1f', o_totalprice / 100000 + 1) AS w FROM orders WHERE o_orderkey % 2 = 0)
- SELECT doc, 'revenue' AS metric, 'Q3 FY2026' AS period, CAST(m AS DOUBLE) * 1000000 AS low, CAST(w AS DOUBLE) * 1000000 AS high, 'USD' AS unit, 'range' AS kind FROM o
+ SELECT doc, 'revenue' AS metric, 'Q3 FY2026' AS period, round(CAST(m AS DOUBLE) * 1000000, 0) AS low, round(CAST(w AS DOUBLE) * 1000000, 0) AS high, 'USD' AS unit, 'range' AS kind FROM o
  UNION ALL SELECT doc, 'gross_margin', 'unspecified', 45.0, 46.0, 'percent', 'range' FROM o WHERE cik % 3 = 0 UNION ALL SELECT doc, 'eps', 'full year', 2.05, 2.05, 'USD', 'point' FROM o WHERE cik % 3 <> 0""")
 def release_figures(spark, sf):
     f = fg.extract_figures(releases(spark, sf, 0), ["doc"])
