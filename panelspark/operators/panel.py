@@ -63,7 +63,10 @@ def by_ticker(order: str = "s_idx"):
 def rolling(fn, x: str, n: int, min_periods: int, skip: int = 0) -> Column:
     """Rolling aggregate of ``n`` rows ending ``skip`` rows back; null below ``min_periods``."""
     w = by_ticker().rowsBetween(-(n - 1) - skip, -skip)
-    return F.when(F.count(x).over(w) >= min_periods, fn(x).over(w))
+    # the count of a frame is a difference of two running counts, which no frame has to be walked for
+    seen = F.count(x).over(by_ticker().rowsBetween(Window.unboundedPreceding, 0))
+    back = lambda k: seen if k == 0 else F.count(x).over(by_ticker().rowsBetween(Window.unboundedPreceding, -k))
+    return F.when(back(skip) - back(n + skip) >= min_periods, fn(x).over(w))
 
 
 def lag_return(x: str, n: int) -> Column:

@@ -110,7 +110,9 @@ def compute_features(prices: DataFrame, bench: DataFrame, membership: DataFrame
     ok = F.col("close").isNotNull() & (F.col("n_history") >= cfg.min_history) & (F.col("_dvm") >= cfg.min_dollar_volume)
     d = d.withColumn("eligible", F.coalesce(ok, F.lit(False))).drop("_dv", "_dvm", "_b0", "_b1")
     if membership is not None:
-        member = inside_any(d.where("eligible").select("ticker", "session"), membership, "ticker", "session").withColumn("_m", F.lit(True))
+        # asked of the bars themselves, so the windows above are not planned again
+        bars = prices.where(F.col("close").isNotNull()).select("ticker", "session")
+        member = inside_any(bars, membership, "ticker", "session").withColumn("_m", F.lit(True))
         d = d.join(member, ["ticker", "session"], "left").withColumn("eligible", F.col("eligible") & F.col("_m").isNotNull()).drop("_m")
     if exclude is not None:
         d = d.join(exclude.select("ticker").distinct().withColumn("_x", F.lit(True)), "ticker", "left")

@@ -9,6 +9,7 @@ from panelspark.functions.numeric import growth, safe_div
 from panelspark.operators import asof, intervals, panel, ranks, resample
 from panelspark.queries import r6, register, rnd
 from panelspark.queries import tables as t
+from panelspark.session import cut_lineage
 
 
 # -- ranks and statistics ---------------------------------------------------------------
@@ -281,13 +282,13 @@ def fwd_sql(policy: str, horizon: int = 63) -> str:
 
 @register("forward_return_truncate", fwd_sql("truncate"))
 def forward_return_truncate(spark, sf):
-    f = panel.forward_returns(probes(spark, sf), gappy(spark, sf), 63, "truncate")
+    f = panel.forward_returns(probes(spark, sf), cut_lineage(gappy(spark, sf)), 63, "truncate")
     return f.withColumn("fwd_ret", rnd("fwd_ret"))
 
 
 @register("forward_return_none", fwd_sql("none"))
 def forward_return_none(spark, sf):
-    f = panel.forward_returns(probes(spark, sf), gappy(spark, sf), 63, "none")
+    f = panel.forward_returns(probes(spark, sf), cut_lineage(gappy(spark, sf)), 63, "none")
     return f.withColumn("fwd_ret", rnd("fwd_ret"))
 
 

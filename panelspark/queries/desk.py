@@ -11,6 +11,7 @@ from panelspark.plans import watch as wa
 from panelspark.queries import r6, register, rnd
 from panelspark.queries import tables as t
 from panelspark.queries.core import CAL
+from panelspark.session import cut_lineage
 
 AS_OF = "2000-06-30"
 KIND_SQL = """CASE WHEN contains(lower(coalesce(action, '')), 'pullback') THEN 'buy_on_pullback' WHEN starts_with(lower(coalesce(action, '')), 'buy') AND regexp_matches(lower(action), '\\b(in|after|from)\\b') THEN 'buy_later'
@@ -61,7 +62,7 @@ GRADE = f"""{t.DAILY}, {t.CALLS}, {t.bench_sql('daily')}, {CAL.format(p='daily')
 
 
 def grades(spark, sf):
-    d = t.daily(spark, sf)
+    d = cut_lineage(t.daily(spark, sf))
     return gr.grade(t.calls(spark, sf), d, t.benchmark(d), AS_OF, snapshots(spark, sf))
 
 
@@ -86,14 +87,12 @@ def grade_summary(spark, sf):
  SELECT count(*) AS n_usable, count(DISTINCT date) AS n_dates, (SELECT CAST(max(trading_days) AS BIGINT) FROM grades) AS longest, '' AS shortfalls, 'READ' AS status, {r6('corr(rx, ry)')} AS rank_ic, {r6('avg(y) FILTER (x >= 50)')} AS liked, {r6('avg(y) FILTER (x < 50)')} AS disliked,
  CASE WHEN abs(corr(rx, ry)) < 0.1 THEN 'no relationship visible so far' WHEN corr(rx, ry) > 0 THEN 'suggestive so far' ELSE 'suggestive so far, the wrong way' END AS verdict FROM k""")
 def outcome_readout(spark, sf):
-    from panelspark.session import cut_lineage
     r = gr.outcome_readout(cut_lineage(grades(spark, sf)), True)
     return r.withColumns({c: rnd(c) for c in ("rank_ic", "liked", "disliked")})
 
 
 @register("outcome_readout_refused")
 def outcome_readout_refused(spark, sf):
-    from panelspark.session import cut_lineage
     return gr.outcome_readout(cut_lineage(grades(spark, sf)), False)
 
 
@@ -105,7 +104,7 @@ HZ = f"""WITH {t.DAILY}, {t.CALLS}, {t.bench_sql('daily')}, {CAL.format(p='daily
 
 @register("horizon_grades", HZ)
 def horizon_grades(spark, sf):
-    d = t.daily(spark, sf)
+    d = cut_lineage(t.daily(spark, sf))
     h = gr.horizon_grades(t.calls(spark, sf), d, t.benchmark(d), AS_OF)
     return h.select("pos", "n", "is_horizon", F.col("on").alias("on_date"), rnd("ret").alias("ret"), rnd("excess").alias("excess"))
 

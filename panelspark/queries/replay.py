@@ -19,7 +19,7 @@ WINDOW = ("1996-01-01", "2000-12-31")
 
 
 def features(spark, sf):
-    p = t.weekly(spark, sf)
+    p = cut_lineage(t.weekly(spark, sf))
     return ev.compute_features(p, t.benchmark(p), t.membership(spark, sf), cfg=CFG)
 
 
