@@ -195,6 +195,11 @@ def sector_neutral_z(df: DataFrame, keys: list[str], sector: str, value: str, ou
     return join_on(t, z, keys + ["_scope", value], "left").drop("_sec", "_sec_n", "_scope")
 
 
+def safe_corr(x: str, y: str) -> Column:
+    """Correlation aggregate that gives null, and not an error, where a side has no variance."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def spearman(df: DataFrame, keys: list[str], x: str, y: str, min_n: int = 3) -> DataFrame:
     """``keys, rho, n``. Pairs with both present; null below ``min_n`` or without variance."""
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"))
@@ -204,7 +209,7 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str, min_n: int = 3) ->
     # the spread test is on exact ends, not on a rounded variance
     flat = (F.min("_rx") == F.max("_rx")) | (F.min("_ry") == F.max("_ry"))
     return ranked.groupBy(*keys).agg(
-        F.when((F.count(F.lit(1)) >= min_n) & ~flat, F.corr("_rx", "_ry")).alias("rho"),
+        F.when((F.count(F.lit(1)) >= min_n) & ~flat, safe_corr("_rx", "_ry")).alias("rho"),
         F.count(F.lit(1)).alias("n"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.numeric import ladder, safe_div
 from panelspark.operators.describe import describe
-from panelspark.operators.ranks import rank_columns, spearman
+from panelspark.operators.ranks import rank_columns, safe_corr, spearman
 from panelspark.operators.resample import SEED, block_bootstrap_ci
 from panelspark.session import cut_lineage
 
@@ -34,7 +34,7 @@ def ic_series(rk: DataFrame) -> DataFrame:
     """Rank correlation per date; null under 20 names, the count always there."""
     flat = (F.min("p_score") == F.max("p_score")) | (F.min("p_ret") == F.max("p_ret"))
     return rk.groupBy("date", "n_names").agg(
-        F.when((F.col("n_names") >= MIN_NAMES) & ~flat, F.corr("p_score", "p_ret")).alias("ic")).withColumnRenamed("n_names", "n")
+        F.when((F.col("n_names") >= MIN_NAMES) & ~flat, safe_corr("p_score", "p_ret")).alias("ic")).withColumnRenamed("n_names", "n")
 
 
 def missing_census(rb: DataFrame) -> DataFrame:
