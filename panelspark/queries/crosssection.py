@@ -90,7 +90,6 @@ SCREEN = f"""{t.COMPANIES}, {METRICS}, qj AS (SELECT c.*, m.* EXCLUDE (ticker),
  q2 AS (SELECT * REPLACE (CASE WHEN p1 IS NOT NULL THEN least(greatest(p1, 0), 100) END AS p1) FROM q1),
  q3 AS (SELECT *, round_even((coalesce(p1, 0) * 25 + coalesce(p2, 0) * 20 + coalesce(p3, 0) * 15 + p4 * 15.0::DOUBLE + p5 * 10.0::DOUBLE + p6 * 15) / 100, 1) AS quality_score FROM q2),
  scored AS (SELECT *, row_number() OVER (ORDER BY quality_score DESC, ticker) AS rank FROM q3)"""
-# the reference order of the sum is roic, fcf, growth, balance, shares, stability; so is the SQL above
 
 
 def screened(spark, sf):
