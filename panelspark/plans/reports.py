@@ -165,8 +165,13 @@ def running_lows(positions: DataFrame, prices: DataFrame) -> DataFrame:
 def portfolio_series(holdings: DataFrame, prices: DataFrame, cash: DataFrame, bench: DataFrame, usdcad: float, start_cash: float = 100_000.0) -> DataFrame:
     """Holdings at each session's price from the purchase on, cash as of the session, and the indexed benchmark."""
     fx = F.when(F.col("currency") == "CAD", F.lit(1.0 / usdcad)).otherwise(1.0)
-    v = holdings.join(prices.where(F.col("close").isNotNull()), "ticker").where(F.col("session") >= F.col("bought"))
-    v = v.groupBy("session").agg(F.sum(F.col("close") * F.col("shares") * fx).alias("holdings_usd"))
+    # units held of a name change on few days: positions are summed per day, then run up, and each
+    # price row takes the count of its day, so positions are never paired with sessions
+    per_day = holdings.groupBy("ticker", "bought").agg(F.sum(F.col("shares") * fx).alias("_u"))
+    w = Window.partitionBy("ticker").orderBy("bought").rowsBetween(Window.unboundedPreceding, 0)     # one row per day
+    units = per_day.select("ticker", "bought", F.sum("_u").over(w).alias("units"))
+    v = asof_backward(prices.where(F.col("close").isNotNull()).select("ticker", "session", "close"), units, ["ticker"], "session", "bought", ["units"])
+    v = v.where(F.col("units").isNotNull()).groupBy("session").agg(F.sum(F.col("close") * F.col("units")).alias("holdings_usd"))
     days = bench.select("session", "bench", F.lit(1).alias("_all"))
     d = asof_backward(days, cash.select(F.lit(1).alias("_all"), "session", "balance"), ["_all"], "session", "session", ["balance"])
     base = bench.agg(F.min_by("bench", "session")).scalar()
