@@ -30,11 +30,14 @@ def build_session(master: str = "local[*]", app: str = "panelspark", **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (a test on one machine) is a local folder made.
+    Only where the setting is absent and the master is local (a test on one machine) is a
+    local folder made; a cluster without the setting is refused.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
     made = tempfile.mkdtemp(prefix="panelspark-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
