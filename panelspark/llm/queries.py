@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import repetition, simhash
+from . import pii, repetition, simhash, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,3 +31,14 @@ def op1(spark, sf_dir):
 @register("op2_simhash_near_dedup")
 def op2(spark, sf_dir):
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
+
+
+@register("op9_toxicity")
+def op9(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op10_pii_disclosure")
+def op10(spark, sf_dir):
+    rows, _ = pii.sanitise(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
