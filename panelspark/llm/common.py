@@ -14,8 +14,10 @@ from panelspark.session import cut_lineage
 
 # a task handles the texts of an Arrow batch in pieces of about so many bytes
 CHUNK_BYTES = 2 << 20
+# of a bitmap that spares work in a scan, whatever the size of the input
+BITS = 1 << 22
 ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(),
-         "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64()), "array<string>": pa.list_(pa.string())}
+         "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64()), "array<string>": pa.list_(pa.string()), "array<binary>": pa.list_(pa.binary())}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +70,23 @@ def map_texts(df: DataFrame, text_col: str, fn: Callable[[pa.RecordBatch, list[b
     return df.mapInArrow(run, schema)
 
 
+def bitmap(df: DataFrame, hash_col: str) -> np.ndarray:
+    """A fixed number of bits, set at the low bits of each hash."""
+    pos = F.pmod(F.col(hash_col), F.lit(BITS)) + 1
+    got = df.groupBy(F.bitmap_bucket_number(pos).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(pos)).alias("bits")).collect()
+    out = np.zeros(BITS, bool)
+    for r in got:
+        part = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little").astype(bool)
+        a = (r["bucket"] - 1) * 32768
+        out[a:a + 32768] = part[:min(32768, BITS - a)]
+    return np.packbits(out)
+
+
+def set_in(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    pos = h.astype(np.int64) & (BITS - 1)
+    return (bits[pos >> 3] >> (7 - (pos & 7)).astype(np.uint8)) & 1 == 1
+
+
 def sorted_groups(batches, keys: list[str], limit: int | None = None) -> Iterator[pa.Table]:
     """Tables of whole groups from batches sorted by ``keys``; only the last, still open group is carried over."""
     carry: pa.Table | None = None

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from panelspark.session import cut_lineage
 
-from .common import map_texts
+from .common import bitmap, map_texts, set_in
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -45,7 +45,6 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 WORD = re.compile(r"\w+")
-BITS = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -122,23 +121,6 @@ def contexts(s: str, spans, window: int):
         yield entity_key(kind, s[a:b]), as_long(" ".join(near)), {w for w in near if not w.isdigit()}
 
 
-def bitmap(df: DataFrame, hash_col: str) -> np.ndarray:
-    """A fixed number of bits, set at the low bits of each hash."""
-    pos = F.pmod(F.col(hash_col), F.lit(BITS)) + 1
-    got = df.groupBy(F.bitmap_bucket_number(pos).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(pos)).alias("bits")).collect()
-    out = np.zeros(BITS, bool)
-    for r in got:
-        part = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little").astype(bool)
-        a = (r["bucket"] - 1) * 32768
-        out[a:a + 32768] = part[:min(32768, BITS - a)]
-    return np.packbits(out)
-
-
-def set_in(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    pos = h.astype(np.int64) & (BITS - 1)
-    return (bits[pos >> 3] >> (7 - (pos & 7)).astype(np.uint8)) & 1 == 1
-
-
 def find_base(docs: DataFrame, rule: DisclosureRule) -> DataFrame:
     """Base result of every row, with its entities' contexts as parallel arrays."""
     def run(part, texts):
