@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, pii, repetition, simhash, toxicity
+from . import decontam, linededup, pii, repetition, simhash, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,8 @@ def op10(spark, sf_dir):
 def op7(spark, sf_dir):
     rows, _ = linededup.dedup_lines(table(spark, sf_dir, "documents"))
     return rows
+
+
+@register("op6_decontamination")
+def op6(spark, sf_dir):
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
