@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linededup, pii, repetition, simhash, toxicity
+from . import decontam, linededup, pii, repetition, sharding, simhash, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,8 @@ def op7(spark, sf_dir):
 @register("op6_decontamination")
 def op6(spark, sf_dir):
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op8_label_propagation_shards")
+def op8(spark, sf_dir):
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
