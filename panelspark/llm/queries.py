@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linededup, pii, repetition, sharding, simhash, toxicity
+from . import decontam, licenses, linededup, pii, repetition, sharding, simhash, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,8 @@ def op6(spark, sf_dir):
 @register("op8_label_propagation_shards")
 def op8(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+@register("op5_license_scan")
+def op5(spark, sf_dir):
+    return licenses.scan_licenses(licenses.as_files(table(spark, sf_dir, "documents")))
