@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, linededup, pii, repetition, sharding, simhash, toxicity
+from . import chat, decontam, licenses, linededup, pii, repetition, sharding, simhash, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,24 @@ def op8(spark, sf_dir):
 @register("op5_license_scan")
 def op5(spark, sf_dir):
     return licenses.scan_licenses(licenses.as_files(table(spark, sf_dir, "documents")))
+
+
+@register("op3_chat_format", """
+    WITH turns AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+    escaped AS (
+        SELECT *, replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)),
+            '<|im_start|>', '<' || chr(92) || '|im_start|>'), '<|im_end|>', '<' || chr(92) || '|im_end|>'), '<s>', '<' || chr(92) || 's>'), '</s>', '<' || chr(92) || '/s>'),
+            '[INST]', '[' || chr(92) || 'INST]'), '[/INST]', '[' || chr(92) || '/INST]'), '<<SYS>>', '<' || chr(92) || '<SYS>>'), '<</SYS>>', '<' || chr(92) || '</SYS>>'), '<|endoftext|>', '<' || chr(92) || '|endoftext|>') AS body
+        FROM turns)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+           CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+           CAST(7 + sum(length('<|im_start|>') + length(role) + 1 + length(body) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
+    FROM escaped GROUP BY conv_id""")
+def op3(spark, sf_dir):
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.chat_digests(chat.format_chats(turns))
