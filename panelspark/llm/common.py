@@ -70,6 +70,20 @@ def map_texts(df: DataFrame, text_col: str, fn: Callable[[pa.RecordBatch, list[b
     return df.mapInArrow(run, schema)
 
 
+def keep_rows(docs: DataFrame, keep: Callable[[list[bytes | None]], np.ndarray], text_col: str = "text") -> DataFrame:
+    """The rows whose text passes, with all their columns, in one pass without a shuffle."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            # by position: other columns may repeat a name
+            slim = pa.RecordBatch.from_arrays([batch.column(at), pa.array(np.arange(batch.num_rows))], names=["text", "row"])
+            for part, texts in text_pieces(slim, "text"):
+                yield batch.take(part.column(1).filter(pa.array(np.asarray(keep(texts), bool))))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def bitmap(df: DataFrame, hash_col: str) -> np.ndarray:
     """A fixed number of bits, set at the low bits of each hash."""
     pos = F.pmod(F.col(hash_col), F.lit(BITS)) + 1

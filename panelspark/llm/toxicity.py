@@ -3,17 +3,18 @@
 A sparse linear model over words and word beginnings is fitted on labelled documents. For every
 labelled sentence that names an identity group, the term is swapped for the others of its set and
 the squared change of the score is added to the loss, so a neutral mention of a group moves the
-score as little as its counterparts do. The fit is a few hundred gradient steps of NumPy on a
-sample of at most ``max_rows`` labelled rows (a documented bound, drawn by a hash of the id); what
-words mean is counted over all labelled rows, and every row is scored.
+score as little as its counterparts do. The vocabulary and the weights are learned on a sample of
+at most ``MAX_ROWS`` labelled rows, half of each class where there are enough, drawn by a hash of
+the id (a documented bound, which makes the sampled ids small enough to broadcast); the fit is a few
+hundred gradient steps of NumPy. Every row is scored.
 
 A document is a set of hashed features: a feature counts once per text, so length does not dilute
-it. The vocabulary is the ``max_features`` features with the largest chi-square over all labelled
-training rows.
+it. The vocabulary is the ``max_features`` features with the largest chi-square over the sample.
 
 Edge cases: null and empty texts have no feature and get the score of the intercept; rows without a
 label, null labels and null ids are only scored; a label repeated for one id counts as often as it
-is given; with no label, or labels of one class, every score is the smoothed rate of label 1. An
+is given; with no label, or labels of one class, every score is the
+smoothed rate of label 1 (a quarter without any label). An
 empty table gives an empty result; other columns are not read.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from panelspark.session import cut_lineage
 
-from .common import map_texts
+from .common import keep_rows, map_texts
 
 # Terms that name groups; the members of one set stand in for each other.
 IDENTITY_SETS = [
@@ -43,6 +44,9 @@ IDENTITY_SETS = [
 ]
 
 
+MAX_ROWS = 8000
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
     """Weights by feature, and the parameters that shape a feature."""
@@ -119,10 +123,25 @@ def fit(rows: list[list[int]], labels: np.ndarray, pairs: list[tuple[list[int],
     return w, float(b)
 
 
-def learn_toxicity(labelled: DataFrame, max_rows: int = 6000, max_features: int = 4000, min_docs: int = 4, prefixes: tuple[int, ...] = (4, 6),
+def sampled(docs: DataFrame, classed: DataFrame, quotas: dict[int, int]) -> DataFrame:
+    """``(doc_id, text, y)`` of the documents of at most ``quotas[y]`` rows of ``classed(of, y)`` per class.
+
+    The ids are drawn by a hash and bounded by the quotas, so they are broadcast and no text moves.
+    """
+    sizes = {r[0]: r[1] for r in classed.groupBy("y").count().collect()}
+    ids = classed.limit(0)
+    for y, most in quotas.items():
+        # the hash bound leaves little more than the wanted rows to the sort
+        share = min(1.0, 1.3 * most / max(sizes.get(y, 0), 1))
+        ids = ids.union(classed.where((F.col("y") == y) & (F.pmod(F.xxhash64("of"), F.lit(1 << 20)) <= (1 << 20) * share)).orderBy(F.xxhash64("of"), "of").limit(most))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return cut_lineage(d.join(F.broadcast(ids), d.doc_id == F.col("of")).select("doc_id", "text", "y"))
+
+
+def learn_toxicity(labelled: DataFrame, max_rows: int = MAX_ROWS, max_features: int = 4000, min_docs: int = 4, prefixes: tuple[int, ...] = (4, 6),
                    l2: float = 2e-4, counterfactual: float = 1.0, steps: int = 300) -> ToxicityModel:
-    """Fit on ``labelled(doc_id, text, toxic)``; at most ``max_rows`` rows, half of each class where there are enough, reach the driver."""
-    rows = labelled.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.col("toxic").cast("int").alias("toxic"))
+    """Fit on the rows of a sample ``labelled(doc_id, text, y)``; at most ``max_rows`` of them reach the driver."""
+    rows = labelled.select("doc_id", "text", "y")
 
     def count(part, texts):
         seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
@@ -131,8 +150,8 @@ def learn_toxicity(labelled: DataFrame, max_rows: int = 6000, max_features: int
         keys = list(seen[0].keys() | seen[1].keys())
         return {"feature": pa.array(keys, pa.binary()), "n0": [seen[0][k] for k in keys], "n1": [seen[1][k] for k in keys]}
 
-    n1, n0 = (int(x or 0) for x in rows.agg(F.sum((F.col("toxic") == 1).cast("long")), F.sum((F.col("toxic") != 1).cast("long"))).first())
-    rate = (n1 + 0.5) / (n1 + n0 + 1.0)
+    n1, n0 = (int(x or 0) for x in rows.agg(F.sum((F.col("y") == 1).cast("long")), F.sum((F.col("y") != 1).cast("long"))).first())
+    rate = (n1 + 0.5) / (n1 + n0 + 2.0)
     if not n1 or not n0:
         return ToxicityModel({}, float(np.log(rate / (1 - rate))), prefixes)
     freq = map_texts(rows, "text", count, "feature binary, n0 bigint, n1 bigint").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= min_docs)
@@ -142,17 +161,12 @@ def learn_toxicity(labelled: DataFrame, max_rows: int = 6000, max_features: int
     top = freq.select("feature", chi.alias("chi")).orderBy(F.desc("chi"), "feature").limit(max_features).collect()
     vocab = {bytes(r[0]): i for i, r in enumerate(top)}
     terms = {t.encode() for g in IDENTITY_SETS for t in g}
-    half = max_rows // 2
-    # the hash bound leaves little more than the wanted rows to the sort
-    picked = [rows.where(c).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) <= (1 << 20) * min(1.0, 1.3 * half / n_c)).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(half)
-              for c, n_c in (("toxic = 1", n1), ("toxic <> 1", n0))]
-
     def code(part, texts):
         w = [text_words(t) for t in texts]
-        return {"toxic": [int(y == 1) for y in part.column(2).to_pylist()], "f": [sorted(vocab[x] for x in word_features(s, prefixes) if x in vocab) for s in w],
+        return {"h": part.column(0), "y": [int(y == 1) for y in part.column(2).to_pylist()], "f": [sorted(vocab[x] for x in word_features(s, prefixes) if x in vocab) for s in w],
                 "terms": [sorted(t.decode() for t in s & terms) for s in w]}
 
-    got = map_texts(picked[0].union(picked[1]), "text", code, "toxic int, f array<int>, terms array<string>").toArrow()
+    got = map_texts(rows, "text", code, "h bigint, y int, f array<int>, terms array<string>").orderBy(F.xxhash64("h"), F.xxhash64("f"), "y").limit(max_rows).toArrow()
     pairs = []
     for named in got.column("terms").to_pylist():
         for old, new in swaps({t.encode() for t in named}):
@@ -160,7 +174,7 @@ def learn_toxicity(labelled: DataFrame, max_rows: int = 6000, max_features: int
             x, y = [vocab[i] for i in f_old - f_new if i in vocab], [vocab[i] for i in f_new - f_old if i in vocab]
             if x or y:
                 pairs.append((x, y))
-    w, b = fit(got.column("f").to_pylist(), np.array(got.column("toxic").to_pylist()), pairs, len(vocab), l2, counterfactual, steps)
+    w, b = fit(got.column("f").to_pylist(), np.array(got.column("y").to_pylist()), pairs, len(vocab), l2, counterfactual, steps)
     # classes were weighted alike, so one half is the border at the balanced rate
     return ToxicityModel({k: float(w[i]) for k, i in vocab.items() if w[i]}, b, prefixes)
 
@@ -194,14 +208,19 @@ def held_out(doc_id: str | Column) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled documents outside the held-out fifth, written once because several passes read them."""
-    lab = labels.where(~held_out("doc_id")).select(F.col("doc_id").cast("long").alias("of"), F.col("toxic"))
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return cut_lineage(d.join(lab, d.doc_id == lab.of).select("doc_id", "text", "toxic"))
+def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """A sample of labelled documents outside the held-out fifth."""
+    lab = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out("doc_id"))
+    return sampled(docs, lab.select(F.col("doc_id").cast("long").alias("of"), (F.col("toxic") == 1).cast("int").alias("y")), {1: max_rows // 2, 0: max_rows // 2})
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
     """Learn from the labelled rows outside the held-out fifth and score every document."""
     model = learn_toxicity(training_rows(docs, labels), **params)
     return toxicity_scores(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
+    """The documents whose score stays below one half, with all their columns."""
+    model = learn_toxicity(training_rows(docs, labels))
+    return keep_rows(docs, lambda texts: score_texts(texts, model) < 0.5, text_col)
