@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 The n-grams of the test items are counted over all documents. A rare n-gram of an item, one in at
-most ``rare_share`` of the documents or among the rarer half of the item's own, is a seed; so an
-item that a third of the corpus has copied keeps seeds. Every occurrence of a seed places the item
+most ``rare_docs`` or ``rare_share`` of the documents or among the rarer half of the item's own, is
+a seed; so an item that a third of the corpus has copied keeps seeds. Every occurrence of a seed places the item
 on a stretch of the passage, and Smith-Waterman alignment of words (match 2, mismatch and gap -1)
 scores the stretch, so edited and paraphrased copies count as well as exact ones.
 
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import keep_rows, map_texts
 
 ITEM_BYTES = 16 << 20
 BEYOND_ASCII = re.compile(rb"\xe2\x80[\x80-\xbf]|\xc2[\x80-\xbf]|\xe3\x80[\x80-\x91]")
@@ -44,6 +44,7 @@ ALIGN_CELLS = 1 << 20
 class DecontamRule:
     seed_words: int = 3
     rare_share: float = 0.001
+    rare_docs: int = 50
     share: float = 0.5
     passage: int = 30
 
@@ -84,6 +85,13 @@ class Items:
         self.grams, self.which = np.unique(flat, return_inverse=True)
         self._index(np.ones(len(flat), bool))
 
+    @classmethod
+    def of(cls, state: dict) -> Items:
+        """The same block from its plain fields, as they are broadcast."""
+        it = cls.__new__(cls)
+        it.__dict__.update(state)
+        return it
+
     def keys(self, ids: np.ndarray) -> np.ndarray:
         """One key per n-gram; -1 where a word is unknown."""
         m = len(ids) - self.n + 1
@@ -108,9 +116,10 @@ class Items:
         self.place_item, self.place_offset = self.item[order], self.offset[order]
         self.first = np.searchsorted(self.which[order], np.arange(len(self.grams) + 1))
 
-    def choose_seeds(self, counts: dict[int, int], n_docs: int, rare_share: float) -> None:
+    def choose_seeds(self, counts: dict[int, int], most: float) -> None:
+        """Seeds are n-grams in at most ``most`` documents, and the rarer half of each item's."""
         df = np.array([counts.get(i, 0) for i in range(len(self.grams))], np.int64)[self.which]
-        seed = df <= rare_share * n_docs
+        seed = df <= most
         for i in range(len(self.words)):
             own = np.flatnonzero(self.item == i)
             rarest = own[np.argsort(df[own], kind="stable")]
@@ -198,13 +207,27 @@ def score(it: Items, ids: np.ndarray, owner: np.ndarray, text, item, start, widt
     return best, end
 
 
+def found(it: Items, texts: list[bytes | None], rule: DecontamRule):
+    """``(text, item, score, best possible, last word)``: the best alignment of each text and item that reaches the bound."""
+    ids, owner, pos, gram = it.find(texts)
+    text, item, start, width = candidates(it, owner, pos, gram)
+    s, end = score(it, ids, owner, text, item, start, width)
+    full = 2 * np.array([len(w) for w in it.words], np.int64)[item] if len(item) else np.zeros(0, np.int64)
+    good = np.flatnonzero(s >= np.minimum(rule.share * full, rule.passage))
+    good = good[np.lexsort((end[good], -s[good], item[good], text[good]))]
+    pair = text[good] * max(len(it.ids), 1) + item[good]
+    good = good[np.concatenate(([True], pair[1:] != pair[:-1]))] if len(good) else good
+    return text[good], item[good], s[good], full[good], end[good] - np.searchsorted(owner, text[good])
+
+
 def gram_counts(docs: DataFrame, it: Items) -> dict[int, int]:
     """In how many documents each n-gram of the block occurs; as many rows as the block has n-grams at most."""
-    shared = docs.sparkSession.sparkContext.broadcast(it)
+    shared = docs.sparkSession.sparkContext.broadcast(it.__dict__)
 
     def run(part, texts):
-        _, owner, pos, gram = shared.value.find(texts)
-        n = len(shared.value.grams)
+        it = Items.of(shared.value)
+        _, owner, pos, gram = it.find(texts)
+        n = len(it.grams)
         pair = np.unique(owner[pos] * max(n, 1) + gram)
         count = Counter((pair % max(n, 1)).tolist())
         return {"gram": list(count.keys()), "n": list(count.values())}
@@ -212,34 +235,42 @@ def gram_counts(docs: DataFrame, it: Items) -> dict[int, int]:
     return {r[0]: r[1] for r in map_texts(docs.select("text"), "text", run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n")).collect()}
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, rule: DecontamRule = DecontamRule(), id_col: str = "doc_id", text_col: str = "text", item_bytes: int = ITEM_BYTES) -> DataFrame:
-    """``(doc_id, item_id, score, share, end_word)``: the best alignment of each document and item that reaches the bound."""
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def item_blocks(docs: DataFrame, benchmark: DataFrame, rule: DecontamRule, item_bytes: int):
+    """Broadcasts of the items, block by block, seeds chosen by their counts over ``docs(text)``."""
     b = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text"))
     size = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // item_bytes))
-    spark = docs.sparkSession
-    n_docs = d.count()
-    out = None
+    n_docs = docs.count()
     for k in range(blocks):
         rows = b.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
         it = Items([r[0] for r in rows], [r[1] for r in rows], rule.seed_words)
-        it.choose_seeds(gram_counts(d, it), n_docs, rule.rare_share)
-        shared = spark.sparkContext.broadcast(it)
+        it.choose_seeds(gram_counts(docs, it), max(rule.rare_docs, rule.rare_share * n_docs))
+        yield docs.sparkSession.sparkContext.broadcast(it.__dict__)
+
 
+def leaks(docs: DataFrame, benchmark: DataFrame, rule: DecontamRule = DecontamRule(), id_col: str = "doc_id", text_col: str = "text", item_bytes: int = ITEM_BYTES) -> DataFrame:
+    """``(doc_id, item_id, score, share, end_word)``: the best alignment of each document and item that reaches the bound."""
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    out = None
+    for shared in item_blocks(d, benchmark, rule, item_bytes):
         def run(part, texts, shared=shared):
-            it = shared.value
-            ids, owner, pos, gram = it.find(texts)
-            text, item, start, width = candidates(it, owner, pos, gram)
-            s, end = score(it, ids, owner, text, item, start, width)
-            full = 2 * np.array([len(w) for w in it.words], np.int64)[item] if len(item) else np.zeros(0, np.int64)
-            good = np.flatnonzero(s >= np.minimum(rule.share * full, rule.passage))
-            good = good[np.lexsort((end[good], -s[good], item[good], text[good]))]
-            pair = text[good] * max(len(it.ids), 1) + item[good]
-            good = good[np.concatenate(([True], pair[1:] != pair[:-1]))] if len(good) else good
-            first = np.searchsorted(owner, text[good])
-            return {"doc_id": part.column(0).take(pa.array(text[good])), "item_id": it.ids[item[good]], "score": s[good], "share": s[good] / full[good], "end_word": end[good] - first}
+            it = Items.of(shared.value)
+            text, item, s, full, end = found(it, texts, rule)
+            return {"doc_id": part.column(0).take(pa.array(text)), "item_id": it.ids[item], "score": s, "share": s / full, "end_word": end}
 
         got = map_texts(d, "text", run, "doc_id bigint, item_id bigint, score bigint, share double, end_word bigint")
         out = got if out is None else out.union(got)
     return out
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, rule: DecontamRule = DecontamRule(), text_col: str = "text", item_bytes: int = ITEM_BYTES) -> DataFrame:
+    """The documents that no test item contaminates, with all their columns."""
+    out = docs
+    for shared in item_blocks(docs.select(F.col(text_col).alias("text")), benchmark, rule, item_bytes):
+        def clean(texts, shared=shared):
+            mask = np.ones(len(texts), bool)
+            mask[found(Items.of(shared.value), texts, rule)[0]] = False
+            return mask
+
+        out = keep_rows(out, clean, text_col)
+    return out

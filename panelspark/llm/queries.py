@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, licenses, linededup, pii, repetition, sharding, simhash, toxicity
+from . import chat, decontam, licenses, linededup, mixing, pii, repetition, sharding, simhash, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,9 @@ def op3(spark, sf_dir):
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return chat.chat_digests(chat.format_chats(turns))
+
+
+@register("op4_soft_mixing")
+def op4(spark, sf_dir):
+    rows, _, _, _ = mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", F.col("tokens").alias("n_tokens"), *[F.round(F.col("p")[i], 9).alias(f"p_{d}") for i, d in enumerate(mixing.DOMAINS)], F.round("rate", 9).alias("rate"))

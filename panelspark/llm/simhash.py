@@ -197,3 +197,15 @@ def simhash_groups(docs: DataFrame, k: int = 4, radius: int = 4, shard_rows: int
     moved = named.select("fp", "root").join(least, "root").select(F.col("fp").alias("of"), "component_id")
     by_fp = fps.join(moved, fps.fp == moved.of, "left").select(F.col("fp").alias("of"), F.coalesce("component_id", "low").alias("component_id"))
     return rows.join(by_fp, rows.fp == by_fp.of).select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, **params) -> DataFrame:
+    """One document of each group, the one with the smallest id, with all its columns.
+
+    Rows that repeat an id are one document, of which one row stays; rows without an id cannot be
+    told apart and stay.
+    """
+    groups = simhash_groups(docs, **params)
+    stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
+    named = docs.where("doc_id IS NOT NULL")
+    return named.join(stay, named.doc_id == stay["_stay"], "left_semi").dropDuplicates(["doc_id"]).union(docs.where("doc_id IS NULL"))
