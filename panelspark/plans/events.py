@@ -16,8 +16,7 @@ from panelspark.functions.numeric import all_of, growth, ladder
 from panelspark.operators import panel as pn
 from panelspark.operators.describe import describe
 from panelspark.operators.intervals import inside_any
-from panelspark.operators.ranks import join_on, value_ranks
-from panelspark.operators.resample import SEED, block_bootstrap_ci
+from panelspark.operators.resample import PRIME, SEED, block_bootstrap_ci, draw
 from panelspark.plans.backtest import excess_verdict
 from panelspark.session import cut_lineage
 
@@ -212,45 +211,37 @@ def classify_signals(sig: DataFrame, last_idx: Column, start: str | None = None,
     return z.select("arm", "horizon", "ticker", "_z._l.s_idx", "_z._l.session", "_z._l.close", "_z._l.stop", F.col("_z._o").alias("status"))
 
 
-def walk(events: DataFrame, prices: DataFrame, cost: float = ONE_WAY_COST) -> DataFrame:
+def walk(events: DataFrame, prices: DataFrame, max_horizon: int, cost: float = ONE_WAY_COST) -> DataFrame:
     """J21 + W22 + J26: the trade of every event.
 
-    ``events``: ``arm, rep, horizon, ticker, s_idx, stop``; ``prices``: ``ticker, s_idx, session, close, bench``
-    on the dense index. An event meets its sessions by an equi-join on (ticker, s_idx);
-    the exit rule is a closed form over the at most ``horizon`` rows of an event.
+    ``events``: ``arm, rep, horizon, ticker, s_idx, stop``, a cell as often as it was drawn;
+    ``prices``: ``ticker, s_idx, session, close, bench``, every index of a ticker's life. A cell carries its
+    next ``max_horizon`` rows, made once per cell by a window; an event meets its cell by one equi-join, and
+    the exit rule is a closed form over that short array.
     """
-    key = ["arm", "rep", "horizon", "ticker", "i", "stop"]
-    ev = events.withColumnRenamed("s_idx", "i").select(*key)
-    path = ev.select("*", F.explode(F.sequence(F.lit(0), F.col("horizon"))).alias("k")).withColumn("s_idx", F.col("i") + F.col("k"))
-    path = path.join(prices.select("ticker", "s_idx", "session", "close", "bench"), ["ticker", "s_idx"], "left")
-    w = Window.partitionBy(*key)
-    path = path.withColumn("entry", F.max(F.when(F.col("k") == 1, F.col("close"))).over(w))
-    upto = w.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    live = F.col("k") >= 1
-    up = F.max(F.when(live & (F.col("close") >= F.col("entry") + (F.col("entry") - F.col("stop"))), 1).otherwise(0)).over(upto) == 1
-    path = path.withColumn("_stop_k", F.when(up, F.greatest("stop", "entry")).otherwise(F.col("stop")))
-    path = path.withColumns({
-        "_kh": F.min(F.when(live & (F.col("close") < F.col("_stop_k")), F.col("k"))).over(w),
-        "_kg": F.min(F.when(live & F.col("close").isNull(), F.col("k"))).over(w)})
-    gone = F.col("_kg").isNotNull() & (F.col("_kh").isNull() | (F.col("_kg") < F.col("_kh")))
-    kx = F.when(gone, F.col("_kg") - 1).when(F.col("_kh").isNotNull(), F.least(F.col("_kh") + 1, F.col("horizon"))).otherwise(F.col("horizon"))
-    decide = F.when(gone, F.col("_kg") - 1).otherwise(F.coalesce("_kh", "horizon"))
-    path = path.withColumns({"_gone": gone, "_kx": kx, "_kd": decide})
-    in_reach = live & (F.col("k") <= F.col("_kx")) & F.col("close").isNotNull()
-    t = path.groupBy(*key).agg(
-        F.max("entry").alias("entry"), F.max("_gone").alias("_gone"), F.max("_kh").alias("_kh"), F.max("_kx").alias("_kx"),
-        F.max(F.when(in_reach, F.col("k"))).alias("_ke"), F.max_by("close", F.when(in_reach, F.col("k"))).alias("exit"),
-        F.max_by("session", F.when(in_reach, F.col("k"))).alias("exit_date"), F.max_by("bench", F.when(in_reach, F.col("k"))).alias("_b1"),
-        F.max(F.when(F.col("k") == 1, F.col("bench"))).alias("_b0"), F.max(F.when(F.col("k") == 1, F.col("session"))).alias("fill_date"),
-        F.max(F.when(F.col("k") == 0, F.col("session"))).alias("signal_date"),
-        F.max(F.when(F.col("k") == 0, F.col("close"))).alias("_c0"), F.max(F.when(F.col("k") == F.col("horizon"), F.col("close"))).alias("_ch"),
-        F.max(F.when(F.col("k") == F.col("_kd"), F.col("_stop_k"))).alias("stop_final"))
+    ahead = Window.partitionBy("ticker").orderBy("s_idx").rowsBetween(0, max_horizon)
+    cells = prices.select("ticker", "s_idx", F.collect_list(F.struct("close", "bench", "session")).over(ahead).alias("p"))
+    ev = events.select("arm", "rep", "horizon", F.col("ticker").alias("_t"), F.col("s_idx").alias("_i"), "stop")
+    t = ev.join(cells, (F.col("_t") == cells.ticker) & (F.col("_i") == cells.s_idx))
+    t = t.withColumns({"ks": F.sequence(F.lit(1), F.col("horizon")), "entry": F.expr("get(p, 1).close")})
+    t = t.withColumn("ku", F.expr("get(filter(ks, k -> get(p, k).close >= entry + (entry - stop)), 0)"))
+    t = t.withColumns({
+        "_kh": F.expr("get(filter(ks, k -> get(p, k).close < CASE WHEN k >= ku THEN greatest(stop, entry) ELSE stop END), 0)"),
+        "_kg": F.expr("get(filter(ks, k -> get(p, k).close IS NULL), 0)")})
+    t = t.withColumn("_gone", F.coalesce(F.col("_kg") < F.coalesce("_kh", F.col("_kg") + 1), F.lit(False)))
+    t = t.withColumns({"_kx": F.when(F.col("_gone"), F.col("_kg") - 1).when(F.col("_kh").isNotNull(), F.least(F.col("_kh") + 1, F.col("horizon"))).otherwise(F.col("horizon")),
+                       "_kd": F.when(F.col("_gone"), F.col("_kg") - 1).otherwise(F.coalesce("_kh", "horizon"))})
+    t = t.withColumn("_ke", F.expr("array_max(filter(ks, k -> k <= _kx AND get(p, k).close IS NOT NULL))"))
+    t = t.withColumns({
+        "exit": F.expr("get(p, _ke).close"), "exit_date": F.expr("get(p, _ke).session"), "_b1": F.expr("get(p, _ke).bench"), "_b0": F.expr("get(p, 1).bench"),
+        "fill_date": F.expr("get(p, 1).session"), "signal_date": F.expr("get(p, 0).session"), "_c0": F.expr("get(p, 0).close"), "_ch": F.expr("get(p, horizon).close"),
+        "stop_final": F.expr("CASE WHEN _kd >= ku THEN greatest(stop, entry) ELSE stop END")})
     t = t.where(F.col("entry").isNotNull() & F.col("exit").isNotNull() & (F.col("entry") > 0))
     early = F.col("_gone") | (F.col("_ke") < F.col("_kx"))
     net = (F.col("exit") * (1.0 - cost)) / (F.col("entry") * (1.0 + cost)) - 1.0
     spy = F.when(F.col("_b0") > 0, F.col("_b1") / F.col("_b0") - 1.0)
     return t.select(
-        "arm", "rep", "horizon", "ticker", "signal_date", "fill_date", "exit_date",
+        "arm", "rep", "horizon", F.col("_t").alias("ticker"), "signal_date", "fill_date", "exit_date",
         F.when(early, "panel_end").when(F.col("_kh").isNotNull(), "stop").otherwise("horizon").alias("exit_reason"),
         "entry", F.col("stop").alias("stop_initial"), "stop_final", "exit", (F.col("_ke") - 1).alias("sessions_held"),
         (F.col("exit") / F.col("entry") - 1.0).alias("ret_gross"), net.alias("ret_net"),
@@ -258,12 +249,12 @@ def walk(events: DataFrame, prices: DataFrame, cost: float = ONE_WAY_COST) -> Da
         spy.alias("bench_same_window"), (net - spy).alias("excess"))
 
 
-def event_study(features: DataFrame, sig: DataFrame, start: str | None = None, end: str | None = None) -> tuple[DataFrame, DataFrame]:
+def event_study(features: DataFrame, sig: DataFrame, max_horizon: int, start: str | None = None, end: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(every signal with its status, the trades of the accepted ones)."""
     last = features.agg(F.max("s_idx")).scalar()
     status = classify_signals(sig, last, start, end)
     ev = status.where("status = 'event'").withColumn("rep", F.lit(-1))
-    return status, walk(ev, features)
+    return status, walk(ev, features, max_horizon)
 
 
 # -- statistics -----------------------------------------------------------------------------------------
@@ -324,31 +315,56 @@ def paired_differences(buckets: DataFrame, pairs: list[tuple[str, str]], reps: i
 
 # -- the control -------------------------------------------------------------------------------------------
 
-def control_events(features: DataFrame, like: DataFrame, replicates: int = CONTROL_REPLICATES, seed: int = SEED,
-                   start: str | None = None, end: str | None = None) -> DataFrame:
-    """Per arm and replicate, ``n`` eligible cells drawn uniformly without replacement.
+def mix_sql(right: str, key: str, turn: int) -> str:
+    """What a round of the permutation adds, as SQL text: whole numbers below 2^63, alike in any engine and any retry."""
+    x = f"(({right} * 69621 + {key} * 48271 + {16807 * turn + SEED}) % {PRIME})"
+    x = f"(({x} * {x} + 12345) % {PRIME})"
+    return f"(({x} * {x} + {right}) % {PRIME})"
 
-    ``like``: ``arm, horizon, n, risk``, one row per arm. A draw is a hash of (cell, arm,
-    replicate), so a retried task draws the same. A cell survives the map side only if
-    its draw is below twice the expected cut; the exact cut is the n-th draw.
+
+def numbered_cells(features: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Eligible cells of the window with their ordinal by (session, ticker): counts per session, then a rank inside one.
+
+    The cells that leave room for a horizon are a prefix of this order.
     """
-    last = features.agg(F.max("s_idx")).scalar()
-    cells = features.where("eligible").select("ticker", "s_idx", "session", "close")
+    cells = features.where("eligible")
     if start:
         cells = cells.where(F.col("session") >= start)
     if end:
         cells = cells.where(F.col("session") <= end)
-    arms = like.select(F.sort_array(F.collect_list(F.struct("arm", "horizon", "n", "risk")))).scalar()       # the arm list
-    total = cells.agg(F.count(F.lit(1))).scalar()
-    d = cells.select("*", F.explode(arms).alias("_a")).select("ticker", "s_idx", "close", "_a.*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    d = d.where(F.col("s_idx") + F.col("horizon") <= last)
-    u = F.pmod(F.xxhash64("ticker", "s_idx", "arm", "rep", F.lit(seed)), F.lit(2 ** 52)) / F.lit(float(2 ** 52))
-    d = d.withColumn("u", u)
-    # cells that end too late are out, so the kept share is taken of an upper bound of the cells: four times as wide
-    d = d.where((F.col("close") > 0) & (F.col("u") < (4.0 * F.col("n") + 400.0) / total))
-    r = value_ranks(d, ["arm", "rep"], "u").select("arm", "rep", "u", "n_below")
-    kept = join_on(d, r, ["arm", "rep", "u"]).where(F.col("n_below") < F.col("n"))
-    return kept.select("arm", "rep", "horizon", "ticker", "s_idx", (F.col("close") * (1.0 - F.col("risk"))).alias("stop"))
+    cells = cells.select("ticker", "s_idx", "close")
+    before = Window.orderBy("s_idx").rowsBetween(Window.unboundedPreceding, -1)             # one row per session
+    base = cells.groupBy("s_idx").agg(F.count(F.lit(1)).alias("here")).withColumn("base", F.coalesce(F.sum("here").over(before), F.lit(0)))
+    rank = F.row_number().over(Window.partitionBy("s_idx").orderBy("ticker")) - 1
+    return cells.withColumn("_r", rank).join(base, "s_idx").select("ticker", "s_idx", "close", "here", (F.col("base") + F.col("_r")).cast("long").alias("ordinal"))
+
+
+def control_events(features: DataFrame, like: DataFrame, replicates: int = CONTROL_REPLICATES, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Per arm and replicate, ``n`` eligible cells drawn uniformly, with replacement only where ``n`` exceeds the cells.
+
+    ``like``: ``arm, horizon, n, risk``, one row per arm. Ordinals are drawn by whole-number
+    arithmetic and joined to the numbered cells: a pseudo-random permutation of [0, root^2), root^2
+    being the next square above the cells. Of its first n + root^2 - cells values n at least are
+    cells, so the draw is never short and no cell is multiplied by arms or replicates.
+    """
+    last = features.agg(F.max("s_idx")).scalar()
+    cells = cut_lineage(numbered_cells(features, start, end))
+    number = Window.orderBy("arm")                                                           # one row per arm
+    arms = like.select("arm", "horizon", F.col("n").cast("long").alias("n"), "risk", F.row_number().over(number).cast("long").alias("arm_no"))
+    sizes = cells.groupBy("s_idx").agg(F.count(F.lit(1)).alias("here"))
+    room = sizes.select("here", "s_idx", F.explode(arms.select(F.collect_list(F.struct("arm_no", "horizon"))).scalar()).alias("_a")).where(F.col("s_idx") + F.col("_a.horizon") <= last)
+    d = arms.join(room.groupBy(F.col("_a.arm_no").alias("_no")).agg(F.sum("here").alias("cells")), F.col("arm_no") == F.col("_no"))
+    d = d.withColumn("root", F.ceil(F.sqrt("cells")).cast("long")).select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
+    most = F.when(F.col("n") <= F.col("cells"), F.col("n") + F.col("root") * F.col("root") - F.col("cells")).otherwise(F.col("n"))
+    d = d.where("n > 0").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), most - 1))).withColumn("key", F.col("arm_no") * 1009 + F.col("rep"))
+    d = d.withColumns({"l": F.expr("i div root"), "r": F.expr("i % root")})
+    for turn in range(4):
+        d = d.withColumn("_m", F.expr(mix_sql("r", "key", turn))).withColumns({"l": F.col("r"), "r": (F.col("l") + F.col("_m")) % F.col("root")})
+    spot = F.when(F.col("n") <= F.col("cells"), F.col("l") * F.col("root") + F.col("r")).otherwise(draw(F.col("key"), F.col("i"), SEED, F.col("cells")))
+    d = d.withColumn("ordinal", spot).where(F.col("ordinal") < F.col("cells"))
+    taken = d.withColumn("_k", F.row_number().over(Window.partitionBy("arm", "rep").orderBy("i"))).where(F.col("_k") <= F.col("n"))
+    return taken.join(cells.select("ordinal", "ticker", "s_idx", "close"), "ordinal").where(F.col("close") > 0).select(
+        "arm", "rep", "horizon", "ticker", "s_idx", (F.col("close") * (1.0 - F.col("risk"))).alias("stop"))
 
 
 def null_distribution(control_trades: DataFrame, arm_means: DataFrame) -> DataFrame:
@@ -365,15 +381,17 @@ def run_ab(features: DataFrame, arms: list[Arm], split: str, window: tuple[str,
     """X14 + A19: one row per arm: statistics, interval, control percentiles, verdict, decision and flags."""
     start, end = window or SPLITS[split]
     k = hypotheses or len(arms)
+    longest = max(a.horizon for a in arms)
     sig = signals(features, arms)
-    status, trades = event_study(features, sig, start, end)
-    trades = cut_lineage(trades)
+    status = cut_lineage(classify_signals(sig, features.agg(F.max("s_idx")).scalar(), start, end))
+    trades = cut_lineage(walk(status.where("status = 'event'").withColumn("rep", F.lit(-1)), features, longest))
     stats = cut_lineage(arm_statistics(trades))
     buckets = cut_lineage(month_buckets(trades))
     b = bucket_statistics(buckets, reps)
-    risk = describe(trades.where("entry > 0").withColumn("_r", 1.0 - F.col("stop_initial") / F.col("entry")), ["arm", "horizon"], "_r")
-    like = cut_lineage(risk.select("arm", "horizon", "n", F.coalesce(F.when(F.col("median") != 0, F.col("median")), F.lit(0.05)).alias("risk")))
-    ctrl = walk(control_events(features, like, replicates, start=start, end=end), features)
+    risk = describe(trades.where("entry > 0").withColumn("_r", 1.0 - F.col("stop_initial") / F.col("entry")), ["arm", "horizon"], "_r").select("arm", "median")
+    events = status.where("status = 'event'").groupBy("arm", "horizon").agg(F.count(F.lit(1)).alias("n"))
+    like = cut_lineage(events.join(risk, "arm", "left").select("arm", "horizon", "n", F.coalesce(F.when(F.col("median") != 0, F.col("median")), F.lit(0.05)).alias("risk")))
+    ctrl = walk(control_events(features, like, replicates, start=start, end=end), features, longest)
     null = null_distribution(ctrl, stats)
     n_sig = status.groupBy("arm").agg(F.count(F.lit(1)).alias("n_signals"), F.count_if(F.col("status") == "event").alias("n_events"))
     j = n_sig.join(stats, "arm", "left").join(b, "arm", "left").join(null, "arm", "left")

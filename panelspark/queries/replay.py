@@ -77,24 +77,31 @@ def signal_skip_counts(spark, sf):
     return ev.skip_counts(ev.classify_signals(ev.signals(f, ARMS), f.agg(F.max("s_idx")).scalar(), *WINDOW))
 
 
-TRD = f"""{EVT}, e0 AS (SELECT *, row_number() OVER (ORDER BY arm, ticker, s_idx) AS id FROM st WHERE status = 'event'),
- pth AS (SELECT e.id, e.arm, e.horizon, e.ticker, e.s_idx AS i, e.stop, k, f.close, f.session, f.bench FROM (SELECT *, unnest(range(0, horizon + 1)) AS k FROM e0) e LEFT JOIN feat f ON f.ticker = e.ticker AND f.s_idx = e.s_idx + k),
- p1 AS (SELECT *, max(close) FILTER (k = 1) OVER (PARTITION BY id) AS entry FROM pth),
- p2 AS (SELECT *, CASE WHEN max(CASE WHEN k >= 1 AND close >= entry + (entry - stop) THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY k) = 1 THEN greatest(stop, entry) ELSE stop END AS sk FROM p1),
- p3 AS (SELECT *, min(k) FILTER (k >= 1 AND close < sk) OVER (PARTITION BY id) AS kh, min(k) FILTER (k >= 1 AND close IS NULL) OVER (PARTITION BY id) AS kg FROM p2),
- p4 AS (SELECT *, coalesce(kg < coalesce(kh, 1000000), false) AS gone FROM p3),
- p5 AS (SELECT *, CASE WHEN gone THEN kg - 1 WHEN kh IS NOT NULL THEN least(kh + 1, horizon) ELSE horizon END AS kx FROM p4),
- t0 AS (SELECT id, arm, horizon, ticker, stop, any_value(entry) AS entry, bool_or(gone) AS gone, any_value(kh) AS kh, any_value(kx) AS kx, max(k) FILTER (k >= 1 AND k <= kx AND close IS NOT NULL) AS ke,
+
+
+def walk_sql(source: str, x: str) -> str:
+    """The walk of ``source(arm, rep, horizon, ticker, s_idx, stop)`` as CTEs ending in ``{x}trd``."""
+    return f"""{x}e0 AS (SELECT *, row_number() OVER (ORDER BY arm, rep, ticker, s_idx) AS id FROM {source}),
+ {x}pth AS (SELECT e.id, e.arm, e.rep, e.horizon, e.ticker, e.s_idx AS i, e.stop, k, f.close, f.session, f.bench FROM (SELECT *, unnest(range(0, horizon + 1)) AS k FROM {x}e0) e LEFT JOIN feat f ON f.ticker = e.ticker AND f.s_idx = e.s_idx + k),
+ {x}p1 AS (SELECT *, max(close) FILTER (k = 1) OVER (PARTITION BY id) AS entry FROM {x}pth),
+ {x}p2 AS (SELECT *, CASE WHEN max(CASE WHEN k >= 1 AND close >= entry + (entry - stop) THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY k) = 1 THEN greatest(stop, entry) ELSE stop END AS sk FROM {x}p1),
+ {x}p3 AS (SELECT *, min(k) FILTER (k >= 1 AND close < sk) OVER (PARTITION BY id) AS kh, min(k) FILTER (k >= 1 AND close IS NULL) OVER (PARTITION BY id) AS kg FROM {x}p2),
+ {x}p4 AS (SELECT *, coalesce(kg < coalesce(kh, 1000000), false) AS gone FROM {x}p3),
+ {x}p5 AS (SELECT *, CASE WHEN gone THEN kg - 1 WHEN kh IS NOT NULL THEN least(kh + 1, horizon) ELSE horizon END AS kx FROM {x}p4),
+ {x}t0 AS (SELECT id, arm, rep, horizon, ticker, stop, any_value(entry) AS entry, bool_or(gone) AS gone, any_value(kh) AS kh, any_value(kx) AS kx, max(k) FILTER (k >= 1 AND k <= kx AND close IS NOT NULL) AS ke,
   arg_max(close, k) FILTER (k >= 1 AND k <= kx AND close IS NOT NULL) AS ex, arg_max(session, k) FILTER (k >= 1 AND k <= kx AND close IS NOT NULL) AS exit_date, arg_max(bench, k) FILTER (k >= 1 AND k <= kx AND close IS NOT NULL) AS b1,
-  max(bench) FILTER (k = 1) AS b0, max(session) FILTER (k = 1) AS fill_date, max(session) FILTER (k = 0) AS signal_date FROM p5 GROUP BY 1, 2, 3, 4, 5),
- trd AS (SELECT arm, horizon, ticker, signal_date, fill_date, exit_date, CASE WHEN gone OR ke < kx THEN 'panel_end' WHEN kh IS NOT NULL THEN 'stop' ELSE 'horizon' END AS exit_reason, entry, stop AS stop_initial, ex AS exit, ke - 1 AS held,
-  ex / entry - 1 AS ret_gross, (ex * (1.0::DOUBLE - 0.001::DOUBLE)) / (entry * (1.0::DOUBLE + 0.001::DOUBLE)) - 1 AS ret_net, b1 / b0 - 1 AS bw FROM t0 WHERE entry IS NOT NULL AND ex IS NOT NULL AND entry > 0),
+  max(bench) FILTER (k = 1) AS b0, max(session) FILTER (k = 1) AS fill_date, max(session) FILTER (k = 0) AS signal_date FROM {x}p5 GROUP BY 1, 2, 3, 4, 5, 6),
+ {x}trd AS (SELECT arm, rep, horizon, ticker, signal_date, fill_date, exit_date, CASE WHEN gone OR ke < kx THEN 'panel_end' WHEN kh IS NOT NULL THEN 'stop' ELSE 'horizon' END AS exit_reason, entry, stop AS stop_initial, ex AS exit, ke - 1 AS held,
+  ex / entry - 1 AS ret_gross, (ex * (1.0::DOUBLE - 0.001::DOUBLE)) / (entry * (1.0::DOUBLE + 0.001::DOUBLE)) - 1 AS ret_net, b1 / b0 - 1 AS bw FROM {x}t0 WHERE entry IS NOT NULL AND ex IS NOT NULL AND entry > 0)"""
+
+
+TRD = f"""{EVT}, own AS (SELECT *, -1 AS rep FROM st WHERE status = 'event'), {walk_sql('own', '')},
  trades AS (SELECT *, ret_net - bw AS excess FROM trd)"""
 
 
 def study(spark, sf):
     f = cut_lineage(features(spark, sf))
-    return ev.event_study(f, ev.signals(f, ARMS), *WINDOW)[1]
+    return ev.event_study(f, ev.signals(f, ARMS), max(a.horizon for a in ARMS), *WINDOW)[1]
 
 
 @register("event_trades", f"WITH RECURSIVE {TRD} SELECT arm, ticker, signal_date, fill_date, exit_date, exit_reason, CAST(held AS INT) AS sessions_held, {r6('ret_gross')} AS ret_gross, {r6('ret_net')} AS ret_net, {r6('bw')} AS bench_same_window, {r6('excess')} AS excess FROM trades")
@@ -144,7 +151,26 @@ def paired_difference(spark, sf):
     return p.select("a", "b", "n_months", rnd("diff_mean").alias("diff_mean"), rnd("t", 4).alias("t"), rnd("ci_low").alias("ci_low"), rnd("ci_high").alias("ci_high"))
 
 
-@register("rule_comparison_with_control")
+TURNS = ", ".join(f"k{i + 1} AS (SELECT * EXCLUDE (l, r), r AS l, (l + {ev.mix_sql('r', 'key', i)}) % root AS r FROM k{i})" for i in range(4))
+CONTROL = f"""cells AS (SELECT ticker, s_idx, close, row_number() OVER (ORDER BY s_idx, ticker) - 1 AS ordinal FROM feat WHERE eligible AND session BETWEEN DATE '{WINDOW[0]}' AND DATE '{WINDOW[1]}'),
+ rsk AS (SELECT arm, median(1.0::DOUBLE - stop_initial / entry) AS med FROM trades WHERE entry > 0 GROUP BY 1),
+ likes AS (SELECT o.arm, o.horizon, count(*) AS n FROM own o GROUP BY 1, 2),
+ drawn AS (SELECT l.arm, l.horizon, n, coalesce(nullif(med, 0), 0.05::DOUBLE) AS risk, row_number() OVER (ORDER BY l.arm) AS arm_no, (SELECT count(*) FROM cells, mx WHERE s_idx + l.horizon <= last) AS cells FROM likes l LEFT JOIN rsk ON rsk.arm = l.arm),
+ ix AS (SELECT d.*, rep, unnest(range(0, n + root * root - cells)) AS i FROM (SELECT *, CAST(ceil(sqrt(cells)) AS BIGINT) AS root FROM drawn) d, (SELECT unnest(range(0, {ev.CONTROL_REPLICATES})) AS rep)),
+ k0 AS (SELECT *, arm_no * 1009 + rep AS key, i // root AS l, i % root AS r FROM ix), {TURNS},
+ tk AS (SELECT *, row_number() OVER (PARTITION BY arm, rep ORDER BY i) AS rn FROM (SELECT *, l * root + r AS ordinal FROM k4) WHERE ordinal < cells),
+ other AS (SELECT k.arm, k.rep, k.horizon, c.ticker, c.s_idx, c.close * (1.0::DOUBLE - k.risk) AS stop FROM tk k JOIN cells c ON c.ordinal = k.ordinal WHERE k.rn <= k.n AND c.close > 0),
+ {walk_sql('other', 'c')}, cm AS (SELECT arm, rep, avg(ret_net - bw) AS m FROM ctrd GROUP BY 1, 2 HAVING avg(ret_net - bw) IS NOT NULL)"""
+
+
+@register("rule_comparison_with_control", f"""WITH RECURSIVE {TRD}, {MB}, {block_sql('mb', 'arm', 'month', 'mean_excess', '(CAST(ceil(horizon / 21.0) AS INT) + 1)')}, {CONTROL},
+ s AS (SELECT arm, count(*) AS n_trades, avg(excess) AS mean_excess FROM trades GROUP BY 1), n AS (SELECT arm, count(*) AS n_signals, count(*) FILTER (status = 'event') AS n_events FROM st GROUP BY 1),
+ bk AS (SELECT arm, avg(mean_excess) / (stddev_samp(mean_excess) / sqrt(count(*))) AS t, count(*) / 2 AS n_eff FROM mb GROUP BY 1),
+ nul AS (SELECT cm.arm, count(*) AS n_replicates, quantile_cont(m, 0.05) AS p05, quantile_cont(m, 0.5) AS p50, quantile_cont(m, 0.95) AS p95, avg((m <= mean_excess)::INT) AS pct FROM cm JOIN s ON s.arm = cm.arm GROUP BY 1),
+ z AS (SELECT n.*, s.n_trades, s.mean_excess, ci_low, ci_high, p05, p50, p95, pct, n_replicates, CASE WHEN mean_excess IS NULL OR ci_low IS NULL OR (ci_low <= 0 AND ci_high >= 0) THEN 'no evidence' WHEN ci_high < 0 THEN 'wrong way' WHEN n_eff < 12 THEN 'weak' WHEN n_eff < 20 THEN 'suggestive'
+  WHEN abs(t) < 1.96 + 0.5 * ln(4) THEN 'suggestive' ELSE 'supported' END AS verdict FROM n LEFT JOIN s ON s.arm = n.arm LEFT JOIN bk ON bk.arm = n.arm LEFT JOIN ci ON ci.arm = n.arm LEFT JOIN nul ON nul.arm = n.arm)
+ SELECT arm, n_signals, n_events, n_trades, {", ".join(f"{r6(c)} AS {c}" for c in ("mean_excess", "ci_low", "ci_high", "p05", "p50", "p95"))}, {r6('pct')} AS percentile_of_arm, n_replicates, verdict,
+  coalesce(verdict IN ('suggestive', 'supported') AND ci_low > 0 AND mean_excess > p95, false) AS survives, CASE WHEN abs(mean_excess) > 0.05 THEN 'mean excess over 5%, check for look-ahead' END AS flag FROM z""")
 def rule_comparison(spark, sf):
     r = ev.run_ab(cut_lineage(features(spark, sf)), ARMS, "train", WINDOW)
     return r.select("arm", "n_signals", "n_events", "n_trades", *[rnd(c).alias(c) for c in ("mean_excess", "ci_low", "ci_high", "p05", "p50", "p95", "percentile_of_arm")], "n_replicates", "verdict", "survives", "flag")

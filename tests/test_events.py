@@ -49,7 +49,7 @@ def test_walk_equals_the_sequential_form(spark):
                 events.append(("a", 0, 10, t, i, out[i] * rng.uniform(0.9, 0.99)))
     prices = spark.createDataFrame(rows, "ticker string, s_idx int, session date, close double, bench double")
     e = spark.createDataFrame(events, "arm string, rep int, horizon int, ticker string, s_idx int, stop double")
-    got = {(r["ticker"], (r["signal_date"] - DAY0).days): r for r in ev.walk(e, prices).collect()}
+    got = {(r["ticker"], (r["signal_date"] - DAY0).days): r for r in ev.walk(e, prices, 10).collect()}
     reasons = set()
     for _, _, h, t, i, stop in events:
         want = sequential(series[t], i, stop, h)
@@ -77,6 +77,13 @@ def test_control_draws_the_asked_number_of_eligible_cells(spark):
                                  F.date_add(F.lit(DAY0), F.floor(F.col("id") / 40).cast("int")).alias("session"), (F.col("id") % 7 != 0).alias("eligible"))
     like = spark.createDataFrame([("a", 5, 60, 0.05), ("b", 10, 3000, 0.1)], "arm string, horizon int, n int, risk double")
     got = ev.control_events(f, like, replicates=4).cache()
+    # more than there are cells: with replacement, and never short; a window at the panel's end leaves few cells
+    many = ev.control_events(f, spark.createDataFrame([("c", 98, 500, 0.05)], "arm string, horizon int, n int, risk double"), replicates=3)
+    assert [r["count"] for r in many.groupBy("rep").count().collect()] == [500] * 3 and many.where("s_idx > 1").count() == 0 and many.select("ticker", "s_idx").distinct().count() > 50
+    end = ev.control_events(f, spark.createDataFrame([("d", 20, 60, 0.05)], "arm string, horizon int, n int, risk double"), replicates=5, start="2020-03-18")
+    assert [r["count"] for r in end.groupBy("rep").count().collect()] == [60] * 5 and end.where("s_idx > 79 or s_idx < 77").count() == 0
+    spread = [r["count"] for r in ev.control_events(f, like.where("arm = 'b'"), replicates=20).groupBy("ticker", "s_idx").count().collect()]
+    assert len(spread) > 3000 and max(spread) <= 20
     counts = {(r["arm"], r["rep"]): r["count"] for r in got.groupBy("arm", "rep").count().collect()}
     assert all(counts[("a", k)] == 60 for k in range(4)) and all(counts[("b", k)] == 3000 for k in range(4))
     assert got.distinct().count() == got.count() and got.where("arm = 'a' and s_idx + 5 > 99").count() == 0
