@@ -18,7 +18,6 @@ ZONE = r"(?i)pullback to \$?([\d,]+(?:\.\d+)?)\s*(?:to|-|and)\s*\$?([\d,]+(?:\.\
 AFTER = r"(?i)after (\w+) (\d{1,2}) (?:earnings|report|results)"
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 IN_MONTH = r"(?i)\bin (" + "|".join(MONTHS) + r")\b"
-NAMED_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
 
 
 def _c(x) -> Column:
@@ -72,38 +71,23 @@ def standing(action, price, today: Column) -> Column:
         (low.startswith("buy"), "now")], "skip")
 
 
-def html_to_text(markup) -> Column:
-    """Readable text of a page: content-free elements dropped, block tags to line breaks, the rest stripped.
-
-    Named and decimal entities of common use are decoded in place; ``html_to_text_full``
-    knows the full set.
-    """
-    s = F.regexp_replace(_c(markup), r"(?is)<(script|style|head|ix:header)\b.*?</\1\s*>", " ")
-    s = F.regexp_replace(s, r"(?i)</?(p|div|br|tr|table|h[1-6]|li|ul|ol|section)\b[^>]*>", "\n")
-    s = F.regexp_replace(s, r"<[^>]+>", " ")
-    return tidy_lines(unescape(s))
-
-
 @pandas_udf(StringType())
 def decode_entities(s: pd.Series) -> pd.Series:
     """Every named and numeric entity; Arrow batches, null in and null out."""
     return s.map(html.unescape, na_action="ignore")
 
 
-def html_to_text_full(markup) -> Column:
-    """S21 with the whole entity set; only texts holding an entity are sent to Python."""
+def html_to_text(markup) -> Column:
+    """Readable text of a page: content-free elements dropped, block tags to line breaks, the rest stripped.
+
+    Every named and numeric entity is decoded; only texts that hold one are sent to Python, in Arrow batches.
+    """
     s = F.regexp_replace(_c(markup), r"(?is)<(script|style|head|ix:header)\b.*?</\1\s*>", " ")
     s = F.regexp_replace(s, r"(?i)</?(p|div|br|tr|table|h[1-6]|li|ul|ol|section)\b[^>]*>", "\n")
     s = F.regexp_replace(s, r"<[^>]+>", " ")
     return tidy_lines(F.coalesce(decode_entities(F.when(s.rlike("&[#A-Za-z]"), s)), s))
 
 
-def unescape(s: Column) -> Column:
-    for name, ch in NAMED_ENTITIES.items():
-        s = F.replace(s, F.lit(name), F.lit(ch))
-    return s
-
-
 def tidy_lines(s: Column) -> Column:
     """Collapse blanks inside lines, trim every line, at most one empty line in a row."""
     s = F.regexp_replace(s, "[ \t ]+", " ")

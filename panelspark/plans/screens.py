@@ -157,6 +157,18 @@ def screened(statements: DataFrame, names: DataFrame, excluded_countries=EXCLUDE
     return j.withColumn("exclude_reason", exclusion_reason(excluded_countries)).drop("has_statements")
 
 
+def liquid_universe(rows: DataFrame, min_dollar_volume: float = MIN_DOLLAR_VOLUME_USD) -> DataFrame:
+    """Ticker and name of the rows above the floor; a blank ticker is dropped, a missing name is the ticker, the most traded row of a ticker counts."""
+    t = F.upper(F.trim("ticker"))
+    kept = rows.where((F.coalesce("dollar_volume_usd", F.lit(0.0)) >= min_dollar_volume) & (F.coalesce(t, F.lit("")) != ""))
+    return kept.groupBy(t.alias("ticker")).agg(F.max_by("name", F.struct("dollar_volume_usd", "name")).alias("name")).select("ticker", F.coalesce("name", "ticker").alias("name"))
+
+
+def flag_top(scored: DataFrame, top: DataFrame) -> DataFrame:
+    """Every scored name with whether it is on the top list."""
+    return scored.join(top.select("ticker", F.lit(True).alias("in_top_150")).distinct(), "ticker", "left").withColumn("in_top_150", F.coalesce("in_top_150", F.lit(False)))
+
+
 def excluded(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("exclude_reason").isNotNull())
 

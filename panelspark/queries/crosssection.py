@@ -12,6 +12,7 @@ from panelspark.plans import screens as scr
 from panelspark.queries import r6, register, rnd
 from panelspark.queries import tables as t
 from panelspark.queries.core import z_sql
+from panelspark.session import cut_lineage
 
 # Two nations stand in for the excluded countries.
 OUT = ("NATION_3", "NATION_4")
@@ -110,6 +111,19 @@ def quality_top(spark, sf):
     return screen(spark, sf).where("rank <= 150").select("ticker", "rank", "quality_score")
 
 
+@register("in_top_list", f"WITH {SCREEN} SELECT ticker, quality_score, rank <= 150 AS in_top_150 FROM scored")
+def in_top_list(spark, sf):
+    s = cut_lineage(screen(spark, sf))
+    return scr.flag_top(s.select("ticker", "quality_score"), s.where("rank <= 150"))
+
+
+@register("liquid_universe", f"""WITH {RAW}, l AS (SELECT upper(trim(lower(symbol) || ' ')) AS ticker, long_name AS name, price * volume_3m AS dv FROM raw)
+ SELECT ticker, coalesce(arg_max(name, dv), ticker) AS name FROM l WHERE dv >= 10000000 AND ticker <> '' GROUP BY ticker""")
+def liquid_universe(spark, sf):
+    raw = raw_listings(spark, sf).select(F.concat(F.lower("symbol"), F.lit(" ")).alias("ticker"), F.col("long_name").alias("name"), (F.col("price") * F.col("volume_3m")).alias("dollar_volume_usd"))
+    return scr.liquid_universe(raw)
+
+
 @register("quality_excluded", f"WITH {SCREEN} SELECT ticker, exclude_reason FROM qj WHERE exclude_reason IS NOT NULL")
 def quality_excluded(spark, sf):
     return scr.excluded(screened(spark, sf)).select("ticker", "exclude_reason")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.dates import feed_timestamp
 from panelspark.functions.numeric import finite
-from panelspark.functions.text import unescape
+from panelspark.functions.text import decode_entities
 
 # Payload schemas.
 QUOTE = "c double, d double, dp double, h double, l double, o double, pc double, t bigint"
@@ -120,6 +120,6 @@ def ticker_map(spark: SparkSession, path: str) -> DataFrame:
 def feed_items(spark: SparkSession, path: str) -> DataFrame:
     """Feed items; the id falls back to the link, then the title; items without a title are dropped."""
     d = spark.read.format("xml").option("rowTag", "item").schema("title string, link string, guid string, pubDate string").load(path)
-    title = F.regexp_replace(unescape(F.trim("title")), r"\s+", " ")
+    title = F.regexp_replace(decode_entities(F.trim("title")), r"\s+", " ")
     nz = lambda c: F.nullif(F.trim(c), F.lit(""))
     return d.select(title.alias("title"), nz("link").alias("link"), F.coalesce(nz("guid"), nz("link"), title).alias("guid"), feed_timestamp("pubDate").alias("published")).where("title <> ''")

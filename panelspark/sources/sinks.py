@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def write_screen(df: DataFrame, root: str, pulled: str) -> None:
-    """The dated partition and the latest copy."""
-    df.withColumn("pulled", F.lit(pulled)).write.partitionBy("pulled").mode("append").parquet(f"{root}/history")
+    """The dated partition and the latest copy; writing a day again replaces that day."""
+    dated = df.withColumn("pulled", F.lit(pulled)).write.partitionBy("pulled")
+    dated.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{root}/history")
     df.write.mode("overwrite").parquet(f"{root}/latest")
 
 
@@ -16,7 +18,9 @@ def _dates(spark: SparkSession, root: str) -> list[str]:
     """Archive dates; one row per archived day."""
     try:
         m = spark.read.parquet(f"{root}/manifest")
-    except Exception:  # nothing archived yet
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":       # only a missing archive counts as an empty one
+            raise
         return []
     return [r[0] for r in m.select(F.col("snapshot_date").cast("string")).distinct().collect()]
 

@@ -47,27 +47,36 @@ def typed(df: DataFrame, types: dict[str, str]) -> DataFrame:
     return df.withColumns(out)
 
 
-def read_delimited(spark: SparkSession, path: str, types: dict[str, str], sep: str = ",", quoted: bool = True) -> DataFrame:
-    """A headed file by column name: other columns are dropped, short rows are padded with null."""
+def row_order() -> Column:
+    """The place of a row in its input: file, block of the file, row of the block. Comparable, whatever tasks read what."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+
+
+def read_delimited(spark: SparkSession, path: str, types: dict[str, str], sep: str = ",", quoted: bool = True, ordered: bool = False) -> DataFrame:
+    """A headed file by column name: other columns are dropped, short rows are padded with null.
+
+    ``ordered`` adds ``_at``, the place of the row in the input.
+    """
     r = spark.read.option("header", True).option("sep", sep).option("mode", "PERMISSIVE").option("inferSchema", False)
     if not quoted:
         r = r.option("quote", "")
     df = require_columns(r.csv(path), types)
+    if ordered:
+        return typed(df.select(*types, row_order().alias("_at")), types)
     return typed(df.select(*types), types)
 
 
 def screen_rows(spark: SparkSession, path: str, types: dict[str, str]) -> DataFrame:
     """Typed screen rows, upper-cased key, the last row of a ticker wins."""
-    df = read_delimited(spark, path, {"ticker": "string", **types}).withColumn("ticker", F.upper("ticker"))
-    cols = [c for c in df.columns if c != "ticker"]
-    df = df.withColumn("_at", F.monotonically_increasing_id())
+    df = read_delimited(spark, path, {"ticker": "string", **types}, ordered=True).withColumn("ticker", F.upper("ticker"))
+    cols = [c for c in df.columns if c not in ("ticker", "_at")]
     return df.where(F.col("ticker").isNotNull()).groupBy("ticker").agg(F.max_by(F.struct(*cols), "_at").alias("_r")).select("ticker", "_r.*")
 
 
 def ohlcv_rows(spark: SparkSession, path: str) -> DataFrame:
     """Long bars; a repeated (name, date) keeps the first present value per field."""
     fields = ["open", "high", "low", "close", "volume"]
-    df = read_delimited(spark, path, {"date": "date", **{f: "double" for f in fields}, "Name": "string"}).withColumn("_at", F.monotonically_increasing_id())
+    df = read_delimited(spark, path, {"date": "date", **{f: "double" for f in fields}, "Name": "string"}, ordered=True)
     df = df.select(F.upper("Name").alias("ticker"), F.col("date").alias("session"), *fields, "_at").where("ticker is not null and session is not null")
     return df.groupBy("ticker", "session").agg(*[F.min_by(f, F.when(F.col(f).isNotNull(), F.col("_at"))).alias(f) for f in fields])
 
@@ -76,7 +85,7 @@ def scaled_bars(spark: SparkSession, path: str, ticker: str | Column) -> DataFra
     """Headerless ``yyyyMMdd HH:mm,o,h,l,c,v`` in ten-thousandths; the last repeat wins."""
     raw = spark.read.schema("stamp string, open double, high double, low double, close double, volume double").csv(path)
     t = F.lit(ticker) if isinstance(ticker, str) else ticker
-    df = raw.withColumns({"_at": F.monotonically_increasing_id(), "ticker": t, "session": compact_date(F.substring("stamp", 1, 8))})
+    df = raw.select("*", row_order().alias("_at")).withColumns({"ticker": t, "session": compact_date(F.substring("stamp", 1, 8))})
     df = df.where("session is not null").groupBy("ticker", "session").agg(F.max_by(F.struct("open", "high", "low", "close", "volume"), "_at").alias("_r"))
     return df.select("ticker", "session", *[(F.col(f"_r.{c}") / 10000.0).alias(c) for c in ("open", "high", "low", "close")], "_r.volume")
 
@@ -91,6 +100,14 @@ def factor_rows(spark: SparkSession, path: str, ticker: str | Column) -> DataFra
     return df
 
 
+def adjusted_price_rows(spark: SparkSession, path: str, ticker: str | Column) -> DataFrame:
+    """The ``Date, Open, High, Low, Close, Adj Close, Volume`` layout of one name; the adjusted close counts, the last repeat wins."""
+    types = {"Date": "date", "Close": "double", "Adj Close": "double", "Volume": "double"}
+    df = read_delimited(spark, path, types, ordered=True).where(F.col("Date").isNotNull())
+    t = F.lit(ticker) if isinstance(ticker, str) else ticker
+    return normalised_prices(df.select(t.alias("ticker"), F.col("Date").alias("session"), F.col("Close").alias("close"), F.col("Adj Close").alias("adj_close"), "_at"))
+
+
 def normalised_prices(df: DataFrame, requested: DataFrame | None = None) -> DataFrame:
     """The adjusted close where the layout has one; the last repeat wins; requested names keep a row."""
     at = "_at" if "_at" in df.columns else None
@@ -108,12 +125,13 @@ def membership_rows(spark: SparkSession, path: str) -> DataFrame:
 
 def listing_rows(spark: SparkSession, path: str) -> DataFrame:
     """The exact header or an error; a JSON error body is not a listing."""
-    head = spark.read.text(path).limit(1).collect()
-    first = head[0][0].lstrip("﻿").strip() if head else ""
-    if first.startswith("{"):
-        raise ValueError(f"not a listing: {first[:200]}")
-    if tuple(h.strip() for h in first.split(",")) != LISTING_COLUMNS:
-        raise ValueError(f"unexpected listing header {first[:200]!r}")
+    lines = spark.read.text(path).select("value", row_order().alias("at"))
+    first = lines.groupBy("at.file").agg(F.trim(F.ltrim(F.min_by("value", "at"), F.lit("\ufeff"))).alias("first"))
+    wanted = F.array(*[F.lit(c) for c in LISTING_COLUMNS])
+    bad = first.where(~(F.transform(F.split("first", ","), F.trim) == wanted)).orderBy("file").limit(1).collect()
+    if bad:
+        what = "not a listing" if bad[0]["first"].startswith("{") else "unexpected listing header"
+        raise ValueError(f"{what} in {bad[0]['file']}: {bad[0]['first'][:200]!r}")
     df = read_delimited(spark, path, {"symbol": "string", "name": "string", "exchange": "string", "assetType": "string", "ipoDate": "date", "delistingDate": "date", "status": "string"})
     return df.select(F.upper("symbol").alias("symbol"), "name", F.upper("exchange").alias("exchange"), F.col("assetType").alias("asset_type"),
                      F.col("ipoDate").alias("ipo_date"), F.col("delistingDate").alias("delist_date"), "status").where("symbol is not null")

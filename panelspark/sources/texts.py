@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelspark.sources.tables import row_order
+
 # Placeholder words and the sections every note must have.
 ABSENT = ("n/a", "na", "none", "-", "--", "tbd", "?")
 TICKER = r"^[A-Z][A-Z0-9]*(?:[.\-][A-Z0-9]+)*$"
@@ -27,7 +29,7 @@ def call_log(spark: SparkSession, path: str) -> DataFrame:
 
     Entries are cut by the reader's line separator, so a long log is read by many tasks.
     """
-    raw = spark.read.option("lineSep", "\n## ").text(path).withColumn("pos", F.monotonically_increasing_id())
+    raw = spark.read.option("lineSep", "\n## ").text(path).select("value", row_order().alias("pos"))
     return parse_calls(raw, "value")
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.functions.dates import session_date
 from panelspark.functions.numeric import finite
+from panelspark.session import cut_lineage
 
 
 def report_once(items: DataFrame, keys: list[str], ts: str = "ts", delay: str = "30 days") -> DataFrame:
@@ -35,18 +37,43 @@ def threshold_alerts(prints: DataFrame, rules: DataFrame) -> DataFrame:
     return j.withColumns({"kind": kind, "value": gap}).where(F.col("kind").isNotNull())
 
 
+def bar_sink(root: str):
+    """ST3: a ``foreachBatch`` function for bars in update mode: a batch lands in its own folder, so a repeated batch replaces itself."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+    return write
+
+
+def bars(spark: SparkSession, root: str) -> DataFrame:
+    """ST3: every window, also those still open, as its newest batch left it."""
+    cols = ["open", "high", "low", "close", "n"]
+    return spark.read.parquet(root).groupBy("ticker", "ts").agg(F.max_by(F.struct(*cols), "batch").alias("_b")).select("ticker", "ts", "_b.*")
+
+
 def merge_sink(root: str):
-    """ST5: a ``foreachBatch`` function for late prints: a batch lands in its own folder, so a
-    repeated batch replaces itself, and the newest batch holding a key wins on read."""
+    """ST5: a ``foreachBatch`` function for late prints: one keyed table by session, the latest print of a key wins.
+
+    A batch reads the sessions it touches, merges and replaces those partitions only, so the table does
+    not grow with the number of batches and a repeated batch, or a restarted stream, changes nothing.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        last = batch.groupBy("ticker", "session").agg(F.max_by("close", "ts").alias("close"))
-        last.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+        new = cut_lineage(batch.groupBy("ticker", "session").agg(F.max("ts").alias("ts"), F.max_by("close", "ts").alias("close")))
+        try:
+            old = batch.sparkSession.read.schema(new.schema).parquet(root)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            both = new
+        else:
+            touched = new.select("session").distinct()
+            both = new.unionByName(old.select(*new.columns).join(touched, "session", "left_semi"))
+        last = cut_lineage(both.groupBy("ticker", "session").agg(F.max_by(F.struct("ts", "close"), "ts").alias("_p")).select("ticker", "_p.*", "session"))
+        last.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session").parquet(root)
     return write
 
 
 def merged(spark: SparkSession, root: str) -> DataFrame:
-    t = spark.read.parquet(root)
-    return t.groupBy("ticker", "session").agg(F.max_by("close", "batch").alias("close"))
+    return spark.read.parquet(root).select("ticker", "session", "close")
 
 
 def closed_sessions(prints: DataFrame, now: str, zone: str = "America/New_York", close: str = "16:30:00") -> DataFrame:
