@@ -3,7 +3,10 @@
 Everything rests on ``value_ranks``: a table of the distinct values of a group
 with how many rows lie below each. Ties collapse in the map-side aggregate, and a
 group is spread over value buckets (a monotone function of the value), so a group
-holding a third of all rows is still sorted by many tasks.
+holding a third of all rows is still sorted by many tasks. There are 65,536 buckets
+for every doubling, so a column that spans one part in a thousand still has about a
+hundred; the window that adds up a group's buckets meets one row per bucket in use.
+Values closer than one part in 65,536 share a task.
 """
 
 from __future__ import annotations
@@ -14,8 +17,8 @@ from pyspark.sql import functions as F
 from panelspark.functions.numeric import clip, safe_div
 from panelspark.session import cut_lineage
 
-PER_OCTAVE = 256          # value buckets per doubling
-_SHIFT = 1_000_000        # keeps the bucket of any positive double positive
+PER_OCTAVE = 65_536       # value buckets per doubling
+_SHIFT = 100_000_000      # keeps the bucket of any positive double positive
 
 
 def value_bucket(v: Column) -> Column:

@@ -69,7 +69,7 @@ def block_bootstrap_ci(series: DataFrame, keys: list[str], order: str, value: st
                        reps: int = 3000, confidence: float = 0.95, seed: int = SEED) -> DataFrame:
     """Moving-block interval for the mean; blocks from uniform starts, the last one cut to length.
 
-    Sums of a full and of a cut block are window sums made once per start, so a
+    Sums of a full and of a cut block are made once per start from running sums, so a
     replicate joins n/block rows and not n. ``block`` may be a column of the series.
     """
     if not keys:
@@ -82,18 +82,17 @@ def block_bootstrap_ci(series: DataFrame, keys: list[str], order: str, value: st
     p = p.join(sizes, keys)
     p = p.where(F.col("_n") >= 3).withColumn("_blk", F.greatest(F.lit(1), F.least(F.col("_blk"), F.col("_n"))).cast("long"))
     p = p.withColumn("_cut", F.col("_n") % F.col("_blk"))
-    # block sums as slices of the group's own short array
-    arr = p.groupBy(*keys, "_n", "_blk", "_cut").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("_i", "_v"))), lambda s: s["_v"]).alias("_vals"))
-    zero = F.lit(0.0)
-    starts = arr.select(
-        *keys, "_n", "_blk", "_cut", "_vals",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - F.col("_blk"))).alias("_start"))
-    add = lambda n: F.aggregate(F.slice("_vals", (F.col("_start") + 1).cast("int"), n.cast("int")), zero, lambda s, x: s + x)
-    starts = starts.select(*keys, "_start", add(F.col("_blk")).alias("_full"),
-                           F.when(F.col("_cut") > 0, add(F.greatest(F.col("_cut"), F.lit(1)))).alias("_part"))
+    # a block's sum is a difference of two running sums, met by equi-joins on the start of the block
+    running = F.sum("_v").over(Window.partitionBy(*keys).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0))
+    c = p.withColumn("_cum", running)
+
+    def ends(length: str, out: str) -> DataFrame:
+        return c.where(F.col(length) > 0).select(*keys, (F.col("_i") - F.col(length) + 1).alias("_start"), F.col("_cum").alias(out)).where("_start >= 0")
+
+    starts = c.select(*keys, F.col("_i").alias("_start"), (F.col("_cum") - F.col("_v")).alias("_before")).join(ends("_blk", "_upto"), keys + ["_start"]).join(ends("_cut", "_short"), keys + ["_start"], "left")
+    starts = starts.select(*keys, "_start", (F.col("_upto") - F.col("_before")).alias("_full"), (F.col("_short") - F.col("_before")).alias("_part"))
     n_blocks = F.ceil(F.col("_n") / F.col("_blk")).cast("long")
-    plan = arr.select(*keys, "_n", "_blk", "_cut", n_blocks.alias("_k"),
+    plan = c.where("_i = 0").select(*keys, "_n", "_blk", "_cut", n_blocks.alias("_k"),
                       F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("_rep"))
     plan = plan.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1)).alias("_j"))
     plan = plan.withColumn("_start", draw(F.col("_rep"), F.col("_j"), seed, F.col("_n") - F.col("_blk") + 1))

@@ -198,17 +198,19 @@ def classify_signals(sig: DataFrame, last_idx: Column, start: str | None = None,
     rows = sig.withColumn("_last", last_idx).withColumn("_pre", pre)
     item = F.struct("s_idx", "session", "close", "stop", "_pre")
     g = rows.groupBy("arm", "horizon", "ticker").agg(F.sort_array(F.collect_list(item)).alias("_l"))
-    first = F.struct(F.lit(-1_000_000).alias("last"), F.array().cast("array<string>").alias("out"))
+    first = F.struct(F.lit(-1_000_000).alias("last"), F.array().cast("array<int>").alias("kept"))
 
     def step(acc, x):
-        near = x["s_idx"] < acc["last"] + F.col("horizon")
-        status = F.when(x["_pre"] == "outside_window", x["_pre"]).when(near, "within_previous_horizon").otherwise(x["_pre"])
-        return F.struct(F.when(status == "event", x["s_idx"]).otherwise(acc["last"]).alias("last"),
-                        F.concat(acc["out"], F.array(status)).alias("out"))
-
-    done = g.withColumn("_o", F.aggregate("_l", first, step, lambda a: a["out"]))
-    z = done.select("arm", "horizon", "ticker", F.explode(F.arrays_zip("_l", "_o")).alias("_z"))
-    return z.select("arm", "horizon", "ticker", "_z._l.s_idx", "_z._l.session", "_z._l.close", "_z._l.stop", F.col("_z._o").alias("status"))
+        # only accepted events are carried, at most one per horizon
+        taken = (x["_pre"] == "event") & (x["s_idx"] >= acc["last"] + F.col("horizon"))
+        return F.struct(F.when(taken, x["s_idx"]).otherwise(acc["last"]).alias("last"),
+                        F.when(taken, F.concat(acc["kept"], F.array(x["s_idx"]))).otherwise(acc["kept"]).alias("kept"))
+
+    done = g.withColumn("_k", F.aggregate("_l", first, step, lambda a: a["kept"]))
+    z = done.select("arm", "horizon", "ticker", "_k", F.explode("_l").alias("_z")).select("arm", "horizon", "ticker", "_k", "_z.*")
+    near = F.exists("_k", lambda k: (k < F.col("s_idx")) & (F.col("s_idx") < k + F.col("horizon")))
+    status = ladder([(F.col("_pre") == "outside_window", "outside_window"), (near, "within_previous_horizon")], F.col("_pre"))
+    return z.select("arm", "horizon", "ticker", "s_idx", "session", "close", "stop", status.alias("status"))
 
 
 def walk(events: DataFrame, prices: DataFrame, max_horizon: int, cost: float = ONE_WAY_COST) -> DataFrame:

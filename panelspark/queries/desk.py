@@ -91,7 +91,9 @@ def outcome_readout(spark, sf):
     return r.withColumns({c: rnd(c) for c in ("rank_ic", "liked", "disliked")})
 
 
-@register("outcome_readout_refused")
+@register("outcome_readout_refused", f"""WITH {GRADE}, u AS (SELECT date FROM grades WHERE status <> 'ungraded' AND score_percentile IS NOT NULL AND excess IS NOT NULL)
+ SELECT count(*) AS n_usable, count(DISTINCT date) AS n_dates, (SELECT CAST(max(trading_days) FILTER (status <> 'ungraded') AS BIGINT) FROM grades) AS longest, 'not real data' AS shortfalls, 'INSUFFICIENT' AS status,
+ CAST(NULL AS DOUBLE) AS rank_ic, CAST(NULL AS DOUBLE) AS liked, CAST(NULL AS DOUBLE) AS disliked, 'no readout' AS verdict FROM u""")
 def outcome_readout_refused(spark, sf):
     return gr.outcome_readout(cut_lineage(grades(spark, sf)), False)
 
