@@ -36,8 +36,8 @@ from .common import map_texts, text_pieces
 from .toxicity import sampled, text_words
 
 SYMBOLS = b"#*$%&|<>!"
-DOMAINS = ("good", "low", "toxic")
-TARGETS = {"good": 0.93, "low": 0.06, "toxic": 0.01}
+DOMAINS = ("good", "low")
+TARGETS = {"good": 0.94, "low": 0.06}
 MAX_ROWS = 6000
 MILLI = 1000.0
 
@@ -49,10 +49,10 @@ class DomainModel:
     bias: np.ndarray = field(repr=False)
 
 
-def label_domain(quality: str | Column = "quality", toxic: str | Column = "toxic") -> Column:
-    """Number of the domain a labelled row belongs to; null without labels."""
-    q, t = (F.col(c) if isinstance(c, str) else c for c in (quality, toxic))
-    return F.when(t == 1, 2).when(q == 0, 1).when(q.isNotNull() | t.isNotNull(), 0).cast("int")
+def label_domain(quality: str | Column = "quality") -> Column:
+    """Number of the domain a labelled row belongs to; null without a label."""
+    q = F.col(quality) if isinstance(quality, str) else quality
+    return F.when(q.isNotNull(), (q == 0).cast("int"))
 
 
 def n_tokens(text: bytes | None) -> int:
@@ -185,9 +185,13 @@ def fit_rates(member: DataFrame, targets: dict[str, float], anchor: str | None =
     goal = total_tokens * share
     inverse = np.linalg.pinv(moment + 1e-9 * np.trace(moment) / k * np.eye(k))
     history: list[np.ndarray] = []
+    before = np.inf
     for _ in range(max_rounds):
-        if np.abs(goal - now).max() <= tolerance * max(total_tokens, 1.0):
+        gap = np.abs(goal - now).max()
+        # met, or as near as nonnegative rates come
+        if gap <= tolerance * max(total_tokens, 1.0) or gap > 0.95 * before:
             break
+        before = gap
         history.append(inverse @ (goal - now))
         past = list(history)
         now = sums(lambda n, p, past=past: (replay(p, past) * n)[:, None] * p, k)
