@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, as_schema
+from .common import arrow_schema, as_schema, small_batches
 
 # Strings that open, close or mark turns in common chat templates.
 CONTROLS = [b"<|im_start|>", b"<|im_end|>", b"<s>", b"</s>", b"[INST]", b"[/INST]", b"<<SYS>>", b"<</SYS>>", b"<|endoftext|>"]
@@ -191,7 +191,7 @@ def format_chats(turns: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
             part = part if len(ids) == 1 else 0
             yield pa.RecordBatch.from_arrays([ids, pa.array(parts), formatted, a.cast(out.field(3).type), b.cast(out.field(4).type)], schema=out)
 
-    return rows.repartition("conv", "no_conv").sortWithinPartitions("no_conv", "conv", "turn", "role", "text").mapInArrow(run, schema)
+    return small_batches(rows).repartition("conv", "no_conv").sortWithinPartitions("no_conv", "conv", "turn", "role", "text").mapInArrow(run, schema)
 
 
 def read_turns(formatted: bytes) -> Iterator[tuple[bytes, bytes]]:

@@ -14,6 +14,8 @@ from panelspark.session import cut_lineage
 
 # a task handles the texts of an Arrow batch in pieces of about so many bytes
 CHUNK_BYTES = 2 << 20
+# Arrow batches of whole texts are held by the JVM and by a worker, in and out, so they are kept small
+BATCH_BYTES = 8 << 20
 # of a bitmap that spares work in a scan, whatever the size of the input
 BITS = 1 << 22
 ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(),
@@ -24,6 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after the session's Arrow batches have been bounded by ``BATCH_BYTES``; a smaller setting stays."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(key)
+    if not now.endswith("b") or not now[:-1].isdigit() or int(now[:-1]) > BATCH_BYTES:
+        conf.set(key, f"{BATCH_BYTES}b")
+    return df
+
+
 def arrow_schema(schema: T.StructType) -> pa.Schema:
     return pa.schema([(f.name, ARROW[f.dataType.simpleString()]) for f in schema.fields])
 
@@ -67,7 +78,7 @@ def map_texts(df: DataFrame, text_col: str, fn: Callable[[pa.RecordBatch, list[b
                 got = fn(part, texts)
                 yield pa.RecordBatch.from_arrays([got[f.name] if isinstance(got[f.name], pa.Array) else pa.array(got[f.name], f.type) for f in out], schema=out)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def keep_rows(docs: DataFrame, keep: Callable[[list[bytes | None]], np.ndarray], text_col: str = "text") -> DataFrame:
@@ -81,7 +92,7 @@ def keep_rows(docs: DataFrame, keep: Callable[[list[bytes | None]], np.ndarray],
             for part, texts in text_pieces(slim, "text"):
                 yield batch.take(part.column(1).filter(pa.array(np.asarray(keep(texts), bool))))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def bitmap(df: DataFrame, hash_col: str) -> np.ndarray:

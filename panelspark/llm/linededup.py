@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from panelspark.session import cut_lineage
 
-from .common import bitmap, map_texts, set_in
+from .common import bitmap, map_texts, set_in, small_batches
 
 SPACE = b" \t\n\v\f\r"
 FILTER_BYTES = 64 << 20
@@ -237,7 +237,7 @@ def frequent_lines(rows: DataFrame, state: LineState, filter_bytes: int = FILTER
                         keep[part] = filter_holds(cells, [keys[i] for i in part])
                 yield batch.filter(pa.array(keep)).select([0, 1, 2])
 
-        asked = asked.withColumn("shard", shard_of("key", shards)).mapInArrow(run, "doc_id long, sha string, key binary")
+        asked = small_batches(asked.withColumn("shard", shard_of("key", shards))).mapInArrow(run, "doc_id long, sha string, key binary")
     exact = state.refs.where(F.col("n") >= state.min_docs).select(F.col("key").alias("k"), "last")
     return asked.join(exact, F.col("key") == F.col("k")).where("NOT (doc_id <=> last)").select("doc_id", "sha", "key")
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from panelspark.session import cut_lineage
 
-from .common import map_texts, text_pieces
+from .common import map_texts, small_batches, text_pieces
 from .toxicity import sampled, text_words
 
 SYMBOLS = b"#*$%&|<>!"
@@ -237,4 +237,4 @@ def resample(docs: DataFrame, model: DomainModel, history: list[np.ndarray]) ->
                 copies = np.floor(x + part.column(part.num_columns - 1).to_numpy()).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([c.take(pa.array(np.repeat(np.arange(len(texts)), copies))) for c in part.columns[:-1]], names=part.schema.names[:-1])
 
-    return marked.mapInArrow(run, docs.schema)
+    return small_batches(marked).mapInArrow(run, docs.schema)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from panelspark.session import cut_lineage
 
-from .common import bitmap, map_texts, set_in
+from .common import bitmap, map_texts, set_in, small_batches
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -225,7 +225,7 @@ def sanitise(docs: DataFrame, rule: DisclosureRule = DisclosureRule(), id_col: s
             ids = batch.column(0)
             yield batch.filter(pa.array(set_in(shared.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)))
 
-    few = d.mapInArrow(maybe, d.schema)
+    few = small_batches(d).mapInArrow(maybe, d.schema)
     joined = few.join(named, few.doc_id == named.of).select("doc_id", "text", F.array_join("terms", " ").alias("terms"))
 
     def run(part, texts):
