@@ -56,7 +56,7 @@ def default_arms() -> list[Arm]:
     grid = [("pullback", "b", band, {"band": band, "max_dd": -0.15}, "pullback") for band in (0.02, 0.03, 0.04)]
     grid += [("breakout", "s", s, {"stop_pct": s}, "breakout_price_only") for s in (0.06, 0.08, 0.10)]
     grid += [("pead_proxy", "g", g, {"gap": g, "vol_mult": 2.0}, "pead_proxy") for g in (0.05, 0.08)]
-    return [Arm(f"{n}_{k}{round(v * 100)}_h{h}", kind, h, p) for n, k, v, p, kind in grid for h in HORIZONS]
+    return [Arm(f"{n}_{k}{round(v * 100)}_h{h}", kind, h, p) for n, k, v, p, kind in grid for h in HORIZONS] + [Arm("spy_hold", "spy_hold", 0)]
 
 
 _ARM_ID = re.compile(r"^(pullback|breakout|pead_proxy)_([bsg])(\d+)_h(\d+)(?:_([a-z0-9+]+))?$")
@@ -146,6 +146,8 @@ def _gap_on_volume(p):
     return fires.otherwise(False), stop
 
 
+# kinds without a rule of their own: cells drawn at random, and the benchmark held over the window
+BASELINES = ("random", "spy_hold")
 RULES = {"pullback": _pullback, "breakout_price_only": _breakout, "pead_proxy": _gap_on_volume}
 FILTERS = {"mkt200": "the market is above its own long mean", "rs63": "the name outran the market over the first span",
            "rs126": "the name outran the market over the second span", "x1": "at least 1% beyond the level the rule keyed on"}
@@ -170,6 +172,8 @@ def signals(features: DataFrame, arms: list[Arm]) -> DataFrame:
     """X11: ``arm, horizon, ticker, s_idx, session, close, stop`` for every firing of every arm, in one pass."""
     cols, cells = {}, []
     for n, a in enumerate(arms):
+        if a.kind in BASELINES:
+            continue
         if a.kind not in RULES:
             raise ValueError(f"unknown arm kind {a.kind!r}")
         fires, stop = RULES[a.kind](a.params)
@@ -315,6 +319,25 @@ def paired_differences(buckets: DataFrame, pairs: list[tuple[str, str]], reps: i
     return s.join(ci, ["a", "b"], "left")
 
 
+def equal_pairs(arms: list[Arm]) -> list[tuple[str, str]]:
+    """The pairs a comparison reports: arms of one kind and horizon, in the order of their ids."""
+    ruled = sorted((a for a in arms if a.kind not in BASELINES), key=lambda a: (a.kind, a.id))
+    return [(a.id, b.id) for i, a in enumerate(ruled) for b in ruled[i + 1:] if (a.kind, a.horizon) == (b.kind, b.horizon)]
+
+
+def pairwise_table(buckets: DataFrame, arms: list[Arm], reps: int = 3000) -> DataFrame:
+    """Month by month differences of every pair at equal horizon."""
+    return paired_differences(buckets, equal_pairs(arms), reps)
+
+
+def benchmark_hold(features: DataFrame, start: str, end: str, cost: float = ONE_WAY_COST) -> DataFrame:
+    """The ``spy_hold`` arm: the benchmark bought on the first and sold on the last session of the window, after costs."""
+    b = features.where(F.col("bench").isNotNull() & F.col("session").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    g = b.agg(F.min("session").alias("fill_date"), F.max("session").alias("exit_date"), F.min_by("bench", "session").alias("entry"), F.max_by("bench", "session").alias("exit"))
+    net = (F.col("exit") * (1.0 - cost)) / (F.col("entry") * (1.0 + cost)) - 1.0
+    return g.select(F.lit("spy_hold").alias("arm"), "fill_date", "exit_date", (F.col("exit") / F.col("entry") - 1.0).alias("ret_gross"), net.alias("ret_net"))
+
+
 # -- the control -------------------------------------------------------------------------------------------
 
 def mix_sql(right: str, key: str, turn: int) -> str:

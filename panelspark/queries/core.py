@@ -264,8 +264,9 @@ GAPPY = f"""{t.DAILY}, gappy AS (SELECT ticker, session, high, low, volume,
  AND NOT (CAST(substr(ticker, 2) AS BIGINT) % 8 = 0 AND session < DATE '1997-01-01'))"""
 
 
-def fwd_sql(policy: str, horizon: int = 63) -> str:
-    return f"""WITH {GAPPY}, {PROBES}, {dense_sql('gappy')},
+def fwd_ctes(policy: str, base: str, horizon: int = 63) -> str:
+    """Forward returns of ``probes(id, ticker, date)`` over the panel ``base`` as CTEs ending in ``s``."""
+    return f"""{dense_sql(base)},
  e AS (SELECT max(s_idx) AS en, min(session) AS p0 FROM cal),
  b AS (SELECT p.id, p.ticker, p.date, o.s_idx AS bi, o.close AS bpx, o.session AS bd, o.s_idx + {horizon} AS tg
    FROM probes p ASOF LEFT JOIN obs o ON p.ticker = o.ticker AND p.date >= o.session),
@@ -275,7 +276,11 @@ def fwd_sql(policy: str, horizon: int = 63) -> str:
  s AS (SELECT *, CASE WHEN last_idx IS NULL THEN 'no_column' WHEN bi IS NULL AND p0 < date THEN 'not_listed_yet'
    WHEN bi IS NULL THEN 'unknown_before_window' WHEN dead AND bi = last_idx AND bd < date THEN 'already_delisted'
    {"WHEN stop THEN 'delisted'" if policy == 'none' else ''} WHEN NOT stop AND tg > en THEN 'short_panel'
-   WHEN bpx <= 0 THEN 'bad_base_price' WHEN stop THEN 'truncated' ELSE 'ok' END AS status FROM j)
+   WHEN bpx <= 0 THEN 'bad_base_price' WHEN stop THEN 'truncated' ELSE 'ok' END AS status FROM j)"""
+
+
+def fwd_sql(policy: str) -> str:
+    return f"""WITH {GAPPY}, {PROBES}, {fwd_ctes(policy, 'gappy')}
  SELECT id, ticker, date, bd AS base_date, bpx AS base_px, CASE status WHEN 'ok' THEN {r6('fill / bpx - 1')} WHEN 'truncated' THEN {r6('last_close / bpx - 1')} END AS fwd_ret,
  status, status IN ('already_delisted', 'delisted', 'truncated') OR (status = 'bad_base_price' AND coalesce(stop, false)) AS stopped_trading FROM s"""
 

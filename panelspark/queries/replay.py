@@ -151,6 +151,24 @@ def paired_difference(spark, sf):
     return p.select("a", "b", "n_months", rnd("diff_mean").alias("diff_mean"), rnd("t", 4).alias("t"), rnd("ci_low").alias("ci_low"), rnd("ci_high").alias("ci_high"))
 
 
+def pair_sql(a: str, b: str) -> str:
+    return f"""WITH RECURSIVE {TRD}, {MB}, d AS (SELECT 'pair' AS pr, x.month, x.mean_excess - y.mean_excess AS diff FROM mb x JOIN mb y ON x.month = y.month WHERE x.arm = '{a}' AND y.arm = '{b}'), {block_sql('d', 'pr', 'month', 'diff', '2')}
+ SELECT '{a}' AS a, '{b}' AS b, count(*) AS n_months, {r6('avg(diff)')} AS diff_mean, {r6('avg(diff) / (stddev_samp(diff) / sqrt(count(*)))', 4)} AS t, {r6('any_value(ci_low)')} AS ci_low, {r6('any_value(ci_high)')} AS ci_high FROM d, ci"""
+
+
+@register("pairwise_differences", " UNION ALL ".join(f"SELECT * FROM ({pair_sql(a, b)})" for a, b in ev.equal_pairs(ARMS)))
+def pairwise_differences(spark, sf):
+    p = ev.pairwise_table(cut_lineage(ev.month_buckets(study(spark, sf))), ARMS)
+    return p.select("a", "b", "n_months", rnd("diff_mean").alias("diff_mean"), rnd("t", 4).alias("t"), rnd("ci_low").alias("ci_low"), rnd("ci_high").alias("ci_high"))
+
+
+@register("benchmark_hold", f"""WITH {t.WEEKLY}, {t.bench_sql('weekly')}, w AS (SELECT min(session) AS f, max(session) AS l, arg_min(bench, session) AS b0, arg_max(bench, session) AS b1 FROM bench WHERE bench IS NOT NULL AND session BETWEEN DATE '{WINDOW[0]}' AND DATE '{WINDOW[1]}')
+ SELECT 'spy_hold' AS arm, f AS fill_date, l AS exit_date, {r6('b1 / b0 - 1')} AS ret_gross, {r6('(b1 * (1.0::DOUBLE - 0.001::DOUBLE)) / (b0 * (1.0::DOUBLE + 0.001::DOUBLE)) - 1')} AS ret_net FROM w""")
+def benchmark_hold(spark, sf):
+    h = ev.benchmark_hold(features(spark, sf), *WINDOW)
+    return h.withColumns({c: rnd(c) for c in ("ret_gross", "ret_net")})
+
+
 TURNS = ", ".join(f"k{i + 1} AS (SELECT * EXCLUDE (l, r), r AS l, (l + {ev.mix_sql('r', 'key', i)}) % root AS r FROM k{i})" for i in range(4))
 CONTROL = f"""cells AS (SELECT ticker, s_idx, close, row_number() OVER (ORDER BY s_idx, ticker) - 1 AS ordinal FROM feat WHERE eligible AND session BETWEEN DATE '{WINDOW[0]}' AND DATE '{WINDOW[1]}'),
  rsk AS (SELECT arm, median(1.0::DOUBLE - stop_initial / entry) AS med FROM trades WHERE entry > 0 GROUP BY 1),

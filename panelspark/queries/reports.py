@@ -13,7 +13,7 @@ from panelspark.queries import crosssection as cs
 from panelspark.queries import desk
 from panelspark.queries import r6, register, rnd
 from panelspark.queries import tables as t
-from panelspark.queries.core import CAL
+from panelspark.queries.core import CAL, fwd_ctes
 from panelspark.session import cut_lineage
 
 # -- audit ---------------------------------------------------------------------------------------
@@ -347,7 +347,8 @@ def snapshot_movements(spark, sf):
     return rp.snapshot_movements(p)
 
 
-@register("snapshot_backtest_panel")
+@register("snapshot_backtest_panel", f"""WITH {t.DAILY}, probes AS (SELECT row_number() OVER () AS id, ticker, date FROM (SELECT ticker, CAST(date_trunc('quarter', session) AS DATE) AS date FROM daily GROUP BY 1, 2)), {fwd_ctes('truncate', 'daily')}
+ SELECT status, count(*) AS n, {r6("avg(CASE status WHEN 'ok' THEN fill / bpx - 1 WHEN 'truncated' THEN last_close / bpx - 1 END)")} AS mean_ret FROM s GROUP BY 1""")
 def snapshot_backtest_panel(spark, sf):
     s = desk.snapshots(spark, sf).withColumnRenamed("score_percentile", "score")
     b = cut_lineage(rp.backtest_from_snapshots(s, t.daily(spark, sf), 63))

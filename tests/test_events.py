@@ -93,7 +93,7 @@ def test_control_draws_the_asked_number_of_eligible_cells(spark):
 def test_arm_ids_round_trip_and_unknown_raises(spark):
     a = ev.arm_by_id("breakout_s8_h10_mkt200+x1")
     assert (a.kind, a.horizon, a.params["stop_pct"], a.params["filters"]) == ("breakout_price_only", 10, 0.08, ["mkt200", "x1"])
-    assert len(ev.default_arms()) == 24
+    assert len(ev.default_arms()) == 25
     for bad in ("breakout_b8_h10", "pullback_b3_h5_nope", "spy"):
         with pytest.raises(ValueError):
             ev.arm_by_id(bad)

@@ -146,3 +146,11 @@ def test_top_n_is_cut_before_the_shuffle(spark):
     df = frame(spark, [float(i) for i in range(50)])
     plan = ranks.top_n(df, ["g"], [F.desc("v")], 3)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_a_narrow_column_is_spread_over_many_even_buckets(spark):
+    from panelspark.operators.ranks import value_bucket
+    for lo, step in ((99.0, 2e-6), (1.70e9, 31.0)):
+        v = spark.range(1_000_000).select((F.lit(lo) + F.col("id") * step).alias("v"))
+        sizes = [r["count"] for r in v.groupBy(value_bucket(F.col("v"))).count().collect()]
+        assert len(sizes) > 1000 and max(sizes) < 2000 and sum(sizes) == 1_000_000
