@@ -48,7 +48,8 @@ def range_self_join(facts: DataFrame, keys: list[str], long_q: int, short_q: int
     no later; the latest by (filed, adsh) wins.
 
     The day range is turned into month slots, which makes the join an equi-join on
-    keys and slot.
+    keys and slot. A period is filed a few times at most, so with the tag among the keys
+    a long-period fact meets the few filings of one period only.
     """
     a = facts.where(F.col("qtrs") == long_q).select(
         *keys, F.col("ddate").alias("a_ddate"), F.col("value").alias("a_value"),

@@ -438,14 +438,16 @@ def asof_known_fact(spark, sf):
     return k.select("cik", "tag", "value", "ddate", "adsh")
 
 
-@register("asof_known_fact_many", f"""WITH {t.FACTS}, asks AS (SELECT o_orderkey AS id, o_custkey AS cik, CAST(o_orderdate AS DATE) AS as_of FROM orders),
- j AS (SELECT id, a.cik, as_of, f.value, f.ddate, f.filed, f.adsh FROM asks a LEFT JOIN facts f ON f.cik = a.cik AND f.tag = 'Revenues' AND f.filed <= a.as_of)
+ASKED = "CASE o_orderkey % 5 WHEN 0 THEN 'Revenues' WHEN 1 THEN 'SalesRevenueNet' WHEN 2 THEN 'OperatingIncomeLoss' WHEN 3 THEN 'NetIncomeLoss' ELSE 'Assets' END"
+
+
+@register("asof_known_fact_many", f"""WITH {t.FACTS}, asks AS (SELECT o_orderkey AS id, o_custkey AS cik, {ASKED} AS tag, CAST(o_orderdate AS DATE) AS as_of FROM orders),
+ j AS (SELECT id, a.cik, as_of, f.value, f.ddate, f.filed, f.adsh FROM asks a LEFT JOIN facts f ON f.cik = a.cik AND f.tag = a.tag AND f.filed <= a.as_of)
  SELECT id, cik, as_of, arg_max(value, struct_pack(a := ddate, b := filed, c := adsh, d := value)) AS value FROM j GROUP BY 1, 2, 3""")
 def asof_known_fact_many(spark, sf):
     asks = t.read(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("cik"), F.to_date("o_orderdate").alias("as_of"))
-    f = t.facts(spark, sf).where("tag = 'Revenues'")
-    return asof.known_on_many(f, asks, ["cik"], "as_of", ["ddate", "filed", "adsh", "value"], ["value"])
+        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("cik"), F.expr(ASKED).alias("tag"), F.to_date("o_orderdate").alias("as_of"))
+    return asof.known_on_many(t.facts(spark, sf), asks, ["cik", "tag"], "as_of", ["ddate", "filed", "adsh", "value"], ["value"]).drop("tag")
 
 
 @register("membership_interval", f"""WITH {t.DAILY}, {t.MEMBERSHIP} SELECT ticker, session, close FROM daily d WHERE EXISTS (SELECT 1 FROM membership m
@@ -456,12 +458,12 @@ def membership_interval(spark, sf):
 
 
 @register("year_to_date_self_join", f"""WITH {t.FACTS}, a AS (SELECT * FROM facts WHERE qtrs = 4), b AS (SELECT * FROM facts WHERE qtrs = 3),
- j AS (SELECT a.cik, a.ddate AS a_ddate, a.value AS a_value, a.filed AS a_filed, a.adsh AS a_adsh, b.ddate AS b_ddate, b.value AS b_value, b.filed AS b_filed, b.adsh AS b_adsh
-  FROM a JOIN b ON a.cik = b.cik AND date_diff('day', b.ddate, a.ddate) BETWEEN 75 AND 100 AND b.filed <= a.filed)
- SELECT cik, a_ddate, a_value, a_adsh, {r6('a_value - arg_max(b_value, struct_pack(a := b_filed, b := b_adsh, c := b_ddate, d := b_value))', 2)} AS q4, count(*) > 0 AS found FROM j GROUP BY ALL""".replace(", count(*) > 0 AS found FROM j GROUP BY ALL", " FROM j GROUP BY cik, a_ddate, a_value, a_filed, a_adsh"))
+ j AS (SELECT a.cik, a.tag, a.ddate AS a_ddate, a.value AS a_value, a.filed AS a_filed, a.adsh AS a_adsh, b.ddate AS b_ddate, b.value AS b_value, b.filed AS b_filed, b.adsh AS b_adsh
+  FROM a JOIN b ON a.cik = b.cik AND a.tag = b.tag AND date_diff('day', b.ddate, a.ddate) BETWEEN 75 AND 100 AND b.filed <= a.filed)
+ SELECT cik, tag, a_ddate, a_value, a_adsh, {r6('a_value - arg_max(b_value, struct_pack(a := b_filed, b := b_adsh, c := b_ddate, d := b_value))', 2)} AS q4, count(*) > 0 AS found FROM j GROUP BY ALL""".replace(", count(*) > 0 AS found FROM j GROUP BY ALL", " FROM j GROUP BY cik, tag, a_ddate, a_value, a_filed, a_adsh"))
 def year_to_date_self_join(spark, sf):
-    j = intervals.range_self_join(t.facts(spark, sf).drop("tag"), ["cik"], 4, 3, 75, 100)
-    return j.select("cik", "a_ddate", "a_value", "a_adsh", rnd(F.col("a_value") - F.col("b_value"), 2).alias("q4"))
+    j = intervals.range_self_join(t.facts(spark, sf), ["cik", "tag"], 4, 3, 75, 100)
+    return j.select("cik", "tag", "a_ddate", "a_value", "a_adsh", rnd(F.col("a_value") - F.col("b_value"), 2).alias("q4"))
 
 
 @register("benchmark_same_window", f"""WITH {t.WEEKLY}, {t.bench_sql('weekly')}, o AS (SELECT ticker, session, close, lead(session, 4) OVER w AS s2, lead(close, 4) OVER w AS c2 FROM weekly WINDOW w AS (PARTITION BY ticker ORDER BY session))

@@ -10,7 +10,7 @@ from panelspark.plans import figures as fg
 from panelspark.plans import watch as wa
 from panelspark.queries import r6, register, rnd
 from panelspark.queries import tables as t
-from panelspark.session import scratch_path
+from panelspark.session import cut_lineage, scratch_path
 from panelspark.sources import payloads as pl
 from panelspark.sources import sinks
 from panelspark.sources import tables as st
@@ -286,9 +286,10 @@ def note_rows(spark, sf):
     return f.where("error is null").join(n.select("ticker", F.col("quality_rank").cast("long").alias("rank")), "ticker").select("ticker", "fiscal_year", rnd("diluted_shares_m", 3).alias("shares"), "rank")
 
 
-def releases(spark, sf, which: int):
+def releases(spark, sf, which: int | None = None):
     """A short release per customer from its orders; the older and the newer half of them give the two sides."""
-    o = t.read(spark, sf, "orders").where(F.col("o_orderkey") % 2 == which)
+    o = t.read(spark, sf, "orders")
+    o = o if which is None else o.where(F.col("o_orderkey") % 2 == which)
     m = F.format_string("%.1f", F.col("o_totalprice") / 100000)
     w = F.format_string("%.1f", F.col("o_totalprice") / 100000 + 1)
     text = F.concat(F.lit("Acme Inc. reported results. For the third quarter of fiscal 2026 we expect revenue of between $"), m, F.lit(" and $"), w, F.lit(" million, up from $9.9 million. "),
@@ -297,11 +298,11 @@ def releases(spark, sf, which: int):
     return o.select(F.col("o_custkey").alias("cik"), F.col("o_orderkey").alias("doc"), text.alias("text"))
 
 
-@register("release_figures", """WITH o AS (SELECT o_orderkey AS doc, o_custkey AS cik, printf('%.1f', o_totalprice / 100000) AS m, printf('%.1f', o_totalprice / 100000 + 1) AS w FROM orders WHERE o_orderkey % 2 = 0)
+@register("release_figures", """WITH o AS (SELECT o_orderkey AS doc, o_custkey AS cik, printf('%.1f', o_totalprice / 100000) AS m, printf('%.1f', o_totalprice / 100000 + 1) AS w FROM orders)
  SELECT doc, 'revenue' AS metric, 'Q3 FY2026' AS period, round(CAST(m AS DOUBLE) * 1000000, 0) AS low, round(CAST(w AS DOUBLE) * 1000000, 0) AS high, 'USD' AS unit, 'range' AS kind FROM o
  UNION ALL SELECT doc, 'gross_margin', 'unspecified', 45.0, 46.0, 'percent', 'range' FROM o WHERE cik % 3 = 0 UNION ALL SELECT doc, 'eps', 'full year', 2.05, 2.05, 'USD', 'point' FROM o WHERE cik % 3 <> 0""")
 def release_figures(spark, sf):
-    f = fg.extract_figures(releases(spark, sf, 0), ["doc"])
+    f = fg.extract_figures(releases(spark, sf), ["doc"])
     return f.select("doc", "metric", "period", "low", "high", "unit", "kind")
 
 
@@ -314,7 +315,8 @@ def document_figures(spark, sf):
 
 
 def _items(spark, sf, which):
-    o = t.read(spark, sf, "orders").where(F.col("o_orderkey") % 2 == which)
+    o = t.read(spark, sf, "orders")
+    o = o if which is None else o.where(F.col("o_orderkey") % 2 == which)
     per = F.expr("CASE o_custkey % 4 WHEN 0 THEN 'Q3 FY2026' WHEN 1 THEN 'FY2026' WHEN 2 THEN 'full year' ELSE 'September quarter' END")
     return o.groupBy(F.col("o_custkey").alias("cik"), F.expr("o_orderpriority").alias("metric"), per.alias("period")).agg(
         F.floor(F.min("o_totalprice") / 40000).cast("double").alias("low"), F.floor(F.max("o_totalprice") / 40000).cast("double").alias("high")).withColumns({
@@ -335,22 +337,22 @@ def release_diff(spark, sf):
 
 # -- sinks ---------------------------------------------------------------------------------------------------
 
-@register("snapshot_archive", f"WITH {t.DAILY} SELECT date_trunc('year', session)::DATE AS snapshot_date, ticker, max(close) AS score FROM daily WHERE session >= DATE '1999-01-01' GROUP BY 1, 2")
+@register("snapshot_archive", f"WITH {t.DAILY} SELECT date_trunc('year', session)::DATE AS snapshot_date, ticker, max(close) AS score FROM daily GROUP BY 1, 2")
 def snapshot_archive(spark, sf):
     root = scratch_path(spark, "archive")
-    d = t.daily(spark, sf).where("session >= '1999-01-01'").groupBy(F.to_date(F.date_trunc("year", "session")).alias("day"), "ticker").agg(F.max("close").alias("score"))
-    for y in ("1999-01-01", "2000-01-01", "2001-01-01"):
+    d = cut_lineage(t.daily(spark, sf).groupBy(F.to_date(F.date_trunc("year", "session")).alias("day"), "ticker").agg(F.max("close").alias("score")))
+    for y in sorted(str(r[0]) for r in d.select("day").distinct().collect()):         # an archive run each, one per year of the panel
         one = d.where(F.col("day") == y).select("ticker", "score")
         sinks.archive_snapshot(one, root, y)
         sinks.archive_snapshot(one.withColumn("score", F.lit(-1.0)), root, y)        # already there: nothing happens
     return sinks.read_archive(spark, root).select(F.col("snapshot_date").cast("date").alias("snapshot_date"), "ticker", "score")
 
 
-@register("panel_write_read", f"WITH {t.DAILY} SELECT ticker, session, close FROM daily WHERE ticker = 'S7'")
+@register("panel_write_read", f"WITH {t.DAILY} SELECT ticker, session, close FROM daily")
 def panel_write_read(spark, sf):
     path = scratch_path(spark, "panel")
     sinks.write_panel(t.daily(spark, sf), path)
-    return spark.read.parquet(path).where("ticker = 'S7'").select("ticker", "session", "close")
+    return spark.read.parquet(path).select("ticker", "session", "close")
 
 
 @register("quotes_latest", f"WITH {t.DAILY} SELECT ticker, arg_max(close, session) AS close, max(session) AS date FROM daily GROUP BY 1")
@@ -466,9 +468,13 @@ def stream_late_print_merge(spark, sf):
     return sm.merged(spark, root).select("ticker", "session", "close")
 
 
-@register("set_union_and_missing", "SELECT 'S' || s_suppkey AS ticker, 'missing' AS side FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_linenumber = 7 AND l_quantity > 45) UNION ALL SELECT DISTINCT 'S' || l_suppkey, 'present' FROM lineitem WHERE l_linenumber = 7 AND l_quantity > 45")
+MORE_RETURNS = "SELECT l_suppkey FROM lineitem GROUP BY l_suppkey HAVING count(*) FILTER (l_returnflag = 'R') > count(*) FILTER (l_returnflag = 'A')"
+
+
+@register("set_union_and_missing", f"SELECT 'S' || s_suppkey AS ticker, 'missing' AS side FROM supplier WHERE s_suppkey NOT IN ({MORE_RETURNS}) UNION ALL SELECT 'S' || l_suppkey, 'present' FROM ({MORE_RETURNS})")
 def set_union_and_missing(spark, sf):
-    have = t.read(spark, sf, "lineitem").where("l_linenumber = 7 and l_quantity > 45").select(F.concat(F.lit("S"), "l_suppkey").alias("ticker")).distinct()
+    n = t.read(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("r"), F.count_if(F.col("l_returnflag") == "A").alias("a"))
+    have = n.where("r > a").select(F.concat(F.lit("S"), "l_suppkey").alias("ticker"))
     asked = t.read(spark, sf, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("ticker"))
     return asked.join(have, "ticker", "left_anti").withColumn("side", F.lit("missing")).unionByName(have.withColumn("side", F.lit("present")))
 

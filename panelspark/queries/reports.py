@@ -222,7 +222,7 @@ def drivers_and_drags(spark, sf):
     return d.withColumn("contribution", rnd("contribution"))
 
 
-HOLD = f"""{t.COMPANIES}, hold AS (SELECT o_custkey AS portfolio, 'S' || (o_orderkey % (SELECT count(*) FROM supplier)) AS ticker, o_totalprice AS cost_usd, CASE WHEN o_orderkey % 5 = 0 THEN 'Cyclical turn' END AS bucket FROM orders WHERE o_orderstatus <> 'P'), csh AS (SELECT c_custkey AS portfolio, abs(c_acctbal) * 20 AS cash_usd FROM customer)"""
+HOLD = f"""{t.COMPANIES}, hold AS (SELECT o_custkey AS portfolio, 'S' || (o_orderkey % (SELECT count(*) FROM supplier)) AS ticker, o_totalprice AS cost_usd, CASE WHEN o_orderkey % 5 = 0 THEN 'Cyclical turn' END AS bucket FROM orders), csh AS (SELECT c_custkey AS portfolio, abs(c_acctbal) * 20 AS cash_usd FROM customer)"""
 
 
 @register("constraint_checks", f"""WITH {HOLD}, h AS (SELECT hold.*, coalesce(sector, 'unknown') AS sector FROM hold LEFT JOIN companies USING (ticker)), a AS (SELECT portfolio, count(*) AS n, sum(cost_usd) AS dep, max(cost_usd) AS big, sum(CASE WHEN bucket IS NOT NULL THEN cost_usd ELSE 0 END) AS cyc FROM h GROUP BY 1),
@@ -231,7 +231,7 @@ HOLD = f"""{t.COMPANIES}, hold AS (SELECT o_custkey AS portfolio, 'S' || (o_orde
   UNION ALL SELECT portfolio, 'cyclical', cyc / coalesce(nullif(dep, 0), 1) <= 0.3, cyc / coalesce(nullif(dep, 0), 1) FROM j) SELECT portfolio, rule, CASE WHEN ok THEN 'ok' ELSE 'not met' END AS status, {r6('v')} AS value FROM r""")
 def constraint_checks(spark, sf):
     n = t.read(spark, sf, "supplier").agg(F.count(F.lit(1))).scalar()
-    h = t.read(spark, sf, "orders").where("o_orderstatus <> 'P'").select(F.col("o_custkey").alias("portfolio"), F.concat(F.lit("S"), F.col("o_orderkey") % n).alias("ticker"), F.col("o_totalprice").alias("cost_usd"),
+    h = t.read(spark, sf, "orders").select(F.col("o_custkey").alias("portfolio"), F.concat(F.lit("S"), F.col("o_orderkey") % n).alias("ticker"), F.col("o_totalprice").alias("cost_usd"),
                                                                          F.when(F.col("o_orderkey") % 5 == 0, "Cyclical turn").alias("bucket"))
     c = t.read(spark, sf, "customer").select(F.col("c_custkey").alias("portfolio"), (F.abs("c_acctbal") * 20).alias("cash_usd"))
     return rp.constraint_checks(h, c, t.companies(spark, sf).select("ticker", "sector")).withColumn("value", rnd("value"))
@@ -336,14 +336,14 @@ def company_record(spark, sf):
 
 # -- snapshots ------------------------------------------------------------------------------------------------
 
-PRES = "pres AS (SELECT DISTINCT CAST(date_trunc('year', l_shipdate) AS DATE) AS snapshot, 'P' || l_partkey AS ticker FROM lineitem WHERE l_linenumber = 1)"
+PRES = "pres AS (SELECT DISTINCT CAST(date_trunc('year', l_shipdate) AS DATE) AS snapshot, 'P' || l_partkey || '-' || l_linenumber AS ticker FROM lineitem)"
 
 
 @register("snapshot_movements", f"""WITH {PRES}, d AS (SELECT snapshot, row_number() OVER (ORDER BY snapshot) AS i FROM (SELECT DISTINCT snapshot FROM pres)), p AS (SELECT ticker, i FROM pres JOIN d USING (snapshot)), n AS (SELECT max(i) AS n FROM d),
  e AS (SELECT ticker, min(i) AS i FROM p WHERE i > 1 AND NOT EXISTS (SELECT 1 FROM p q WHERE q.ticker = p.ticker AND q.i = p.i - 1) GROUP BY 1), l AS (SELECT ticker, min(i) + 1 AS i FROM p, n WHERE i < n AND NOT EXISTS (SELECT 1 FROM p q WHERE q.ticker = p.ticker AND q.i = p.i + 1) GROUP BY 1)
  SELECT x.ticker, a.snapshot AS entered, b.snapshot AS left_on FROM (SELECT DISTINCT ticker FROM pres) x LEFT JOIN e USING (ticker) LEFT JOIN d a ON a.i = e.i LEFT JOIN l ON l.ticker = x.ticker LEFT JOIN d b ON b.i = l.i""")
 def snapshot_movements(spark, sf):
-    p = t.read(spark, sf, "lineitem").where("l_linenumber = 1").select(F.to_date(F.date_trunc("year", "l_shipdate")).alias("snapshot"), F.concat(F.lit("P"), "l_partkey").alias("ticker"))
+    p = t.read(spark, sf, "lineitem").select(F.to_date(F.date_trunc("year", "l_shipdate")).alias("snapshot"), F.concat(F.lit("P"), "l_partkey", F.lit("-"), "l_linenumber").alias("ticker"))
     return rp.snapshot_movements(p)
 
 

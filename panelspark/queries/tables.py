@@ -195,17 +195,16 @@ FACTS = f"""facts AS (SELECT o_custkey AS cik, {_TAG} AS tag, {_DDATE} AS ddate,
 # -- membership, listings, calls ----------------------------------------------------------------
 
 def membership(spark, sf) -> DataFrame:
-    """First to last active month of each supplier-and-year; every fifth supplier's last span is open."""
-    li = read(spark, sf, "lineitem").where("l_linenumber = 3")
-    m = li.groupBy("l_suppkey", F.year("l_shipdate").alias("fy")).agg(
-        F.to_date(F.min("l_shipdate")).alias("start_date"), F.to_date(F.max("l_shipdate")).alias("end_date"))
+    """From the first to the dearest line of each supplier-and-year; every fifth supplier's last span is open."""
+    m = read(spark, sf, "lineitem").groupBy("l_suppkey", F.year("l_shipdate").alias("fy")).agg(
+        F.to_date(F.min("l_shipdate")).alias("start_date"), F.to_date(F.max_by("l_shipdate", F.struct("l_extendedprice", "l_shipdate"))).alias("end_date"))
     return m.select(F.concat(F.lit("S"), F.col("l_suppkey")).alias("ticker"), "start_date",
                     F.when(~((F.col("l_suppkey") % 5 == 0) & (F.col("fy") >= 2000)), F.col("end_date")).alias("end_date"))
 
 
 MEMBERSHIP = """membership AS (SELECT 'S' || l_suppkey AS ticker, CAST(min(l_shipdate) AS DATE) AS start_date,
-  CASE WHEN NOT (l_suppkey % 5 = 0 AND year(l_shipdate) >= 2000) THEN CAST(max(l_shipdate) AS DATE) END AS end_date
-  FROM lineitem WHERE l_linenumber = 3 GROUP BY l_suppkey, year(l_shipdate))"""
+  CASE WHEN NOT (l_suppkey % 5 = 0 AND year(l_shipdate) >= 2000) THEN CAST(arg_max(l_shipdate, struct_pack(a := l_extendedprice, b := l_shipdate)) AS DATE) END AS end_date
+  FROM lineitem GROUP BY l_suppkey, year(l_shipdate))"""
 
 
 def listings(spark, sf) -> DataFrame:
