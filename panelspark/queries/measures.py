@@ -59,7 +59,10 @@ def ic_by_sector(spark, sf):
     return bt.group_ic(rk(spark, sf), F.col("sector")).select("grp", "n", rnd("rho").alias("rho"))
 
 
-@register("ic_by_bucket", f"WITH {RK}, {group_sql(chr(32).join(['unnest(CASE WHEN len(buckets) > 0 THEN buckets ELSE', chr(91) + chr(39) + 'unbucketed' + chr(39) + chr(93), 'END)']))}")
+EACH_BUCKET = "unnest(CASE WHEN len(buckets) > 0 THEN buckets ELSE ['unbucketed'] END)"
+
+
+@register("ic_by_bucket", f"WITH {RK}, {group_sql(EACH_BUCKET)}")
 def ic_by_bucket(spark, sf):
     return bt.group_ic(rk(spark, sf), bt.bucket_labels()).select("grp", "n", rnd("rho").alias("rho"))
 
@@ -89,7 +92,11 @@ def backtest_summary(spark, sf):
     return s.select("n_rebalances", "n_scored", *[rnd(c).alias(c) for c in nums], "verdict", F.array_join("flags", "; ").alias("flags"))
 
 
-@register("backtest_failure_modes")
+@register("backtest_failure_modes", f"""WITH {RK}, {IC}, by_sector AS (WITH {group_sql('sector')}), by_bucket AS (WITH {group_sql(EACH_BUCKET)}), fifth AS (SELECT CAST(least(floor(p * 5), 4) AS INT) AS b, avg(fwd_ret) AS m FROM rk WHERE nn >= 20 GROUP BY 1)
+ SELECT 'negative sector' AS kind, grp AS what, rho AS value FROM by_sector WHERE rho < 0 AND n >= 30 UNION ALL SELECT 'negative bucket', grp, rho FROM by_bucket WHERE rho < 0 AND n >= 30
+ UNION ALL SELECT * FROM (SELECT 'worst date', CAST(date AS VARCHAR), {r6('ic')} FROM ic WHERE ic IS NOT NULL ORDER BY ic.ic, date LIMIT 3)
+ UNION ALL SELECT 'not monotonic', 'Q' || (x.b + 1), {r6('y.m - x.m')} FROM fifth x JOIN fifth y ON y.b = x.b + 1 WHERE y.m < x.m
+ UNION ALL SELECT 'top did not beat bottom', 'Q5-Q1', {r6('y.m - x.m')} FROM fifth x JOIN fifth y ON x.b = 0 AND y.b = 4 WHERE y.m <= x.m""")
 def backtest_failure_modes(spark, sf):
     r = rk(spark, sf)
     return bt.failure_modes(r, bt.ic_series(r)).select("kind", "what", rnd("value").alias("value"))
