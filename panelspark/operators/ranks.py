@@ -226,6 +226,21 @@ def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, out: str
     return df.withColumn(out, F.row_number().over(w.orderBy(*order))).where(F.col(out) <= n)
 
 
+def place(df: DataFrame, keys: list[str], coarse: list[tuple[Column, bool]], order: list[Column], out: str) -> DataFrame:
+    """1-based place of every row of a group in the order (``coarse``, ``order``), however long the list is.
+
+    ``coarse``: (column, descending) pairs that never contradict ``order``, such as a value bucket or the
+    first letters of a name. Rows are counted per coarse cell, and only the rows of a cell are sorted together.
+    """
+    names = [f"__c{i}" for i in range(len(coarse))]
+    d = df.withColumns({n: c for n, (c, _) in zip(names, coarse)})
+    by = [F.desc(n) if down else F.asc(n) for n, (_, down) in zip(names, coarse)]
+    w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)      # one row per cell
+    cells = d.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(w), F.lit(0))).drop("__n")
+    inside = F.row_number().over(Window.partitionBy(*keys, *names).orderBy(*order))
+    return join_on(d.withColumn("__r", inside), cells, keys + names).withColumn(out, (F.col("__before") + F.col("__r")).cast("int")).drop("__before", "__r", *names)
+
+
 def position(df: DataFrame, value: str, tie: str, out: str = "rank", descending: bool = True) -> DataFrame:
     """1-based place of every row in the order (value, tie), without a global sort.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from panelspark.functions.numeric import cagr, growth, ladder, safe_div
 from panelspark.operators.asof import asof_backward
 from panelspark.operators.panel import own_reads
-from panelspark.operators.ranks import spearman, top_n
+from panelspark.operators.ranks import place, spearman, top_n, value_bucket
 from panelspark.session import cut_lineage
 
 # Portfolio limits and trend bands.
@@ -100,8 +100,7 @@ def position_lists(scores: DataFrame, notes: DataFrame, held: DataFrame, n: int
     j = j.withColumn("list", F.when(F.col("stance") == "buy", "candidate").when(F.col("has_note"), "declined").otherwise("queue")).drop("_a", "_n")
     order = [F.desc("score"), F.asc("ticker")]
     short = top_n(j.where(F.col("list") != "declined"), ["list"], order, n)
-    # the declined names are as many as there are written notes
-    declined = j.where(F.col("list") == "declined").withColumn("rank", F.row_number().over(Window.partitionBy("list").orderBy(*order)))
+    declined = place(j.where(F.col("list") == "declined"), ["list"], [(value_bucket(F.col("score")), True)], order, "rank")
     return short.unionByName(declined)
 
 
@@ -221,8 +220,8 @@ def capped_headlines(items: DataFrame, per_name: int, total: int) -> DataFrame:
 
 def digest_rows(counts: DataFrame) -> DataFrame:
     """Severity first, then held, then name; ``place`` states the order for a table without one."""
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("max_severity"), F.desc("held"), "ticker")       # the watch list
-    return counts.withColumn("place", F.row_number().over(w))
+    coarse = [(F.col("max_severity"), True), (F.col("held"), True), (F.substring("ticker", 1, 2), False)]
+    return place(counts, [], coarse, [F.asc("ticker")], "place")
 
 
 # -- company record and index --------------------------------------------------------------------------
