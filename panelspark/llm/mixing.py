@@ -15,7 +15,8 @@ The classifier is softmax regression over words and style features, learned on a
 labelled rows drawn by a hash of the id (a documented bound); everything else covers all documents.
 
 Edge cases: null and empty texts have no tokens and get the rate of their posterior; rows without a
-label are only mixed; without any label every posterior is uniform. Null ids and repeated rows are
+label are only mixed; without any label, or a word that tells domains apart, every posterior is the
+same and every rate is one. Null ids and repeated rows are
 rated row by row. Targets that nonnegative rates cannot reach are met in least squares. An empty
 table gives an empty result; other columns are not read.
 """
@@ -216,6 +217,8 @@ def mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None
     model = learn_domains(labelled_domains(docs, labels))
     member = cut_lineage(memberships(docs, model))
     history, totals = fit_rates(member, targets or TARGETS, **params)
+    if not model.vocab:
+        history = []          # nothing tells the domains apart
 
     def run(batches):
         for batch in batches:
