@@ -340,9 +340,10 @@ def benchmark_hold(features: DataFrame, start: str, end: str, cost: float = ONE_
 
 # -- the control -------------------------------------------------------------------------------------------
 
-def mix_sql(right: str, key: str, turn: int) -> str:
+def mix_sql(right: str, key: str, turn: int | str) -> str:
     """What a round of the permutation adds, as SQL text: whole numbers below 2^63, alike in any engine and any retry."""
-    x = f"(({right} * 69621 + {key} * 48271 + {16807 * turn + SEED}) % {PRIME})"
+    offset = f"(16807 * {turn} + {SEED})" if isinstance(turn, str) else 16807 * turn + SEED
+    x = f"(({right} * 69621 + {key} * 48271 + {offset}) % {PRIME})"
     x = f"(({x} * {x} + 12345) % {PRIME})"
     return f"(({x} * {x} + {right}) % {PRIME})"
 
@@ -382,10 +383,9 @@ def control_events(features: DataFrame, like: DataFrame, replicates: int = CONTR
     d = d.withColumn("root", F.ceil(F.sqrt("cells")).cast("long")).select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
     most = F.when(F.col("n") <= F.col("cells"), F.col("n") + F.col("root") * F.col("root") - F.col("cells")).otherwise(F.col("n"))
     d = d.where("n > 0").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), most - 1))).withColumn("key", F.col("arm_no") * 1009 + F.col("rep"))
-    d = d.withColumns({"l": F.expr("i div root"), "r": F.expr("i % root")})
-    for turn in range(4):
-        d = d.withColumn("_m", F.expr(mix_sql("r", "key", turn))).withColumns({"l": F.col("r"), "r": (F.col("l") + F.col("_m")) % F.col("root")})
-    spot = F.when(F.col("n") <= F.col("cells"), F.col("l") * F.col("root") + F.col("r")).otherwise(draw(F.col("key"), F.col("i"), SEED, F.col("cells")))
+    # one expression for all rounds: chained columns would be written out again by every filter that Spark pushes below them
+    rounds = f"aggregate(array(0L, 1L, 2L, 3L), named_struct('l', i div root, 'r', i % root), (a, t) -> named_struct('l', a.r, 'r', (a.l + {mix_sql('a.r', 'key', 't')}) % root), a -> a.l * root + a.r)"
+    spot = F.when(F.col("n") <= F.col("cells"), F.expr(rounds)).otherwise(draw(F.col("key"), F.col("i"), SEED, F.col("cells")))
     d = d.withColumn("ordinal", spot).where(F.col("ordinal") < F.col("cells"))
     taken = d.withColumn("_k", F.row_number().over(Window.partitionBy("arm", "rep").orderBy("i"))).where(F.col("_k") <= F.col("n"))
     return taken.join(cells.select("ordinal", "ticker", "s_idx", "close"), "ordinal").where(F.col("close") > 0).select(
