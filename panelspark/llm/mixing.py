@@ -2,14 +2,18 @@
 
 A classifier fitted on the labelled table gives every document posteriors over domains, so a
 document belongs to several domains in part. Nonnegative document rates x are fitted so that the
-expected tokens of each domain, the sum of x * tokens * posterior, match targets: projected-gradient
-least squares. With M the token-weighted second moment of the posteriors, the step
+expected tokens of each domain, the sum of x * tokens * posterior, match targets in least squares of
+the residual's M^-1 norm, M being the token-weighted second moment of the posteriors. Of all rates
+that do so, those nearest to one are wanted, which have the form
 
-    x <- max(0, x + p . u),   u = M^-1 (target - current)
+    x = max(0, 1 + p . u),   e M u = target - current
 
-is gradient descent of the residual's M^-1 norm with step 1/L. A round is one aggregation of as many
-numbers as there are domains. No rate is stored: the list of past u is enough to replay any
-document's rate, so rounds have no lineage and a lost executor costs its own tasks only.
+for a small e. A round is a Newton step in u: one aggregation of the current sums and of the moment
+over documents with a positive rate. e is lowered until the targets are met; where nonnegative rates
+cannot meet them, rounds end by the projected gradient: another gradient step of length 1/L would
+move the rates by less than the tolerance (token-weighted root mean square). No rate is stored: u is
+enough to replay any document's rate, so rounds have no lineage and a lost executor costs its own
+tasks only.
 
 The classifier is softmax regression over words and style features, learned on at most ``MAX_ROWS``
 labelled rows drawn by a hash of the id (a documented bound); everything else covers all documents.
@@ -17,13 +21,17 @@ labelled rows drawn by a hash of the id (a documented bound); everything else co
 Edge cases: null and empty texts have no tokens and get the rate of their posterior; rows without a
 label are only mixed; without any label, or a word that tells domains apart, every posterior is the
 same and every rate is one. Null ids and repeated rows are
-rated row by row. Targets that nonnegative rates cannot reach are met in least squares. An empty
-table gives an empty result; other columns are not read.
+rated row by row. Targets that nonnegative rates cannot reach are met in least squares, marked
+``met: False`` in the totals and warned of. A domain that no document belongs to in any part is left
+out of the fit. Domains are those the targets name. An empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections import Counter
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,14 +41,16 @@ from pyspark.sql import functions as F
 
 from panelspark.session import cut_lineage
 
-from .common import map_texts, small_batches, text_pieces
+from .common import map_texts, pieces, small_batches, text_pieces
 from .toxicity import sampled, text_words
 
 SYMBOLS = b"#*$%&|<>!"
-DOMAINS = ("good", "low")
-TARGETS = {"good": 0.94, "low": 0.06}
+DOMAINS = ("good", "low", "toxic")
+TARGETS = {"good": 0.93, "low": 0.06, "toxic": 0.01}
 MAX_ROWS = 6000
-MILLI = 1000.0
+MICRO = 1e6
+# weights of the distance from one, lowered until targets are met
+PULLS = (1e-3, 1e-4, 1e-5, 1e-6, 1e-7)
 
 
 @dataclass(frozen=True)
@@ -50,10 +60,14 @@ class DomainModel:
     bias: np.ndarray = field(repr=False)
 
 
-def label_domain(quality: str | Column = "quality") -> Column:
-    """Number of the domain a labelled row belongs to; null without a label."""
-    q = F.col(quality) if isinstance(quality, str) else quality
-    return F.when(q.isNotNull(), (q == 0).cast("int"))
+def label_domain(quality: str | Column = "quality", toxic: str | Column = "toxic", domains: Sequence[str] = DOMAINS) -> Column:
+    """Number of the domain a labelled row belongs to; null without labels of the ``domains``."""
+    q, t = (F.col(c) if isinstance(c, str) else c for c in (quality, toxic))
+    at = {d: i for i, d in enumerate(domains)}
+    kind = F.when(q == 0, F.lit(at.get("low"))).when(q.isNotNull(), F.lit(at.get("good")))
+    if "toxic" in at:
+        kind = F.when(t == 1, F.lit(at["toxic"])).when(q == 0, F.lit(at.get("low"))).when(q.isNotNull() | t.isNotNull(), F.lit(at.get("good")))
+    return kind.cast("int")
 
 
 def n_tokens(text: bytes | None) -> int:
@@ -159,44 +173,88 @@ def batch_matrix(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]
     return batch.column(0).to_numpy().astype(float), batch.column(1).flatten().to_numpy().reshape(-1, k)
 
 
-def fit_rates(member: DataFrame, targets: dict[str, float], anchor: str | None = "good", total_tokens: float | None = None, tolerance: float = 1e-4, max_rounds: int = 40) -> tuple[list[np.ndarray], list[dict]]:
-    """Steps that give every document its rate, and per domain its target and expected tokens.
+def fit_rates(member: DataFrame, targets: dict[str, float], anchor: str | None = "good", total_tokens: float | None = None, tolerance: float = 1e-4, max_rounds: int = 40, domains: Sequence[str] = DOMAINS) -> tuple[list[np.ndarray], list[dict]]:
+    """Steps that give every document its rate, and per domain its target, its expected tokens and whether it is met.
 
     Without ``total_tokens`` the budget is what leaves the tokens of the ``anchor`` domain as they are.
     """
-    k = len(DOMAINS)
+    k = len(domains)
     rows = member.select("tokens", "p")
 
     def sums(fn, width: int) -> np.ndarray:
-        """Exact sums of thousandths, so the order of tasks does not matter."""
+        """Exact sums of millionths, so the order of tasks does not matter."""
         def run(batches):
             for batch in batches:
                 if batch.num_rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.rint(fn(*batch_matrix(batch, k)) * MILLI).astype(np.int64).sum(axis=0).reshape(1, -1).tolist(), pa.list_(pa.int64()))], names=["s"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.rint(fn(*batch_matrix(batch, k)) * MICRO).astype(np.int64).sum(axis=0).reshape(1, -1).tolist(), pa.list_(pa.int64()))], names=["s"])
         got = rows.mapInArrow(run, "s array<long>").agg(*[F.sum(F.col("s")[j]) for j in range(width)]).first()
-        return np.array([float(v or 0) for v in got]) / MILLI
-
-    moment = sums(lambda n, p: (n[:, None, None] * p[:, :, None] * p[:, None, :]).reshape(len(n), -1), k * k).reshape(k, k)
-    now = sums(lambda n, p: n[:, None] * p, k)
-    share = np.array([targets.get(d, 0.0) for d in DOMAINS])
+        return np.array([float(v or 0) for v in got]) / MICRO
+
+    def at(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens per domain under the rates of ``u``, and the moment over documents with a positive rate."""
+        def both(n, p):
+            x = 1.0 + p @ u
+            n = np.where(x > 0, n, 0.0)
+            return np.concatenate([(x * n)[:, None] * p, (n[:, None, None] * p[:, :, None] * p[:, None, :]).reshape(len(n), -1)], axis=1)
+        got = sums(both, k + k * k)
+        return got[:k], got[k:].reshape(k, k)
+
+    u = np.zeros(k)
+    now, positive = at(u)
+    moment, tokens = positive, now.sum()
+    share = np.array([targets.get(d, 0.0) for d in domains])
     share = share / share.sum()
     if total_tokens is None:
-        a = DOMAINS.index(anchor) if anchor else 0
+        a = list(domains).index(anchor) if anchor in domains else 0
         total_tokens = now[a] / share[a] if anchor and share[a] else now.sum()
     goal = total_tokens * share
-    inverse = np.linalg.pinv(moment + 1e-9 * np.trace(moment) / k * np.eye(k))
-    history: list[np.ndarray] = []
-    before = np.inf
-    for _ in range(max_rounds):
-        gap = np.abs(goal - now).max()
-        # met, or as near as nonnegative rates come
-        if gap <= tolerance * max(total_tokens, 1.0) or gap > 0.95 * before:
+    live = now > 0                                   # of the others no rate can make a token
+    bound = tolerance * max(total_tokens, 1.0)
+
+    def gap() -> float:
+        return np.abs(goal - now)[live].max(initial=0.0)
+
+    def inverse(m: np.ndarray) -> np.ndarray:
+        out = np.zeros((k, k))
+        some = m[np.ix_(live, live)]
+        out[np.ix_(live, live)] = np.linalg.pinv(some + 1e-9 * np.trace(some) / max(live.sum(), 1) * np.eye(live.sum()), hermitian=True)
+        return out
+
+    def another() -> float:
+        """How far another gradient step would move the rates."""
+        back, here = inverse(moment) @ (goal - now), u
+        def move(n, p):
+            x = np.maximum(0.0, 1.0 + p @ here)
+            return (n * (x - np.maximum(0.0, x + p @ back)) ** 2)[:, None]
+        return float(np.sqrt(sums(move, 1)[0] / max(tokens, 1.0)))
+
+    rounds, moved = 0, np.inf
+    for pull in PULLS:
+        left = goal - now - pull * moment @ u
+        while rounds < max_rounds and gap() > bound and np.abs(left)[live].max() > 0.1 * bound:
+            step = inverse(positive + pull * moment) @ left
+            fall, length = step @ left, 1.0
+            while True:
+                # along a step the slope only grows: past its zero it is taken shorter
+                now, positive = at(u + length * step)
+                rounds += 1
+                new = goal - now - pull * moment @ (u + length * step)
+                slope = step @ new
+                if slope >= -0.2 * fall or rounds >= max_rounds:
+                    break
+                length *= max(fall / (fall - slope), 0.1)
+            u, left = u + length * step, new
+        if gap() <= bound:
+            break
+        moved = another()
+        if moved <= tolerance:
             break
-        before = gap
-        history.append(inverse @ (goal - now))
-        past = list(history)
-        now = sums(lambda n, p, past=past: (replay(p, past) * n)[:, None] * p, k)
-    return history, [{"domain": d, "target": float(g), "expected": float(e)} for d, g, e in zip(DOMAINS, goal, now)]
+    else:
+        raise RuntimeError(f"rates did not settle in {rounds} rounds: another step moves them by {moved:.2g}")
+    totals = [{"domain": d, "target": float(g), "expected": float(e), "met": bool(abs(g - e) <= bound)} for d, g, e in zip(domains, goal, now)]
+    if not all(t["met"] for t in totals):
+        warnings.warn(f"nonnegative rates cannot meet the targets: {[t for t in totals if not t['met']]}", stacklevel=2)
+    return [u] if u.any() else [], totals
 
 
 def unit_hash(doc_id: str | Column = "doc_id", text: str | Column = "text") -> Column:
@@ -204,25 +262,25 @@ def unit_hash(doc_id: str | Column = "doc_id", text: str | Column = "text") -> C
     return F.pmod(F.xxhash64(doc_id, text), F.lit(1 << 30)) / float(1 << 30)
 
 
-def labelled_domains(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+def labelled_domains(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, domains: Sequence[str] = DOMAINS) -> DataFrame:
     """A sample of labelled documents, domains in their natural shares."""
-    lab = labels.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("of"), label_domain().alias("y")).where("y IS NOT NULL")
+    lab = labels.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("of"), label_domain(domains=domains).alias("y")).where("y IS NOT NULL")
     sizes = {r[0]: r[1] for r in lab.groupBy("y").count().collect()}
     total = max(sum(sizes.values()), 1)
     return sampled(docs, lab, {y: -(-max_rows * n // max(total, max_rows)) for y, n in sizes.items()})
 
 
 def mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, **params) -> tuple[DataFrame, list[dict], DomainModel, list[np.ndarray]]:
-    """``(rows, totals, model, history)``; rows are ``doc_id, tokens, p, rate``."""
-    model = learn_domains(labelled_domains(docs, labels))
+    """``(rows, totals, model, history)``; rows are ``doc_id, tokens, p, rate``, p in the order of ``DOMAINS`` of those the targets name."""
+    targets = targets or TARGETS
+    domains = [d for d in DOMAINS if d in targets]
+    model = learn_domains(labelled_domains(docs, labels, domains=domains), k=len(domains))
     member = cut_lineage(memberships(docs, model))
-    history, totals = fit_rates(member, targets or TARGETS, **params)
-    if not model.vocab:
-        history = []          # nothing tells the domains apart
+    history, totals = ([], []) if not model.vocab else fit_rates(member, targets, domains=domains, **params)  # no word: nothing tells the domains apart
 
     def run(batches):
         for batch in batches:
-            p = batch.column(2).flatten().to_numpy().reshape(-1, len(DOMAINS))
+            p = batch.column(2).flatten().to_numpy().reshape(-1, len(domains))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(replay(p, history))], names=["doc_id", "tokens", "p", "rate"])
 
     rows = member.mapInArrow(run, "doc_id long, tokens long, p array<double>, rate double")
@@ -238,6 +296,8 @@ def resample(docs: DataFrame, model: DomainModel, history: list[np.ndarray]) ->
             for part, texts in text_pieces(batch, "text"):
                 x = replay(posteriors(texts, model), history)
                 copies = np.floor(x + part.column(part.num_columns - 1).to_numpy()).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([c.take(pa.array(np.repeat(np.arange(len(texts)), copies))) for c in part.columns[:-1]], names=part.schema.names[:-1])
+                again = np.repeat(np.arange(len(texts)), copies)
+                for a, b in pieces(np.array([len(texts[i] or b"") for i in again.tolist()], np.int64)):
+                    yield pa.RecordBatch.from_arrays([c.take(pa.array(again[a:b])) for c in part.columns[:-1]], names=part.schema.names[:-1])
 
     return small_batches(marked).mapInArrow(run, docs.schema)
