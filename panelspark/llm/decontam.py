@@ -1,8 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 The n-grams of the test items are counted over all documents. A rare n-gram of an item, one in at
-most ``rare_docs`` or ``rare_share`` of the documents or among the rarer half of the item's own, is
-a seed; so an item that a third of the corpus has copied keeps seeds. Every occurrence of a seed places the item
+most ``rare_docs`` or ``rare_share`` of the documents or the rarest of any ``window`` neighbouring ones of the item, is
+a seed; so every stretch of an item long enough to reach the bound holds seeds, also where a third of
+the corpus has copied the item or a part of it. Every occurrence of a seed places the item
 on a stretch of the passage, and Smith-Waterman alignment of words (match 2, mismatch and gap -1)
 scores the stretch, so edited and paraphrased copies count as well as exact ones.
 
@@ -48,6 +49,11 @@ class DecontamRule:
     share: float = 0.5
     passage: int = 30
 
+    def window(self, n_words: int) -> int:
+        """Neighbouring n-grams of an item of which one is a seed: a third of the words that reach its bound, so that edits leave a seed."""
+        least = min(self.share * 2 * n_words, self.passage) / 2
+        return max(1, int(least // 3) - self.seed_words + 1)
+
 
 def words_of(text: bytes | None) -> list[bytes]:
     """Lower-cased words: runs of ASCII letters, digits, underscores and letters beyond ASCII.
@@ -116,14 +122,16 @@ class Items:
         self.place_item, self.place_offset = self.item[order], self.offset[order]
         self.first = np.searchsorted(self.which[order], np.arange(len(self.grams) + 1))
 
-    def choose_seeds(self, counts: dict[int, int], most: float) -> None:
-        """Seeds are n-grams in at most ``most`` documents, and the rarer half of each item's."""
+    def choose_seeds(self, counts: dict[int, int], most: float, rule: DecontamRule) -> None:
+        """Seeds are n-grams in at most ``most`` documents, and the rarest of every window of an item; ties are all seeds."""
         df = np.array([counts.get(i, 0) for i in range(len(self.grams))], np.int64)[self.which]
         seed = df <= most
-        for i in range(len(self.words)):
-            own = np.flatnonzero(self.item == i)
-            rarest = own[np.argsort(df[own], kind="stable")]
-            seed[rarest[:(len(own) + 1) // 2]] = True
+        ends = np.searchsorted(self.item, np.arange(len(self.words) + 1))
+        for i, words in enumerate(self.words):
+            own = df[ends[i]:ends[i + 1]]
+            wide = np.lib.stride_tricks.sliding_window_view(own, min(rule.window(len(words)), len(own)))
+            at = np.arange(len(wide))[:, None] + np.arange(wide.shape[1])
+            seed[ends[i] + at[wide == wide.min(axis=1, keepdims=True)]] = True
         self._index(seed)
 
     def find(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -244,7 +252,7 @@ def item_blocks(docs: DataFrame, benchmark: DataFrame, rule: DecontamRule, item_
     for k in range(blocks):
         rows = b.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
         it = Items([r[0] for r in rows], [r[1] for r in rows], rule.seed_words)
-        it.choose_seeds(gram_counts(docs, it), max(rule.rare_docs, rule.rare_share * n_docs))
+        it.choose_seeds(gram_counts(docs, it), max(rule.rare_docs, rule.rare_share * n_docs), rule)
         yield docs.sparkSession.sparkContext.broadcast(it.__dict__)
 
 

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from panelspark.llm import mixing
+from panelspark.llm import decontam, mixing
 
 
 def members(spark, p, n):
@@ -40,3 +40,16 @@ def test_mixing_has_the_toxic_domain_of_the_labels(spark):
     got = rows.collect()
     tokens = np.array([[r["tokens"] * r["rate"] * v for v in r["p"]] for r in got]).sum(axis=0)
     assert [t["domain"] for t in totals] == ["good", "low", "toxic"] and np.allclose(tokens / tokens.sum(), [0.93, 0.06, 0.01], atol=1e-3)
+
+
+def test_every_part_of_a_hot_item_that_reaches_the_bound_is_found(spark):
+    rng = random.Random(3)
+    item = [f"q{i}" for i in range(38)]
+    say = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    docs = [(i, f"{say(20)} {' '.join(item)} {say(20)}") for i in range(60)]
+    parts = [item[20:], item[:18], item[10:28], [w if j != 9 else "edit" for j, w in enumerate(item[18:])]]
+    docs += [(100 + 10 * j + k, f"{say(30)} {' '.join(part)} {say(30)}") for j, part in enumerate(parts) for k in range(9)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in decontam.leaks(d, b).collect()}
+    assert set(got) == {i for i, _ in docs} and got[100] == 36 and got[110] == 36
+    assert decontam.without_leaks(d, b).count() == 0
