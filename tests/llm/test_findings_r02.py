@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from panelspark.llm import decontam, mixing
+from panelspark.llm import decontam, mixing, sharding
 
 
 def members(spark, p, n):
@@ -53,3 +53,15 @@ def test_every_part_of_a_hot_item_that_reaches_the_bound_is_found(spark):
     got = {r["doc_id"]: r["score"] for r in decontam.leaks(d, b).collect()}
     assert set(got) == {i for i, _ in docs} and got[100] == 36 and got[110] == 36
     assert decontam.without_leaks(d, b).count() == 0
+
+
+def test_shards_keep_pairs_where_every_document_is_linked(spark):
+    df = spark.createDataFrame([(i, f"t{i // 2}") for i in range(2000)], "doc_id long, text string")
+    placed = sharding.shard_documents(df, 16, bucket_rows=100)
+    sizes = [r["count"] for r in placed.groupBy("shard").count().collect()]
+    assert len(sizes) == 16 and max(sizes) - min(sizes) <= 1
+    cut, links = sharding.cut_links(placed, "text_crc32").first()
+    assert links == 1000 and cut <= 16
+    groups = df.groupBy(sharding.F.col("text").alias("g")).agg(sharding.F.count("*").alias("n"))
+    with pytest.raises(RuntimeError, match="still move"):
+        sharding.propagate(groups, [125] * 16, 3, max_rounds=0)
