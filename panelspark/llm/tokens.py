@@ -58,8 +58,12 @@ class PrefixCounter:
         self.skip = len(self.sp.encode(self.apart))
         if any(MARK in p.lstrip(MARK) for p in self.ids) or self.sp.encode(f"a{MARK}b") != self.sp.encode("a b"):
             raise ValueError("a piece holds white space after another character: texts do not fall into stretches")
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.alone: dict[str, list[int]] = {}
+        self.starts = {p[:i] for p in self.ids for i in range(1, len(p) + 1)}
+        # per token (empty: the beginning) the tokens tried after it
+        self.after: dict[str, dict[str, bool]] = {}
+        self.tried = 0
+        # per longest beginning of a piece that ends somewhere, and the next character: that after it, and the tokens that may end there
+        self.steps: dict[str, tuple[str, tuple[tuple[int, str, int], ...]]] = {}
         self.kept: dict[str, bytes] = {}
 
     def tokens(self, text: str) -> list[int]:
@@ -68,47 +72,57 @@ class PrefixCounter:
 
     def token(self, piece: str) -> list[int]:
         """The token of a piece, or the bytes of a character without one."""
-        got = self.alone.get(piece)
-        if got is None:
-            got = self.alone[piece] = [self.ids[piece]] if piece in self.ids else self.tokens(piece)
-            if len(self.alone) > PAIRS:
-                self.alone.clear()
+        return [self.ids[piece]] if piece in self.ids else self.tokens(piece)
+
+    def step(self, begun: str) -> tuple[str, tuple[tuple[int, str, int], ...]]:
+        """The longest end of ``begun`` that begins a piece, and the tokens ``(length, piece, count)`` that are ends of it, longest first."""
+        ends = [begun[j:] for j in range(len(begun))]
+        may = tuple((len(e), e, len(self.token(e))) for e in ends if e in self.ids or len(e) == 1)
+        got = self.steps[begun] = (next((e for e in ends if e in self.starts), ""), may)
         return got
 
     def follows(self, last: str, piece: str) -> bool:
         """Whether ``piece`` can be the token after the token ``last`` (empty: the first)."""
-        ok = self.pairs.get((last, piece))
-        if ok is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            ok = self.pairs[last, piece] = self.tokens(last + piece) == ([*self.token(last), *self.token(piece)] if last else self.token(piece))
+        self.tried += 1
+        ok = self.tokens(last + piece) == ([*self.token(last), *self.token(piece)] if last else self.token(piece))
+        self.after.setdefault(last, {})[piece] = ok
         return ok
 
     def learn(self, stretches: list[str]) -> dict[str, bytes]:
         """Changes of the count along each stretch; a prefix that two sorted neighbours share is worked out once."""
+        if self.tried + len(self.steps) > PAIRS:
+            self.after, self.steps, self.tried = {}, {}, 0
         out: dict[str, bytes] = {}
-        ids, longest, pairs = self.ids, self.longest, self.pairs
-        before, count, last = "", [0], [""]
+        steps, after = self.steps, self.after
+        before, count, last, begun, change = "", [0], [""], [""], bytearray()
+        wide = 0                                     # after so many characters a change does not fit a byte
         for s in sorted(stretches):
             same = 0
             for a, b in zip(before, s):
                 if a != b:
                     break
                 same += 1
-            del count[same + 1:], last[same + 1:]
-            for i in range(same + 1, len(s) + 1):
-                for j in range(max(0, i - longest), i):
-                    piece = s[j:i]
-                    if piece in ids or j == i - 1:
-                        ok = pairs.get((last[j], piece))
-                        if ok or (ok is None and self.follows(last[j], piece)):
-                            count.append(count[j] + (1 if piece in ids else len(self.token(piece))))
-                            last.append(piece)
-                            break
+            del count[same + 1:], last[same + 1:], begun[same + 1:], change[same:]
+            wide = wide if wide <= same else 0
+            state = begun[same]
+            for i in range(same, len(s)):
+                key = state + s[i]
+                state, may = steps.get(key) or self.step(key)
+                for n, piece, made in may:
+                    prev = last[i + 1 - n]
+                    ok = after[prev].get(piece) if prev in after else None
+                    if ok or (ok is None and self.follows(prev, piece)):
+                        break
                 else:
-                    raise ValueError(f"no token ends after {s[max(0, i - longest):i]!r}: the model is not closed under prefixes")
-            d = np.diff(np.array(count, np.int64))
-            out[s] = d.astype(np.int8).tobytes() if -128 <= d.min() and d.max() <= 127 else d.astype("<i4").tobytes()
+                    raise ValueError(f"no token ends after {key!r}: the model is not closed under prefixes")
+                now = count[i + 1 - n] + made
+                d = now - count[i]
+                wide = wide or (0 if -128 <= d <= 127 else i + 1)
+                change.append(d & 255)
+                count.append(now)
+                last.append(piece)
+                begun.append(state)
+            out[s] = np.diff(np.array(count, np.int64)).astype("<i4").tobytes() if wide else bytes(change)
             before = s
         return out
 
