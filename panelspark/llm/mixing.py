@@ -1,30 +1,39 @@
 """Soft-membership mixing of documents to target domain weights.
 
 A classifier fitted on the labelled table gives every document posteriors over domains, so a
-document belongs to several domains in part. Nonnegative document rates x are fitted so that the
-expected tokens of each domain, the sum of x * tokens * posterior, match targets in least squares of
-the residual's M^-1 norm, M being the token-weighted second moment of the posteriors. Of all rates
-that do so, those nearest to one are wanted, which have the form
+document belongs to several domains in part. Nonnegative document rates x are fitted by projected
+gradients so that the expected tokens of each domain, the sum of x * tokens * posterior, match targets
+in least squares. With r the residual, A its metric and L the largest curvature, a round is
 
-    x = max(0, 1 + p . u),   e M u = target - current
+    x = max(0, y - p . A r(y) / L),   y = max(0, x + b (x - last x))
 
-for a small e. A round is a Newton step in u: one aggregation of the current sums and of the moment
-over documents with a positive rate. e is lowered until the targets are met; where nonnegative rates
-cannot meet them, rounds end by the projected gradient: another gradient step of length 1/L would
-move the rates by less than the tolerance (token-weighted root mean square). No rate is stored: u is
-enough to replay any document's rate, so rounds have no lineage and a lost executor costs its own
-tasks only.
+with momentum b, restarted where the step turns against the movement. A is the inverse of the
+token-weighted second moment M of the posteriors plus RIDGE times the squared targets: a miss costs what
+its correction would move the rates by, and a domain whose correction would need rates far above those
+around it costs no more than its relative miss. L is the largest eigenvalue of A M, which bounds the
+curvature for any set of positive rates.
+
+A round is one aggregation of the expected tokens at x and y, of the step's length and of its direction;
+no rate is stored: the steps so far are enough to replay any document's rate, so rounds have no lineage
+and a lost executor costs its own tasks only. Rounds end when targets are met, or by the projected
+gradient, when a step moves the rates by less than the tolerance (token-weighted root mean square).
+
+Domains named in ``at_most`` have their present tokens, or their target if that is less, as an upper
+bound only. The residual is then the shortest way (in A) to totals that meet the targets.
 
 The classifier is softmax regression over words and style features, learned on at most ``MAX_ROWS``
-labelled rows drawn by a hash of the id (a documented bound); everything else covers all documents.
+labelled rows drawn by a hash of the id and on the ``max_features`` features that tell domains best
+apart among those of ``min_docs`` labelled rows or more (documented bounds of the fit); everything else
+covers all documents.
 
 Edge cases: null and empty texts have no tokens and get the rate of their posterior; rows without a
 label are only mixed; without any label, or a word that tells domains apart, every posterior is the
 same and every rate is one. Null ids and repeated rows are
-rated row by row. Targets that nonnegative rates cannot reach are met in least squares, marked
-``met: False`` in the totals and warned of. A domain that no document belongs to in any part is left
-out of the fit. Domains are those the targets name. An empty table gives an empty result; other
-columns are not read.
+rated row by row. Targets that nonnegative rates cannot reach (a domain that hardly any document belongs
+to, domains that go together), or not in ``max_rounds``, are met as far as that goes, marked
+``met: False`` in the totals and warned of, never an error. A domain that no document belongs to in any
+part is left out of the fit. Domains are those the targets name. An empty table gives an empty result;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -49,8 +58,7 @@ DOMAINS = ("good", "low", "toxic")
 TARGETS = {"good": 0.93, "low": 0.06, "toxic": 0.01}
 MAX_ROWS = 6000
 MICRO = 1e6
-# weights of the distance from one, lowered until targets are met
-PULLS = (1e-3, 1e-4, 1e-5, 1e-6, 1e-7)
+RIDGE = 1.0
 
 
 @dataclass(frozen=True)
@@ -153,12 +161,19 @@ def posteriors(texts: list[bytes | None], model: DomainModel) -> np.ndarray:
     return softmax(z)
 
 
-def replay(p: np.ndarray, history: list[np.ndarray]) -> np.ndarray:
-    """Rates of documents with posteriors ``p`` after the steps so far."""
-    x = np.ones(len(p))
-    for u in history:
-        x = np.maximum(0.0, x + p @ u)
-    return x
+def replay(p: np.ndarray, history: list[tuple[np.ndarray, float]]) -> np.ndarray:
+    """Rates of documents with posteriors ``p`` after the steps ``(direction, momentum)`` so far."""
+    return trail(p, history)[0]
+
+
+def trail(p: np.ndarray, history: list[tuple[np.ndarray, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The rates, the point the next step leaves from, and the rates and point of the step before."""
+    x = y = last = left = np.ones(len(p))
+    for u, momentum in history:
+        last, left = x, y
+        x = np.maximum(0.0, y + p @ u)
+        y = np.maximum(0.0, x + momentum * (x - last))
+    return x, y, last, left
 
 
 def memberships(docs: DataFrame, model: DomainModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,7 +188,18 @@ def batch_matrix(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]
     return batch.column(0).to_numpy().astype(float), batch.column(1).flatten().to_numpy().reshape(-1, k)
 
 
-def fit_rates(member: DataFrame, targets: dict[str, float], anchor: str | None = "good", total_tokens: float | None = None, tolerance: float = 1e-4, max_rounds: int = 40, domains: Sequence[str] = DOMAINS) -> tuple[list[np.ndarray], list[dict]]:
+def missing(now: np.ndarray, goal: np.ndarray, metric: np.ndarray, loose: Sequence[int]) -> np.ndarray:
+    """``now`` less the nearest totals that meet the targets, by coordinate descent over the ``loose`` ones, which are upper bounds."""
+    r = now - goal
+    for _ in range(50 if loose else 0):
+        for d in loose:
+            others = metric[d] @ r - metric[d, d] * r[d]
+            r[d] = max(now[d] - goal[d], -others / metric[d, d] if metric[d, d] else 0.0)
+    return r
+
+
+def fit_rates(member: DataFrame, targets: dict[str, float], anchor: str | None = "good", total_tokens: float | None = None, tolerance: float = 1e-4, max_rounds: int = 60, domains: Sequence[str] = DOMAINS,
+              at_most: Sequence[str] = ()) -> tuple[list[tuple[np.ndarray, float]], list[dict]]:
     """Steps that give every document its rate, and per domain its target, its expected tokens and whether it is met.
 
     Without ``total_tokens`` the budget is what leaves the tokens of the ``anchor`` domain as they are.
@@ -187,74 +213,55 @@ def fit_rates(member: DataFrame, targets: dict[str, float], anchor: str | None =
             for batch in batches:
                 if batch.num_rows:
                     yield pa.RecordBatch.from_arrays([pa.array(np.rint(fn(*batch_matrix(batch, k)) * MICRO).astype(np.int64).sum(axis=0).reshape(1, -1).tolist(), pa.list_(pa.int64()))], names=["s"])
-        got = rows.mapInArrow(run, "s array<long>").agg(*[F.sum(F.col("s")[j]) for j in range(width)]).first()
+        got = rows.mapInArrow(run, "s array<long>").agg(*[F.sum(F.col("s")[j].cast("decimal(38,0)")) for j in range(width)]).first()
         return np.array([float(v or 0) for v in got]) / MICRO
 
-    def at(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens per domain under the rates of ``u``, and the moment over documents with a positive rate."""
-        def both(n, p):
-            x = 1.0 + p @ u
-            n = np.where(x > 0, n, 0.0)
-            return np.concatenate([(x * n)[:, None] * p, (n[:, None, None] * p[:, :, None] * p[:, None, :]).reshape(len(n), -1)], axis=1)
-        got = sums(both, k + k * k)
-        return got[:k], got[k:].reshape(k, k)
-
-    u = np.zeros(k)
-    now, positive = at(u)
-    moment, tokens = positive, now.sum()
+    def at(history) -> np.ndarray:
+        """Tokens per domain at the rates and at the point the next step leaves from; squared length of the last step, and how far it turns back."""
+        def run(n, p):
+            x, y, last, left = trail(p, history)
+            return np.column_stack([(x * n)[:, None] * p, (y * n)[:, None] * p, n * (x - left) ** 2, n * (left - x) * (x - last)])
+        return sums(run, 2 * k + 2)
+
+    first = sums(lambda n, p: np.concatenate([n[:, None] * p, (n[:, None, None] * p[:, :, None] * p[:, None, :]).reshape(len(n), -1)], axis=1), k + k * k)
+    now, moment = first[:k], first[k:].reshape(k, k)
+    tokens = max(now.sum(), 1.0)
     share = np.array([targets.get(d, 0.0) for d in domains])
     share = share / share.sum()
     if total_tokens is None:
         a = list(domains).index(anchor) if anchor in domains else 0
         total_tokens = now[a] / share[a] if anchor and share[a] else now.sum()
     goal = total_tokens * share
-    live = now > 0                                   # of the others no rate can make a token
+    live = np.flatnonzero(now > 0)                   # of the others no rate can make a token
+    loose = [j for j, d in enumerate(live) if domains[d] in at_most]
+    goal = np.where([d in at_most for d in domains], np.minimum(goal, now), goal)
     bound = tolerance * max(total_tokens, 1.0)
-
-    def gap() -> float:
-        return np.abs(goal - now)[live].max(initial=0.0)
-
-    def inverse(m: np.ndarray) -> np.ndarray:
-        out = np.zeros((k, k))
-        some = m[np.ix_(live, live)]
-        out[np.ix_(live, live)] = np.linalg.pinv(some + 1e-9 * np.trace(some) / max(live.sum(), 1) * np.eye(live.sum()), hermitian=True)
-        return out
-
-    def another() -> float:
-        """How far another gradient step would move the rates."""
-        back, here = inverse(moment) @ (goal - now), u
-        def move(n, p):
-            x = np.maximum(0.0, 1.0 + p @ here)
-            return (n * (x - np.maximum(0.0, x + p @ back)) ** 2)[:, None]
-        return float(np.sqrt(sums(move, 1)[0] / max(tokens, 1.0)))
-
-    rounds, moved = 0, np.inf
-    for pull in PULLS:
-        left = goal - now - pull * moment @ u
-        while rounds < max_rounds and gap() > bound and np.abs(left)[live].max() > 0.1 * bound:
-            step = inverse(positive + pull * moment) @ left
-            fall, length = step @ left, 1.0
-            while True:
-                # along a step the slope only grows: past its zero it is taken shorter
-                now, positive = at(u + length * step)
-                rounds += 1
-                new = goal - now - pull * moment @ (u + length * step)
-                slope = step @ new
-                if slope >= -0.2 * fall or rounds >= max_rounds:
-                    break
-                length *= max(fall / (fall - slope), 0.1)
-            u, left = u + length * step, new
-        if gap() <= bound:
-            break
-        moved = another()
-        if moved <= tolerance:
+    some = moment[np.ix_(live, live)]
+    metric = np.linalg.pinv(some + RIDGE * np.diag(goal[live] ** 2) / tokens, hermitian=True)
+    curve = max(np.linalg.eigvals(metric @ some).real.max(initial=0.0), 1e-9)
+
+    def residual(z: np.ndarray) -> np.ndarray:
+        return missing(z[live], goal[live], metric, loose)
+
+    history: list[tuple[np.ndarray, float]] = []
+    here, t = now, 1.0                               # tokens where the next step leaves from
+    while np.abs(residual(now)).max(initial=0.0) > bound and len(history) < max_rounds:
+        u = np.zeros(k)
+        u[live] = -metric @ residual(here) / curve
+        after = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        history.append((u, (t - 1) / after))
+        got = at(history)
+        now, here, length, back = got[:k], got[k:2 * k], got[-2], got[-1]
+        t = 1.0 if back > 0 else after
+        if np.sqrt(length / tokens) <= tolerance * 0.1:
             break
-    else:
-        raise RuntimeError(f"rates did not settle in {rounds} rounds: another step moves them by {moved:.2g}")
-    totals = [{"domain": d, "target": float(g), "expected": float(e), "met": bool(abs(g - e) <= bound)} for d, g, e in zip(domains, goal, now)]
-    if not all(t["met"] for t in totals):
-        warnings.warn(f"nonnegative rates cannot meet the targets: {[t for t in totals if not t['met']]}", stacklevel=2)
-    return [u] if u.any() else [], totals
+    short = np.zeros(k)
+    short[live] = residual(now)
+    met = np.where(now > 0, np.abs(short), goal) <= bound
+    totals = [{"domain": d, "target": float(g), "expected": float(e), "met": bool(m)} for d, g, e, m in zip(domains, goal, now, met)]
+    if not met.all():
+        warnings.warn(f"nonnegative rates cannot meet the targets in {len(history)} rounds: {[t for t in totals if not t['met']]}", stacklevel=2)
+    return history, totals
 
 
 def unit_hash(doc_id: str | Column = "doc_id", text: str | Column = "text") -> Column:
@@ -270,7 +277,7 @@ def labelled_domains(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROW
     return sampled(docs, lab, {y: -(-max_rows * n // max(total, max_rows)) for y, n in sizes.items()})
 
 
-def mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, **params) -> tuple[DataFrame, list[dict], DomainModel, list[np.ndarray]]:
+def mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, **params) -> tuple[DataFrame, list[dict], DomainModel, list[tuple[np.ndarray, float]]]:
     """``(rows, totals, model, history)``; rows are ``doc_id, tokens, p, rate``, p in the order of ``DOMAINS`` of those the targets name."""
     targets = targets or TARGETS
     domains = [d for d in DOMAINS if d in targets]
@@ -287,17 +294,22 @@ def mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None
     return rows, totals, model, history
 
 
-def resample(docs: DataFrame, model: DomainModel, history: list[np.ndarray]) -> DataFrame:
-    """Each row as many times as its rate says, the fraction decided by a hash of the row; all columns are kept."""
-    marked = docs.withColumn("_u", unit_hash(F.col("doc_id"), F.col("text")))
+def resample(docs: DataFrame, model: DomainModel, history: list[tuple[np.ndarray, float]]) -> DataFrame:
+    """Each row as many times as its rate says, the fraction decided by a hash of the row; all columns are kept, whatever their names."""
+    n, at = len(docs.columns), docs.columns.index("text")
+    unit = "unit" + "_" * max(map(len, docs.columns))     # longer than any name there is
+    marked = docs.select("*", unit_hash(F.col("doc_id"), F.col("text")).alias(unit))
 
     def run(batches):
         for batch in batches:
-            for part, texts in text_pieces(batch, "text"):
+            # by position: other columns may repeat a name
+            slim = pa.RecordBatch.from_arrays([batch.column(at), batch.column(n), pa.array(np.arange(batch.num_rows))], names=["text", "unit", "row"])
+            for part, texts in text_pieces(slim, "text"):
                 x = replay(posteriors(texts, model), history)
-                copies = np.floor(x + part.column(part.num_columns - 1).to_numpy()).astype(np.int64)
-                again = np.repeat(np.arange(len(texts)), copies)
+                copies = np.floor(x + part.column(1).to_numpy()).astype(np.int64)
+                again, row = np.repeat(np.arange(len(texts)), copies), part.column(2).to_numpy()
                 for a, b in pieces(np.array([len(texts[i] or b"") for i in again.tolist()], np.int64)):
-                    yield pa.RecordBatch.from_arrays([c.take(pa.array(again[a:b])) for c in part.columns[:-1]], names=part.schema.names[:-1])
+                    taken = pa.array(row[again[a:b]])
+                    yield pa.RecordBatch.from_arrays([batch.column(i).take(taken) for i in range(n)], names=batch.schema.names[:n])
 
     return small_batches(marked).mapInArrow(run, docs.schema)
