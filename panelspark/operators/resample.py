@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.operators.ranks import join_on, percentile_from_ranks, value_ranks
+
 PRIME = 2147483647
 SEED = 20260906
 
@@ -65,6 +67,47 @@ def bootstrap_ci(series: DataFrame, keys: list[str], order: str, value: str, sta
     return _interval(draws, keys, confidence, reps)
 
 
+# How likely a Poisson variable of mean one is at most 0, 1, 2 ...
+POISSON_ONE = (0.36787944117144233, 0.73575888234288467, 0.91969860292860584, 0.98101184312384626, 0.99634015317265630, 0.99940581518241830, 0.99991675885071200, 0.99998975080332534)
+
+
+def multiplicity(rep: Column, item: Column, seed: int) -> Column:
+    """How often an item is drawn in a replicate: Poisson of mean one, by integer arithmetic."""
+    u = draw(rep, item, seed, F.lit(PRIME))
+    return sum((F.when(u >= int(p * PRIME), 1).otherwise(0) for p in POISSON_ONE), F.lit(0))
+
+
+def multiplicity_sql(rep: str, item: str, seed: int) -> str:
+    u = draw_sql(rep, item, seed, str(PRIME))
+    return "(" + " + ".join(f"CASE WHEN {u} >= {int(p * PRIME)} THEN 1 ELSE 0 END" for p in POISSON_ONE) + ")"
+
+
+def weighted_bootstrap_ci(rows: DataFrame, keys: list[str], item: str, value: str, statistic: str | float = "mean", reps: int = 2000, confidence: float = 0.95, seed: int = SEED) -> DataFrame:
+    """Percentile interval of any order statistic or the mean under Poisson resampling; null below three values.
+
+    ``item`` is a whole number that names a row of its group, ``statistic`` is ``mean`` or a share (0.5: the median).
+    A replicate gives each row a weight instead of drawing rows, so nothing is joined: the mean is a map-side sum per
+    replicate, and a percentile the weighted order statistic of the replicate's value table. Replicates of a
+    small group that draw nothing are left out of the interval.
+    """
+    if not keys:
+        return weighted_bootstrap_ci(rows.withColumn("_all", F.lit(0)), ["_all"], item, value, statistic, reps, confidence, seed).drop("_all")
+    v = rows.where(F.col(value).isNotNull()).select(*keys, F.col(item).cast("long").alias("_i"), F.col(value).alias("_v"))
+    big = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n >= 3").drop("_n")
+    w = v.select("*", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("_rep")).withColumn("_w", multiplicity(F.col("_rep"), F.col("_i"), seed)).where("_w > 0")
+    if statistic == "mean":
+        draws = w.groupBy(*keys, "_rep").agg((F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias("_stat"))
+    else:
+        ranks = value_ranks(w, [*keys, "_rep"], "_v", weight="_w")
+        draws = ranks.groupBy(*keys, "_rep").agg(percentile_from_ranks("_v", float(statistic)).alias("_stat"))
+    draws = join_on(draws, big, keys)
+    a = (1.0 - confidence) / 2.0
+    by = Window.partitionBy(*keys)
+    r = draws.withColumns({"_rn": F.row_number().over(by.orderBy("_stat", "_rep")) - 1, "_b": F.count(F.lit(1)).over(by)})          # B rows per group
+    at = lambda q: F.max(F.when(F.col("_rn") == F.floor(F.lit(q) * (F.col("_b") - 1)), F.col("_stat")))
+    return r.groupBy(*keys).agg(at(a).alias("ci_low"), at(1.0 - a).alias("ci_high"))
+
+
 def block_bootstrap_ci(series: DataFrame, keys: list[str], order: str, value: str, block: Column | int,
                        reps: int = 3000, confidence: float = 0.95, seed: int = SEED) -> DataFrame:
     """Moving-block interval for the mean; blocks from uniform starts, the last one cut to length.

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.numeric import all_of, growth, ladder
 from panelspark.operators import panel as pn
+from panelspark.operators.chains import greedy_chain
 from panelspark.operators.describe import describe
 from panelspark.operators.intervals import inside_any
 from panelspark.operators.resample import PRIME, SEED, block_bootstrap_ci, draw
@@ -188,8 +189,8 @@ def signals(features: DataFrame, arms: list[Arm]) -> DataFrame:
 def classify_signals(sig: DataFrame, last_idx: Column, start: str | None = None, end: str | None = None) -> DataFrame:
     """Each signal with a ``status``: ``event`` or the reason it was skipped.
 
-    A name's signals in one arm are at most one per session, so the fold runs over a
-    short list; only an accepted event starts a new refractory span.
+    Only an accepted event starts a new refractory span: accepted are the first signal of a name in an arm that
+    could be one, and each next one a horizon or more later, marked by pointer doubling.
     """
     inside = F.lit(True)
     if start:
@@ -199,22 +200,14 @@ def classify_signals(sig: DataFrame, last_idx: Column, start: str | None = None,
     bad = F.col("stop").isNull() | (F.col("stop") <= 0) | (F.col("stop") >= F.col("close"))
     pre = ladder([(~inside, "outside_window"), (F.col("s_idx") + 1 > F.col("_last"), "no_next_session"),
                   (F.col("s_idx") + F.col("horizon") > F.col("_last"), "truncated_at_panel_end"), (bad, "bad_stop")], "event")
-    rows = sig.withColumn("_last", last_idx).withColumn("_pre", pre)
-    item = F.struct("s_idx", "session", "close", "stop", "_pre")
-    g = rows.groupBy("arm", "horizon", "ticker").agg(F.sort_array(F.collect_list(item)).alias("_l"))
-    first = F.struct(F.lit(-1_000_000).alias("last"), F.array().cast("array<int>").alias("kept"))
-
-    def step(acc, x):
-        # only accepted events are carried, at most one per horizon
-        taken = (x["_pre"] == "event") & (x["s_idx"] >= acc["last"] + F.col("horizon"))
-        return F.struct(F.when(taken, x["s_idx"]).otherwise(acc["last"]).alias("last"),
-                        F.when(taken, F.concat(acc["kept"], F.array(x["s_idx"]))).otherwise(acc["kept"]).alias("kept"))
-
-    done = g.withColumn("_k", F.aggregate("_l", first, step, lambda a: a["kept"]))
-    z = done.select("arm", "horizon", "ticker", "_k", F.explode("_l").alias("_z")).select("arm", "horizon", "ticker", "_k", "_z.*")
-    near = F.exists("_k", lambda k: (k < F.col("s_idx")) & (F.col("s_idx") < k + F.col("horizon")))
+    rows = cut_lineage(sig.withColumn("_last", last_idx).withColumn("_pre", pre).drop("_last"))
+    keys = ["arm", "horizon", "ticker"]
+    taken = greedy_chain(rows.where("_pre = 'event'").withColumn("_span", F.col("horizon")), keys, "s_idx", "_span").withColumnRenamed("pos", "_taken")
+    got = rows.join(taken.withColumn("s_idx", F.col("_taken").cast(rows.schema["s_idx"].dataType)), [*keys, "s_idx"], "left")
+    before = Window.partitionBy(*keys).orderBy("s_idx").rowsBetween(Window.unboundedPreceding, -1)         # one row per session
+    near = F.coalesce(F.col("s_idx") < F.last("_taken", ignorenulls=True).over(before) + F.col("horizon"), F.lit(False))
     status = ladder([(F.col("_pre") == "outside_window", "outside_window"), (near, "within_previous_horizon")], F.col("_pre"))
-    return z.select("arm", "horizon", "ticker", "s_idx", "session", "close", "stop", status.alias("status"))
+    return got.select("arm", "horizon", "ticker", "s_idx", "session", "close", "stop", status.alias("status"))
 
 
 def walk(events: DataFrame, prices: DataFrame, max_horizon: int, cost: float = ONE_WAY_COST) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.numeric import cagr, growth, ladder, safe_div
-from panelspark.operators.asof import asof_backward
+from panelspark.operators.asof import asof_backward, asof_forward
 from panelspark.operators.panel import own_reads
+from panelspark.operators.rangemin import first_below, range_minimum, sparse_table
 from panelspark.operators.ranks import place, spearman, top_n, value_bucket
 from panelspark.session import cut_lineage
 
@@ -154,8 +155,26 @@ def mark_positions(positions: DataFrame, prices: DataFrame, bench: DataFrame, as
                     br.alias("bench_ret"), (F.col("low_since_call") < F.col("stop")).alias("stop_breached"))
 
 
+def position_lows(positions: DataFrame, prices: DataFrame, as_of: str | None = None) -> DataFrame:
+    """One row per position: the lowest close since the fill, whether one was under the stop, and the first session it was.
+
+    ``positions``: ``pos, ticker, bought, stop``. No position meets its sessions: both answers come from a sparse table of minima.
+    """
+    p = prices.where(F.col("close").isNotNull())
+    if as_of is not None:
+        p = p.where(F.col("session") <= F.lit(as_of).cast("date"))
+    idx = F.row_number().over(Window.partitionBy("ticker").orderBy("session")) - 1                    # one row per session
+    p = cut_lineage(p.select("ticker", "session", "close", idx.cast("long").alias("idx")))
+    table, top = sparse_table(p, "ticker", "idx", "close")
+    last = p.groupBy("ticker").agg(F.max("idx").alias("hi"))
+    asks = asof_forward(positions.select("pos", "ticker", "bought", "stop"), p, ["ticker"], "bought", "session", ["idx"]).withColumnRenamed("idx", "lo").join(last, "ticker", "left")
+    low = first_below(range_minimum(asks, table, "ticker"), table, top, "ticker", "stop")
+    days = p.select(F.col("ticker").alias("_t"), F.col("idx").alias("_i"), F.col("session").alias("breached_on"))
+    return low.join(days, (F.col("ticker") == F.col("_t")) & (F.col("at") == F.col("_i")), "left").select("pos", "ticker", "low", F.col("at").isNotNull().alias("breached"), "breached_on")
+
+
 def running_lows(positions: DataFrame, prices: DataFrame) -> DataFrame:
-    """Per position and session since the fill, the lowest close so far and whether it is under the stop."""
+    """W26 as a series: per position and session since the fill, the lowest close so far and whether it is under the stop. ``position_lows`` answers without the pairs."""
     j = positions.join(prices.where(F.col("close").isNotNull()), "ticker").where(F.col("session") >= F.col("bought"))
     w = Window.partitionBy("pos").orderBy("session").rowsBetween(Window.unboundedPreceding, 0)      # one row per session
     return j.withColumn("low_so_far", F.min("close").over(w)).select("pos", "session", "close", "low_so_far", (F.col("low_so_far") < F.col("stop")).alias("breached"))

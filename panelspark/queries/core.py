@@ -148,6 +148,36 @@ def bootstrap_ci(spark, sf):
     return r.select("g", rnd("ci_low").alias("ci_low"), rnd("ci_high").alias("ci_high"))
 
 
+def _weighted_sql(stat: str) -> str:
+    """Replicates by weights, rows repeated that often, percentiles of what each replicate holds."""
+    return f"""WITH {_MONTHLY}, p AS (SELECT g, v, row_number() OVER (PARTITION BY g ORDER BY m) - 1 AS i FROM ser),
+ w AS (SELECT g, v, rep, {resample.multiplicity_sql('rep', 'i', resample.SEED)} AS w FROM p, range(500) r(rep)),
+ d AS (SELECT g, rep, {stat} AS s FROM (SELECT g, rep, v, unnest(range(w)) FROM w) GROUP BY 1, 2),
+ o AS (SELECT g, s, row_number() OVER (PARTITION BY g ORDER BY s, rep) - 1 AS rn, count(*) OVER (PARTITION BY g) AS b FROM d)
+ SELECT g, {r6('max(CASE WHEN rn = floor((1 - 0.95::DOUBLE) / 2 * (b - 1)) THEN s END)')} AS ci_low, {r6('max(CASE WHEN rn = floor((1 - (1 - 0.95::DOUBLE) / 2) * (b - 1)) THEN s END)')} AS ci_high FROM o GROUP BY g"""
+
+
+def _weighted(spark, sf, statistic):
+    p = _monthly(spark, sf).withColumn("i", F.row_number().over(Window.partitionBy("g").orderBy("m")) - 1)
+    r = resample.weighted_bootstrap_ci(p, ["g"], "i", "v", statistic, reps=500)
+    return r.select("g", rnd("ci_low").alias("ci_low"), rnd("ci_high").alias("ci_high"))
+
+
+@register("weighted_bootstrap_mean", _weighted_sql("avg(v)"))
+def weighted_bootstrap_mean(spark, sf):
+    return _weighted(spark, sf, "mean")
+
+
+@register("weighted_bootstrap_median", _weighted_sql("quantile_cont(v, 0.5)"))
+def weighted_bootstrap_median(spark, sf):
+    return _weighted(spark, sf, 0.5)
+
+
+@register("weighted_bootstrap_upper_decile", _weighted_sql("quantile_cont(v, 0.9)"))
+def weighted_bootstrap_upper_decile(spark, sf):
+    return _weighted(spark, sf, 0.9)
+
+
 def block_sql(src: str, key: str, order: str, v: str, block: str, reps: int = 3000, seed: int = resample.SEED, out: str = "ci") -> str:
     """A14 as SQL CTEs: ``out(key, ci_low, ci_high)``."""
     a, b = int(0.025 * (reps - 1)), int((1 - 0.025) * (reps - 1))
@@ -457,6 +487,22 @@ def membership_interval(spark, sf):
     return intervals.inside_any(d, t.membership(spark, sf), "ticker", "session")
 
 
+@register("membership_spans_joined", f"""WITH {t.DAILY}, {t.MEMBERSHIP} SELECT d.ticker, session, start_date, end_date FROM daily d JOIN (SELECT DISTINCT ticker, start_date, end_date FROM membership) m
+ ON m.ticker = d.ticker AND m.start_date <= d.session AND d.session <= m.end_date""")
+def membership_spans_joined(spark, sf):
+    m = intervals.merge_spans(t.membership(spark, sf), "ticker")
+    return intervals.interval_join(t.daily(spark, sf).select("ticker", "session"), m, "ticker", "session", "start_date", "end_date")
+
+
+@register("listing_alive_on_sessions", """WITH l AS (SELECT 'S' || l_suppkey AS ticker, CAST(min(l_shipdate) AS DATE) AS ipo, CASE WHEN l_suppkey % 3 <> 0 THEN CAST(max(l_shipdate) AS DATE) END AS gone FROM lineitem WHERE l_linenumber = 3 GROUP BY l_suppkey)
+ SELECT DISTINCT 'S' || l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS session FROM lineitem JOIN l ON l.ticker = 'S' || l_suppkey WHERE CAST(l_shipdate AS DATE) >= ipo AND (gone IS NULL OR gone > CAST(l_shipdate AS DATE))""")
+def listing_alive_on_sessions(spark, sf):
+    li = t.read(spark, sf, "lineitem").withColumn("ticker", F.concat(F.lit("S"), "l_suppkey"))
+    listed = li.where("l_linenumber = 3").groupBy("ticker", "l_suppkey").agg(F.to_date(F.min("l_shipdate")).alias("ipo_date"), F.to_date(F.max("l_shipdate")).alias("_g"))
+    listed = listed.withColumn("delist_date", F.when(F.col("l_suppkey") % 3 != 0, F.col("_g"))).select("ticker", "ipo_date", "delist_date")
+    return intervals.alive_on_dates(li.select("ticker", F.to_date("l_shipdate").alias("session")).distinct(), listed, "session")
+
+
 @register("year_to_date_self_join", f"""WITH {t.FACTS}, a AS (SELECT * FROM facts WHERE qtrs = 4), b AS (SELECT * FROM facts WHERE qtrs = 3),
  j AS (SELECT a.cik, a.tag, a.ddate AS a_ddate, a.value AS a_value, a.filed AS a_filed, a.adsh AS a_adsh, b.ddate AS b_ddate, b.value AS b_value, b.filed AS b_filed, b.adsh AS b_adsh
   FROM a JOIN b ON a.cik = b.cik AND a.tag = b.tag AND date_diff('day', b.ddate, a.ddate) BETWEEN 75 AND 100 AND b.filed <= a.filed)

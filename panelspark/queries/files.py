@@ -406,31 +406,89 @@ def intraday_last_print(spark, sf):
     return p.select("ticker", "session", "price", "session_high", "session_low", "bars", "prior_close")
 
 
-def run_stream(df, path, spark, mode="append"):
-    q = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", scratch_path(spark, "ckpt")).trigger(availableNow=True).outputMode(mode).start()
+def await_all(q):
     q.awaitTermination()
     if q.exception():
         raise q.exception()
+    return q
+
+
+def run_stream(df, path, spark, mode="append"):
+    await_all(df.writeStream.format("parquet").option("path", path).option("checkpointLocation", scratch_path(spark, "ckpt")).trigger(availableNow=True).outputMode(mode).start())
     return spark.read.schema(df.schema).parquet(path)
 
 
 SPAN = "60 days"       # longer than the events, whose files each cover all of them: no print is late beyond recall
+FILES = 4              # of a batch, each written by a task of its own; more where a file would hold over a million rows
 
 
-def event_stream(spark, sf):
-    """Events as a stream of four batches: neighbouring events, copies and late prints come in different ones."""
+def events_of(spark, sf):
+    return t.read(spark, sf, "events").select(F.concat(F.lit("U"), "user_id").alias("ticker"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("event_type").alias("kind"), F.col("value").alias("close"))
+
+
+def in_batches(spark, e, batch):
+    """Rows as a stream of four batches in the order of ``batch`` (0 to 3); each has the same number of files."""
     path = scratch_path(spark, "events")
-    e = t.read(spark, sf, "events").select(F.concat(F.lit("U"), "user_id").alias("ticker"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("event_type").alias("kind"), F.col("value").alias("close"))
+    files = max(FILES, -(-e.count() // 4_000_000))
     for k in range(4):
-        e.where(F.pmod("event_id", F.lit(4)) == 3 - k).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        e.where(batch == k).repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def event_stream(spark, sf):
+    """Events as a stream: neighbouring events, copies and late prints come in different batches."""
+    return in_batches(spark, events_of(spark, sf), 3 - F.pmod("event_id", F.lit(4)))
+
+
+# a quarter of the month's days a batch; one event in twenty comes two batches late, one a batch
+ARRIVAL = "least(3, least(3, (day(ts) - 1) div 8) + CASE event_id % 20 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END)"
+ARRIVAL_SQL = ARRIVAL.replace(" div ", " // ")
+
+
+def event_stream_in_time(spark, sf):
+    """Events as a stream that moves on in time, with prints that come a batch or two late."""
+    return in_batches(spark, events_of(spark, sf), F.expr(ARRIVAL))
 
 
 def run_batches(df, sink, spark, mode="append"):
-    q = df.writeStream.foreachBatch(sink).option("checkpointLocation", scratch_path(spark, "ckpt")).trigger(availableNow=True).outputMode(mode).start()
-    q.awaitTermination()
-    if q.exception():
-        raise q.exception()
+    await_all(df.writeStream.foreachBatch(sink).option("checkpointLocation", scratch_path(spark, "ckpt")).trigger(availableNow=True).outputMode(mode).start())
+
+
+# a row is turned away if its window had ended an hour before the last print of the batch before the last
+LATE_SQL = f"""e AS (SELECT 'U' || user_id AS ticker, CAST(ts AS TIMESTAMP) AS ts, event_id, event_type AS kind, value AS close, {ARRIVAL_SQL} AS a FROM events),
+ m AS (SELECT a, max(max(ts)) OVER (ORDER BY a) AS upto FROM e GROUP BY a),
+ l AS (SELECT e.*, time_bucket(INTERVAL 15 MINUTE, ts) AS w, coalesce(time_bucket(INTERVAL 15 MINUTE, ts) + INTERVAL 15 MINUTE <= m.upto - INTERVAL 1 HOUR, false) AS late FROM e LEFT JOIN m ON m.a = e.a - 2)"""
+
+
+@register("stream_bars_closed", f"""WITH {LATE_SQL} SELECT ticker, w AS ts, arg_min(close, ts) AS open, max(close) AS high, min(close) AS low, arg_max(close, ts) AS close, count(*) AS n
+ FROM l WHERE NOT late AND w + INTERVAL 15 MINUTE <= (SELECT max(ts) FROM e) - INTERVAL 1 HOUR GROUP BY 1, 2""")
+def stream_bars_closed(spark, sf):
+    return run_stream(sm.quarter_hour_bars(event_stream_in_time(spark, sf), delay="1 hour"), scratch_path(spark, "closed"), spark)
+
+
+@register("stream_late_rows", f"WITH {LATE_SQL} SELECT ticker, ts, event_id, kind, close FROM l WHERE late")
+def stream_late_rows(spark, sf):
+    s, root = event_stream_in_time(spark, sf), scratch_path(spark, "late")
+    run_batches(s, sm.late_sink(root), spark)
+    return sm.late_rows(spark, root, s.schema)
+
+
+@register("stream_alert_per_day", f"""WITH {LATE_SQL} SELECT DISTINCT ticker, kind, CAST(ts AS DATE) AS day FROM l LEFT JOIN m ON m.a = l.a - 2 WHERE m.upto IS NULL OR ts > m.upto - INTERVAL 2 DAY""")
+def stream_alert_per_day(spark, sf):
+    return run_stream(sm.alert_once(event_stream_in_time(spark, sf)), scratch_path(spark, "perday"), spark).select("ticker", "kind", "day")
+
+
+@register("stream_recent_ids", """WITH RECURSIVE a AS (SELECT 'N' || (user_id % 2) AS ticker, CAST(event_id % 1501 AS VARCHAR) AS id, 3 - event_id % 4 AS b, min(ts) AS ts FROM events GROUP BY ALL),
+ s AS (SELECT ticker, b, list(id ORDER BY ts, id) AS ids FROM a GROUP BY 1, 2),
+ r AS (SELECT ticker, -1::BIGINT AS b, []::VARCHAR[] AS mem, []::VARCHAR[] AS new FROM (SELECT DISTINCT ticker FROM s)
+  UNION ALL SELECT ticker, b, list_concat(mem, new)[-500:], new FROM (
+   SELECT r.ticker, r.b + 1 AS b, r.mem, list_filter(coalesce(s.ids, []), lambda x: NOT list_contains(r.mem, x)) AS new FROM r LEFT JOIN s ON s.ticker = r.ticker AND s.b = r.b + 1 WHERE r.b < 3))
+ SELECT ticker, id, count(*) AS n FROM (SELECT ticker, unnest(new) AS id FROM r) GROUP BY 1, 2""")
+def stream_recent_ids(spark, sf):
+    s = event_stream(spark, sf).select(F.concat(F.lit("N"), F.substring("ticker", 2, 20).cast("long") % 2).alias("ticker"), (F.col("event_id") % 1501).cast("string").alias("id"), "ts")
+    with sm.list_state(spark):
+        out = run_stream(sm.report_recent(s), scratch_path(spark, "recent"), spark)
+    return out.groupBy("ticker", "id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("stream_report_once", "SELECT ticker, count(*) AS n FROM (SELECT DISTINCT 'U' || user_id AS ticker, event_id // 3 AS id FROM events) GROUP BY 1")

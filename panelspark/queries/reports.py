@@ -263,6 +263,12 @@ def running_lows(spark, sf):
     return r.groupBy("pos").agg(F.count(F.lit(1)).alias("sessions"), F.min("low_so_far").alias("final_low"), F.count_if("breached").alias("breached_sessions"))
 
 
+@register("position_lows", f"""WITH {POS}, j AS (SELECT pos.pos, session, close, stop FROM pos JOIN daily d ON d.ticker = pos.ticker AND d.session >= bought AND d.close IS NOT NULL)
+ SELECT pos.pos, any_value(pos.ticker) AS ticker, min(close) AS low, count(*) FILTER (close < j.stop) > 0 AS breached, min(session) FILTER (close < j.stop) AS breached_on FROM pos LEFT JOIN j ON j.pos = pos.pos GROUP BY 1""")
+def position_lows(spark, sf):
+    return rp.position_lows(positions(spark, sf), t.daily(spark, sf))
+
+
 SER = f"""{POS}, hv AS (SELECT session, sum(close * shares * CASE WHEN ccy = 'CAD' THEN 1.0::DOUBLE / 1.37::DOUBLE ELSE 1 END) AS h FROM pos JOIN daily d ON d.ticker = pos.ticker AND d.session >= bought GROUP BY 1), led AS (SELECT CAST(o_orderdate AS DATE) AS session, max(o_totalprice) AS balance FROM orders GROUP BY 1),
  ser AS (SELECT b.session, coalesce(h, 0) AS h, coalesce(l.balance, 100000) AS c, bench / (SELECT arg_min(bench, session) FROM bench) * 100000 AS bi FROM bench b ASOF LEFT JOIN led l ON b.session >= l.session LEFT JOIN hv ON hv.session = b.session)"""
 
