@@ -4,21 +4,27 @@ Everything rests on ``value_ranks``: a table of the distinct values of a group
 with how many rows lie below each. Ties collapse in the map-side aggregate, and a
 group is spread over value buckets (a monotone function of the value), so a group
 holding a third of all rows is still sorted by many tasks. There are 65,536 buckets
-for every doubling, so a column that spans one part in a thousand still has about a
-hundred; the window that adds up a group's buckets meets one row per bucket in use.
-Values closer than one part in 65,536 share a task.
+for every doubling; values closer than that share a task. Where all values of a column lie close
+together, ``crowd`` says from how many distinct values on a bucket is cut further, at quantiles of a
+KLL sketch of it (two more passes over the distinct values), so that the cells of a group are about even
+whatever its values are. Counts per cell are prefix-summed and ranks inside a cell counted, so ranks are
+exact either way: the sketch only says where to cut. The window that adds up a group's cells meets one row
+per cell in use.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from panelspark.functions.numeric import clip, safe_div
 from panelspark.session import cut_lineage
 
 PER_OCTAVE = 65_536       # value buckets per doubling
+TIE_LETTERS = 4           # of a tie column that cut a value's rows
 _SHIFT = 100_000_000      # keeps the bucket of any positive double positive
+CUTS = 1_024              # cells of such a bucket
 
 
 def value_bucket(v: Column) -> Column:
@@ -43,7 +49,16 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
     return left.join(r, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def value_ranks(df: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
+def crowded_edges(distinct: DataFrame, keys: list[str], value: str, crowd: int) -> DataFrame:
+    """``keys, _b, _edges``: ascending quantiles of every bucket with more than ``crowd`` distinct values."""
+    many = distinct.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_dn")).where(F.col("_dn") > crowd)
+    inside = join_on(distinct.select(*keys, "_b", F.col(value).cast("double").alias("_v")), many, keys + ["_b"])
+    shares = F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)])
+    quantiles = F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double("_v"), shares)
+    return inside.groupBy(*keys, "_b").agg(F.array_sort(F.array_distinct(quantiles)).alias("_edges"))
+
+
+def value_ranks(df: DataFrame, keys: list[str], value: str, weight: str | None = None, crowd: int | None = None) -> DataFrame:
     """``keys, value, tie_n, n_below, n`` for every distinct non-null value of every group."""
     w = F.sum(weight) if weight else F.count(F.lit(1))
     distinct = (
@@ -52,18 +67,25 @@ def value_ranks(df: DataFrame, keys: list[str], value: str, weight: str | None =
         .agg(w.cast("long").alias("tie_n"))
         .withColumn("_b", value_bucket(F.col(value).cast("double")))
     )
-    per_bucket = distinct.groupBy(*keys, "_b").agg(F.sum("tie_n").alias("_bn"))
-    # rows here are value buckets of a group, not rows of the group
+    if crowd is None:
+        distinct = distinct.withColumn("_c", F.lit(0))
+    else:
+        # a value's cell: how many of its bucket's edges lie at or below it
+        edges = crowded_edges(distinct, keys, value, crowd)
+        cell = F.when(F.col("_edges").isNotNull(), F.size(F.filter("_edges", lambda e: e <= F.col(value).cast("double")))).otherwise(F.lit(0))
+        distinct = join_on(distinct, edges, keys + ["_b"], "left").withColumn("_c", cell).drop("_edges")
+    per_cell = distinct.groupBy(*keys, "_b", "_c").agg(F.sum("tie_n").alias("_bn"))
+    # rows here are cells of a group, not rows of the group
     by_group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    offsets = per_bucket.select(
-        *keys, "_b",
-        F.coalesce(F.sum("_bn").over(by_group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)),
+    offsets = per_cell.select(
+        *keys, "_b", "_c",
+        F.coalesce(F.sum("_bn").over(by_group.orderBy("_b", "_c").rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("_off"),
         F.sum("_bn").over(by_group).alias("n"),
     )
-    inside = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "_b", "_c").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        join_on(distinct, offsets, keys + ["_b"])
+        join_on(distinct, offsets, keys + ["_b", "_c"])
         .withColumn("n_below", F.col("_off") + F.coalesce(F.sum("tie_n").over(inside), F.lit(0)))
         .select(*keys, value, "tie_n", "n_below", "n")
     )
@@ -81,9 +103,9 @@ def percentile_from_ranks(value: str, q: float) -> Column:
     return F.when(frac == 0, at_lo).otherwise(at_lo * (1.0 - frac) + at_hi * frac)
 
 
-def percentiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float]) -> DataFrame:
+def percentiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float], crowd: int | None = None) -> DataFrame:
     """One row per group with the named exact percentiles."""
-    r = value_ranks(df, keys, value)
+    r = value_ranks(df, keys, value, crowd=crowd)
     return r.groupBy(*keys).agg(*[percentile_from_ranks(value, q).alias(name) for name, q in qs.items()])
 
 
@@ -93,9 +115,9 @@ def _percentile_rank(ascending: bool) -> Column:
     return F.when(F.col("n") > 1, avg_rank / (F.col("n") - 1)).otherwise(F.lit(0.5))
 
 
-def rank_percentile(df: DataFrame, keys: list[str], value: str, out: str, ascending: bool = True) -> DataFrame:
+def rank_percentile(df: DataFrame, keys: list[str], value: str, out: str, ascending: bool = True, crowd: int | None = None) -> DataFrame:
     """Percentile rank in [0, 1], ties averaged, null kept and not counted, 0.5 alone."""
-    r = value_ranks(df, keys, value).select(*keys, value, _percentile_rank(ascending).alias(out))
+    r = value_ranks(df, keys, value, crowd=crowd).select(*keys, value, _percentile_rank(ascending).alias(out))
     return join_on(df, r, keys + [value], "left")
 
 
@@ -117,17 +139,17 @@ def rank_columns(df: DataFrame, ids: list[str], keys: list[str], columns: dict[s
     return join_on(df, got, ids, "left")
 
 
-def percent_of_n(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+def percent_of_n(df: DataFrame, keys: list[str], value: str, out: str, crowd: int | None = None) -> DataFrame:
     """Average rank over n, times 100."""
     pct = 100.0 * (F.col("n_below") + 1 + (F.col("tie_n") - 1) / F.lit(2.0)) / F.col("n")
-    r = value_ranks(df, keys, value).select(*keys, value, pct.alias(out))
+    r = value_ranks(df, keys, value, crowd=crowd).select(*keys, value, pct.alias(out))
     return join_on(df, r, keys + [value], "left")
 
 
 def winsorize(df: DataFrame, keys: list[str], value: str, out: str,
-              lower: float = 0.01, upper: float = 0.99) -> DataFrame:
+              lower: float = 0.01, upper: float = 0.99, crowd: int | None = None) -> DataFrame:
     """Clip at the linear percentiles of the group."""
-    edges = percentiles(df, keys, value, {"_lo": lower, "_hi": upper})
+    edges = percentiles(df, keys, value, {"_lo": lower, "_hi": upper}, crowd)
     if keys:
         j = join_on(df, edges, keys, "left")
     else:
@@ -136,14 +158,14 @@ def winsorize(df: DataFrame, keys: list[str], value: str, out: str,
 
 
 def z_table(df: DataFrame, keys: list[str], value: str, winsor: tuple[float, float] | None = (0.01, 0.99),
-            robust: bool = True, limit: float | None = 4.0) -> DataFrame:
+            robust: bool = True, limit: float | None = 4.0, crowd: int | None = None) -> DataFrame:
     """``keys, value, z``: the standardised value of each distinct value of each group.
 
     Median and scaled MAD of the winsorized values; mean and sample deviation where
     that scale is zero or undefined; 0.0 where there is no variation at all.
     """
     # both tables are read several times below, so they are written once
-    r = cut_lineage(value_ranks(df, keys, value))
+    r = cut_lineage(value_ranks(df, keys, value, crowd=crowd))
     lo_q, hi_q = winsor if winsor else (0.0, 1.0)
     edges = r.groupBy(*keys).agg(
         percentile_from_ranks(value, lo_q).alias("_lo"), percentile_from_ranks(value, hi_q).alias("_hi"))
@@ -159,7 +181,7 @@ def z_table(df: DataFrame, keys: list[str], value: str, winsor: tuple[float, flo
                F.sqrt(F.sum(F.col("tie_n") * F.pow(F.col("_w") - F.col("_mean"), 2)) / (F.max("_n") - 1)))
         .alias("_sd"))
     if robust:
-        dev = value_ranks(c, keys, "_dev", weight="tie_n").groupBy(*keys).agg(
+        dev = value_ranks(c, keys, "_dev", weight="tie_n", crowd=crowd).groupBy(*keys).agg(
             F.when(F.max("n") > 1, percentile_from_ranks("_dev", 0.5) * 1.4826).alias("_mad"))
         spread = join_on(spread, dev, keys)
         use_mad = F.coalesce(F.col("_mad"), F.lit(0.0)) != 0
@@ -244,12 +266,11 @@ def place(df: DataFrame, keys: list[str], coarse: list[tuple[Column, bool]], ord
 def position(df: DataFrame, value: str, tie: str, out: str = "rank", descending: bool = True) -> DataFrame:
     """1-based place of every row in the order (value, tie), without a global sort.
 
-    The value table says how many rows are ahead; only rows sharing a value are put in
-    order against each other. A null value counts as the lowest.
+    Rows are counted per value and first letters of the tie column, and only those of a cell are put in order
+    against each other, so a value that very many rows share is spread as well. A null value counts as the lowest.
     """
     v = df.withColumn("_v", F.coalesce(F.col(value).cast("double"), F.lit(float("-inf")) if descending else F.lit(float("inf"))))
-    r = value_ranks(v, [], "_v")
-    ahead = (F.col("n") - F.col("n_below") - F.col("tie_n")) if descending else F.col("n_below")
-    w = Window.partitionBy("_v").orderBy(tie)
-    return (join_on(v, r.select("_v", ahead.alias("_ahead")), ["_v"])
-            .withColumn(out, (F.col("_ahead") + F.row_number().over(w)).cast("long")).drop("_v", "_ahead"))
+    # letters only say something about the order of text
+    letters = [(F.substring(tie, 1, TIE_LETTERS), False)] if isinstance(df.schema[tie].dataType, StringType) else []
+    placed = place(v, [], [(F.col("_v"), descending), *letters], [F.asc(tie)], out)
+    return placed.withColumn(out, F.col(out).cast("long")).drop("_v")

@@ -8,17 +8,12 @@ from pyspark.sql import functions as F
 from panelspark.functions.numeric import growth
 from panelspark.functions.text import call_kind, price_trigger
 from panelspark.operators.panel import own_reads
+from panelspark.operators.ranks import place
 from panelspark.plans.grading import latest_calls
 
-# Thresholds, forms watched, and what filing items mean.
+# Thresholds and forms watched.
 DROP_WEEK, MOVE_DAY, NEAR_TRIGGER, STALE_DAYS = -0.15, 0.05, 0.05, 5
 FORMS_WATCHED = ("8-K", "10-Q", "10-K", "4", "SC 13D", "SC 13G", "DEF 14A", "10-Q/A", "10-K/A")
-ITEM_NAMES = {
-    "1.01": "material agreement", "1.02": "agreement terminated", "1.03": "bankruptcy", "2.01": "acquisition or disposition",
-    "2.02": "earnings release", "2.03": "new debt obligation", "2.04": "debt acceleration", "2.05": "exit or disposal costs",
-    "2.06": "impairment", "3.01": "delisting notice", "4.01": "change of auditor", "4.02": "financials not to be relied on",
-    "5.01": "change of control", "5.02": "officer or director change", "5.03": "bylaw change", "5.07": "shareholder vote",
-    "7.01": "Reg FD disclosure", "8.01": "other event", "9.01": "exhibits"}
 
 
 def names_to_watch(calls: DataFrame, held: DataFrame) -> DataFrame:
@@ -102,3 +97,9 @@ def scan_counts(names: DataFrame, alerts: DataFrame) -> DataFrame:
     """Alerts, rule alerts and highest severity per name; quiet names count 0."""
     a = alerts.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_alerts"), F.count_if(F.col("severity") >= 3).alias("n_rule_alerts"), F.max("severity").alias("max_severity"))
     return names.select("ticker", "held").join(a, "ticker", "left").fillna(0, ["n_alerts", "n_rule_alerts", "max_severity"])
+
+
+def ordered(alerts: DataFrame) -> DataFrame:
+    """Alerts with their ``place``: severity first, then name and kind, newest first among equals."""
+    coarse = [(F.col("severity"), True), (F.substring("ticker", 1, 3), False)]
+    return place(alerts, [], coarse, [F.asc("ticker"), F.asc("kind"), F.desc("as_of")], "place")

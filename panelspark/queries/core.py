@@ -163,6 +163,16 @@ def _weighted(spark, sf, statistic):
     return r.select("g", rnd("ci_low").alias("ci_low"), rnd("ci_high").alias("ci_high"))
 
 
+@register("rank_percentile_close_values", """WITH v AS (SELECT l_returnflag AS g, l_orderkey, l_linenumber, 1::DOUBLE + floor(l_extendedprice * 100) / 1e13::DOUBLE AS x FROM lineitem),
+ r AS (SELECT *, rank() OVER (PARTITION BY g ORDER BY x) AS lo, count(*) OVER (PARTITION BY g, x) AS ties, count(*) OVER (PARTITION BY g) AS n FROM v)
+ SELECT l_orderkey, l_linenumber, """ + r6("(lo - 1 + (ties - 1) / 2.0::DOUBLE) / (n - 1)") + """ AS pct FROM r""")
+def rank_percentile_close_values(spark, sf):
+    x = F.lit(1.0) + F.floor(F.col("l_extendedprice") * 100) / F.lit(1e13)
+    v = t.read(spark, sf, "lineitem").select(F.col("l_returnflag").alias("g"), "l_orderkey", "l_linenumber", x.alias("x"))
+    r = ranks.rank_percentile(v, ["g"], "x", "pct", crowd=1000)                # all values of a group lie in one bucket
+    return r.select("l_orderkey", "l_linenumber", rnd("pct").alias("pct"))
+
+
 @register("weighted_bootstrap_mean", _weighted_sql("avg(v)"))
 def weighted_bootstrap_mean(spark, sf):
     return _weighted(spark, sf, "mean")

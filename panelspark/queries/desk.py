@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from panelspark.functions import text as tx
 from panelspark.plans import grading as gr
 from panelspark.plans import setups as su
+from panelspark.plans import scan as sn
 from panelspark.plans import watch as wa
 from panelspark.queries import r6, register, rnd
 from panelspark.queries import tables as t
@@ -192,6 +193,26 @@ def filing_alerts(spark, sf):
     return wa.filing_alerts(filings(spark, sf).where("accession is not null"))
 
 
+_FA = """fa AS (SELECT ticker, 3 AS severity FROM fz WHERE form = '8-K' AND contains(items, '2.02') UNION ALL SELECT ticker, 1 FROM fz WHERE form = '8-K' AND NOT contains(items, '2.02') UNION ALL SELECT ticker, 2 FROM fz WHERE form IN ('10-Q', 'SC 13D')
+ UNION ALL SELECT ticker, 1 FROM fz WHERE form = '4' GROUP BY ticker)"""
+
+
+@register("watch_scan_report", f"""WITH {ALERTS}, {FILINGS}, {_FA}, both_ AS (SELECT ticker, severity FROM al UNION ALL SELECT fa.ticker, severity FROM fa JOIN names USING (ticker)),
+ c AS (SELECT n.ticker AS key, CAST(count(b.severity) AS BIGINT) AS n, CAST(coalesce(max(severity), 0) AS INT) AS top FROM names n LEFT JOIN both_ b ON b.ticker = n.ticker GROUP BY 1)
+ SELECT 'name' AS kind, key, CAST(NULL AS VARCHAR) AS status, n, top FROM c
+ UNION ALL SELECT 'source', 'prices', 'ok', (SELECT count(*) FROM daily), NULL UNION ALL SELECT 'source', 'filings', 'ok', (SELECT count(*) FROM fil), NULL UNION ALL SELECT 'source', 'headlines', 'failed', 0, NULL""")
+def watch_scan_report(spark, sf):
+    def filed():
+        n = t.read(spark, sf, "supplier").agg(F.count(F.lit(1))).scalar()
+        return t.read(spark, sf, "events").select((F.col("user_id") % n).cast("string").alias("cik"), F.expr(_FORM).alias("form"), F.to_date("ts").alias("filed"), F.col("event_id").cast("string").alias("accession"), F.split(F.expr(_ITEMS), ",").alias("items"))
+
+    ids = t.read(spark, sf, "supplier").where("s_suppkey % 6 <> 0").select(F.concat(F.lit("S"), F.col("s_suppkey")).alias("ticker"), F.col("s_suppkey").cast("string").alias("cik"))
+    sources = {"prices": lambda: t.daily(spark, sf), "filings": filed, "headlines": lambda: t.read(spark, sf, "no_such_feed")}
+    r = sn.watch_scan(spark, wa.names_to_watch(t.calls(spark, sf), held(spark, sf)), sources, AS_OF, "2024-01-10", ids)
+    names = r.names.select(F.lit("name").alias("kind"), F.col("ticker").alias("key"), F.lit(None).cast("string").alias("status"), F.col("n_alerts").alias("n"), F.col("max_severity").cast("int").alias("top"))
+    return names.unionByName(r.sources.select(F.lit("source").alias("kind"), F.col("source").alias("key"), "status", F.col("n_rows").alias("n"), F.lit(None).cast("int").alias("top")))
+
+
 # -- setups --------------------------------------------------------------------------------------------
 
 LOOSE = su.SetupRules(gap=0.05, pead_sessions=12, guidance_age=5, lookback=80, breakout_min=60, band=0.6, max_dd=-0.995, short=20, mid=50, long=200)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelspark.functions import text as tx
@@ -164,6 +165,37 @@ def scan_filing_index(spark, sf):
     return r.select("cik", "accession", "form", "filed", wa.is_earnings(F.col("form"), F.col("items")).alias("earnings"))
 
 
+# filings of a customer by date: the newest four are recent, older ones stand on pages of three; every fifth customer's first page is not there
+PAGED = """f AS (SELECT lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS cik, o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS filed, row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE) DESC, o_orderkey DESC) - 1 AS i FROM orders),
+ p AS (SELECT *, CASE WHEN i < 4 THEN 'recent' ELSE 'CIK' || o_custkey || '-' || ((i - 4) // 3) || '.json' END AS page, i >= 4 AND (i - 4) // 3 = 0 AND o_custkey % 5 = 0 AS gone FROM f)"""
+
+
+def paged(spark, sf):
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("filed"), F.desc("o_orderkey"))
+    o = t.read(spark, sf, "orders").select("o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("filed")).withColumn("i", F.row_number().over(w) - 1)
+    o = o.withColumn("n", F.when(F.col("i") >= 4, F.floor((F.col("i") - 4) / 3)).otherwise(-1)).withColumn("page", F.when(F.col("i") < 4, "recent").otherwise(F.concat(F.lit("CIK"), "o_custkey", F.lit("-"), "n", F.lit(".json"))))
+    day = F.date_format("filed", "yyyy-MM-dd")
+    one = F.struct(F.col("o_orderkey").cast("string").alias("a"), day.alias("d"), F.concat(day, F.lit("T12:30:00.000Z")).alias("t"))
+    g = cut_lineage(o.groupBy("o_custkey", "page", "n").agg(F.collect_list(one).alias("l"), F.min(day).alias("lo"), F.max(day).alias("hi"), F.count(F.lit(1)).alias("c")))
+    col = lambda k: F.transform("l", lambda x: x[k])
+    arrays = [col("a").alias("accessionNumber"), F.transform("l", lambda x: F.lit("8-K")).alias("form"), col("d").alias("filingDate"), col("t").alias("acceptanceDateTime")]
+    files = F.collect_list(F.when(F.col("page") != "recent", F.struct(F.col("page").alias("name"), F.col("c").alias("filingCount"), F.col("lo").alias("filingFrom"), F.col("hi").alias("filingTo"))))
+    main = g.withColumn("r", F.when(F.col("page") == "recent", F.struct(*arrays))).groupBy("o_custkey").agg(F.first("r", ignorenulls=True).alias("recent"), files.alias("files"))
+    main = main.select(F.col("o_custkey").cast("string").alias("cik"), F.struct("recent", "files").alias("filings"))
+    there = g.where("page <> 'recent' AND NOT (n = 0 AND o_custkey % 5 = 0)").select(*arrays, F.col("page").alias("document"))
+    return pl.filing_pages(spark, put(spark, main, "json"), put(spark, there, "json"), F.col("document"))
+
+
+@register("filing_pages_audit", f"WITH {PAGED} SELECT cik, page, count(*) AS said_n, CASE WHEN NOT any_value(gone) THEN count(*) END AS read_n, CASE WHEN any_value(gone) THEN 'missing' ELSE 'ok' END AS status FROM p WHERE page <> 'recent' GROUP BY 1, 2")
+def filing_pages_audit(spark, sf):
+    return paged(spark, sf)[1]
+
+
+@register("filing_pages_rows", f"WITH {PAGED} SELECT cik, CAST(o_orderkey AS VARCHAR) AS accession, page, filed, CAST(filed AS TIMESTAMP) + INTERVAL 12 HOUR + INTERVAL 30 MINUTE AS accepted FROM p WHERE NOT gone")
+def filing_pages_rows(spark, sf):
+    return paged(spark, sf)[0].select("cik", "accession", "page", "filed", "accepted")
+
+
 @register("latest_two_earnings_filings", "WITH r AS (SELECT o_custkey AS cik, o_orderkey AS accession, CAST(o_orderdate AS DATE) AS filed, row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE) DESC, o_orderkey DESC) AS rn FROM orders) SELECT cik, accession, filed, CASE rn WHEN 1 THEN 'current' ELSE 'prior' END AS side FROM r WHERE rn <= 2")
 def latest_two(spark, sf):
     o = t.read(spark, sf, "orders").select(F.col("o_custkey").alias("cik"), F.col("o_orderkey").alias("accession"), F.to_date("o_orderdate").alias("filed"))
@@ -348,6 +380,27 @@ def snapshot_archive(spark, sf):
     return sinks.read_archive(spark, root).select(F.col("snapshot_date").cast("date").alias("snapshot_date"), "ticker", "score")
 
 
+@register("snapshot_archive_variants", f"""WITH {t.DAILY}, d AS (SELECT date_trunc('year', session)::DATE AS day, ticker, max(close) AS hi, min(close) AS lo FROM daily GROUP BY 1, 2),
+ s AS (SELECT day, ticker, 'high' AS variant, hi AS score FROM d UNION ALL SELECT day, ticker, 'low', lo FROM d WHERE CAST(substr(ticker, 2) AS BIGINT) % 3 <> 0)
+ SELECT day AS snapshot_date, variant, count(*) AS n, count(DISTINCT ticker) AS n_tickers, CAST(sum(CAST(round(score * 10000) AS BIGINT)) AS BIGINT) AS total, (SELECT count(*) FROM s z WHERE z.day = s.day) AS manifest_rows, true AS intact FROM s GROUP BY 1, 2""")
+def snapshot_archive_variants(spark, sf):
+    root = scratch_path(spark, "variants")
+    d = t.daily(spark, sf).groupBy(F.to_date(F.date_trunc("year", "session")).alias("day"), "ticker").agg(F.max("close").alias("high"), F.min("close").alias("low"))
+    d = cut_lineage(d.unpivot(["day", "ticker"], ["high", "low"], "variant", "score").where("variant = 'high' OR CAST(substr(ticker, 2) AS BIGINT) % 3 <> 0"))
+    days = sorted(str(r[0]) for r in d.select("day").distinct().collect())         # an archive run each, one per year of the panel
+    for y in days:
+        one = d.where(F.col("day") == y).select("variant", "ticker", "score")
+        sinks.stage_snapshot({"scores": one.withColumn("score", F.lit(-1.0))}, root, y)          # broken off before its commit: nobody sees it
+        sinks.archive_snapshot(one, root, y)
+    rows, tickers = sinks.read_archive(spark, root), sinks.read_archive(spark, root, "tickers")
+    kept = sinks.manifest(spark, root).select(F.col("day").cast("date").alias("snapshot_date"), F.inline("tables")).where("name = 'scores'").select("snapshot_date", F.col("n_rows").alias("manifest_rows"), "content_sha")
+    # the manifest's hash is that of the rows a reader gets
+    now = rows.select("snapshot_date", F.xxhash64("variant", "ticker", "score").cast("decimal(38,0)").alias("_h")).groupBy("snapshot_date").agg(sinks.row_sha().alias("now"))
+    g = rows.groupBy("snapshot_date", "variant").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("score") * 10000).cast("long")).alias("total"))
+    g = g.join(tickers.groupBy("snapshot_date", "variant").agg(F.count(F.lit(1)).alias("n_tickers")), ["snapshot_date", "variant"]).join(kept.join(now, "snapshot_date"), "snapshot_date")
+    return g.select("snapshot_date", "variant", "n", "n_tickers", "total", "manifest_rows", (F.col("content_sha") == F.col("now")).alias("intact"))
+
+
 @register("panel_write_read", f"WITH {t.DAILY} SELECT ticker, session, close FROM daily")
 def panel_write_read(spark, sf):
     path = scratch_path(spark, "panel")

@@ -9,12 +9,13 @@ from panelspark.plans import audit as au
 from panelspark.plans import listings as ls
 from panelspark.plans import reports as rp
 from panelspark.plans import score as sc
+from panelspark.plans import search as se
 from panelspark.queries import crosssection as cs
 from panelspark.queries import desk
 from panelspark.queries import r6, register, rnd
 from panelspark.queries import tables as t
 from panelspark.queries.core import CAL, fwd_ctes
-from panelspark.session import cut_lineage
+from panelspark.session import cut_lineage, scratch_path
 
 # -- audit ---------------------------------------------------------------------------------------
 
@@ -328,6 +329,19 @@ def facet_search(spark, sf):
     return rp.search_index(cs.screen(spark, sf), "Steel", "quality_score", True).select("ticker", "sector", "industry", "quality_score")
 
 
+_ASKED = (("st", None), ("Steel", "full"), ("tech", "screen"))
+_DEPTH = "CASE WHEN quality_score >= 50 THEN 'full' ELSE 'screen' END"
+
+
+@register("facet_search_indexed", f"WITH {cs.SCREEN}, d AS (SELECT *, {_DEPTH} AS depth, lower(concat_ws(' ', ticker, name, sector, industry)) AS hay FROM scored) " + " UNION ALL ".join(
+    f"SELECT '{q}' AS asked, ticker, depth, quality_score FROM d WHERE contains(hay, '{q.lower()}')" + (f" AND depth = '{x}'" if x else "") for q, x in _ASKED))
+def facet_search_indexed(spark, sf):
+    root = scratch_path(spark, "search")
+    se.write_index(cs.screen(spark, sf).select("ticker", "name", "sector", "industry", "quality_score", F.expr(_DEPTH).alias("depth")), root)
+    found = [se.search(spark, root, q, x).select(F.lit(q).alias("asked"), "ticker", "depth", "quality_score") for q, x in _ASKED]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @register("company_record", f"""WITH {cs.PRICED}, {cs.PEERS}, tr AS (SELECT ticker, count(DISTINCT m) AS n FROM (SELECT ticker, unnest(['revenue', 'gross_margin', 'net_debt', 'shares']) AS m FROM statements) GROUP BY 1)
  SELECT p.ticker, p.name, {r6('roic_avg')} AS roic_avg, {r6('forward_pe')} AS forward_pe, {r6('quality_rank - price_rank')} AS peer_gap, {r6('CASE WHEN rev_up IS NOT NULL OR rev_down IS NOT NULL THEN coalesce(rev_up, 0) - coalesce(rev_down, 0) END')} AS net_revisions, tr.n AS n_trends,
  concat_ws(',', {", ".join(f"CASE WHEN {c} IS NULL THEN '{c}' END" for c in ("roic_avg", "fcf_margin_avg", "rev_cagr", "nd_to_ebitda", "share_change", "gm_avg", "forward_pe", "ev_ebitda", "pe_vs_median", "ev_vs_median", "dd_52w", "dd_ath"))}) AS gaps,

@@ -24,8 +24,9 @@ STATEMENTS = ("ticker string, pulled string, info struct<longName: string, secto
               "currency: string>, years map<string, map<string, double>>")
 FACT = "struct<start: string, end: string, val: double, accn: string, fy: int, fp: string, form: string, filed: string, frame: string>"
 COMPANY_FACTS = f"cik bigint, entityName string, facts map<string, map<string, struct<label: string, units: map<string, array<{FACT}>>>>>"
-SUBMISSIONS = ("cik string, filings struct<recent: struct<accessionNumber: array<string>, form: array<string>, filingDate: array<string>, reportDate: array<string>, "
-               "primaryDocument: array<string>, items: array<string>>>")
+_PAGE = ("accessionNumber: array<string>, form: array<string>, filingDate: array<string>, acceptanceDateTime: array<string>, reportDate: array<string>, "
+         "primaryDocument: array<string>, items: array<string>")
+SUBMISSIONS = f"cik string, filings struct<recent: struct<{_PAGE}>, files: array<struct<name: string, filingCount: bigint, filingFrom: string, filingTo: string>>>"
 TICKER_MAP = "map<string, struct<cik_str: bigint, ticker: string, title: string>>"
 
 
@@ -91,17 +92,50 @@ def company_facts(spark: SparkSession, path: str) -> DataFrame:
     return r.select("cik", "taxonomy", "tag", "unit", F.to_date("start").alias("start"), F.to_date("end").alias("end"), F.col("val").alias("value"), F.col("accn").alias("adsh"), "form", F.to_date("filed").alias("filed"), "frame")
 
 
-def filing_index(spark: SparkSession, path: str) -> DataFrame:
-    """Parallel arrays to rows."""
-    d = spark.read.schema(SUBMISSIONS).json(path)
-    ids = F.col("filings.recent.accessionNumber")
+def _filing_rows(d: DataFrame, at: str, *keep: Column) -> DataFrame:
+    """Rows of the parallel arrays below ``at``, with the ``keep`` columns."""
+    ids = F.col(f"{at}.accessionNumber")
     # an absent array is an array of nulls
-    z = F.arrays_zip(*[F.coalesce(F.col(f"filings.recent.{c}"), F.transform(ids, lambda x: F.lit(None).cast("string"))).alias(c) for c in ("accessionNumber", "form", "filingDate", "reportDate", "primaryDocument", "items")])
-    r = d.select("cik", F.inline(z))
-    return r.select(F.lpad(F.regexp_replace("cik", r"\D", ""), 10, "0").alias("cik"), F.col("accessionNumber").alias("accession"), "form", F.to_date("filingDate").alias("filed"), "reportDate", "primaryDocument",
+    z = F.arrays_zip(*[F.coalesce(F.col(f"{at}.{c}"), F.transform(ids, lambda x: F.lit(None).cast("string"))).alias(c)
+                       for c in ("accessionNumber", "form", "filingDate", "acceptanceDateTime", "reportDate", "primaryDocument", "items")])
+    r = d.select(*keep, F.inline(z))
+    cols = [c for c in r.columns if c not in ("accessionNumber", "form", "filingDate", "acceptanceDateTime", "reportDate", "primaryDocument", "items")]
+    return r.select(*cols, F.col("accessionNumber").alias("accession"), "form", F.to_date("filingDate").alias("filed"), F.try_to_timestamp("acceptanceDateTime").alias("accepted"), "reportDate", "primaryDocument",
                     F.filter(F.transform(F.split("items", ","), lambda x: F.trim(x)), lambda x: x != "").alias("items"))
 
 
+def padded_id(c: str) -> Column:
+    return F.lpad(F.regexp_replace(c, r"\D", ""), 10, "0")
+
+
+def filing_index(spark: SparkSession, path: str) -> DataFrame:
+    """The recent filings of each company, parallel arrays to rows."""
+    return _filing_rows(spark.read.schema(SUBMISSIONS).json(path), "filings.recent", padded_id("cik").alias("cik"))
+
+
+def filing_pages(spark: SparkSession, main: str, pages: str, page_name: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """S15 with older filings: ``(rows, pages)``.
+
+    The main file of a company names its older pages, with the number of filings and the dates of each. Rows are those of the
+    recent part and of the pages found, with the ``page`` they come from: the file's name, unless ``page_name`` says otherwise
+    (a page may name itself in a field ``document``). ``pages`` has a row per page named or found:
+    ``cik, page, said_n, read_n, status``: ok, missing (named, not found), unnamed (found, not named), count (another number of
+    filings) or dates (filings outside the stated range), so a hole in the history is a row and not a silence.
+    """
+    d = spark.read.schema(SUBMISSIONS).json(main)
+    recent = _filing_rows(d, "filings.recent", padded_id("cik").alias("cik"), F.lit("recent").alias("page"))
+    named = d.select(padded_id("cik").alias("cik"), F.inline("filings.files")).select("cik", F.col("name").alias("page"), F.col("filingCount").alias("said_n"), F.to_date("filingFrom").alias("said_from"), F.to_date("filingTo").alias("said_to"))
+    files = spark.read.schema(_PAGE.replace(":", "") + ", document string").json(pages)
+    files = files.select((F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1) if page_name is None else page_name).alias("page"), F.struct(*files.columns[:7]).alias("filings"))
+    found = _filing_rows(files, "filings", F.col("page"))
+    stats = files.select("page").distinct().join(found.groupBy("page").agg(F.count(F.lit(1)).alias("read_n"), F.min("filed").alias("read_from"), F.max("filed").alias("read_to")), "page", "left")
+    told = named.join(stats.withColumn("_f", F.lit(True)), "page", "full").withColumn("read_n", F.when(F.col("_f"), F.coalesce("read_n", F.lit(0))))
+    status = (F.when(F.col("_f").isNull(), "missing").when(F.col("cik").isNull(), "unnamed").when(~F.col("said_n").eqNullSafe(F.col("read_n")), "count")
+              .when((F.col("read_from") < F.col("said_from")) | (F.col("read_to") > F.col("said_to")), "dates").otherwise("ok"))
+    older = named.select("cik", "page").join(found, "page")
+    return recent.unionByName(older), told.select("cik", "page", "said_n", "read_n", status.alias("status"))
+
+
 def recent_filings(index: DataFrame, forms, limit: int) -> DataFrame:
     """A form matches itself or its base before the slash; newest first, ``limit`` per company."""
     from panelspark.operators.ranks import top_n
