@@ -8,8 +8,9 @@ holding entity e and n(t, e) holding t within ``window`` words of e,
 
 One means that the term occurs beside the entity only. A term whose disclosure reaches the
 threshold, seen in at least ``min_contexts`` different contexts of the entity, becomes a span of
-kind ``term`` in the documents that hold the entity: it is generalised to its beginning where that
-beginning, counted alike, stays below the threshold, and removed otherwise.
+kind ``term`` wherever it stands in the documents that hold the entity: it is generalised to its beginning where that
+beginning, counted alike, stays below the threshold, and removed otherwise. An entity seen in fewer contexts
+gives no estimate: a word that stands beside it once or twice is as likely to do so by chance.
 
 Counts are joins and sums over all documents. Two bitmaps of a fixed 512 KB (candidate terms,
 documents with spans) only spare work in the scans; exact joins follow.
@@ -213,8 +214,9 @@ def sanitise(docs: DataFrame, rule: DisclosureRule = DisclosureRule(), id_col: s
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     base = cut_lineage(find_base(d, rule))
     found = cut_lineage(disclosures(base, d, rule))
-    near = base.where("size(entity) > 0 AND doc_id IS NOT NULL").select("doc_id", F.explode(F.arrays_zip("entity", "term")).alias("x")).select("doc_id", "x.entity", "x.term")
-    named = cut_lineage(near.join(found.select("entity", "term"), ["entity", "term"], "left_semi").groupBy("doc_id").agg(F.sort_array(F.collect_set("term")).alias("terms")).select(F.col("doc_id").alias("of"), "terms"))
+    # a disclosed term is taken out wherever it stands in a document that holds the entity, also far from it
+    holds = base.where("doc_id IS NOT NULL").select("doc_id", F.explode(F.array_distinct("entity")).alias("entity")).distinct()
+    named = cut_lineage(holds.join(found.select("entity", "term"), "entity").groupBy("doc_id").agg(F.sort_array(F.collect_set("term")).alias("terms")).select(F.col("doc_id").alias("of"), "terms"))
     bits = bitmap(named, "of")
     if not bits.any():
         return base.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", F.col("base").alias("spans")), found
