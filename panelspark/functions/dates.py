@@ -34,14 +34,6 @@ def session_date(ts, zone: str = "America/New_York") -> Column:
     return F.to_date(F.from_utc_timestamp(_c(ts), zone))
 
 
-def month_key(day) -> Column:
-    return F.date_format(_c(day), "yyyy-MM")
-
-
-def from_epoch_ms(x) -> Column:
-    return F.to_date(F.timestamp_millis(_c(x).cast("long")))
-
-
 # Feed date layouts, tried in this order.
 FEED_DATE_LAYOUTS = (
     "EEE, dd MMM yyyy HH:mm:ss Z",

@@ -60,11 +60,3 @@ def annualised(rate, years) -> Column:
     r, y = _c(rate), _c(years)
     return F.when((r >= 0) & (r <= 1) & (y > 0), 1.0 - F.pow(1.0 - r, F.lit(1.0) / y))
 
-
-def half_even(x, digits: int) -> Column:
-    return F.bround(_c(x), digits)
-
-
-def joined_reasons(parts: list[Column], sep: str = "; ") -> Column:
-    """Text of the parts that are present, in order; null parts are left out."""
-    return F.concat_ws(sep, *parts)

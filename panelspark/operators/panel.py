@@ -23,13 +23,6 @@ def calendar(panel: DataFrame) -> DataFrame:
     return days.select("session", (F.row_number().over(w) - 1).cast("int").alias("s_idx"))
 
 
-def dedupe(bars: DataFrame, order: str, fields: list[str], keep: str = "first") -> DataFrame:
-    """One row per (ticker, session): the first (or last) non-null value per field by ``order``."""
-    pick = F.min_by if keep == "first" else F.max_by
-    return bars.groupBy("ticker", "session").agg(
-        *[pick(F.col(f), F.when(F.col(f).isNotNull(), F.col(order))).alias(f) for f in fields])
-
-
 def indexed(panel: DataFrame, cal: DataFrame) -> DataFrame:
     return panel.join(F.broadcast(cal), "session")
 
@@ -188,8 +181,3 @@ def own_reads(panel: DataFrame, as_of: str, keep: int = 6) -> DataFrame:
         *[F.max(F.when(F.col("_rn") == k + 1, F.col("close"))).alias(f"back_{k}") for k in range(keep)],
         F.max("session").alias("last_date"), F.min("close").alias("low"), F.count(F.lit(1)).alias("sessions"))
 
-
-def membership_filter(rows: DataFrame, spans: DataFrame, day: str = "session") -> DataFrame:
-    """J10 as a semi join: rows whose date lies in one of the ticker's spans (an open end counts)."""
-    from panelspark.operators.intervals import inside_any
-    return inside_any(rows, spans, "ticker", day)

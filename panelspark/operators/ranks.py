@@ -33,13 +33,6 @@ def value_bucket(v: Column) -> Column:
     return F.when(v > 0, octave).when(v < 0, -octave).otherwise(F.lit(0)).cast("long")
 
 
-def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
-
-
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` where null equals null; right keys are dropped."""
     r = right.select(*[F.col(k).alias(f"__r_{k}") if k in keys else F.col(k) for k in right.columns])

@@ -60,11 +60,14 @@ def verdict(price: Column, quality: Column) -> Column:
     ], "in the middle")
 
 
-def peer_valuation(records: DataFrame) -> DataFrame:
-    """Percentiles inside the peer set, their medians, the gap and the verdict."""
+def peer_valuation(records: DataFrame, price_inputs=PRICE_INPUTS, quality_inputs=QUALITY_INPUTS) -> DataFrame:
+    """Percentiles inside the peer set, their medians, the gap and the verdict.
+
+    ``price_inputs`` are ``(label, column)``, ``quality_inputs`` ``(label, column, higher is better)`` (D5).
+    """
     own = peer_scope(records)
-    inputs = [(lab, F.when(F.col(c) > 0, F.col(c)), "price", 1.0) for lab, c in PRICE_INPUTS]
-    inputs += [(lab, F.col(c), "quality", 1.0 if up else -1.0) for lab, c, up in QUALITY_INPUTS]
+    inputs = [(lab, F.when(F.col(c) > 0, F.col(c)), "price", 1.0) for lab, c in price_inputs]
+    inputs += [(lab, F.col(c), "quality", 1.0 if up else -1.0) for lab, c, up in quality_inputs]
     spec = F.array(*[F.struct(F.lit(lab).alias("input"), F.lit(side).alias("side"), (v.cast("double") * sign).alias("v"))
                      for lab, v, side, sign in inputs])
     long = records.select("ticker", F.explode(_memberships()).alias("scope"), *[c for c in records.columns if c not in ("ticker", "scope")])

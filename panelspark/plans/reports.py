@@ -230,6 +230,12 @@ def upcoming(events: DataFrame, watched: DataFrame, today: str, days: int = 14)
     return j.withColumn("watched", F.coalesce("_w", F.lit(False))).drop("_w")
 
 
+def upcoming_digest(events: DataFrame, watched: DataFrame, today: str, days: int = 8) -> DataFrame:
+    """P11 as the digest lists it: the next days only, watched names first, then by date and name; ``place`` states the order."""
+    soon = upcoming(events, watched, today, days)
+    return place(soon, [], [(F.col("watched"), True), (F.col("date"), False)], [F.asc("ticker"), *[F.asc(c) for c in events.columns if c not in ("ticker", "date")]], "place")
+
+
 def capped_headlines(items: DataFrame, per_name: int, total: int) -> DataFrame:
     """A cap per name, then a cap on the whole report."""
     order = [F.desc("published"), F.asc("guid")]

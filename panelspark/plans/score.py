@@ -96,11 +96,3 @@ def score_from_z(z: DataFrame, keys: list[str] | None = None) -> DataFrame:
 def score_universe(records: DataFrame, variant: str = "quality_value", keys: list[str] | None = None) -> DataFrame:
     return score_from_z(component_z(records, components(variant), keys), keys)
 
-
-def weights_table(spark, variant: str = "quality_value") -> DataFrame:
-    """The weights, normalised; small fixed content for a reader."""
-    comps = components(variant)
-    total = sum(c.weight for c in comps)
-    return spark.createDataFrame(
-        [(c.key, round(c.weight / total, 4), c.weight, c.higher_is_better, c.sector_neutral, c.contested) for c in comps],
-        "key string, weight double, raw_weight double, higher_is_better boolean, sector_neutral boolean, contested boolean")

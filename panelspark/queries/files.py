@@ -112,11 +112,10 @@ def scan_filing_set(spark, sf):
     num = li.select(F.col("l_orderkey").alias("adsh"), F.col("l_returnflag").alias("tag"), F.lit("us-gaap/2023").alias("version"), F.lit("").alias("coreg"), d8("l_shipdate").alias("ddate"), F.lit("4").alias("qtrs"), F.lit("USD").alias("uom"),
                     F.when(F.col("l_linenumber") != 5, F.col("l_extendedprice").cast("string")).otherwise("").alias("value"))
     for name, df in (("sub", sub), ("num", num)):
-        as_text(df).withColumn("q", F.when(F.col("adsh").cast("long") % 2 == 0, "2023q3").otherwise("2023q4")).write.partitionBy("q").option("header", True).option("sep", "\t").option("quote", "").option("emptyValue", "").csv(f"{root}/{name}")
-    both = []
-    for name, types in (("sub", {"adsh": "string", "cik": "bigint", "form": "string", "filed": "compact_date"}), ("num", {"adsh": "string", "tag": "string", "version": "string", "coreg": "string", "ddate": "compact_date", "qtrs": "int", "value": "double"})):
-        both.append(st.read_delimited(spark, f"{root}/{name}/*", types, "\t", False))
-    f = fx.clean_facts(both[1].withColumn("dimh", F.lit("0x00000000")), both[0])
+        for k, quarter in enumerate(("2023q3", "2023q4")):
+            as_text(df.where(F.col("adsh").cast("long") % 2 == k)).write.option("header", True).option("sep", "\t").option("quote", "").option("emptyValue", "").csv(f"{root}/{quarter}/{name}.txt")
+    sub, num = st.filing_set(spark, root)
+    f = fx.clean_facts(num, sub)
     return f.groupBy("cik", "tag").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("top"))
 
 

@@ -311,6 +311,14 @@ def upcoming_events(spark, sf):
     return rp.upcoming(e, w, "2000-06-30")
 
 
+@register("upcoming_events_digest", """WITH e AS (SELECT o_orderkey AS id, 'C' || o_custkey AS ticker, CAST(o_orderdate AS DATE) AS date, o_custkey % 4 = 0 AS watched FROM orders WHERE date_diff('day', DATE '2000-06-30', CAST(o_orderdate AS DATE)) BETWEEN 0 AND 8)
+ SELECT id, ticker, date, watched, CAST(row_number() OVER (ORDER BY watched DESC, date, ticker, id) AS INT) AS place FROM e""")
+def upcoming_events_digest(spark, sf):
+    e = t.read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("C"), "o_custkey").alias("ticker"), F.to_date("o_orderdate").alias("date"))
+    w = t.read(spark, sf, "customer").where("c_custkey % 4 = 0").select(F.concat(F.lit("C"), "c_custkey").alias("ticker"))
+    return rp.upcoming_digest(e, w, "2000-06-30")
+
+
 @register("capped_headlines", "WITH h AS (SELECT 'U' || user_id AS ticker, ts AS published, event_id AS guid FROM events), k AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY published DESC, guid) AS rn FROM h), l AS (SELECT *, row_number() OVER (ORDER BY ticker, published DESC, guid) AS rank FROM k WHERE rn <= 3) SELECT ticker, guid, CAST(rank AS INT) AS rank FROM l WHERE rank <= 40")
 def capped_headlines(spark, sf):
     h = t.read(spark, sf, "events").select(F.concat(F.lit("U"), "user_id").alias("ticker"), F.col("ts").alias("published"), F.col("event_id").alias("guid"))

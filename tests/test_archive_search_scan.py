@@ -132,3 +132,18 @@ def test_position_of_very_many_equal_scores(spark):
         assert [t for t, _ in sorted(rows, key=key)] == sorted(got, key=got.get)
     got = ranks.position(spark.createDataFrame([(i % 13, 1.0) for i in range(13)], "t long, s double"), "s", "t").orderBy("rank").collect()
     assert [r["t"] for r in got] == list(range(13))
+
+
+def test_sentences_end_where_they_end(spark):
+    from panelspark.plans.figures import sentences
+    text = "Acme Inc. Expects growth.  U.S. Sales rose vs. Last year! (Flat) in Co. B? \"Yes.\" No. Five is out. Approx. Ten"
+    got = spark.createDataFrame([(text,), ("",), ("one only",)], "t string").select(sentences(F.col("t")).alias("s")).collect()
+    assert [r["s"] for r in got] == [["Acme Inc. Expects growth.", "U.S. Sales rose vs. Last year!", "(Flat) in Co. B?", "\"Yes.\" No. Five is out.", "Approx.", "Ten"], [], ["one only"]]
+
+
+def test_peer_inputs_are_an_argument(spark):
+    from panelspark.plans.peers import peer_valuation
+    rows = [(f"T{i}", "Steel", "Basic", float(i + 1), float(20 - i), 0.1 * i, 0.2, 0.3, 0.01 * i) for i in range(8)]
+    r = spark.createDataFrame(rows, "ticker string, industry string, sector string, forward_pe double, ev_ebitda double, roic_avg double, fcf_margin_avg double, rev_cagr double, gm_std double")
+    a, b = peer_valuation(r), peer_valuation(r, price_inputs=(("EV/EBITDA", "ev_ebitda"),), quality_inputs=(("return on invested capital", "roic_avg", True),))
+    assert a.columns == b.columns and {x["ticker"]: x["price_rank"] for x in b.collect()}["T7"] == 0.0 != {x["ticker"]: x["price_rank"] for x in a.collect()}["T7"]
