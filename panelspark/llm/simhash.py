@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from panelspark.session import cut_lineage
 
-from .common import arrow_schema, as_schema, components, map_texts, sorted_groups
+from .common import arrow_schema, as_schema, components, map_texts, small_batches, sorted_groups
 
 SHARD_ROWS = 4096
 SEED = 42
@@ -42,8 +42,8 @@ def majority(digests: np.ndarray) -> np.ndarray:
     return total
 
 
-def fingerprints(texts: list[bytes | None], k: int = 4) -> np.ndarray:
-    """Majority fingerprints of whole texts as unsigned 64-bit numbers."""
+def fingerprints(texts: list[bytes | None], k: int = 4, repeats: bool = True) -> np.ndarray:
+    """Majority fingerprints of whole texts as unsigned 64-bit numbers; without ``repeats`` a shingle counts once."""
     h = xxhash.xxh64_digest
     bits = np.zeros((len(texts), 64), bool)
     for row, t in enumerate(texts):
@@ -57,6 +57,7 @@ def fingerprints(texts: list[bytes | None], k: int = 4) -> np.ndarray:
             ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
             starts = np.concatenate(([0], ends[:-1] + 1))
             got = [h(flat[a:b], SEED) for a, b in zip(starts[:len(w) - k + 1].tolist(), ends[k - 1:].tolist())]
+        got = got if repeats else list(set(got))
         counts = majority(np.frombuffer(b"".join(got), np.uint8).reshape(-1, 8))
         bits[row] = 2 * counts > len(got)
     return np.packbits(bits, axis=1).view(">u8").astype(np.uint64).ravel()
@@ -167,12 +168,7 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, shard_rows: int = SHARD_R
     edges = [64 * i // blocks for i in range(blocks + 1)]
     cols = [F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(F.shiftleft("fp", edges[i]), 64 - (edges[i + 1] - edges[i])).alias("bits")) for i in range(blocks)]
     keyed = fps.select("fp", F.explode(F.array(*cols)).alias("k")).select("fp", (F.col("k.bits") * blocks + F.col("k.block")).alias("shard"))
-    big = keyed.groupBy("shard").count().where(F.col("count") > shard_rows).select(F.col("shard").alias("hot"), F.ceil(F.col("count") / shard_rows).cast("int").alias("parts"))
-    dealt = keyed.join(big, keyed.shard == big.hot, "left").select("fp", "shard", F.coalesce("parts", F.lit(1)).alias("parts"))
-    part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    met = dealt.withColumn("p", part).select(
-        "fp", "shard", F.explode(F.expr("transform(sequence(0, parts - 1), j -> struct(least(p, j) AS i, greatest(p, j) AS j, CASE WHEN p = j THEN 2 WHEN p < j THEN 0 ELSE 1 END AS side))")).alias("g"))
-    rows = met.select("fp", F.xxhash64("shard", "g.i", "g.j").alias("grp"), F.col("g.side").cast("int").alias("side"))
+    rows = meetings(keyed, shard_rows)
     schema = as_schema("a bigint, b bigint")
     out = arrow_schema(schema)
 
@@ -209,3 +205,131 @@ def one_of_each(docs: DataFrame, **params) -> DataFrame:
     stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
     named = docs.where("doc_id IS NOT NULL")
     return named.join(stay, named.doc_id == stay["_stay"], "left_semi").dropDuplicates(["doc_id"]).union(docs.where("doc_id IS NULL"))
+
+
+# -- near copies by similarity: BK-trees over sampled bits, then an exact check -------------------
+
+NEAR_RADIUS = 18
+# two texts of similarity 0.8 differ in about 10 bits of 64 and seldom in more than 14; with 14, so large a share
+# agrees, and such a pair meets in a shard with this chance at least
+SEEN, FOUND = 50 / 64, 0.95
+
+
+def tables_for(n: int) -> tuple[int, int]:
+    """Bits a shard is keyed by and how many keys a fingerprint has, so that a shard holds about a hundred unrelated ones.
+
+    Keys grow as the count to the power of 0.36, the price of a bound this wide.
+    """
+    bits = min(max(int(n).bit_length() - 7, 6), 24)
+    return bits, int(np.ceil(np.log(1 - FOUND) / np.log(1 - SEEN ** bits)))
+
+
+def sampled_shards(fps: DataFrame, n: int) -> DataFrame:
+    """``(fp, shard)``: every fingerprint once per set of sampled bits; the sets follow from the count alone."""
+    bits, tables = tables_for(n)
+    rng = np.random.default_rng(SEED)
+    masks = [int(np.bitwise_or.reduce(np.left_shift(np.uint64(1), rng.choice(64, bits, replace=False).astype(np.uint64))).view(np.int64)) for _ in range(tables)]
+    return fps.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])).alias("shard"))
+
+
+def meetings(keyed: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """``(fp, grp, side)`` of ``keyed(fp, shard)``: a shard is one group, a larger one is cut into parts that all meet."""
+    big = keyed.groupBy("shard").count().where(F.col("count") > shard_rows).select(F.col("shard").alias("hot"), F.ceil(F.col("count") / shard_rows).cast("int").alias("parts"))
+    dealt = keyed.join(big, keyed.shard == big.hot, "left").select("fp", "shard", F.coalesce("parts", F.lit(1)).alias("parts")).withColumn("p", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    met = dealt.select("fp", "shard", F.explode(F.expr("transform(sequence(0, parts - 1), j -> struct(least(p, j) AS i, greatest(p, j) AS j, CASE WHEN p = j THEN 2 WHEN p < j THEN 0 ELSE 1 END AS side))")).alias("g"))
+    return met.select("fp", F.xxhash64("shard", "g.i", "g.j").alias("grp"), F.col("g.side").cast("int").alias("side"))
+
+
+def nearest_in_groups(fp: np.ndarray, group: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each asking point the nearest point of its group's tree within the radius, and the nearest smaller one."""
+    order = np.lexsort((fp, side == 1, group))
+    fp, group, side = fp[order], group[order], side[order]
+    first = np.concatenate(([True], group[1:] != group[:-1]))
+    root = np.flatnonzero(first)[np.cumsum(first) - 1]
+    tree = np.flatnonzero(side != 1)
+    back = np.full(len(fp), -1)
+    back[tree] = np.arange(len(tree))
+    trees = grow_trees(fp[tree], back[root[tree]])
+    ask = np.flatnonzero((side != 0) & (side[root] != 1))
+    none = np.iinfo(np.int64).max
+    any_, less = np.full(len(fp), none), np.full(len(fp), none)
+    for q, node in search_trees(np.concatenate((fp[tree], fp)), trees, ask + len(tree), back[root[ask]], radius):
+        q, node = q - len(tree), tree[node]
+        other = fp[q] != fp[node]
+        q, node = q[other], node[other]
+        score = np.bitwise_count(fp[q] ^ fp[node]).astype(np.int64) * len(fp) + node
+        np.minimum.at(any_, q, score)
+        smaller = fp[node] < fp[q]
+        np.minimum.at(less, q[smaller], score[smaller])
+    a, b = [], []
+    for best in (any_, less):
+        q = np.flatnonzero(best != none)
+        a.append(fp[q])
+        b.append(fp[best[q] % len(fp)])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def shingle_set(text: str | None, k: int) -> set[bytes]:
+    w = text.encode().lower().split() if text else []
+    return {b" ".join(w[i:i + k]) for i in range(max(len(w) - k, 0) + 1)} if w else set()
+
+
+def alike(a: str | None, b: str | None, k: int = 5, similarity: float = 0.8) -> bool:
+    """Whether the shingles of two whole texts have this Jaccard similarity; texts without words are alike."""
+    x, y = shingle_set(a, k), shingle_set(b, k)
+    both = len(x & y)
+    return both >= similarity * (len(x) + len(y) - both)
+
+
+def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = NEAR_RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """``(doc_id, component_id)`` of every document with an id: copies, and texts joined by a chain of similar ones, share a component.
+
+    The bound on differing bits that a similarity of 0.8 needs is too wide for shards by bit blocks. Fingerprints are dealt
+    by sets of sampled bits instead, in which a pair of similarity 0.8 meets with a chance of ``FOUND``, a closer one with a
+    higher one. In a shard's BK-tree each fingerprint finds its nearest neighbour and its nearest smaller one, so a
+    group of n near copies gives at most 2n candidates a shard and not all pairs. Every candidate, also two texts of one
+    fingerprint, is checked on the shingles of the two whole texts before it links them. Recall is measured in the README.
+    """
+    d = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+
+    def run(part, texts):
+        return {"id": part.column(0), "fp": pa.array(fingerprints(texts, k, repeats=False).view(np.int64)), "body": part.column(2)}
+
+    rows = cut_lineage(map_texts(d.withColumn("body", F.md5(F.col("text").cast("binary"))), "text", run, "id bigint, fp bigint, body string"))
+    bodies = cut_lineage(rows.groupBy("fp", "body").agg(F.min("id").alias("low")))
+    fps = cut_lineage(bodies.groupBy("fp").agg(F.min("low").alias("rep")))
+    schema = as_schema("a bigint, b bigint")
+    out = arrow_schema(schema)
+
+    def find(batches):
+        for t in sorted_groups(batches, ["grp"]):
+            a, b = nearest_in_groups(t.column("fp").to_numpy().view(np.uint64), t.column("grp").to_numpy(), t.column("side").to_numpy(), radius)
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], schema=out)
+
+    met = meetings(sampled_shards(fps.select("fp"), fps.count()), shard_rows)
+    links = met.repartition("grp").sortWithinPartitions("grp").mapInArrow(find, schema)
+    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    name = lambda c: fps.select(F.col("fp").alias(c), F.col("rep").alias(f"r{c}"))
+    asked = links.join(name("a"), "a").join(name("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    same = bodies.join(fps, "fp").where("low <> rep").select(F.col("low").alias("a"), F.col("rep").alias("b"))
+    asked = cut_lineage(asked.union(same).where("a <> b").distinct())
+    ids = asked.select(F.col("a").alias("id")).union(asked.select("b")).distinct()
+    said = cut_lineage(d.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
+    text = lambda c: said.select(F.col("id").alias(c), F.col("text").alias(f"t{c}"))
+
+    def check(batches):
+        for batch in batches:
+            keep = [alike(x.as_py(), y.as_py(), k, similarity) for x, y in zip(batch.column(2), batch.column(3))]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    pairs = small_batches(asked.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb")).mapInArrow(check, schema)
+    comp = components(pairs)
+    member = bodies.join(comp.select(F.col("v").alias("low"), "root"), "low", "left").select("fp", "body", F.coalesce("root", "low").alias("component_id"))
+    return rows.join(member, ["fp", "body"]).select(F.col("id").alias("doc_id"), "component_id")
+
+
+def one_of_near(docs: DataFrame, **params) -> DataFrame:
+    """One document of each group of ``near_groups``, the one with the smallest id, with all its columns; ids as in ``one_of_each``."""
+    stay = near_groups(docs, **params).where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
+    named = docs.where("doc_id IS NOT NULL")
+    return named.join(stay, named.doc_id == stay["_stay"], "left_semi").dropDuplicates(["doc_id"]).union(docs.where("doc_id IS NULL"))

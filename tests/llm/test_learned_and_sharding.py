@@ -162,7 +162,7 @@ def test_pipeline_stages_next_to_their_operators(spark, tables):
             model = toxicity.learn_toxicity(toxicity.training_rows(before, tables["labels"]))
             assert set(b) == {r["doc_id"] for r in toxicity.toxicity_scores(before, model).where("predicted = 0").collect()}
         if name == "simhash near-dedup":
-            assert set(b) == {r["component_id"] for r in simhash.simhash_groups(before).collect()} and max(b.values()) == 1
+            assert set(b) == {r["component_id"] for r in simhash.near_groups(before).collect()} and max(b.values()) == 1
         if name == "decontamination":
             assert set(a) - set(b) == {r["doc_id"] for r in decontam.leaks(before, tables["benchmark"]).collect()}
     last = p.STAGES[-1][1](spark, out, SF).collect()
