@@ -35,15 +35,15 @@ SHINGLE_BLOCK = 1 << 17
 
 
 def majority(digests: np.ndarray) -> np.ndarray:
-    """Per bit (most significant first), in how many of the 8-byte digests it is set."""
-    total = np.zeros(64, np.int64)
+    """Per bit (most significant first), in how many of the digests it is set."""
+    total = np.zeros(8 * digests.shape[1], np.int64)
     for i in range(0, len(digests), SHINGLE_BLOCK):
         total += np.unpackbits(digests[i:i + SHINGLE_BLOCK], axis=1).sum(axis=0, dtype=np.int64)
     return total
 
 
-def fingerprints(texts: list[bytes | None], k: int = 4, repeats: bool = True) -> np.ndarray:
-    """Majority fingerprints of whole texts as unsigned 64-bit numbers; without ``repeats`` a shingle counts once."""
+def fingerprints(texts: list[bytes | None], k: int = 4) -> np.ndarray:
+    """Majority fingerprints of whole texts as unsigned 64-bit numbers."""
     h = xxhash.xxh64_digest
     bits = np.zeros((len(texts), 64), bool)
     for row, t in enumerate(texts):
@@ -57,7 +57,6 @@ def fingerprints(texts: list[bytes | None], k: int = 4, repeats: bool = True) ->
             ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
             starts = np.concatenate(([0], ends[:-1] + 1))
             got = [h(flat[a:b], SEED) for a, b in zip(starts[:len(w) - k + 1].tolist(), ends[k - 1:].tolist())]
-        got = got if repeats else list(set(got))
         counts = majority(np.frombuffer(b"".join(got), np.uint8).reshape(-1, 8))
         bits[row] = 2 * counts > len(got)
     return np.packbits(bits, axis=1).view(">u8").astype(np.uint64).ravel()
@@ -209,7 +208,8 @@ def one_of_each(docs: DataFrame, **params) -> DataFrame:
 
 # -- near copies by similarity: BK-trees over sampled bits, then an exact check -------------------
 
-NEAR_RADIUS = 18
+NEAR_RADIUS = 15
+CHECK_RADIUS = 18                  # of the second half of the fingerprint, before texts are compared
 # two texts of similarity 0.8 differ in about 10 bits of 64 and seldom in more than 14; with 14, so large a share
 # agrees, and such a pair meets in a shard with this chance at least
 SEEN, FOUND = 50 / 64, 0.95
@@ -269,8 +269,18 @@ def nearest_in_groups(fp: np.ndarray, group: np.ndarray, side: np.ndarray, radiu
     return np.concatenate(a), np.concatenate(b)
 
 
-def shingle_set(text: str | None, k: int) -> set[bytes]:
-    w = text.encode().lower().split() if text else []
+def wide_fingerprint(text: bytes | None, k: int) -> tuple[int, int, int]:
+    """Two independent halves of a majority fingerprint over the distinct shingles, and how many there are."""
+    s = shingle_set(text, k)
+    if not s:
+        return 0, 0, 0
+    counts = majority(np.frombuffer(b"".join(xxhash.xxh3_128_digest(x, SEED) for x in s), np.uint8).reshape(-1, 16))
+    a, b = np.packbits(2 * counts > len(s)).view(">i8").tolist()
+    return a, b, len(s)
+
+
+def shingle_set(text: str | bytes | None, k: int) -> set[bytes]:
+    w = (text.encode() if isinstance(text, str) else text).lower().split() if text else []
     return {b" ".join(w[i:i + k]) for i in range(max(len(w) - k, 0) + 1)} if w else set()
 
 
@@ -287,17 +297,19 @@ def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: in
     The bound on differing bits that a similarity of 0.8 needs is too wide for shards by bit blocks. Fingerprints are dealt
     by sets of sampled bits instead, in which a pair of similarity 0.8 meets with a chance of ``FOUND``, a closer one with a
     higher one. In a shard's BK-tree each fingerprint finds its nearest neighbour and its nearest smaller one, so a
-    group of n near copies gives at most 2n candidates a shard and not all pairs. Every candidate, also two texts of one
+    group of n near copies gives at most 2n candidates a shard and not all pairs. Candidates with too unlike numbers of
+    shingles, or with an independent second fingerprint beyond ``CHECK_RADIUS``, go before any text is read. Every other, also two texts of one
     fingerprint, is checked on the shingles of the two whole texts before it links them. Recall is measured in the README.
     """
     d = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(part, texts):
-        return {"id": part.column(0), "fp": pa.array(fingerprints(texts, k, repeats=False).view(np.int64)), "body": part.column(2)}
+        fp, check, n = zip(*(wide_fingerprint(t, k) for t in texts))
+        return {"id": part.column(0), "fp": fp, "body": part.column(2), "check": check, "n": n}
 
-    rows = cut_lineage(map_texts(d.withColumn("body", F.md5(F.col("text").cast("binary"))), "text", run, "id bigint, fp bigint, body string"))
-    bodies = cut_lineage(rows.groupBy("fp", "body").agg(F.min("id").alias("low")))
-    fps = cut_lineage(bodies.groupBy("fp").agg(F.min("low").alias("rep")))
+    rows = cut_lineage(map_texts(d.withColumn("body", F.md5(F.col("text").cast("binary"))), "text", run, "id bigint, fp bigint, body string, check bigint, n bigint"))
+    bodies = cut_lineage(rows.groupBy("fp", "body").agg(F.min("id").alias("low"), F.min("check").alias("check"), F.min("n").alias("n")))
+    fps = cut_lineage(bodies.groupBy("fp").agg(F.min(F.struct("low", "check", "n")).alias("r")).select("fp", F.col("r.low").alias("rep"), "r.check", "r.n"))
     schema = as_schema("a bigint, b bigint")
     out = arrow_schema(schema)
 
@@ -309,8 +321,10 @@ def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: in
     met = meetings(sampled_shards(fps.select("fp"), fps.count()), shard_rows)
     links = met.repartition("grp").sortWithinPartitions("grp").mapInArrow(find, schema)
     links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    name = lambda c: fps.select(F.col("fp").alias(c), F.col("rep").alias(f"r{c}"))
-    asked = links.join(name("a"), "a").join(name("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    name = lambda c: fps.select(F.col("fp").alias(c), F.col("rep").alias(f"r{c}"), F.col("check").alias(f"c{c}"), F.col("n").alias(f"n{c}"))
+    # unlike numbers of shingles exclude the similarity; the second half sorts out what only sampled bits brought together
+    likely = (F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb")) & (F.bit_count(F.col("ca").bitwiseXOR(F.col("cb"))) <= CHECK_RADIUS)
+    asked = links.join(name("a"), "a").join(name("b"), "b").where(likely).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     same = bodies.join(fps, "fp").where("low <> rep").select(F.col("low").alias("a"), F.col("rep").alias("b"))
     asked = cut_lineage(asked.union(same).where("a <> b").distinct())
     ids = asked.select(F.col("a").alias("id")).union(asked.select("b")).distinct()
