@@ -225,25 +225,26 @@ def tables_for(n: int) -> tuple[int, int]:
 
 
 def sampled_shards(fps: DataFrame, n: int) -> DataFrame:
-    """``(fp, shard)``: every fingerprint once per set of sampled bits; the sets follow from the count alone."""
+    """``(fp, check, shard)``: every fingerprint once per set of sampled bits; the sets follow from the count alone."""
     bits, tables = tables_for(n)
     rng = np.random.default_rng(SEED)
     masks = [int(np.bitwise_or.reduce(np.left_shift(np.uint64(1), rng.choice(64, bits, replace=False).astype(np.uint64))).view(np.int64)) for _ in range(tables)]
-    return fps.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])).alias("shard"))
+    return fps.select("fp", "check", F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])).alias("shard"))
 
 
 def meetings(keyed: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """``(fp, grp, side)`` of ``keyed(fp, shard)``: a shard is one group, a larger one is cut into parts that all meet."""
+    """``(fp, ..., grp, side)`` of ``keyed(fp, ..., shard)``: a shard is one group, a larger one is cut into parts that all meet."""
     big = keyed.groupBy("shard").count().where(F.col("count") > shard_rows).select(F.col("shard").alias("hot"), F.ceil(F.col("count") / shard_rows).cast("int").alias("parts"))
-    dealt = keyed.join(big, keyed.shard == big.hot, "left").select("fp", "shard", F.coalesce("parts", F.lit(1)).alias("parts")).withColumn("p", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    met = dealt.select("fp", "shard", F.explode(F.expr("transform(sequence(0, parts - 1), j -> struct(least(p, j) AS i, greatest(p, j) AS j, CASE WHEN p = j THEN 2 WHEN p < j THEN 0 ELSE 1 END AS side))")).alias("g"))
-    return met.select("fp", F.xxhash64("shard", "g.i", "g.j").alias("grp"), F.col("g.side").cast("int").alias("side"))
+    kept = [c for c in keyed.columns if c != "shard"]
+    dealt = keyed.join(big, keyed.shard == big.hot, "left").select(*kept, "shard", F.coalesce("parts", F.lit(1)).alias("parts")).withColumn("p", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    met = dealt.select(*kept, "shard", F.explode(F.expr("transform(sequence(0, parts - 1), j -> struct(least(p, j) AS i, greatest(p, j) AS j, CASE WHEN p = j THEN 2 WHEN p < j THEN 0 ELSE 1 END AS side))")).alias("g"))
+    return met.select(*kept, F.xxhash64("shard", "g.i", "g.j").alias("grp"), F.col("g.side").cast("int").alias("side"))
 
 
-def nearest_in_groups(fp: np.ndarray, group: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each asking point the nearest point of its group's tree within the radius, and the nearest smaller one."""
+def nearest_in_groups(fp: np.ndarray, check: np.ndarray, group: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each asking point the nearest point of its group's tree within the radius, and the nearest smaller one, of those whose second half is near too."""
     order = np.lexsort((fp, side == 1, group))
-    fp, group, side = fp[order], group[order], side[order]
+    fp, check, group, side = fp[order], check[order], group[order], side[order]
     first = np.concatenate(([True], group[1:] != group[:-1]))
     root = np.flatnonzero(first)[np.cumsum(first) - 1]
     tree = np.flatnonzero(side != 1)
@@ -255,7 +256,7 @@ def nearest_in_groups(fp: np.ndarray, group: np.ndarray, side: np.ndarray, radiu
     any_, less = np.full(len(fp), none), np.full(len(fp), none)
     for q, node in search_trees(np.concatenate((fp[tree], fp)), trees, ask + len(tree), back[root[ask]], radius):
         q, node = q - len(tree), tree[node]
-        other = fp[q] != fp[node]
+        other = (fp[q] != fp[node]) & (np.bitwise_count(check[q] ^ check[node]) <= CHECK_RADIUS)
         q, node = q[other], node[other]
         score = np.bitwise_count(fp[q] ^ fp[node]).astype(np.int64) * len(fp) + node
         np.minimum.at(any_, q, score)
@@ -296,9 +297,9 @@ def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: in
 
     The bound on differing bits that a similarity of 0.8 needs is too wide for shards by bit blocks. Fingerprints are dealt
     by sets of sampled bits instead, in which a pair of similarity 0.8 meets with a chance of ``FOUND``, a closer one with a
-    higher one. In a shard's BK-tree each fingerprint finds its nearest neighbour and its nearest smaller one, so a
-    group of n near copies gives at most 2n candidates a shard and not all pairs. Candidates with too unlike numbers of
-    shingles, or with an independent second fingerprint beyond ``CHECK_RADIUS``, go before any text is read. Every other, also two texts of one
+    higher one. In a shard's BK-tree each fingerprint finds its nearest neighbour and its nearest smaller one, among those
+    whose independent second half is within ``CHECK_RADIUS``, so a group of n near copies gives at most 2n candidates a shard
+    and not all pairs. Candidates with too unlike numbers of shingles go before any text is read. Every other, also two texts of one
     fingerprint, is checked on the shingles of the two whole texts before it links them. Recall is measured in the README.
     """
     d = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -315,15 +316,14 @@ def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: in
 
     def find(batches):
         for t in sorted_groups(batches, ["grp"]):
-            a, b = nearest_in_groups(t.column("fp").to_numpy().view(np.uint64), t.column("grp").to_numpy(), t.column("side").to_numpy(), radius)
+            a, b = nearest_in_groups(t.column("fp").to_numpy().view(np.uint64), t.column("check").to_numpy().view(np.uint64), t.column("grp").to_numpy(), t.column("side").to_numpy(), radius)
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], schema=out)
 
-    met = meetings(sampled_shards(fps.select("fp"), fps.count()), shard_rows)
+    met = meetings(sampled_shards(fps.select("fp", "check"), fps.count()), shard_rows)
     links = met.repartition("grp").sortWithinPartitions("grp").mapInArrow(find, schema)
     links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    name = lambda c: fps.select(F.col("fp").alias(c), F.col("rep").alias(f"r{c}"), F.col("check").alias(f"c{c}"), F.col("n").alias(f"n{c}"))
-    # unlike numbers of shingles exclude the similarity; the second half sorts out what only sampled bits brought together
-    likely = (F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb")) & (F.bit_count(F.col("ca").bitwiseXOR(F.col("cb"))) <= CHECK_RADIUS)
+    name = lambda c: fps.select(F.col("fp").alias(c), F.col("rep").alias(f"r{c}"), F.col("n").alias(f"n{c}"))
+    likely = F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb")         # unlike numbers of shingles exclude the similarity
     asked = links.join(name("a"), "a").join(name("b"), "b").where(likely).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     same = bodies.join(fps, "fp").where("low <> rep").select(F.col("low").alias("a"), F.col("rep").alias("b"))
     asked = cut_lineage(asked.union(same).where("a <> b").distinct())
