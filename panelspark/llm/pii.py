@@ -7,10 +7,14 @@ holding entity e and n(t, e) holding t within ``window`` words of e,
     PMI(t; e) = log2(n(t, e) * N / (n(t) * n(e))),   disclosure = PMI(t; e) / log2(N / n(e)).
 
 One means that the term occurs beside the entity only. A term whose disclosure reaches the
-threshold, seen in at least ``min_contexts`` different contexts of the entity, becomes a span of
-kind ``term`` wherever it stands in the documents that hold the entity: it is generalised to its beginning where that
-beginning, counted alike, stays below the threshold, and removed otherwise. An entity seen in fewer contexts
-gives no estimate: a word that stands beside it once or twice is as likely to do so by chance.
+threshold becomes a span of kind ``term`` wherever it stands in the documents that hold the entity:
+it is generalised to its beginning where that beginning, counted alike, stays below the threshold,
+and removed otherwise.
+
+The estimate holds for every entity, also for one that a single document names: there n(t, e) = 1
+and disclosure is log2(N / n(t)) / log2(N), so a threshold of 0.9 takes the terms found in at most
+N^0.1 documents. Whoever sees such a term finds the document, and with it the entity. Common words
+beside a rare entity stay far below, whatever the number of entities.
 
 Counts are joins and sums over all documents. Two bitmaps of a fixed 512 KB (candidate terms,
 documents with spans) only spare work in the scans; exact joins follow.
@@ -52,7 +56,6 @@ WORD = re.compile(r"\w+")
 class DisclosureRule:
     window: int = 8
     threshold: float = 0.9
-    min_contexts: int = 3
     general_chars: int = 3
 
 
@@ -113,19 +116,19 @@ def as_long(s: str) -> int:
 
 
 def contexts(s: str, spans, window: int):
-    """Per base span: entity key, hash of its context and the distinct terms of the context."""
+    """Per base span: entity key and the distinct terms around it."""
     words = [(m.start(), m.end()) for m in WORD.finditer(s)]
     starts = np.array([a for a, _ in words] or [0])
     for a, b, kind in spans:
         i, j = int(np.searchsorted(starts, a)), int(np.searchsorted(starts, b))
         near = [s[x:y].lower() for x, y in words[max(0, i - window):i] if y <= a] + [s[x:y].lower() for x, y in words[j:j + window]]
-        yield entity_key(kind, s[a:b]), as_long(" ".join(near)), {w for w in near if not w.isdigit()}
+        yield entity_key(kind, s[a:b]), {w for w in near if not w.isdigit()}
 
 
 def find_base(docs: DataFrame, rule: DisclosureRule) -> DataFrame:
-    """Base result of every row, with its entities' contexts as parallel arrays."""
+    """Base result of every row, with its entities and the terms near them as parallel arrays."""
     def run(part, texts):
-        cols: dict[str, list] = {k: [] for k in ("n_email", "n_ip", "n_card", "n_phone", "base", "entity", "context", "term")}
+        cols: dict[str, list] = {k: [] for k in ("n_email", "n_ip", "n_card", "n_phone", "base", "entity", "term")}
         for t in texts:
             s = t.decode("utf-8", "replace") if t else ""
             spans = base_spans(s)
@@ -133,13 +136,12 @@ def find_base(docs: DataFrame, rule: DisclosureRule) -> DataFrame:
             for k in KINDS[:4]:
                 cols[f"n_{k}"].append(n[k])
             cols["base"].append(spell(spans))
-            near = [(e, c, w) for e, c, terms in contexts(s, spans, rule.window) for w in sorted(terms) or [""]] if spans else []
+            near = sorted({(e, w) for e, terms in contexts(s, spans, rule.window) for w in terms or [""]}) if spans else []
             cols["entity"].append([x[0] for x in near])
-            cols["context"].append([x[1] for x in near])
-            cols["term"].append([x[2] for x in near])
+            cols["term"].append([x[1] for x in near])
         return {"doc_id": part.column(0), **cols}
 
-    return map_texts(docs, "text", run, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, entity array<bigint>, context array<bigint>, term array<string>")
+    return map_texts(docs, "text", run, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, entity array<bigint>, term array<string>")
 
 
 def term_counts(docs: DataFrame, bits: np.ndarray, general_chars: int) -> DataFrame:
@@ -171,13 +173,13 @@ def term_counts(docs: DataFrame, bits: np.ndarray, general_chars: int) -> DataFr
 
 def disclosures(base: DataFrame, docs: DataFrame, rule: DisclosureRule) -> DataFrame:
     """``(entity, term, disclosure, general)`` of the terms that reveal an entity; ``general`` tells that the beginning of the term may stay."""
-    near = base.where("size(entity) > 0").select("doc_id", F.explode(F.arrays_zip("entity", "context", "term")).alias("x")).select("doc_id", "x.entity", "x.context", "x.term")
-    start = F.concat(F.substring("term", 1, rule.general_chars), F.lit("*"))
-    n_e = near.groupBy("entity").agg(F.count_distinct("context").alias("seen"), F.count_distinct("doc_id").alias("n_e")).where(F.col("seen") >= rule.min_contexts)
-    held = cut_lineage(near.join(n_e.select(F.col("entity").alias("of"), "n_e"), F.col("entity") == F.col("of")).drop("of").where("term <> ''"))
-    pair = held.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("doc_id").alias("n_te"), F.first("n_e").alias("n_e")).where(F.col("contexts") >= rule.min_contexts)
-    wide = held.groupBy("entity", start.alias("start")).agg(F.count_distinct("doc_id").alias("n_se"))
-    pair = cut_lineage(pair.withColumn("start", start).join(wide.select(F.col("entity").alias("e2"), F.col("start").alias("s2"), "n_se"), (F.col("entity") == F.col("e2")) & (F.col("start") == F.col("s2"))).drop("e2", "s2"))
+    near = base.where("size(entity) > 0 AND doc_id IS NOT NULL").select("doc_id", F.explode(F.arrays_zip("entity", "term")).alias("x")).select("doc_id", "x.entity", "x.term").distinct()
+    near = cut_lineage(near.withColumn("start", F.concat(F.substring("term", 1, rule.general_chars), F.lit("*"))))
+    # an entity that many documents hold is counted down to one row per term before it meets its own count
+    n_e = near.groupBy("entity").agg(F.count_distinct("doc_id").alias("n_e")).select(F.col("entity").alias("e1"), "n_e")
+    wide = near.where("term <> ''").groupBy("entity", "start").agg(F.count_distinct("doc_id").alias("n_se")).select(F.col("entity").alias("e2"), F.col("start").alias("s2"), "n_se")
+    pair = near.where("term <> ''").groupBy("entity", "term", "start").agg(F.count("*").alias("n_te"))
+    pair = cut_lineage(pair.join(n_e, F.col("entity") == F.col("e1")).join(wide, (F.col("entity") == F.col("e2")) & (F.col("start") == F.col("s2"))).drop("e1", "e2", "s2"))
     names = pair.select(F.explode(F.array("term", "start")).alias("name")).distinct()
     bits = bitmap(names.select(F.xxhash64("name").alias("h")), "h")
     if not bits.any():

@@ -181,30 +181,44 @@ def test_revealing_terms_become_spans(spark):
 
 
 def brute_disclosure(docs, window=8):
-    """Disclosure of every pair seen in three contexts or more, by plain counting."""
+    """Disclosure of every entity and term near it, by plain counting."""
     from collections import defaultdict
     n = len(docs)
-    n_t, n_te, n_e, ctx = defaultdict(set), defaultdict(set), defaultdict(set), defaultdict(set)
+    n_t, n_te, n_e = defaultdict(set), defaultdict(set), defaultdict(set)
     for i, t in docs:
         s = t or ""
         for w in set(re.findall(r"\w+", s.lower())):
             n_t[w].add(i)
-        for e, c, near in pii.contexts(s, pii.base_spans(s), window):
+        for e, near in pii.contexts(s, pii.base_spans(s), window):
             n_e[e].add(i)
             for w in near:
                 n_te[e, w].add(i)
-                ctx[e, w].add(c)
-    return {(e, w): np.log2(len(d) * n / (len(n_t[w]) * len(n_e[e]))) / np.log2(n / len(n_e[e])) for (e, w), d in n_te.items() if len(ctx[e, w]) >= 3}
+    return {(e, w): np.log2(len(d) * n / (len(n_t[w]) * len(n_e[e]))) / np.log2(n / len(n_e[e])) for (e, w), d in n_te.items()}
 
 
-def test_disclosure_equals_plain_counts(spark):
-    docs = [d for d in pii_fixture() if d[0] is not None]
-    rule = pii.DisclosureRule(threshold=0.3)
-    _, terms = pii.sanitise(spark.createDataFrame(docs, "doc_id long, text string"), rule)
+def rare_entities():
+    """Most entities stand in one or two documents, some beside a word of their own."""
+    rng = random.Random(8)
+    say = lambda n: " ".join("w%d" % rng.randrange(300) for _ in range(n))
+    docs = [(i, say(60)) for i in range(600)]
+    for i in range(40):
+        docs[i] = (i, f"{say(9)} {'Own%d' % i if i % 2 else say(1)} 10.0.{i}.7 {say(9)}")
+    docs[41] = (41, f"{say(30)} Own1 {say(5)} 10.0.1.7 {say(20)}")       # a second document, the word near it
+    docs[42] = (42, f"{say(30)} own3 {say(30)}")                             # the word without its entity
+    return docs
+
+
+@pytest.mark.parametrize("threshold", [0.3, pii.DisclosureRule().threshold])
+@pytest.mark.parametrize("made", ["few", "rare"])
+def test_disclosure_equals_plain_counts(spark, threshold, made):
+    docs = [d for d in pii_fixture() if d[0] is not None] if made == "few" else rare_entities()
+    _, terms = pii.sanitise(spark.createDataFrame(docs, "doc_id long, text string"), pii.DisclosureRule(threshold=threshold))
     got = {(r["entity"], r["term"]): r["disclosure"] for r in terms.collect()}
-    want = {k: v for k, v in brute_disclosure(docs).items() if v >= 0.3}
-    assert set(got) == set(want) and len(got) > 1
+    want = {k: v for k, v in brute_disclosure(docs).items() if v >= threshold}
+    assert set(got) == set(want) and got
     assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    if made == "rare" and threshold == 0.9:
+        assert {t for _, t in got} == {"own%d" % i for i in range(1, 40, 2) if i != 3} and len(got) == 19
 
 
 def test_licences_of_headers_files_and_ancestors(spark):
