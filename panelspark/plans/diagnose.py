@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.operators.ranks import percentile_from_ranks, position, spearman, value_ranks
+from panelspark.operators.ranks import position, spearman, value_ranks
+from panelspark.plans.score import MIN_COVERAGE, component_z, components, score_from_z
+from panelspark.session import cut_lineage
 
 REDUNDANT = 0.75
 MIN_NAMES = 20
+# When a note is worth a row.
+FEW_SIGNALS, NARROWS, WIDER, AGREES = 0.6, -0.01, 0.08, 0.6
 
 
 def pair_correlations(z: DataFrame) -> DataFrame:
@@ -89,3 +94,63 @@ def top_overlap(a: DataFrame, b: DataFrame, n: int) -> DataFrame:
     ta = a.orderBy(F.desc("score"), "ticker").limit(n).select("ticker")
     tb = b.orderBy(F.desc("score"), "ticker").limit(n).select("ticker")
     return ta.join(tb, "ticker").agg(F.count(F.lit(1)).alias("shared"))
+
+
+@dataclass
+class Diagnosis:
+    pairs: DataFrame                # every pair of components: rho, n, combined weight, redundant
+    effective: float | None         # independent signals by entropy; None under ``MIN_NAMES`` names
+    variance: DataFrame             # share of the score's variance beside the nominal weight
+    coverage: DataFrame             # one row
+    thin: DataFrame                 # names ranked on too little of the weight
+    moves: DataFrame                # largest moves against the older score
+    notes: DataFrame                # ``note, subject, value``: what a reader should know, one row each
+
+
+def participation(pairs: DataFrame, k: int) -> DataFrame:
+    """``(value)``: k^2 over the sum of all squared correlations, the other usual count of independent signals; one row."""
+    mass = F.lit(float(k)) + 2 * F.coalesce(F.sum(F.col("rho") * F.col("rho")), F.lit(0.0))
+    return pairs.agg((F.lit(float(k * k)) / mass).alias("value"))
+
+
+def diagnose(records: DataFrame, variant: str = "quality_value", old: str = "quality_score", n_moves: int = 12) -> Diagnosis:
+    """X4 in one call: what the score of ``records`` is made of, from one pass over its components.
+
+    Notes, each present only where it applies: ``few_names`` (correlations are not read), ``redundant_pairs`` (their number)
+    and ``worst_pair`` (its rho), ``few_signals`` (effective count under 0.6 of the components), ``participation``,
+    ``narrows`` (the component with the most negative share of variance), ``wider_than_weight`` (its excess over the nominal
+    weight), ``agreement`` with the older score, subject telling which way it reads, and ``thin_names``.
+    """
+    comps = components(variant)
+    z = component_z(records, comps)
+    scores = cut_lineage(score_from_z(z).withColumns({"score": F.round("score", 12), "coverage": F.round("coverage", 9)}))
+    n = scores.count()
+    pairs = cut_lineage(pair_correlations(z.withColumn("z", F.round("z", 12))))
+    effective = effective_signals(pairs, [c.key for c in comps], n)
+    variance = cut_lineage(variance_share(z))
+    both = scores.select("ticker", "score").join(records.select("ticker", old), "ticker")
+    thin = scores.where(F.col("coverage") < MIN_COVERAGE).select("ticker", "coverage")
+
+    def note(name: str, df: DataFrame, subject=None, value="value") -> DataFrame:
+        return df.select(F.lit(name).alias("note"), (F.lit(None) if subject is None else subject).cast("string").alias("subject"), F.col(value).cast("double").alias("value"))
+
+    bad = pairs.where("redundant")
+    over = variance.withColumn("value", F.col("share") - F.col("nominal_weight"))
+    rho = spearman(both, [], old, "score").where("rho IS NOT NULL")
+    size = records.sparkSession.createDataFrame([(float(n), effective)], "value double, effective double")
+    enough = size.where(F.col("value") >= MIN_NAMES)
+    notes = [
+        note("few_names", size.where(F.col("value") < MIN_NAMES)),
+        note("redundant_pairs", bad.agg(F.count(F.lit(1)).alias("value")).where("value > 0")),
+        note("worst_pair", bad.orderBy(F.desc(F.abs(F.round("rho", 9))), "a", "b").limit(1), F.concat_ws(",", "a", "b"), "rho"),
+        note("few_signals", enough.where(F.col("effective") < FEW_SIGNALS * len(comps)), None, "effective"),
+        note("participation", participation(pairs, len(comps)).join(enough.select("effective"), F.lit(True), "left_semi")),
+        note("narrows", variance.where(F.col("share") < NARROWS).orderBy(F.round("share", 9), "key").limit(1), F.col("key"), "share"),
+        note("wider_than_weight", over.where(F.col("value") > WIDER).orderBy(F.desc(F.round("value", 9)), F.desc("key")).limit(1), F.col("key")),
+        note("agreement", rho, F.when(F.col("rho") > AGREES, "refinement").otherwise("different view"), "rho"),
+        note("thin_names", thin.agg(F.count(F.lit(1)).alias("value")).where("value > 0"))]
+    out = notes[0]
+    for x in notes[1:]:
+        out = out.unionByName(x)
+    moves = rank_movement(both, old, "score", n_moves)
+    return Diagnosis(pairs, effective, variance, coverage_distribution(scores), thin, moves, out)

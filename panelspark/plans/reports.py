@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.numeric import cagr, growth, ladder, safe_div
+from panelspark.functions.text import buy_zone, price_trigger, standing
 from panelspark.operators.asof import asof_backward, asof_forward
 from panelspark.operators.panel import own_reads
 from panelspark.operators.rangemin import first_below, range_minimum, sparse_table
@@ -249,6 +250,32 @@ def digest_rows(counts: DataFrame) -> DataFrame:
     return place(counts, [], coarse, [F.asc("ticker")], "place")
 
 
+def standing_calls(calls: DataFrame, reads: DataFrame, held: DataFrame, today: str) -> DataFrame:
+    """What the call log says to buy now, wait for or leave, at the last closes.
+
+    ``calls``: ``ticker, pos, action, wrong_if`` and maybe ``conviction``; ``reads``: ``ticker, last_close, breached``. A call whose
+    own wrong-if level is broken is ``out`` whatever it says; a held name does not wait; a call that commits to nothing has no row.
+    ``place`` orders the list of what to buy by conviction, names not held first, the others by the log.
+    """
+    c = calls if "conviction" in calls.columns else calls.withColumn("conviction", F.lit(None).cast("double"))
+    j = c.select("ticker", "pos", "action", "wrong_if", F.coalesce(F.col("conviction").cast("double"), F.lit(0.0)).alias("conviction"))
+    j = j.join(reads.select("ticker", F.col("last_close").alias("price"), F.col("breached").alias("_b")), "ticker", "left")
+    j = j.join(held.select("ticker").distinct().withColumn("held", F.lit(True)), "ticker", "left").fillna(False, ["held"])
+    j = j.withColumns({"trigger": price_trigger("wrong_if"), "standing": standing("action", "price", F.lit(today).cast("date"))})
+    broken = F.coalesce("_b", F.lit(False)) | F.coalesce(F.col("price") < F.col("trigger"), F.lit(False))
+    what = F.when(F.col("standing") == "skip", F.lit(None)).when(broken, "out").when(F.col("standing") == "now", "buy now").when(~F.col("held"), "waiting")
+    z0, z1 = buy_zone("action")
+    why = ladder([(broken, "wrong-if level broken"), (z0.isNull() | z1.isNull(), "wording"), (F.col("price").isNull(), "no close"),
+                  (F.col("price") > z1, "above its zone"), (F.col("price") < z0, "under its zone")], "inside its zone")
+    j = j.withColumns({"list": what, "why": why}).where(F.col("list").isNotNull())
+    buy = F.col("list") == "buy now"
+    j = j.withColumns({"_c": F.when(buy, -F.col("conviction")).otherwise(0.0), "_h": buy & F.col("held")})
+    # a list may hold most of the log: it is counted by slices of names, or of the log
+    slice_ = F.when(buy, F.substring("ticker", 1, 3)).otherwise(F.lpad((F.col("pos") / 4096).cast("long").cast("string"), 18, "0"))
+    done = place(j, ["list"], [(F.col("_c"), False), (F.col("_h"), False), (slice_, False)], [F.when(buy, F.col("ticker")).asc(), F.asc("pos"), F.asc("ticker")], "place")
+    return done.select("list", "place", "ticker", "pos", "price", "trigger", "held", "why")
+
+
 # -- company record and index --------------------------------------------------------------------------
 
 def company_record(records: DataFrame, trend_rows: DataFrame, peers: DataFrame) -> DataFrame:

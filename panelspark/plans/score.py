@@ -96,3 +96,13 @@ def score_from_z(z: DataFrame, keys: list[str] | None = None) -> DataFrame:
 def score_universe(records: DataFrame, variant: str = "quality_value", keys: list[str] | None = None) -> DataFrame:
     return score_from_z(component_z(records, components(variant), keys), keys)
 
+
+VARIANTS = ("quality_value", "with_momentum", "with_reversal")
+
+
+def variant_scores(records: DataFrame, variants: tuple[str, ...] = VARIANTS) -> tuple[dict[str, DataFrame], DataFrame]:
+    """``(scores by variant, z)``: every component is ranked once, and the variants take what is theirs of it."""
+    mine = {v: components(v) for v in variants}
+    every = list({c.key: c for comps in mine.values() for c in comps}.values())
+    z = component_z(records, every)
+    return {v: score_from_z(z.where(F.col("key").isin(*[c.key for c in comps]))) for v, comps in mine.items()}, z

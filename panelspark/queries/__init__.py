@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 CUT = 0.5013717
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-_MODULES = ("core", "crosssection", "measures", "replay", "desk", "reports", "files")
+_MODULES = ("core", "crosssection", "measures", "replay", "desk", "reports", "files", "composites")
 
 
 def register(name: str, sql: str | None = None):

@@ -246,8 +246,9 @@ def groupwise_rebase(spark, sf):
     return r.select("ticker", "basis", *[rnd(c).alias(c) for c in ("roic_avg", "gm_std", "rev_cagr", "nd_to_ebitda")])
 
 
-@register("basis_sensitivity")
+@register("basis_sensitivity", f"""WITH {cs.PRICED}, other AS (SELECT * REPLACE (rev_cagr AS roic_avg) FROM priced), a AS (WITH {cs.score_sql('quality_value')} SELECT ticker, rs AS x FROM s1), b AS (WITH {cs.score_sql('quality_value').replace('FROM priced', 'FROM other')} SELECT ticker, rs AS y FROM s1),
+ j AS (SELECT {t.pctl_sql('x', '')} AS rx, {t.pctl_sql('y', '')} AS ry FROM a JOIN b USING (ticker)) SELECT {r6('corr(rx, ry)')} AS rho, count(*) AS n FROM j""")
 def basis_sensitivity(spark, sf):
     r = cs.records(spark, sf)
-    a, b = sc.score_universe(r), sc.score_universe(r.withColumn("roic_avg", F.col("rev_cagr")))
+    a, b = [sc.score_universe(x).withColumn("score", F.round("score", 12)) for x in (r, r.withColumn("roic_avg", F.col("rev_cagr")))]
     return fx.basis_sensitivity(a, b)[0].select(rnd("rho").alias("rho"), "n")

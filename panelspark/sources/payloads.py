@@ -44,7 +44,9 @@ def quotes(df: DataFrame, body: str = "body") -> DataFrame:
 
 
 def profiles(df: DataFrame, body: str = "body") -> DataFrame:
+    """The profile of a name; money and shares come in millions, and a profile without a name was not found."""
     p = df.withColumn("_p", F.from_json(body, PROFILE)).select(*[c for c in df.columns if c != body], "_p.*")
+    p = p.withColumns({"name": _said("name"), "market_cap": F.col("marketCapitalization") * 1e6, "shares_outstanding": F.col("shareOutstanding") * 1e6, "found": _said("name").isNotNull()})
     return p.withColumn("industry", F.coalesce(F.nullif(F.trim("industry"), F.lit("")), F.nullif(F.trim("finnhubIndustry"), F.lit(""))))
 
 
@@ -67,6 +69,39 @@ def explode_rows(df: DataFrame, body: str, schema: str, field: str | None = None
     return df.select(*[c for c in df.columns if c != body], F.inline(parsed[field] if field else parsed))
 
 
+def _said(c: str) -> Column:
+    return F.nullif(F.trim(c), F.lit(""))
+
+
+def earnings(df: DataFrame, body: str = "body") -> DataFrame:
+    """Reported quarters; ``beat`` is null when a side of the comparison is missing, ``label`` falls back to the period."""
+    r = explode_rows(df, body, EARNINGS)
+    label = F.when((F.col("year") != 0) & (F.col("quarter") != 0), F.concat("year", F.lit("Q"), "quarter"))
+    return r.withColumns({"symbol": _said("symbol"), "beat": F.col("actual") > F.col("estimate"), "label": F.coalesce(label, _said("period"), F.lit("?"))})
+
+
+def earnings_calendar(df: DataFrame, body: str = "body") -> DataFrame:
+    """Dates ahead, with the session in words and whether a consensus stands against the date."""
+    r = explode_rows(df, body, CALENDAR, "earningsCalendar")
+    hour = F.lower(F.coalesce("hour", F.lit("")))
+    session = F.when(hour == "bmo", "before market open").when(hour == "amc", "after market close").when(hour == "dmh", "during market hours")
+    return r.withColumns({"symbol": _said("symbol"), "date": F.to_date(_said("date")), "session": session, "has_consensus": _said("date").isNotNull() & F.col("epsEstimate").isNotNull()})
+
+
+def company_news(df: DataFrame, body: str = "body") -> DataFrame:
+    """News items, their own id as ``news_id``; a stamp of zero is no stamp, and an item without a headline says nothing."""
+    item = lambda x: F.struct(x["id"].alias("news_id"), x["datetime"].alias("_at"), x["headline"].alias("headline"), x["source"].alias("source"), x["url"].alias("url"), x["related"].alias("related"))
+    r = df.select(*[c for c in df.columns if c != body], F.inline(F.transform(F.from_json(body, NEWS), item)))
+    r = r.withColumns({"headline": _said("headline"), "published": F.timestamp_seconds(F.when(F.col("_at") != 0, F.col("_at")))}).drop("_at")
+    return r.withColumn("day", F.to_date("published")).where("headline IS NOT NULL")
+
+
+def recommendations(df: DataFrame, body: str = "body") -> DataFrame:
+    """Analyst counts per month, in the columns that ``recommendation_totals`` reads."""
+    r = explode_rows(df, body, RECOMMENDATION)
+    return r.withColumnsRenamed({"strongBuy": "strong_buy", "strongSell": "strong_sell"}).withColumn("period", F.to_date("period"))
+
+
 def insider_side(code: Column) -> Column:
     """Open-market purchase or sale."""
     c = F.upper(F.trim(code))
