@@ -358,6 +358,10 @@ def numbered_cells(features: DataFrame, start: str | None = None, end: str | Non
     return cells.withColumn("_r", rank).join(base, "s_idx").select("ticker", "s_idx", "close", "here", (F.col("base") + F.col("_r")).cast("long").alias("ordinal"))
 
 
+# draws of a replicate that one row is drawn out to
+DRAW_SLICE = 65_536
+
+
 def control_events(features: DataFrame, like: DataFrame, replicates: int = CONTROL_REPLICATES, start: str | None = None, end: str | None = None) -> DataFrame:
     """Per arm and replicate, ``n`` eligible cells drawn uniformly, with replacement only where ``n`` exceeds the cells.
 
@@ -374,13 +378,23 @@ def control_events(features: DataFrame, like: DataFrame, replicates: int = CONTR
     room = sizes.select("here", "s_idx", F.explode(arms.select(F.collect_list(F.struct("arm_no", "horizon"))).scalar()).alias("_a")).where(F.col("s_idx") + F.col("_a.horizon") <= last)
     d = arms.join(room.groupBy(F.col("_a.arm_no").alias("_no")).agg(F.sum("here").alias("cells")), F.col("arm_no") == F.col("_no"))
     d = d.withColumn("root", F.ceil(F.sqrt("cells")).cast("long")).select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    most = F.when(F.col("n") <= F.col("cells"), F.col("n") + F.col("root") * F.col("root") - F.col("cells")).otherwise(F.col("n"))
-    d = d.where("n > 0").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), most - 1))).withColumn("key", F.col("arm_no") * 1009 + F.col("rep"))
+    d = d.where("n > 0").withColumn("key", F.col("arm_no") * 1009 + F.col("rep"))
     # one expression for all rounds: chained columns would be written out again by every filter that Spark pushes below them
     rounds = f"aggregate(array(0L, 1L, 2L, 3L), named_struct('l', i div root, 'r', i % root), (a, t) -> named_struct('l', a.r, 'r', (a.l + {mix_sql('a.r', 'key', 't')}) % root), a -> a.l * root + a.r)"
+    back = f"aggregate(array(3L, 2L, 1L, 0L), named_struct('l', o div root, 'r', o % root), (a, t) -> named_struct('l', pmod(a.r - {mix_sql('a.l', 'key', 't')}, root), 'r', a.l), a -> a.l * root + a.r)"
+    # the draws that hit no cell come from the few ordinals behind the last one, turned back; each that stands before
+    # the n-th hit lengthens the draw by one, so the draw is generated at its length and never sorted
+    d = cut_lineage(d)
+    miss = d.where(F.col("n") <= F.col("cells")).where(F.col("root") * F.col("root") > F.col("cells")).withColumn("o", F.explode(F.sequence("cells", F.col("root") * F.col("root") - 1)))
+    order = Window.partitionBy("arm", "rep").orderBy("_v")                                    # at most twice the root of the cells
+    more = miss.withColumn("_v", F.expr(back)).withColumn("_j", F.row_number().over(order) - 1).groupBy(F.col("arm").alias("_a"), F.col("rep").alias("_p")).agg(F.count_if(F.col("_v") - F.col("_j") < F.col("n")).alias("_more"))
+    d = d.join(more, (F.col("arm") == F.col("_a")) & (F.col("rep") == F.col("_p")), "left").withColumn("long", F.col("n") + F.coalesce("_more", F.lit(0))).drop("_a", "_p", "_more")
+    # the few rows of arms and replicates are cut into slices and spread before they are drawn out
+    tasks = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = d.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(long - 1) div {DRAW_SLICE}")))).repartition(tasks, "arm", "rep", "slice")
+    d = d.withColumn("i", F.explode(F.sequence(F.col("slice") * DRAW_SLICE, F.least((F.col("slice") + 1) * DRAW_SLICE, F.col("long")) - 1)))
     spot = F.when(F.col("n") <= F.col("cells"), F.expr(rounds)).otherwise(draw(F.col("key"), F.col("i"), SEED, F.col("cells")))
-    d = d.withColumn("ordinal", spot).where(F.col("ordinal") < F.col("cells"))
-    taken = d.withColumn("_k", F.row_number().over(Window.partitionBy("arm", "rep").orderBy("i"))).where(F.col("_k") <= F.col("n"))
+    taken = d.withColumn("ordinal", spot).where(F.col("ordinal") < F.col("cells"))
     return taken.join(cells.select("ordinal", "ticker", "s_idx", "close"), "ordinal").where(F.col("close") > 0).select(
         "arm", "rep", "horizon", "ticker", "s_idx", (F.col("close") * (1.0 - F.col("risk"))).alias("stop"))
 
@@ -409,7 +423,9 @@ def run_ab(features: DataFrame, arms: list[Arm], split: str, window: tuple[str,
     risk = describe(trades.where("entry > 0").withColumn("_r", 1.0 - F.col("stop_initial") / F.col("entry")), ["arm", "horizon"], "_r").select("arm", "median")
     events = status.where("status = 'event'").groupBy("arm", "horizon").agg(F.count(F.lit(1)).alias("n"))
     like = cut_lineage(events.join(risk, "arm", "left").select("arm", "horizon", "n", F.coalesce(F.when(F.col("median") != 0, F.col("median")), F.lit(0.05)).alias("risk")))
-    ctrl = walk(control_events(features, like, replicates, start=start, end=end), features, longest)
+    # the trade of a drawn cell is the same in every replicate of an arm: it is walked once, and its result goes to the replicates
+    drawn = control_events(features, like, replicates, start=start, end=end).groupBy("arm", "horizon", "ticker", "s_idx", "stop").agg(F.collect_list("rep").alias("rep"))
+    ctrl = walk(drawn, features, longest).where(F.col("excess").isNotNull()).select("arm", F.explode("rep").alias("rep"), "excess")
     null = null_distribution(ctrl, stats)
     n_sig = status.groupBy("arm").agg(F.count(F.lit(1)).alias("n_signals"), F.count_if(F.col("status") == "event").alias("n_events"))
     j = n_sig.join(stats, "arm", "left").join(b, "arm", "left").join(null, "arm", "left")
