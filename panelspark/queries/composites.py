@@ -8,11 +8,14 @@ from panelspark.plans import diagnose as dg
 from panelspark.plans import memo as mm
 from panelspark.plans import reports as rp
 from panelspark.plans import score as sc
+from panelspark.plans import screens as scr
 from panelspark.queries import crosssection as cs
 from panelspark.queries import desk, r6, register, rnd
 from panelspark.queries import reports as rq
 from panelspark.queries import tables as t
+from panelspark.session import scratch_path
 from panelspark.sources import payloads as pl
+from panelspark.sources import sinks
 
 _K = len(sc.components())
 
@@ -70,6 +73,18 @@ def standing_calls(spark, sf):
     return rp.standing_calls(c, desk.reads(spark, sf), desk.held(spark, sf), desk.AS_OF)
 
 
+@register("screen_sinks", f"""WITH {cs.SCREEN} SELECT 'latest' AS part, ticker, rank, CAST(NULL AS VARCHAR) AS exclude_reason FROM scored UNION ALL SELECT 'top', ticker, rank, NULL FROM scored WHERE rank <= 150
+ UNION ALL SELECT 'excluded', ticker, NULL, exclude_reason FROM qj WHERE exclude_reason IS NOT NULL""")
+def screen_sinks(spark, sf):
+    root = scratch_path(spark, "screens")
+    s = cs.screen(spark, sf).select("ticker", "rank", "quality_score")
+    out = scr.excluded(cs.screened(spark, sf)).select("ticker", "exclude_reason")
+    sinks.write_screen(s, root, "2026-09-05", excluded=out, top=s.where("rank <= 150"))
+    back = lambda part, at: spark.read.parquet(f"{root}/{at}").withColumn("part", F.lit(part))
+    both = back("latest", "latest").unionByName(back("top", "top/latest")).unionByName(back("excluded", "excluded/latest"), allowMissingColumns=True)
+    return both.select("part", "ticker", "rank", "exclude_reason")
+
+
 # -- vendor payloads: one body per name -----------------------------------------------------------------
 
 @register("profile_payloads", "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 <> 0 THEN s_name END AS name, CASE WHEN s_suppkey % 3 = 0 THEN 'Own' ELSE 'Vendor' END AS industry, CAST(s_suppkey AS DOUBLE) * 1000000 AS market_cap, s_suppkey % 4 <> 0 AS found FROM supplier")
