@@ -74,9 +74,10 @@ def test_standing_calls(spark):
 def test_vendor_payloads(spark):
     def body(x):
         return spark.createDataFrame([(1, json.dumps(x))], "id long, body string")
-    bad = spark.createDataFrame([(2, None), (3, "[]"), (4, "")], "id long, body string")
+    bad = spark.createDataFrame([(2, None), (3, "[]"), (4, ""), (5, "not json"), (6, '{"a": ['), (7, '[{"year": 1}, 3]')], "id long, body string")
     for read in (pl.earnings, pl.company_news, pl.earnings_calendar, pl.recommendations):
         assert read(bad).count() == 0
+    assert [r["found"] for r in pl.profiles(bad).collect()] == [False] * 6
     e = pl.earnings(body([{"year": 2024, "quarter": 2, "actual": 0.0, "estimate": -1.0}, {"year": 0, "quarter": 1, "period": "p", "actual": 1.0}, {}])).collect()
     assert [(r["label"], r["beat"]) for r in e] == [("2024Q2", True), ("p", None), ("?", None)]
     c = pl.earnings_calendar(body({"earningsCalendar": [{"date": "2024-05-01", "hour": "AMC", "epsEstimate": 0.0}, {"date": "", "epsEstimate": 1.0}]})).collect()
