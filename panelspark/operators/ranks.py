@@ -33,9 +33,13 @@ def value_bucket(v: Column) -> Column:
     return F.when(v > 0, octave).when(v < 0, -octave).otherwise(F.lit(0)).cast("long")
 
 
-def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Equi-join on ``keys`` where null equals null; right keys are dropped."""
-    r = right.select(*[F.col(k).alias(f"__r_{k}") if k in keys else F.col(k) for k in right.columns])
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", long: bool = False) -> DataFrame:
+    """Equi-join on ``keys`` where null equals null; right keys are dropped.
+
+    ``long``: the right side has a row per value and not per group. It is met by a merge, since the size that
+    decides on a broadcast is that of packed files, and the driver would hold every such table unpacked.
+    """
+    r = (right.hint("merge") if long else right).select(*[F.col(k).alias(f"__r_{k}") if k in keys else F.col(k) for k in right.columns])
     cond = F.lit(True)
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
@@ -78,7 +82,7 @@ def value_ranks(df: DataFrame, keys: list[str], value: str, weight: str | None =
     )
     inside = Window.partitionBy(*keys, "_b", "_c").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        join_on(distinct, offsets, keys + ["_b", "_c"])
+        join_on(distinct, offsets, keys + ["_b", "_c"], long=True)
         .withColumn("n_below", F.col("_off") + F.coalesce(F.sum("tie_n").over(inside), F.lit(0)))
         .select(*keys, value, "tie_n", "n_below", "n")
     )
@@ -111,7 +115,7 @@ def _percentile_rank(ascending: bool) -> Column:
 def rank_percentile(df: DataFrame, keys: list[str], value: str, out: str, ascending: bool = True, crowd: int | None = None) -> DataFrame:
     """Percentile rank in [0, 1], ties averaged, null kept and not counted, 0.5 alone."""
     r = value_ranks(df, keys, value, crowd=crowd).select(*keys, value, _percentile_rank(ascending).alias(out))
-    return join_on(df, r, keys + [value], "left")
+    return join_on(df, r, keys + [value], "left", long=True)
 
 
 def rank_columns(df: DataFrame, ids: list[str], keys: list[str], columns: dict[str, Column | str],
@@ -127,16 +131,16 @@ def rank_columns(df: DataFrame, ids: list[str], keys: list[str], columns: dict[s
     pct = _percentile_rank(True) if scale == "unit" else 100.0 * (
         F.col("n_below") + 1 + (F.col("tie_n") - 1) / F.lit(2.0)) / F.col("n")
     r = value_ranks(long, keys + ["_col"], "_v").select(*keys, "_col", "_v", pct.alias("_pct"))
-    got = join_on(long, r, keys + ["_col", "_v"]).groupBy(*ids).agg(
+    got = join_on(long, r, keys + ["_col", "_v"], long=True).groupBy(*ids).agg(
         *[F.max(F.when(F.col("_col") == out, F.col("_pct"))).alias(out) for out in columns])
-    return join_on(df, got, ids, "left")
+    return join_on(df, got, ids, "left", long=True)
 
 
 def percent_of_n(df: DataFrame, keys: list[str], value: str, out: str, crowd: int | None = None) -> DataFrame:
     """Average rank over n, times 100."""
     pct = 100.0 * (F.col("n_below") + 1 + (F.col("tie_n") - 1) / F.lit(2.0)) / F.col("n")
     r = value_ranks(df, keys, value, crowd=crowd).select(*keys, value, pct.alias(out))
-    return join_on(df, r, keys + [value], "left")
+    return join_on(df, r, keys + [value], "left", long=True)
 
 
 def winsorize(df: DataFrame, keys: list[str], value: str, out: str,
@@ -189,7 +193,7 @@ def z_table(df: DataFrame, keys: list[str], value: str, winsor: tuple[float, flo
 
 def robust_z(df: DataFrame, keys: list[str], value: str, out: str, **kw) -> DataFrame:
     """W4 on rows; null values keep a null z."""
-    return join_on(df, z_table(df, keys, value, **kw).withColumnRenamed("z", out), keys + [value], "left")
+    return join_on(df, z_table(df, keys, value, **kw).withColumnRenamed("z", out), keys + [value], "left", long=True)
 
 
 def sector_neutral_z(df: DataFrame, keys: list[str], sector: str, value: str, out: str, min_names: int = 5,
@@ -210,7 +214,7 @@ def sector_neutral_z(df: DataFrame, keys: list[str], sector: str, value: str, ou
         *keys, value,
         F.explode(F.array_distinct(F.array(F.lit("*"), F.col("_scope")))).alias("_scope"))
     z = z_table(scoped, keys + ["_scope"], value).withColumnRenamed("z", out)
-    return join_on(t, z, keys + ["_scope", value], "left").drop("_sec", "_sec_n", "_scope")
+    return join_on(t, z, keys + ["_scope", value], "left", long=True).drop("_sec", "_sec_n", "_scope")
 
 
 def safe_corr(x: str, y: str) -> Column:
@@ -223,7 +227,7 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str, min_n: int = 3) ->
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"))
     rx = value_ranks(pairs, keys, "_x").select(*keys, "_x", _percentile_rank(True).alias("_rx"))
     ry = value_ranks(pairs, keys, "_y").select(*keys, "_y", _percentile_rank(True).alias("_ry"))
-    ranked = join_on(join_on(pairs, rx, keys + ["_x"]), ry, keys + ["_y"])
+    ranked = join_on(join_on(pairs, rx, keys + ["_x"], long=True), ry, keys + ["_y"], long=True)
     # the spread test is on exact ends, not on a rounded variance
     flat = (F.min("_rx") == F.max("_rx")) | (F.min("_ry") == F.max("_ry"))
     return ranked.groupBy(*keys).agg(
@@ -253,7 +257,7 @@ def place(df: DataFrame, keys: list[str], coarse: list[tuple[Column, bool]], ord
     w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)      # one row per cell
     cells = d.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(w), F.lit(0))).drop("__n")
     inside = F.row_number().over(Window.partitionBy(*keys, *names).orderBy(*order))
-    return join_on(d.withColumn("__r", inside), cells, keys + names).withColumn(out, (F.col("__before") + F.col("__r")).cast("int")).drop("__before", "__r", *names)
+    return join_on(d.withColumn("__r", inside), cells, keys + names, long=True).withColumn(out, (F.col("__before") + F.col("__r")).cast("int")).drop("__before", "__r", *names)
 
 
 def position(df: DataFrame, value: str, tie: str, out: str = "rank", descending: bool = True) -> DataFrame:

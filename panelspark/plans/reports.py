@@ -10,7 +10,7 @@ from panelspark.functions.text import buy_zone, price_trigger, standing
 from panelspark.operators.asof import asof_backward, asof_forward
 from panelspark.operators.panel import own_reads
 from panelspark.operators.rangemin import first_below, range_minimum, sparse_table
-from panelspark.operators.ranks import place, spearman, top_n, value_bucket
+from panelspark.operators.ranks import join_on, place, spearman, top_n, value_bucket
 from panelspark.session import cut_lineage
 
 # Portfolio limits and trend bands.
@@ -175,10 +175,47 @@ def position_lows(positions: DataFrame, prices: DataFrame, as_of: str | None = N
 
 
 def running_lows(positions: DataFrame, prices: DataFrame) -> DataFrame:
-    """W26 as a series: per position and session since the fill, the lowest close so far and whether it is under the stop. ``position_lows`` answers without the pairs."""
-    j = positions.join(prices.where(F.col("close").isNotNull()), "ticker").where(F.col("session") >= F.col("bought"))
-    w = Window.partitionBy("pos").orderBy("session").rowsBetween(Window.unboundedPreceding, 0)      # one row per session
-    return j.withColumn("low_so_far", F.min("close").over(w)).select("pos", "session", "close", "low_so_far", (F.col("low_so_far") < F.col("stop")).alias("breached"))
+    """W26 as a series: per position and session since the fill, the lowest close so far and whether it is under the stop. ``position_lows`` answers without the pairs.
+
+    The pairs are neither moved nor sorted: a position carries the least close of the 1, 2, 4 ... sessions from its fill on, a
+    session that of the 1, 2, 4 ... up to it, and any stretch is covered by one of each. Rows that repeat a ``pos`` are one
+    series and are put in order together.
+    """
+    real = cut_lineage(prices.where(F.col("close").isNotNull() & F.col("ticker").isNotNull() & F.col("session").isNotNull()).select("ticker", "session", "close"))
+    held = positions.where(F.col("ticker").isNotNull() & F.col("bought").isNotNull()).select("pos", "ticker", "bought", "stop")
+    again = held.groupBy("pos").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    out = ["pos", "session", "close", "low_so_far", "breached"]
+    breached = F.col("low_so_far") < F.col("stop")
+    if again.isEmpty():
+        return _lows_by_doubling(held, real).withColumn("breached", breached).select(*out)
+    again = cut_lineage(again.withColumn("_again", F.lit(True)))
+    tagged = cut_lineage(join_on(held, again, ["pos"], "left", long=True))
+    once = _lows_by_doubling(tagged.where("_again IS NULL").drop("_again"), real).withColumn("breached", breached).select(*out)
+    j = tagged.where("_again").drop("_again").join(real, "ticker").where(F.col("session") >= F.col("bought"))
+    w = Window.partitionBy("pos").orderBy("session").rowsBetween(Window.unboundedPreceding, 0)      # rows that repeat a name
+    return once.unionByName(j.withColumn("low_so_far", F.min("close").over(w)).withColumn("breached", breached).select(*out))
+
+
+def _lows_by_doubling(held: DataFrame, real: DataFrame) -> DataFrame:
+    """``pos, stop, session, close, low_so_far`` of positions whose ``pos`` are all different."""
+    longest = real.groupBy("ticker").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    bars = real.select("ticker", F.col("session").alias("at"), "session", "close", none(held, "pos"), none(held, "stop"), F.lit(1).alias("side"))
+    fills = held.select("ticker", F.col("bought").alias("at"), none(real, "session"), none(real, "close"), "pos", "stop", F.lit(0).alias("side"))
+    before = Window.partitionBy("ticker").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
+    # a close's number, and for a position that of the first close from its fill on
+    d = bars.unionByName(fills).withColumn("i", F.count("close").over(before) + (1 - F.col("side")))
+    one = Window.partitionBy("ticker").orderBy("i")
+    d = d.withColumn("low_0", F.min("close").over(one.rangeBetween(0, 0)))
+    top = max(int(longest or 1).bit_length() - 1, 0)
+    for k in range(top):
+        d = d.withColumn(f"low_{k + 1}", F.least(f"low_{k}", F.min(f"low_{k}").over(one.rangeBetween(1 << k, 1 << k))))
+    upto = F.array(*[F.min(f"low_{k}").over(one.rangeBetween(1 - (1 << k), 1 - (1 << k))) for k in range(top + 1)])
+    p = d.where("side = 0").select("pos", "ticker", "stop", F.col("i").alias("_from"), F.array(*[f"low_{k}" for k in range(top + 1)]).alias("_ahead"))
+    s = d.withColumn("_back", upto).where("side = 1").select(F.col("ticker").alias("_t"), "session", "close", "i", "_back")
+    j = p.hint("merge").join(s, (F.col("ticker") == F.col("_t")) & (F.col("i") >= F.col("_from")))
+    level = F.floor(F.log2((F.col("i") - F.col("_from") + 1) + F.lit(0.5))).cast("int")          # half a step off the powers, so never rounded across one
+    return j.select("pos", "stop", "session", "close", F.least(F.get("_ahead", level), F.get("_back", level)).alias("low_so_far"))
 
 
 def portfolio_series(holdings: DataFrame, prices: DataFrame, cash: DataFrame, bench: DataFrame, usdcad: float, start_cash: float = 100_000.0) -> DataFrame:
