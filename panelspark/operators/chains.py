@@ -29,9 +29,10 @@ def greedy_chain(rows: DataFrame, keys: list[str], pos: str, span: str) -> DataF
     jumps, jump = [], cut_lineage(successors(rows, keys, pos, span))
     while not jump.isEmpty():
         jumps.append(jump)
-        jump = cut_lineage(jump.join(jump.select(*keys, F.col("pos").alias("nxt"), F.col("nxt").alias("far")), [*keys, "nxt"]).select(*keys, "pos", F.col("far").alias("nxt")))
+        # as large as the rows, and written small: never sent to the driver
+        jump = cut_lineage(jump.join(jump.hint("merge").select(*keys, F.col("pos").alias("nxt"), F.col("nxt").alias("far")), [*keys, "nxt"]).select(*keys, "pos", F.col("far").alias("nxt")))
     chosen = first
     for jump in reversed(jumps):
         both = F.array_compact(F.array("pos", "nxt"))
-        chosen = chosen.join(jump, [*keys, "pos"], "left").select(*keys, F.explode(both).alias("pos"))
+        chosen = chosen.join(jump.hint("merge"), [*keys, "pos"], "left").select(*keys, F.explode(both).alias("pos"))
     return chosen

@@ -9,7 +9,7 @@ of its key.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
@@ -64,19 +64,27 @@ def merge_spans(spans: DataFrame, key: str) -> DataFrame:
     return spans.select(key, "start_date", "end_date").distinct()
 
 
-def inside_any(rows: DataFrame, spans: DataFrame, key: str, day: str) -> DataFrame:
-    """Rows whose ``day`` lies in any span of the key; both ends count, a null end is open.
+def in_spans(rows: DataFrame, spans: DataFrame, key: str, day: str, out: str) -> DataFrame:
+    """``rows`` with a boolean ``out``: whether ``day`` lies in any span of the key; both ends count, a null end is open.
 
-    Open spans need no upper bound, so they reduce to the earliest open start per key;
-    closed spans are cut into dyadic nodes.
+    Some span holds the day just if the latest end among the spans begun by then is not before it. Spans and rows
+    are carried together in one order per key, so a row meets no span and is not multiplied; a row without key or day
+    is in none.
     """
-    s = merge_spans(spans, key)
-    open_from = s.where(F.col("end_date").isNull()).groupBy(key).agg(F.min("start_date").alias("_open"))
-    days = rows.select(key, day).distinct()
-    hit = interval_join(days, s.select(key, "start_date", "end_date"), key, day, "start_date", "end_date").select(key, day)
-    hit = hit.unionByName(
-        days.join(open_from, key).where(F.col(day) >= F.col("_open")).select(key, day)).distinct()
-    return rows.join(hit, [key, day], "left_semi")
+    kind = rows.schema[day].dataType
+    s = merge_spans(spans, key).where(F.col(key).isNotNull() & F.col("start_date").isNotNull())
+    never = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns if c not in (key, day)]
+    begun = s.select(key, F.col("start_date").cast(kind).alias(day), *never, F.lit(0).alias("__ask"), F.col("end_date").cast(kind).alias("__end"), F.col("end_date").isNull().alias("__open"))
+    asks = rows.select(key, day, *[c for c in rows.columns if c not in (key, day)], F.lit(1).alias("__ask"), F.lit(None).cast(kind).alias("__end"), F.lit(False).alias("__open"))
+    upto = Window.partitionBy(key).orderBy(day, "__ask").rowsBetween(Window.unboundedPreceding, 0)         # rows of a panel: at most the calendar
+    held = F.max("__open").over(upto) | F.coalesce(F.max("__end").over(upto) >= F.col(day), F.lit(False))
+    known = F.col(key).isNotNull() & F.col(day).isNotNull()
+    return asks.unionByName(begun).withColumn(out, known & held).where("__ask = 1").select(*rows.columns, out)
+
+
+def inside_any(rows: DataFrame, spans: DataFrame, key: str, day: str) -> DataFrame:
+    """Rows whose ``day`` lies in any span of the key; both ends count, a null end is open."""
+    return in_spans(rows, spans, key, day, "__in").where("__in").drop("__in")
 
 
 def alive_on(listings: DataFrame, as_of) -> "F.Column":
@@ -90,9 +98,7 @@ def alive_on_dates(asks: DataFrame, listings: DataFrame, day: str) -> DataFrame:
     """J11 for many dates: rows of ``asks(ticker, day, ...)`` whose name was listed by the day and not yet gone on it."""
     gone = F.date_sub(F.coalesce("delist_date", F.lit("9999-12-31").cast("date")), 1)
     spans = listings.where(F.col("ipo_date").isNotNull()).select("ticker", F.col("ipo_date").alias("start_date"), gone.alias("end_date")).distinct()
-    days = asks.select("ticker", day).distinct()
-    hit = interval_join(days, spans, "ticker", day, "start_date", "end_date").select("ticker", day).distinct()
-    return asks.join(hit, ["ticker", day], "left_semi")
+    return inside_any(asks, spans, "ticker", day)
 
 
 def range_self_join(facts: DataFrame, keys: list[str], long_q: int, short_q: int, lo: int, hi: int) -> DataFrame:

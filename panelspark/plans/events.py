@@ -11,12 +11,13 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from panelspark.functions.numeric import all_of, growth, ladder
 from panelspark.operators import panel as pn
 from panelspark.operators.chains import greedy_chain
 from panelspark.operators.describe import describe
-from panelspark.operators.intervals import inside_any
+from panelspark.operators.intervals import in_spans
 from panelspark.operators.resample import PRIME, SEED, block_bootstrap_ci, draw
 from panelspark.plans.backtest import excess_verdict
 from panelspark.session import cut_lineage
@@ -93,7 +94,10 @@ def compute_features(prices: DataFrame, bench: DataFrame, membership: DataFrame
     b = cal.join(bench, "session", "left").select(
         "s_idx", "bench", *[growth("bench", F.lag("bench", n).over(one)).alias(f"_b{i}") for i, n in enumerate(cfg.rs)],
         (F.col("bench") > F.when(F.count("bench").over(mw) >= mm, F.avg("bench").over(mw))).alias("market_up"))
-    d = pn.densify(pn.indexed(prices.select("ticker", "session", "close", "volume"), cal), cal).join(F.broadcast(b), "s_idx")
+    bars = prices.select("ticker", "session", "close", "volume")
+    if membership is not None:
+        bars = in_spans(bars, membership, "ticker", "session", "_m")       # asked of the bars themselves, which carry the answer along
+    d = pn.densify(pn.indexed(bars, cal), cal).join(F.broadcast(b), "s_idx")
     r = pn.rolling
     d = d.withColumn("_dv", F.col("close") * F.col("volume"))
     w = pn.by_ticker()
@@ -110,10 +114,7 @@ def compute_features(prices: DataFrame, bench: DataFrame, membership: DataFrame
     ok = F.col("close").isNotNull() & (F.col("n_history") >= cfg.min_history) & (F.col("_dvm") >= cfg.min_dollar_volume)
     d = d.withColumn("eligible", F.coalesce(ok, F.lit(False))).drop("_dv", "_dvm", "_b0", "_b1")
     if membership is not None:
-        # asked of the bars themselves, so the windows above are not planned again
-        bars = prices.where(F.col("close").isNotNull()).select("ticker", "session")
-        member = inside_any(bars, membership, "ticker", "session").withColumn("_m", F.lit(True))
-        d = d.join(member, ["ticker", "session"], "left").withColumn("eligible", F.col("eligible") & F.col("_m").isNotNull()).drop("_m")
+        d = d.withColumn("eligible", F.col("eligible") & F.coalesce("_m", F.lit(False))).drop("_m")
     if exclude is not None:
         d = d.join(exclude.select("ticker").distinct().withColumn("_x", F.lit(True)), "ticker", "left")
         d = d.withColumn("eligible", F.col("eligible") & F.col("_x").isNull()).drop("_x")
@@ -203,25 +204,32 @@ def classify_signals(sig: DataFrame, last_idx: Column, start: str | None = None,
     rows = cut_lineage(sig.withColumn("_last", last_idx).withColumn("_pre", pre).drop("_last"))
     keys = ["arm", "horizon", "ticker"]
     taken = greedy_chain(rows.where("_pre = 'event'").withColumn("_span", F.col("horizon")), keys, "s_idx", "_span").withColumnRenamed("pos", "_taken")
-    got = rows.join(taken.withColumn("s_idx", F.col("_taken").cast(rows.schema["s_idx"].dataType)), [*keys, "s_idx"], "left")
+    got = rows.join(taken.hint("merge").withColumn("s_idx", F.col("_taken").cast(rows.schema["s_idx"].dataType)), [*keys, "s_idx"], "left")
     before = Window.partitionBy(*keys).orderBy("s_idx").rowsBetween(Window.unboundedPreceding, -1)         # one row per session
     near = F.coalesce(F.col("s_idx") < F.last("_taken", ignorenulls=True).over(before) + F.col("horizon"), F.lit(False))
     status = ladder([(F.col("_pre") == "outside_window", "outside_window"), (near, "within_previous_horizon")], F.col("_pre"))
     return got.select("arm", "horizon", "ticker", "s_idx", "session", "close", "stop", status.alias("status"))
 
 
+def _event_type(events: DataFrame) -> StructType:
+    return events.select(F.struct("arm", "rep", "horizon", "stop").alias("e")).schema["e"].dataType
+
+
 def walk(events: DataFrame, prices: DataFrame, max_horizon: int, cost: float = ONE_WAY_COST) -> DataFrame:
     """J21 + W22 + J26: the trade of every event.
 
     ``events``: ``arm, rep, horizon, ticker, s_idx, stop``, a cell as often as it was drawn;
-    ``prices``: ``ticker, s_idx, session, close, bench``, every index of a ticker's life. A cell carries its
-    next ``max_horizon`` rows, made once per cell by a window; an event meets its cell by one equi-join, and
-    the exit rule is a closed form over that short array.
+    ``prices``: ``ticker, s_idx, session, close, bench``, every index of a ticker's life. Events are put among the
+    rows of their name, and a window gives each its own and the next ``max_horizon`` rows, so short rows are moved
+    once and the arrays never; the exit rule is a closed form over that short array.
     """
-    ahead = Window.partitionBy("ticker").orderBy("s_idx").rowsBetween(0, max_horizon)
-    cells = prices.select("ticker", "s_idx", F.collect_list(F.struct("close", "bench", "session")).over(ahead).alias("p"))
-    ev = events.select("arm", "rep", "horizon", F.col("ticker").alias("_t"), F.col("s_idx").alias("_i"), "stop")
-    t = ev.join(cells, (F.col("_t") == cells.ticker) & (F.col("_i") == cells.s_idx))
+    at = prices.schema["s_idx"].dataType
+    bar = F.struct(F.col("s_idx").alias("i"), "close", "bench", "session")
+    rows = prices.select("ticker", "s_idx", bar.alias("bar"), F.lit(None).cast(_event_type(events)).alias("_e"))
+    asks = events.where(F.col("ticker").isNotNull() & F.col("s_idx").isNotNull()).select("ticker", F.col("s_idx").cast(at).alias("s_idx"), F.lit(None).cast(rows.schema["bar"].dataType).alias("bar"), F.struct("arm", "rep", "horizon", "stop").alias("_e"))
+    ahead = Window.partitionBy("ticker").orderBy("s_idx").rangeBetween(0, max_horizon)
+    t = rows.unionByName(asks).withColumn("p", F.collect_list("bar").over(ahead)).where(F.col("_e").isNotNull() & (F.expr("get(p, 0).i") == F.col("s_idx")))
+    t = t.select("_e.arm", "_e.rep", "_e.horizon", F.col("ticker").alias("_t"), F.col("s_idx").alias("_i"), "_e.stop", "p")
     t = t.withColumns({"ks": F.sequence(F.lit(1), F.col("horizon")), "entry": F.expr("get(p, 1).close")})
     t = t.withColumn("ku", F.expr("get(filter(ks, k -> get(p, k).close >= entry + (entry - stop)), 0)"))
     t = t.withColumns({
@@ -395,7 +403,7 @@ def control_events(features: DataFrame, like: DataFrame, replicates: int = CONTR
     d = d.withColumn("i", F.explode(F.sequence(F.col("slice") * DRAW_SLICE, F.least((F.col("slice") + 1) * DRAW_SLICE, F.col("long")) - 1)))
     spot = F.when(F.col("n") <= F.col("cells"), F.expr(rounds)).otherwise(draw(F.col("key"), F.col("i"), SEED, F.col("cells")))
     taken = d.withColumn("ordinal", spot).where(F.col("ordinal") < F.col("cells"))
-    return taken.join(cells.select("ordinal", "ticker", "s_idx", "close"), "ordinal").where(F.col("close") > 0).select(
+    return taken.join(cells.hint("merge").select("ordinal", "ticker", "s_idx", "close"), "ordinal").where(F.col("close") > 0).select(
         "arm", "rep", "horizon", "ticker", "s_idx", (F.col("close") * (1.0 - F.col("risk"))).alias("stop"))
 
 
