@@ -30,7 +30,7 @@ from .common import arrow_schema, as_schema, components, map_texts, small_batche
 
 SHARD_ROWS = 4096
 SEED = 42
-PAIR_BLOCK = 1 << 20
+PAIR_BLOCK = 1 << 18
 SHINGLE_BLOCK = 1 << 17
 
 
@@ -99,25 +99,32 @@ def grow_trees(fp: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def search_trees(fp: np.ndarray, trees: tuple[np.ndarray, np.ndarray], queries: np.ndarray, start: np.ndarray, radius: int):
-    """Blocks of ``(query, node)`` within the radius, walking only edges it allows."""
+    """Blocks of ``(query, node)`` within the radius, walking only edges it allows.
+
+    Edges wait as ranges and are walked ``PAIR_BLOCK`` at a time, so memory does not grow with the children of a block.
+    """
     key, child = trees
-    stack = [(queries, start)]
-    while stack:
-        q, node = stack.pop()
-        if len(q) > PAIR_BLOCK:
-            half = len(q) // 2
-            stack += [(q[half:], node[half:]), (q[:half], node[:half])]
-            continue
-        d = np.bitwise_count(fp[q] ^ fp[node]).astype(np.int64)
-        near = d <= radius
-        if near.any():
-            yield q[near], node[near]
-        lo = np.searchsorted(key, node * 65 + np.maximum(d - radius, 0), "left")
-        hi = np.searchsorted(key, node * 65 + np.minimum(d + radius, 64), "right")
-        n = hi - lo
-        if n.any():
-            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            stack.append((np.repeat(q, n), child[np.repeat(lo, n) + step]))
+    for i in range(0, len(queries), PAIR_BLOCK):
+        q, node, waiting = queries[i:i + PAIR_BLOCK], start[i:i + PAIR_BLOCK], []
+        while True:
+            d = np.bitwise_count(fp[q] ^ fp[node]).astype(np.int64)
+            near = d <= radius
+            if near.any():
+                yield q[near], node[near]
+            lo = np.searchsorted(key, node * 65 + np.maximum(d - radius, 0), "left")
+            n = np.searchsorted(key, node * 65 + np.minimum(d + radius, 64), "right") - lo
+            on = n > 0
+            if on.any():
+                waiting.append((q[on], lo[on], n[on]))
+            if not waiting:
+                break
+            q, lo, n = waiting.pop()
+            while len(q) > 1 and n.sum() > PAIR_BLOCK:
+                half = len(q) // 2
+                waiting.append((q[half:], lo[half:], n[half:]))
+                q, lo, n = q[:half], lo[:half], n[:half]
+            node = child[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            q = np.repeat(q, n)
 
 
 def hook(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
