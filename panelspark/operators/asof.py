@@ -66,18 +66,19 @@ def _resolve_days(points: DataFrame, right: DataFrame, by: list[str], forward: b
 
 def _asof(left, right, by, left_on, right_on, values, grain, forward, strict):
     days = isinstance(left.schema[left_on].dataType, DateType) and isinstance(right.schema[right_on].dataType, DateType)
-    r = right.where(F.col(right_on).isNotNull()).select(
-        *by, F.col(right_on).cast("timestamp").alias("_pt"), F.struct(*values).alias("_val"))
-    # one right row per point: ties are resolved by the whole value, the greatest wins
-    r = r.groupBy(*by, "_pt").agg(F.max("_val").alias("_val"))
-    points = left.where(F.col(left_on).isNotNull()).select(
-        *by, F.col(left_on).cast("timestamp").alias("_pt")).distinct()
+    at = "date" if days else "timestamp"
+    r = right.where(F.col(right_on).isNotNull()).select(*by, F.col(right_on).cast(at).alias("_pt"), F.struct(*values).alias("_val"))
+    # one right row per point: ties are resolved by the whole value, the greatest wins; a struct would be aggregated by a sort
+    best = F.struct(F.max(F.col("_val")[values[0]]).alias(values[0])) if len(values) == 1 else F.max("_val")
+    r = r.groupBy(*by, "_pt").agg(best.alias("_val"))
+    points = left.where(F.col(left_on).isNotNull()).select(*by, F.col(left_on).cast(at).alias("_pt")).distinct()
     if days:
         hits = _resolve_days(points, r, by, forward, strict)
     else:
         hits = _resolve(points, r, by, grain, forward, strict)
-    tagged = left.withColumn("_pt", F.col(left_on).cast("timestamp"))
-    return join_on(tagged, hits, by + ["_pt"], "left").select(
+    tagged = left.withColumn("_pt", F.col(left_on).cast(at))
+    # a history that all rows share has a point per day, any other one per name and day
+    return join_on(tagged, hits, by + ["_pt"], "left", long=by != ["_all"]).select(
         *left.columns, *[F.col(f"_hit.{v}").alias(v) for v in values])
 
 

@@ -166,13 +166,15 @@ def z_table(df: DataFrame, keys: list[str], value: str, winsor: tuple[float, flo
     lo_q, hi_q = winsor if winsor else (0.0, 1.0)
     edges = r.groupBy(*keys).agg(
         percentile_from_ranks(value, lo_q).alias("_lo"), percentile_from_ranks(value, hi_q).alias("_hi"))
-    w = join_on(r, edges, keys).withColumn("_w", clip(value, F.col("_lo"), F.col("_hi")))
+    # every group of the values is among its statistics, and a left join never sends the values to the driver; what is
+    # known of groups is written, so that its size is known and the values are not dealt by group to meet it
+    w = join_on(r, cut_lineage(edges), keys, "left").withColumn("_w", clip(value, F.col("_lo"), F.col("_hi")))
     # clipping keeps the order, so the clipped values keep their rank positions
     centre = w.groupBy(*keys).agg(
         percentile_from_ranks("_w", 0.5).alias("_med"),
         (F.sum(F.col("_w") * F.col("tie_n")) / F.sum("tie_n")).alias("_mean"),
         F.min("_w").alias("_min"), F.max("_w").alias("_max"), F.max("n").alias("_n"))
-    c = cut_lineage(join_on(w, centre, keys).withColumn("_dev", F.abs(F.col("_w") - F.col("_med"))))
+    c = cut_lineage(join_on(w, cut_lineage(centre), keys, "left").withColumn("_dev", F.abs(F.col("_w") - F.col("_med"))))
     spread = c.groupBy(*keys).agg(
         F.when((F.max("_n") > 1) & (F.max("_min") < F.max("_max")),
                F.sqrt(F.sum(F.col("tie_n") * F.pow(F.col("_w") - F.col("_mean"), 2)) / (F.max("_n") - 1)))
@@ -188,7 +190,7 @@ def z_table(df: DataFrame, keys: list[str], value: str, winsor: tuple[float, flo
         mid, scale = F.col("_mean"), F.col("_sd")
     raw = F.coalesce(safe_div(F.col("_w") - mid, scale), F.lit(0.0))
     z = clip(raw, -limit, limit) if limit is not None else raw
-    return join_on(c, spread, keys).select(*keys, value, z.alias("z"))
+    return join_on(c, cut_lineage(spread), keys, "left").select(*keys, value, z.alias("z"))
 
 
 def robust_z(df: DataFrame, keys: list[str], value: str, out: str, **kw) -> DataFrame:
@@ -205,7 +207,7 @@ def sector_neutral_z(df: DataFrame, keys: list[str], sector: str, value: str, ou
     """
     sec = F.coalesce(F.col(sector), F.lit("?"))
     sizes = df.groupBy(*keys, sec.alias("_sec")).agg(F.count(F.lit(1)).alias("_sec_n"))
-    t = join_on(df.withColumn("_sec", sec), sizes, keys + ["_sec"])
+    t = join_on(df.withColumn("_sec", sec), cut_lineage(sizes), keys + ["_sec"], "left")
     wants = F.col("_sec_n") >= min_names
     if neutral is not None:
         wants = wants & neutral

@@ -53,7 +53,7 @@ def variance_share(z: DataFrame) -> DataFrame:
     c = z.withColumn("c", F.coalesce(F.col("weight") * F.col("z"), F.lit(0.0)))
     totals = c.groupBy("ticker").agg(F.sum("c").alias("total"))
     all_w = F.sum("weight").over(Window.partitionBy(F.lit(0)))           # one row per component
-    s = c.join(totals, "ticker").groupBy("key", "weight").agg(
+    s = c.join(totals.hint("merge"), "ticker").groupBy("key", "weight").agg(
         F.try_divide(F.covar_samp("c", "total"), F.var_samp("total")).alias("share"))
     return s.select("key", "share", (F.col("weight") / all_w).alias("nominal_weight"))
 
@@ -83,7 +83,7 @@ def variant_agreement(scores: dict[str, DataFrame]) -> DataFrame:
     for i, a in enumerate(names):
         for b in names[i + 1:]:
             j = scores[a].select("ticker", F.col("score").alias("x")).join(
-                scores[b].select("ticker", F.col("score").alias("y")), "ticker")
+                scores[b].select("ticker", F.col("score").alias("y")).hint("merge"), "ticker")
             s = spearman(j.withColumns({"a": F.lit(a), "b": F.lit(b)}), ["a", "b"], "x", "y")
             out = s if out is None else out.unionByName(s)
     return out
@@ -128,7 +128,7 @@ def diagnose(records: DataFrame, variant: str = "quality_value", old: str = "qua
     pairs = cut_lineage(pair_correlations(z.withColumn("z", F.round("z", 12))))
     effective = effective_signals(pairs, [c.key for c in comps], n)
     variance = cut_lineage(variance_share(z))
-    both = scores.select("ticker", "score").join(records.select("ticker", old), "ticker")
+    both = cut_lineage(scores.select("ticker", "score").join(records.select("ticker", old).hint("merge"), "ticker"))
     thin = scores.where(F.col("coverage") < MIN_COVERAGE).select("ticker", "coverage")
 
     def note(name: str, df: DataFrame, subject=None, value="value") -> DataFrame:

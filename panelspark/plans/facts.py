@@ -244,7 +244,7 @@ def rebase(records: DataFrame, reported: DataFrame, key: str, min_years: int = 3
 def basis_sensitivity(a: DataFrame, b: DataFrame, key: str = "ticker", points: float = 10.0) -> tuple[DataFrame, DataFrame]:
     """Rank correlation of two bases, and the names whose display moved more than ``points``."""
     j = a.select(key, F.col("score").alias("x"), F.col("display").alias("da")).join(
-        b.select(key, F.col("score").alias("y"), F.col("display").alias("db")), key)
+        b.select(key, F.col("score").alias("y"), F.col("display").alias("db")).hint("merge"), key)
     return spearman(j, [], "x", "y"), j.where(F.abs(F.col("db") - F.col("da")) > points).select(key, "da", "db")
 
 

@@ -75,7 +75,7 @@ def peer_valuation(records: DataFrame, price_inputs=PRICE_INPUTS, quality_inputs
     # only the groups some name uses are ranked
     used = own.select("scope").distinct()
     ranked = rank_percentile(long.join(used, "scope", "left_semi"), ["scope", "input"], "v", "pct")
-    mine = own.select("ticker", "scope", "basis", "label", "n_peers").join(ranked, ["ticker", "scope"])
+    mine = own.select("ticker", "scope", "basis", "label", "n_peers").join(ranked.hint("merge"), ["ticker", "scope"])
     g = mine.groupBy("ticker", "basis", "label", "n_peers", "scope").agg(
         F.collect_list(F.when(F.col("side") == "price", F.col("pct"))).alias("_p"),
         F.collect_list(F.when(F.col("side") == "quality", F.col("pct"))).alias("_q"))       # six inputs

@@ -153,7 +153,7 @@ def quality_points(metrics: DataFrame) -> DataFrame:
 def screened(statements: DataFrame, names: DataFrame, excluded_countries=EXCLUDED_COUNTRIES) -> DataFrame:
     """Every name with its metrics and, where a rule drops it, the reason."""
     have = statements.select("ticker").distinct().withColumn("has_statements", F.lit(True))
-    j = names.join(quality_metrics(statements), "ticker", "left").join(have, "ticker", "left")
+    j = names.join(quality_metrics(statements).hint("merge"), "ticker", "left").join(have.hint("merge"), "ticker", "left")
     return j.withColumn("exclude_reason", exclusion_reason(excluded_countries)).drop("has_statements")
 
 
@@ -191,7 +191,7 @@ def own_history_multiples(statements: DataFrame, prices: DataFrame, skip: DataFr
     ev = F.when((F.col("ebitda") > 0) & (shares != 0), (F.col("px") * shares + nd) / F.col("ebitda"))
     m = at.groupBy("ticker").agg(F.median(pe).alias("median_pe_hist"), F.median(ev).alias("median_ev_ebitda_hist"),
                                  F.count(pe).alias("n_hist_years"))
-    return m if skip is None else m.join(skip.select("ticker"), "ticker", "left_anti")
+    return m if skip is None else m.join(skip.select("ticker").hint("merge"), "ticker", "left_anti")
 
 
 def price_screen(top: DataFrame, prices: DataFrame, statements: DataFrame, estimates: DataFrame, info: DataFrame) -> DataFrame:
@@ -204,7 +204,10 @@ def price_screen(top: DataFrame, prices: DataFrame, statements: DataFrame, estim
     mult = own_history_multiples(statements, prices, mismatch)
     px = prices.where(F.col("close").isNotNull()).groupBy("ticker").agg(
         F.max_by("close", "session").alias("last"), F.max("close").alias("ath"))
-    j = top.join(info, "ticker", "left").join(px, "ticker", "left").join(mult, "ticker", "left").join(estimates, "ticker", "left")
+    # every side has a row per name: met by merges, for as broadcasts the driver would hold each of them unpacked
+    j = top
+    for side in (info, px, mult, estimates):
+        j = j.join(side.hint("merge"), "ticker", "left")
     j = j.withColumns({
         "n_hist_years": F.coalesce("n_hist_years", F.lit(0)),
         "pe_vs_median": F.when((F.col("forward_pe") != 0) & (F.col("median_pe_hist") > 0), growth("forward_pe", "median_pe_hist")),

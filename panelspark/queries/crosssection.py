@@ -134,12 +134,11 @@ def exclusion_counts(spark, sf):
     return scr.excluded(screened(spark, sf)).groupBy(F.split_part("exclude_reason", F.lit(":"), F.lit(1)).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def info(spark, sf):
-    px = t.daily(spark, sf)
-    e = t.estimates(spark, sf).select("ticker", "eps_fy1_now", "ev_ebitda")
+def info(px, marks, companies):
+    e = marks.select("ticker", "eps_fy1_now", "ev_ebitda")
     p = px.groupBy("ticker").agg(F.max_by("close", "session").alias("_last"), F.max("session").alias("_end"))
-    hi = px.join(p, "ticker").where(F.col("session") > F.date_sub("_end", 365)).groupBy("ticker").agg(F.max("high").alias("high_52w"))
-    return p.join(e, "ticker").join(hi, "ticker").join(t.companies(spark, sf).select("ticker", "currency", "suppkey"), "ticker").select(
+    hi = px.select("ticker", "session", "high").join(p.select("ticker", "_end").hint("shuffle_hash"), "ticker").where(F.col("session") > F.date_sub("_end", 365)).groupBy("ticker").agg(F.max("high").alias("high_52w"))
+    return p.join(e.hint("merge"), "ticker").join(hi.hint("merge"), "ticker").join(companies.select("ticker", "currency", "suppkey").hint("merge"), "ticker").select(
         "ticker", F.when(F.col("suppkey") % 12 != 0, F.try_divide("_last", "eps_fy1_now")).alias("forward_pe"), "ev_ebitda", "high_52w",
         F.lit("USD").alias("fin_currency"), F.col("currency").alias("px_currency"))
 
@@ -163,8 +162,11 @@ PRICED = f"""{SCREEN}, {t.DAILY}, {t.ESTIMATES}, px AS (SELECT ticker, arg_max(c
 
 def records(spark, sf):
     """Scored companies with prices, estimates and multiples: one flat row per name."""
-    top = screen(spark, sf)
-    return scr.price_screen(top, t.daily(spark, sf), t.statements(spark, sf), t.estimates(spark, sf).drop("ev_ebitda"), info(spark, sf))
+    # each is asked several times below: the bars by four aggregates, the statements by three, the estimates twice
+    years, bars = cut_lineage(t.statements(spark, sf)), cut_lineage(t.daily(spark, sf).select("ticker", "session", "close", "high"))
+    marks = cut_lineage(t.estimates(spark, sf))
+    top = scr.quality_screen(scr.screened(years, t.companies(spark, sf), OUT))
+    return scr.price_screen(top, bars, years, marks.drop("ev_ebitda"), info(bars, marks, t.companies(spark, sf)))
 
 
 _PRICE_COLS = ["median_pe_hist", "median_ev_ebitda_hist", "pe_vs_median", "ev_vs_median", "dd_52w", "dd_ath", "eps_fy1_chg_30d", "eps_fy1_chg_90d"]
