@@ -170,8 +170,11 @@ def entry_filter(name: str, kind: str) -> Column:
     raise ValueError(f"unknown filter {name!r}; known: {sorted(FILTERS)}")
 
 
-def signals(features: DataFrame, arms: list[Arm]) -> DataFrame:
-    """X11: ``arm, horizon, ticker, s_idx, session, close, stop`` for every firing of every arm, in one pass."""
+def with_firings(features: DataFrame, arms: list[Arm]) -> DataFrame:
+    """``features`` with ``fired``: an array of (arm, horizon, stop) of the arms that fire in the row.
+
+    Asked of features that are not yet written, the rules share the sort of the feature windows.
+    """
     cols, cells = {}, []
     for n, a in enumerate(arms):
         if a.kind in BASELINES:
@@ -182,11 +185,20 @@ def signals(features: DataFrame, arms: list[Arm]) -> DataFrame:
         conds = [fires, F.col("eligible")] + [entry_filter(x, a.kind) for x in a.params.get("filters") or []]
         cols[f"_f{n}"], cols[f"_s{n}"] = F.coalesce(all_of(conds), F.lit(False)), stop.cast("double")
         cells.append(F.when(F.col(f"_f{n}"), F.struct(F.lit(a.id).alias("arm"), F.lit(a.horizon).alias("horizon"), F.col(f"_s{n}").alias("stop"))))
-    wide = features.withColumns(cols)
-    return wide.select("ticker", "s_idx", "session", "close", F.explode(F.array_compact(F.array(*cells))).alias("_a")).select(
+    return features.withColumns(cols).withColumn("fired", F.array_compact(F.array(*cells))).drop(*cols)
+
+
+def signals_of(fired: DataFrame) -> DataFrame:
+    """``arm, horizon, ticker, s_idx, session, close, stop`` of every entry of ``fired``."""
+    return fired.select("ticker", "s_idx", "session", "close", F.explode("fired").alias("_a")).select(
         "_a.arm", "_a.horizon", "ticker", "s_idx", "session", "close", "_a.stop")
 
 
+def signals(features: DataFrame, arms: list[Arm]) -> DataFrame:
+    """X11: ``arm, horizon, ticker, s_idx, session, close, stop`` for every firing of every arm, in one pass."""
+    return signals_of(with_firings(features, arms))
+
+
 def classify_signals(sig: DataFrame, last_idx: Column, start: str | None = None, end: str | None = None) -> DataFrame:
     """Each signal with a ``status``: ``event`` or the reason it was skipped.
 
@@ -221,14 +233,18 @@ def walk(events: DataFrame, prices: DataFrame, max_horizon: int, cost: float = O
     ``events``: ``arm, rep, horizon, ticker, s_idx, stop``, a cell as often as it was drawn;
     ``prices``: ``ticker, s_idx, session, close, bench``, every index of a ticker's life. Events are put among the
     rows of their name, and a window gives each its own and the next ``max_horizon`` rows, so short rows are moved
-    once and the arrays never; the exit rule is a closed form over that short array.
+    once and the arrays never; the exit rule is a closed form over that short array. Only rows that some event of
+    the name can reach are put into arrays.
     """
     at = prices.schema["s_idx"].dataType
     bar = F.struct(F.col("s_idx").alias("i"), "close", "bench", "session")
     rows = prices.select("ticker", "s_idx", bar.alias("bar"), F.lit(None).cast(_event_type(events)).alias("_e"))
     asks = events.where(F.col("ticker").isNotNull() & F.col("s_idx").isNotNull()).select("ticker", F.col("s_idx").cast(at).alias("s_idx"), F.lit(None).cast(rows.schema["bar"].dataType).alias("bar"), F.struct("arm", "rep", "horizon", "stop").alias("_e"))
     ahead = Window.partitionBy("ticker").orderBy("s_idx").rangeBetween(0, max_horizon)
-    t = rows.unionByName(asks).withColumn("p", F.collect_list("bar").over(ahead)).where(F.col("_e").isNotNull() & (F.expr("get(p, 0).i") == F.col("s_idx")))
+    upto = Window.partitionBy("ticker").orderBy("s_idx").rangeBetween(Window.unboundedPreceding, 0)
+    asked = F.max(F.when(F.col("_e").isNotNull(), F.col("s_idx"))).over(upto)
+    near = rows.unionByName(asks).withColumn("_asked", asked).where(F.col("s_idx") - F.col("_asked") <= max_horizon).drop("_asked")
+    t = near.withColumn("p", F.collect_list("bar").over(ahead)).where(F.col("_e").isNotNull() & (F.expr("get(p, 0).i") == F.col("s_idx")))
     t = t.select("_e.arm", "_e.rep", "_e.horizon", F.col("ticker").alias("_t"), F.col("s_idx").alias("_i"), "_e.stop", "p")
     t = t.withColumns({"ks": F.sequence(F.lit(1), F.col("horizon")), "entry": F.expr("get(p, 1).close")})
     t = t.withColumn("ku", F.expr("get(filter(ks, k -> get(p, k).close >= entry + (entry - stop)), 0)"))

@@ -23,6 +23,11 @@ def features(spark, sf):
     return ev.compute_features(p, t.benchmark(p), t.membership(spark, sf), cfg=CFG)
 
 
+def fired(spark, sf):
+    """The panel with the firings of every arm, written once: of the features only what an event study reads."""
+    return cut_lineage(ev.with_firings(features(spark, sf), ARMS).select("ticker", "s_idx", "session", "close", "bench", "fired"))
+
+
 FEAT = f"""{t.WEEKLY}, {dense_sql('weekly')}, {t.bench_sql('weekly')}, {t.MEMBERSHIP},
  bx AS (SELECT c.s_idx, b.bench, b.bench / lag(b.bench, 13) OVER o - 1 AS b0, b.bench / lag(b.bench, 26) OVER o - 1 AS b1,
   b.bench > CASE WHEN count(b.bench) OVER (ORDER BY c.s_idx ROWS BETWEEN 39 PRECEDING AND CURRENT ROW) >= 24 THEN avg(b.bench) OVER (ORDER BY c.s_idx ROWS BETWEEN 39 PRECEDING AND CURRENT ROW) END AS market_up
@@ -66,15 +71,15 @@ EVT = f"""{SIG}, mx AS (SELECT max(s_idx) AS last FROM cal), pre AS (SELECT sig.
 
 @register("refractory_events", f"WITH RECURSIVE {EVT} SELECT arm, ticker, session, status FROM st")
 def refractory_events(spark, sf):
-    f = features(spark, sf)
-    s = ev.classify_signals(ev.signals(f, ARMS), f.agg(F.max("s_idx")).scalar(), *WINDOW)
+    f = fired(spark, sf)
+    s = ev.classify_signals(ev.signals_of(f), f.agg(F.max("s_idx")).scalar(), *WINDOW)
     return s.select("arm", "ticker", "session", "status")
 
 
 @register("signal_skip_counts", f"WITH RECURSIVE {EVT} SELECT arm, status, count(*) AS n FROM st GROUP BY 1, 2")
 def signal_skip_counts(spark, sf):
-    f = features(spark, sf)
-    return ev.skip_counts(ev.classify_signals(ev.signals(f, ARMS), f.agg(F.max("s_idx")).scalar(), *WINDOW))
+    f = fired(spark, sf)
+    return ev.skip_counts(ev.classify_signals(ev.signals_of(f), f.agg(F.max("s_idx")).scalar(), *WINDOW))
 
 
 
@@ -100,8 +105,8 @@ TRD = f"""{EVT}, own AS (SELECT *, -1 AS rep FROM st WHERE status = 'event'), {w
 
 
 def study(spark, sf):
-    f = cut_lineage(features(spark, sf))
-    return ev.event_study(f, ev.signals(f, ARMS), max(a.horizon for a in ARMS), *WINDOW)[1]
+    f = fired(spark, sf)
+    return ev.event_study(f, ev.signals_of(f), max(a.horizon for a in ARMS), *WINDOW)[1]
 
 
 @register("event_trades", f"WITH RECURSIVE {TRD} SELECT arm, ticker, signal_date, fill_date, exit_date, exit_reason, CAST(held AS INT) AS sessions_held, {r6('ret_gross')} AS ret_gross, {r6('ret_net')} AS ret_net, {r6('bw')} AS bench_same_window, {r6('excess')} AS excess FROM trades")
