@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from panelspark.functions.numeric import ladder
 
@@ -71,16 +71,31 @@ def standing(action, price, today: Column) -> Column:
         (low.startswith("buy"), "now")], "skip")
 
 
-@pandas_udf(StringType())
-def decode_entities(s: pd.Series) -> pd.Series:
-    """Every named and numeric entity; Arrow batches, null in and null out."""
-    return s.map(html.unescape, na_action="ignore")
+# what HTML takes for a reference; a name may be followed by more letters, which stay
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
+
+@pandas_udf(ArrayType(StringType()))
+def decode_references(s: pd.Series) -> pd.Series:
+    """Each of an array of references alone; Arrow batches, null in and null out."""
+    return s.map(lambda refs: [html.unescape(x) for x in refs], na_action="ignore")
+
+
+def decode_entities(text) -> Column:
+    """Every named and numeric entity. The text stays where it is: only its references are sent to Python."""
+    s = _c(text)
+    refs = F.regexp_extract_all(s, F.lit(REFERENCE), F.lit(0))
+    n, between = F.size(refs), F.split(s, REFERENCE, -1)
+    # pieces have the even places and references the odd ones; a lambda could not take what Python returns
+    laid = F.sort_array(F.concat(F.arrays_zip(F.sequence(F.lit(0), 2 * n, F.lit(2)), between), F.arrays_zip(F.sequence(F.lit(1), 2 * n - 1, F.lit(2)), decode_references(refs))))
+    return F.when(n > 0, F.array_join(laid["1"], "")).otherwise(s)
 
 
 def html_to_text(markup) -> Column:
     """Readable text of a page: content-free elements dropped, block tags to line breaks, the rest stripped.
 
-    Every named and numeric entity is decoded; only texts that hold one are sent to Python, in Arrow batches.
+    Every named and numeric entity is decoded; only the references of a text are sent to Python, in Arrow batches.
     """
     s = F.regexp_replace(_c(markup), r"(?is)<(script|style|head|ix:header)\b.*?</\1\s*>", " ")
     s = F.regexp_replace(s, r"(?i)</?(p|div|br|tr|table|h[1-6]|li|ul|ol|section)\b[^>]*>", "\n")
