@@ -46,10 +46,16 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
     return left.join(r, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
+def edges_upto(edges: Column, v: Column) -> Column:
+    """How many of at most ``CUTS`` - 1 ascending edges lie at or below ``v``, by halving steps."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range((CUTS - 1).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(edges, at + step - 1) <= v, at + step).otherwise(at))
+
+
 def crowded_edges(distinct: DataFrame, keys: list[str], value: str, crowd: int) -> DataFrame:
     """``keys, _b, _edges``: ascending quantiles of every bucket with more than ``crowd`` distinct values."""
     many = distinct.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_dn")).where(F.col("_dn") > crowd)
-    inside = join_on(distinct.select(*keys, "_b", F.col(value).cast("double").alias("_v")), many, keys + ["_b"])
+    inside = join_on(distinct.select(*keys, "_b", F.col(value).cast("double").alias("_v")), many, keys + ["_b"], "left").where(F.col("_dn").isNotNull())
     shares = F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)])
     quantiles = F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double("_v"), shares)
     return inside.groupBy(*keys, "_b").agg(F.array_sort(F.array_distinct(quantiles)).alias("_edges"))
@@ -67,9 +73,10 @@ def value_ranks(df: DataFrame, keys: list[str], value: str, weight: str | None =
     if crowd is None:
         distinct = distinct.withColumn("_c", F.lit(0))
     else:
-        # a value's cell: how many of its bucket's edges lie at or below it
+        # a value's cell: how many of its bucket's edges lie at or below it; the values are read three times
+        distinct = cut_lineage(distinct)
         edges = crowded_edges(distinct, keys, value, crowd)
-        cell = F.when(F.col("_edges").isNotNull(), F.size(F.filter("_edges", lambda e: e <= F.col(value).cast("double")))).otherwise(F.lit(0))
+        cell = F.when(F.col("_edges").isNotNull(), edges_upto(F.col("_edges"), F.col(value).cast("double"))).otherwise(F.lit(0))
         distinct = join_on(distinct, edges, keys + ["_b"], "left").withColumn("_c", cell).drop("_edges")
     per_cell = distinct.groupBy(*keys, "_b", "_c").agg(F.sum("tie_n").alias("_bn"))
     # rows here are cells of a group, not rows of the group
