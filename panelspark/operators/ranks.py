@@ -22,14 +22,15 @@ from panelspark.functions.numeric import clip, safe_div
 from panelspark.session import cut_lineage
 
 PER_OCTAVE = 65_536       # value buckets per doubling
+PER_OCTAVE_AT = 2_048     # the same where only the buckets of some percentiles are looked into
 TIE_LETTERS = 4           # of a tie column that cut a value's rows
 _SHIFT = 100_000_000      # keeps the bucket of any positive double positive
 CUTS = 1_024              # cells of such a bucket
 
 
-def value_bucket(v: Column) -> Column:
+def value_bucket(v: Column, per_octave: int = PER_OCTAVE) -> Column:
     """A bucket number that never decreases as ``v`` grows."""
-    octave = F.floor(F.log2(F.least(F.abs(v), F.lit(1e308))) * PER_OCTAVE) + F.lit(_SHIFT)
+    octave = F.floor(F.log2(F.least(F.abs(v), F.lit(1e308))) * per_octave) + F.lit(_SHIFT)
     return F.when(v > 0, octave).when(v < 0, -octave).otherwise(F.lit(0)).cast("long")
 
 
@@ -107,6 +108,31 @@ def percentile_from_ranks(value: str, q: float) -> Column:
     return F.when(frac == 0, at_lo).otherwise(at_lo * (1.0 - frac) + at_hi * frac)
 
 
+def value_ranks_at(df: DataFrame, keys: list[str], value: str, qs: list[float], weight: str | None = None) -> DataFrame:
+    """The rows of ``value_ranks`` in the value buckets that hold the percentiles ``qs`` of their group.
+
+    Only counts per bucket are shuffled, of which a group has as many whatever the number of its rows, and then the
+    few rows of the buckets asked for; ``df`` is read twice.
+    """
+    w = (F.sum(weight) if weight else F.count(F.lit(1))).cast("long")
+    rows = df.where(F.col(value).isNotNull()).withColumn("_b", value_bucket(F.col(value).cast("double"), PER_OCTAVE_AT))
+    by_group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    cells = rows.groupBy(*keys, "_b").agg(w.alias("_bn")).select(
+        *keys, "_b", "_bn", F.coalesce(F.sum("_bn").over(by_group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+        F.sum("_bn").over(by_group).alias("n"))
+    asked = F.lit(False)
+    for q in qs:
+        at = F.floor(F.lit(float(q)) * (F.col("n") - 1))
+        asked = asked | ((F.col("_off") <= at + 1) & (at < F.col("_off") + F.col("_bn")))
+    # written, so that its size is known and the rows are not dealt by group to meet it
+    few = cut_lineage(cells.where(asked).drop("_bn"))
+    # a left join: the rows are never the side that is sent to the driver
+    held = join_on(rows, few, keys + ["_b"], "left").where(F.col("n").isNotNull())
+    inside = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return held.groupBy(*keys, "_b", "_off", "n", value).agg(w.alias("tie_n")).withColumn(
+        "n_below", F.col("_off") + F.coalesce(F.sum("tie_n").over(inside), F.lit(0))).select(*keys, value, "tie_n", "n_below", "n")
+
+
 def percentiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float], crowd: int | None = None) -> DataFrame:
     """One row per group with the named exact percentiles."""
     r = value_ranks(df, keys, value, crowd=crowd)
