@@ -20,6 +20,7 @@ from panelspark.operators.describe import describe
 from panelspark.operators.intervals import in_spans
 from panelspark.operators.resample import PRIME, SEED, block_bootstrap_ci, draw
 from panelspark.plans.backtest import excess_verdict
+from panelspark.plans.figures import once
 from panelspark.session import cut_lineage
 
 # One-way cost, the arm grid, and the two windows of the study.
@@ -233,7 +234,7 @@ def walk(events: DataFrame, prices: DataFrame, max_horizon: int, cost: float = O
     ``events``: ``arm, rep, horizon, ticker, s_idx, stop``, a cell as often as it was drawn;
     ``prices``: ``ticker, s_idx, session, close, bench``, every index of a ticker's life. Events are put among the
     rows of their name, and a window gives each its own and the next ``max_horizon`` rows, so short rows are moved
-    once and the arrays never; the exit rule is a closed form over that short array. Only rows that some event of
+    once and the arrays never; the exit rule is one pass over that short array. Only rows that some event of
     the name can reach are put into arrays.
     """
     at = prices.schema["s_idx"].dataType
@@ -246,15 +247,18 @@ def walk(events: DataFrame, prices: DataFrame, max_horizon: int, cost: float = O
     near = rows.unionByName(asks).withColumn("_asked", asked).where(F.col("s_idx") - F.col("_asked") <= max_horizon).drop("_asked")
     t = near.withColumn("p", F.collect_list("bar").over(ahead)).where(F.col("_e").isNotNull() & (F.expr("get(p, 0).i") == F.col("s_idx")))
     t = t.select("_e.arm", "_e.rep", "_e.horizon", F.col("ticker").alias("_t"), F.col("s_idx").alias("_i"), "_e.stop", "p")
-    t = t.withColumns({"ks": F.sequence(F.lit(1), F.col("horizon")), "entry": F.expr("get(p, 1).close")})
-    t = t.withColumn("ku", F.expr("get(filter(ks, k -> get(p, k).close >= entry + (entry - stop)), 0)"))
-    t = t.withColumns({
-        "_kh": F.expr("get(filter(ks, k -> get(p, k).close < CASE WHEN k >= ku THEN greatest(stop, entry) ELSE stop END), 0)"),
-        "_kg": F.expr("get(filter(ks, k -> get(p, k).close IS NULL), 0)")})
+    t = t.withColumn("entry", F.expr("get(p, 1).close"))
+    # one pass over the bars: the first that reaches the target, that closes under the stop in force, and that is missing
+    first = """aggregate(sequence(1, CAST(horizon AS INT)), CAST(named_struct('u', NULL, 'h', NULL, 'g', NULL) AS STRUCT<u: INT, h: INT, g: INT>), (a, k) -> named_struct(
+        'u', coalesce(a.u, CASE WHEN get(p, k).close >= entry + (entry - stop) THEN k END),
+        'h', coalesce(a.h, CASE WHEN get(p, k).close < CASE WHEN a.u IS NOT NULL OR get(p, k).close >= entry + (entry - stop) THEN greatest(stop, entry) ELSE stop END THEN k END),
+        'g', coalesce(a.g, CASE WHEN get(p, k).close IS NULL THEN k END)))"""
+    t = t.select("*", once(_w=F.expr(first))).select("*", F.col("_w.u").alias("ku"), F.col("_w.h").alias("_kh"), F.col("_w.g").alias("_kg"))
     t = t.withColumn("_gone", F.coalesce(F.col("_kg") < F.coalesce("_kh", F.col("_kg") + 1), F.lit(False)))
     t = t.withColumns({"_kx": F.when(F.col("_gone"), F.col("_kg") - 1).when(F.col("_kh").isNotNull(), F.least(F.col("_kh") + 1, F.col("horizon"))).otherwise(F.col("horizon")),
                        "_kd": F.when(F.col("_gone"), F.col("_kg") - 1).otherwise(F.coalesce("_kh", "horizon"))})
-    t = t.withColumn("_ke", F.expr("array_max(filter(ks, k -> k <= _kx AND get(p, k).close IS NOT NULL))"))
+    # no bar before the first missing one is missing, so only the bar after a stop may be
+    t = t.withColumn("_ke", F.expr("CASE WHEN _gone THEN nullif(_kx, 0) WHEN _kx > _kh AND get(p, _kx).close IS NULL THEN _kh ELSE _kx END"))
     t = t.withColumns({
         "exit": F.expr("get(p, _ke).close"), "exit_date": F.expr("get(p, _ke).session"), "_b1": F.expr("get(p, _ke).bench"), "_b0": F.expr("get(p, 1).bench"),
         "fill_date": F.expr("get(p, 1).session"), "signal_date": F.expr("get(p, 0).session"), "_c0": F.expr("get(p, 0).close"), "_ch": F.expr("get(p, horizon).close"),
@@ -382,8 +386,9 @@ def numbered_cells(features: DataFrame, start: str | None = None, end: str | Non
     return cells.withColumn("_r", rank).join(base, "s_idx").select("ticker", "s_idx", "close", "here", (F.col("base") + F.col("_r")).cast("long").alias("ordinal"))
 
 
-# draws of a replicate that one row is drawn out to
+# draws of a replicate that one row is drawn out to, and rounds of the permutation
 DRAW_SLICE = 65_536
+ROUNDS = 4
 
 
 def control_events(features: DataFrame, like: DataFrame, replicates: int = CONTROL_REPLICATES, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -403,8 +408,6 @@ def control_events(features: DataFrame, like: DataFrame, replicates: int = CONTR
     d = arms.join(room.groupBy(F.col("_a.arm_no").alias("_no")).agg(F.sum("here").alias("cells")), F.col("arm_no") == F.col("_no"))
     d = d.withColumn("root", F.ceil(F.sqrt("cells")).cast("long")).select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
     d = d.where("n > 0").withColumn("key", F.col("arm_no") * 1009 + F.col("rep"))
-    # one expression for all rounds: chained columns would be written out again by every filter that Spark pushes below them
-    rounds = f"aggregate(array(0L, 1L, 2L, 3L), named_struct('l', i div root, 'r', i % root), (a, t) -> named_struct('l', a.r, 'r', (a.l + {mix_sql('a.r', 'key', 't')}) % root), a -> a.l * root + a.r)"
     back = f"aggregate(array(3L, 2L, 1L, 0L), named_struct('l', o div root, 'r', o % root), (a, t) -> named_struct('l', pmod(a.r - {mix_sql('a.l', 'key', 't')}, root), 'r', a.l), a -> a.l * root + a.r)"
     # the draws that hit no cell come from the few ordinals behind the last one, turned back; each that stands before
     # the n-th hit lengthens the draw by one, so the draw is generated at its length and never sorted
@@ -417,7 +420,11 @@ def control_events(features: DataFrame, like: DataFrame, replicates: int = CONTR
     tasks = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = d.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(long - 1) div {DRAW_SLICE}")))).repartition(tasks, "arm", "rep", "slice")
     d = d.withColumn("i", F.explode(F.sequence(F.col("slice") * DRAW_SLICE, F.least((F.col("slice") + 1) * DRAW_SLICE, F.col("long")) - 1)))
-    spot = F.when(F.col("n") <= F.col("cells"), F.expr(rounds)).otherwise(draw(F.col("key"), F.col("i"), SEED, F.col("cells")))
+    # a round is evaluated once per row and no filter is pushed below it, which would write out the rounds again
+    d = d.select("*", once(_l=F.expr("i div root"), _r=F.expr("i % root")))
+    for turn in range(ROUNDS):
+        d = d.select(*[c for c in d.columns if c not in ("_l", "_r")], once(_l=F.col("_r"), _r=F.expr(f"(_l + {mix_sql('_r', 'key', turn)}) % root")))
+    spot = F.when(F.col("n") <= F.col("cells"), F.expr("_l * root + _r")).otherwise(draw(F.col("key"), F.col("i"), SEED, F.col("cells")))
     taken = d.withColumn("ordinal", spot).where(F.col("ordinal") < F.col("cells"))
     return taken.join(cells.hint("merge").select("ordinal", "ticker", "s_idx", "close"), "ordinal").where(F.col("close") > 0).select(
         "arm", "rep", "horizon", "ticker", "s_idx", (F.col("close") * (1.0 - F.col("risk"))).alias("stop"))
@@ -434,22 +441,25 @@ def null_distribution(control_trades: DataFrame, arm_means: DataFrame) -> DataFr
 
 def run_ab(features: DataFrame, arms: list[Arm], split: str, window: tuple[str, str] | None = None, hypotheses: int | None = None,
            replicates: int = CONTROL_REPLICATES, reps: int = 3000) -> DataFrame:
-    """X14 + A19: one row per arm: statistics, interval, control percentiles, verdict, decision and flags."""
+    """X14 + A19: one row per arm: statistics, interval, control percentiles, verdict, decision and flags.
+
+    Give it features that are not yet written: what the study reads of them is written here, once, with the firings.
+    """
     start, end = window or SPLITS[split]
     k = hypotheses or len(arms)
     longest = max(a.horizon for a in arms)
-    sig = signals(features, arms)
-    status = cut_lineage(classify_signals(sig, features.agg(F.max("s_idx")).scalar(), start, end))
-    trades = cut_lineage(walk(status.where("status = 'event'").withColumn("rep", F.lit(-1)), features, longest))
+    panel = cut_lineage(with_firings(features, arms).select("ticker", "s_idx", "session", "close", "bench", "eligible", "fired"))
+    status = cut_lineage(classify_signals(signals_of(panel), panel.agg(F.max("s_idx")).scalar(), start, end))
+    trades = cut_lineage(walk(status.where("status = 'event'").withColumn("rep", F.lit(-1)), panel, longest))
     stats = cut_lineage(arm_statistics(trades))
     buckets = cut_lineage(month_buckets(trades))
     b = bucket_statistics(buckets, reps)
     risk = describe(trades.where("entry > 0").withColumn("_r", 1.0 - F.col("stop_initial") / F.col("entry")), ["arm", "horizon"], "_r").select("arm", "median")
     events = status.where("status = 'event'").groupBy("arm", "horizon").agg(F.count(F.lit(1)).alias("n"))
     like = cut_lineage(events.join(risk, "arm", "left").select("arm", "horizon", "n", F.coalesce(F.when(F.col("median") != 0, F.col("median")), F.lit(0.05)).alias("risk")))
-    # the trade of a drawn cell is the same in every replicate of an arm: it is walked once, and its result goes to the replicates
-    drawn = control_events(features, like, replicates, start=start, end=end).groupBy("arm", "horizon", "ticker", "s_idx", "stop").agg(F.collect_list("rep").alias("rep"))
-    ctrl = walk(drawn, features, longest).where(F.col("excess").isNotNull()).select("arm", F.explode("rep").alias("rep"), "excess")
+    # a cell is walked for each draw: the pass over its few bars costs less than gathering the replicates that drew it
+    drawn = control_events(panel, like, replicates, start=start, end=end)
+    ctrl = walk(drawn, panel, longest).where(F.col("excess").isNotNull()).select("arm", "rep", "excess")
     null = null_distribution(ctrl, stats)
     n_sig = status.groupBy("arm").agg(F.count(F.lit(1)).alias("n_signals"), F.count_if(F.col("status") == "event").alias("n_events"))
     j = n_sig.join(stats, "arm", "left").join(b, "arm", "left").join(null, "arm", "left")

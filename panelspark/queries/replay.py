@@ -195,7 +195,7 @@ CONTROL = f"""cells AS (SELECT ticker, s_idx, close, row_number() OVER (ORDER BY
  SELECT arm, n_signals, n_events, n_trades, {", ".join(f"{r6(c)} AS {c}" for c in ("mean_excess", "ci_low", "ci_high", "p05", "p50", "p95"))}, {r6('pct')} AS percentile_of_arm, n_replicates, verdict,
   coalesce(verdict IN ('suggestive', 'supported') AND ci_low > 0 AND mean_excess > p95, false) AS survives, CASE WHEN abs(mean_excess) > 0.05 THEN 'mean excess over 5%, check for look-ahead' END AS flag FROM z""")
 def rule_comparison(spark, sf):
-    r = ev.run_ab(cut_lineage(features(spark, sf)), ARMS, "train", WINDOW)
+    r = ev.run_ab(features(spark, sf), ARMS, "train", WINDOW)
     return r.select("arm", "n_signals", "n_events", "n_trades", *[rnd(c).alias(c) for c in ("mean_excess", "ci_low", "ci_high", "p05", "p50", "p95", "percentile_of_arm")], "n_replicates", "verdict", "survives", "flag")
 
 
