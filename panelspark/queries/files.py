@@ -321,6 +321,8 @@ def releases(spark, sf, which: int | None = None):
     """A short release per customer from its orders; the older and the newer half of them give the two sides."""
     o = t.read(spark, sf, "orders")
     o = o if which is None else o.where(F.col("o_orderkey") % 2 == which)
+    # a few bytes of an order become a text that takes long to read: short rows are spread before
+    o = o.select("o_orderkey", "o_custkey", "o_totalprice").repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
     m = F.format_string("%.1f", F.col("o_totalprice") / 100000)
     w = F.format_string("%.1f", F.col("o_totalprice") / 100000 + 1)
     text = F.concat(F.lit("Acme Inc. reported results. For the third quarter of fiscal 2026 we expect revenue of between $"), m, F.lit(" and $"), w, F.lit(" million, up from $9.9 million. "),
