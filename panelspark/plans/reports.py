@@ -9,7 +9,7 @@ from panelspark.functions.numeric import cagr, growth, ladder, safe_div
 from panelspark.functions.text import buy_zone, price_trigger, standing
 from panelspark.operators.asof import asof_backward, asof_forward
 from panelspark.operators.panel import own_reads
-from panelspark.operators.rangemin import first_below, range_minimum, sparse_table
+from panelspark.operators.rangemin import ends, first_below, places, range_minimum, sparse_table
 from panelspark.operators.ranks import join_on, place, spearman, top_n, value_bucket
 from panelspark.session import cut_lineage
 
@@ -159,19 +159,18 @@ def mark_positions(positions: DataFrame, prices: DataFrame, bench: DataFrame, as
 def position_lows(positions: DataFrame, prices: DataFrame, as_of: str | None = None) -> DataFrame:
     """One row per position: the lowest close since the fill, whether one was under the stop, and the first session it was.
 
-    ``positions``: ``pos, ticker, bought, stop``. No position meets its sessions: both answers come from a sparse table of minima.
+    ``positions``: ``pos, ticker, bought, stop``. No position is paired with its sessions: both answers come from the closes of its name,
+    which are written once, in order, in one row.
     """
     p = prices.where(F.col("close").isNotNull())
     if as_of is not None:
         p = p.where(F.col("session") <= F.lit(as_of).cast("date"))
     idx = F.row_number().over(Window.partitionBy("ticker").orderBy("session")) - 1                    # one row per session
-    p = cut_lineage(p.select("ticker", "session", "close", idx.cast("long").alias("idx")))
-    table, top = sparse_table(p, "ticker", "idx", "close")
-    last = p.groupBy("ticker").agg(F.max("idx").alias("hi"))
-    asks = asof_forward(positions.select("pos", "ticker", "bought", "stop"), p, ["ticker"], "bought", "session", ["idx"]).withColumnRenamed("idx", "lo").join(last, "ticker", "left")
-    low = first_below(range_minimum(asks, table, "ticker"), table, top, "ticker", "stop")
-    days = p.select(F.col("ticker").alias("_t"), F.col("idx").alias("_i"), F.col("session").alias("breached_on"))
-    return low.join(days, (F.col("ticker") == F.col("_t")) & (F.col("at") == F.col("_i")), "left").select("pos", "ticker", "low", F.col("at").isNotNull().alias("breached"), "breached_on")
+    table, top = sparse_table(p.select("ticker", "session", "close", idx.cast("long").alias("idx")), "ticker", "idx", "close", also="session")
+    asks = asof_forward(positions.select("pos", "ticker", "bought", "stop"), places(table, "ticker", "idx", "session"), ["ticker"], "bought", "session", ["idx"])
+    asks = asks.withColumnRenamed("idx", "lo").join(ends(table, "ticker", "hi"), "ticker", "left")
+    low = first_below(range_minimum(asks, table, "ticker"), table, top, "ticker", "stop", show="breached_on")
+    return low.select("pos", "ticker", "low", F.col("at").isNotNull().alias("breached"), "breached_on")
 
 
 def running_lows(positions: DataFrame, prices: DataFrame) -> DataFrame:
