@@ -52,28 +52,29 @@ def _resolve(points: DataFrame, right: DataFrame, by: list[str], grain: str, for
         *by, "_pt", F.coalesce("_near", "_in").alias("_hit"))
 
 
-def _resolve_days(points: DataFrame, right: DataFrame, by: list[str], forward: bool, strict: bool) -> DataFrame:
-    """As ``_resolve`` where a key has at most one row per day on either side."""
+def _resolve_days(points: DataFrame, right: DataFrame, by: list[str], forward: bool, strict: bool, ties: bool = False) -> DataFrame:
+    """As ``_resolve`` where a key has at most one row per day on either side; with ``ties`` the greatest of more is taken."""
     rank_right = 1 if strict else 0
     rows = right.select(*by, "_pt", "_val", F.lit(rank_right).alias("_side"))
     asks = points.select(*by, "_pt", F.lit(None).cast(right.schema["_val"].dataType).alias("_val"),
                          F.lit(1 - rank_right).alias("_side"))
-    o = [F.desc("_pt") if forward else F.asc("_pt"), F.asc("_side")]
+    o = [F.desc("_pt") if forward else F.asc("_pt"), F.asc("_side"), *([F.asc("_val")] if ties else [])]
     w = Window.partitionBy(*by).orderBy(*o).rowsBetween(Window.unboundedPreceding, 0)
     carried = rows.unionByName(asks).withColumn("_hit", F.last("_val", ignorenulls=True).over(w))
     return carried.where(F.col("_side") == 1 - rank_right).select(*by, "_pt", "_hit")
 
 
-def _asof(left, right, by, left_on, right_on, values, grain, forward, strict):
+def _asof(left, right, by, left_on, right_on, values, grain, forward, strict, unique=False):
     days = isinstance(left.schema[left_on].dataType, DateType) and isinstance(right.schema[right_on].dataType, DateType)
     at = "date" if days else "timestamp"
     r = right.where(F.col(right_on).isNotNull()).select(*by, F.col(right_on).cast(at).alias("_pt"), F.struct(*values).alias("_val"))
     # one right row per point: ties are resolved by the whole value, the greatest wins; a struct would be aggregated by a sort
     best = F.struct(F.max(F.col("_val")[values[0]]).alias(values[0])) if len(values) == 1 else F.max("_val")
-    r = r.groupBy(*by, "_pt").agg(best.alias("_val"))
+    if not (unique and days):
+        r = r.groupBy(*by, "_pt").agg(best.alias("_val"))
     points = left.where(F.col(left_on).isNotNull()).select(*by, F.col(left_on).cast(at).alias("_pt")).distinct()
     if days:
-        hits = _resolve_days(points, r, by, forward, strict)
+        hits = _resolve_days(points, r, by, forward, strict, unique)
     else:
         hits = _resolve(points, r, by, grain, forward, strict)
     tagged = left.withColumn("_pt", F.col(left_on).cast(at))
@@ -89,9 +90,12 @@ def asof_backward(left: DataFrame, right: DataFrame, by: list[str], left_on: str
 
 
 def asof_forward(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str,
-                 values: list[str], grain: str = "day", strict: bool = False) -> DataFrame:
-    """The right row at or after (``strict``: after) each left point."""
-    return _asof(left, right, by, left_on, right_on, values, grain, True, strict)
+                 values: list[str], grain: str = "day", strict: bool = False, unique: bool = False) -> DataFrame:
+    """The right row at or after (``strict``: after) each left point.
+
+    ``unique``: the right side is known to have a row per key and day, or few, so it is not gathered by them first.
+    """
+    return _asof(left, right, by, left_on, right_on, values, grain, True, strict, unique)
 
 
 def factor_on(bars: DataFrame, factors: DataFrame, values: list[str]) -> DataFrame:

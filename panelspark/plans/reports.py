@@ -165,9 +165,8 @@ def position_lows(positions: DataFrame, prices: DataFrame, as_of: str | None = N
     p = prices.where(F.col("close").isNotNull())
     if as_of is not None:
         p = p.where(F.col("session") <= F.lit(as_of).cast("date"))
-    idx = F.row_number().over(Window.partitionBy("ticker").orderBy("session")) - 1                    # one row per session
-    table, top = sparse_table(p.select("ticker", "session", "close", idx.cast("long").alias("idx")), "ticker", "idx", "close", also="session")
-    asks = asof_forward(positions.select("pos", "ticker", "bought", "stop"), places(table, "ticker", "idx", "session"), ["ticker"], "bought", "session", ["idx"])
+    table, top = sparse_table(p, "ticker", None, "close", also="session")                              # one row per session
+    asks = asof_forward(positions.select("pos", "ticker", "bought", "stop"), places(table, "ticker", "idx", "session"), ["ticker"], "bought", "session", ["idx"], unique=True)
     asks = asks.withColumnRenamed("idx", "lo").join(ends(table, "ticker", "hi"), "ticker", "left")
     low = first_below(range_minimum(asks, table, "ticker"), table, top, "ticker", "stop", show="breached_on")
     return low.select("pos", "ticker", "low", F.col("at").isNotNull().alias("breached"), "breached_on")
